@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
+from .line_dedup import line_dedup
 from .quality_classifier import quality_scores
+from .quality_rules import quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,3 +51,90 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores by a hashed n-gram model learnt from the labels that aren't held out."""
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query(
+    "op4_line_dedup",
+    r"""
+    WITH l AS (
+      SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+             generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+      FROM documents
+    ), k AS (
+      SELECT doc_id, pos, line,
+             translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+      FROM l
+    ), c AS (
+      SELECT key, max(doc_id) AS last_doc FROM k WHERE length(key) >= 40
+      GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+    )
+    SELECT doc_id, count(*) AS n_lines, count(c.key) FILTER (WHERE doc_id <> last_doc) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY pos)
+                           FILTER (WHERE c.key IS NULL OR doc_id = last_doc), '')) AS kept_sha256
+    FROM k LEFT JOIN c USING (key) GROUP BY doc_id
+    """,
+)
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that stand in five documents or more go, but for those of the largest id."""
+    return line_dedup(_table(spark, sf_dir, "documents"))
+
+
+@_query(
+    "op5_quality_rules",
+    r"""
+    WITH d AS (
+      SELECT doc_id, coalesce(text, '') AS t FROM documents
+    ), w AS (
+      SELECT doc_id, unnest(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS word,
+             generate_subscripts(regexp_extract_all(t, '[^\x20\x09-\x0D]+'), 1) AS pos
+      FROM d
+    ), tri AS (
+      SELECT doc_id, pos, word, lead(word) OVER p AS w2, lead(word, 2) OVER p AS w3
+      FROM w WINDOW p AS (PARTITION BY doc_id ORDER BY pos)
+    ), marked AS (
+      SELECT doc_id, pos, (w3 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, word, w2, w3) > 1)::INT AS again
+      FROM tri
+    ), covered AS (
+      SELECT doc_id, max(again) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS c
+      FROM marked
+    ), words AS (
+      SELECT doc_id, count(*) AS n_words, sum(c)::BIGINT AS n_repeat_words FROM covered GROUP BY doc_id
+    ), l AS (
+      SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d
+    ), j AS (
+      SELECT doc_id, line, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars,
+             length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) AS symbols,
+             length(line) - length(regexp_replace(line, '[|»·›]', '', 'g')) AS separators,
+             trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS trimmed
+      FROM l
+    ), f AS (
+      SELECT *, (NOT regexp_matches(trimmed, '[.!?:;…。！？"''»”)\]]$')
+                 AND NOT regexp_matches(trimmed, '[\x20\x09-\x0D][^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]'))
+             OR symbols * 10 > chars
+             OR length(regexp_extract_all(line, '[!?]{2,}')) >= 3
+             OR (separators >= 3 AND separators * 12 >= length(line))
+             OR regexp_matches(lower(line), 'all rights reserved|click here|cookie policy|enable javascript|lorem ipsum|privacy policy|read more|released under the|share this|sign in|subscribe to our newsletter|terms of service|terms of use|we use cookies') AS fails
+      FROM j WHERE chars > 0
+    ), lines AS (
+      SELECT doc_id, (count(*) - count(DISTINCT line))::BIGINT AS n_dup_lines,
+             coalesce(sum(chars) FILTER (WHERE fails), 0)::BIGINT AS lost
+      FROM f GROUP BY doc_id
+    ), base AS (
+      SELECT d.doc_id, coalesce(n_words, 0) AS n_words,
+             length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+             (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+             coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+             coalesce(lost, 0) AS lost
+      FROM d LEFT JOIN words USING (doc_id) LEFT JOIN lines USING (doc_id)
+    )
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+           (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+           NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * lost <= 50 * word_chars AS kept
+    FROM base
+    """,
+)
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines judged first, then documents that lose too much."""
+    judged = quality_rules(_table(spark, sf_dir, "documents"))
+    return judged.drop("lost_chars", "clean_text")
