@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
+from .near_dedup import near_dedup
 from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
 
@@ -138,3 +139,36 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines judged first, then documents that lose too much."""
     judged = quality_rules(_table(spark, sf_dir, "documents"))
     return judged.drop("lost_chars", "clean_text")
+
+
+@_query(
+    "op8_near_dedup",
+    r"""
+    WITH RECURSIVE w AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                                  'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+      FROM documents
+    ), sets AS (
+      SELECT doc_id, CASE WHEN len(w) >= 5
+                          THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+                          WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+      FROM w
+    ), one AS (
+      SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets
+    ), links AS (
+      SELECT a.doc_id AS a, b.doc_id AS b FROM one a JOIN one b ON a.x = b.x AND a.doc_id <> b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+    ), reach AS (
+      SELECT doc_id AS a, doc_id AS b FROM sets
+      UNION
+      SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+    ), root AS (
+      SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
+    )
+    SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+    FROM sets JOIN root USING (doc_id)
+    """,
+)
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups at a similarity of 0.85 of five-word shingles."""
+    return near_dedup(_table(spark, sf_dir, "documents"))
