@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .near_dedup import near_dedup
+from .packing import pack
 from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
 
@@ -172,3 +173,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups at a similarity of 0.85 of five-word shingles."""
     return near_dedup(_table(spark, sf_dir, "documents"))
+
+
+@_query("op7_packing")
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed along a Hilbert curve into sequences of 2048 tokens."""
+    import public_tokenizers
+
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
