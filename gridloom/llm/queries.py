@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
+from .mixing import mixture
 from .near_dedup import near_dedup
 from .packing import pack
 from .quality_classifier import quality_scores
@@ -181,3 +182,9 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query("op9_mixing")
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document gives to a mixture of its sources at their target weights."""
+    return mixture(_table(spark, sf_dir, "documents"))
