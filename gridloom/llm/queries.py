@@ -11,6 +11,7 @@ from .line_dedup import line_dedup
 from .mixing import mixture
 from .near_dedup import near_dedup
 from .packing import pack
+from .pii import pii
 from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
 
@@ -188,3 +189,9 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each document gives to a mixture of its sources at their target weights."""
     return mixture(_table(spark, sf_dir, "documents"))
+
+
+@_query("op10_pii")
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data by pattern, and the terms near it that give it away."""
+    return pii(_table(spark, sf_dir, "documents"))
