@@ -14,6 +14,8 @@ from .packing import pack
 from .pii import pii
 from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
+from .secret_scan import secret_scan
+from .warc import warc_round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -195,3 +197,15 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data by pattern, and the terms near it that give it away."""
     return pii(_table(spark, sf_dir, "documents"))
+
+
+@_query("op6_secret_scan")
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets by pattern and by character models."""
+    return secret_scan(_table(spark, sf_dir, "documents"))
+
+
+@_query("op3_warc")
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages through archives and back."""
+    return warc_round_trip(_table(spark, sf_dir, "pages"))
