@@ -128,7 +128,8 @@ class Mix:
 
     def draws(self) -> DataFrame:
         """A row per piece of a document in a slot: pass, shard, slot, the document's key, start, length (in words)."""
-        return self.slots().join(self.pieces(), ["rank", "block"]).drop("rank", "block")
+        # both sides come of small tables by explode, which the planner's size estimates don't see: never broadcast
+        return self.slots().hint("merge").join(self.pieces(), ["rank", "block"]).drop("rank", "block")
 
     def taken(self) -> DataFrame:
         """One row per document: doc_id, size, source_size, target, taken."""
@@ -137,7 +138,7 @@ class Mix:
         same = F.lit(True)
         for k in _KEY:
             same = same & F.col(k).eqNullSafe(F.col(f"g_{k}"))
-        return self.units.join(got, same, "left").select(
+        return self.units.join(got.hint("merge"), same, "left").select(
             "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
         )
 
@@ -174,7 +175,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ),
         F.lit(0),
     )
-    out = marked.join(parts, same).withColumn("mixed", F.when(whole, F.col("t")).otherwise(drawn))
+    out = marked.join(parts.hint("merge"), same).withColumn("mixed", F.when(whole, F.col("t")).otherwise(drawn))
     columns = []
     for i, c in enumerate(docs.columns):
         if c == text_col:
