@@ -1,18 +1,22 @@
 """Near-duplicate groups by MinHash bands, odd sketches and exact confirmation.
 
-1. One pass over the texts gives each document its number of distinct word shingles, a digest of that set, ``BANDS``
-   band keys of ``ROWS`` MinHash samples each, and an odd sketch: the samples folded into a bitmap in which each toggles
-   one bit.  The population count of two sketches' XOR estimates their similarity closely where it is high.
+1. One pass over the texts gives each document its number of distinct word shingles, a digest of that set and
+   ``BANDS`` band keys of ``ROWS`` MinHash samples each.
 2. Documents with equal sets form a class; from here on only one row per class moves, so copies make no pairs.
-3. Each band bucket links its members to a few centres (a star, linear in the bucket).  Pairs pass the sketch test and
+3. Classes that share a band bucket with another get an odd sketch: ``SKETCH_SAMPLES`` MinHash samples folded into a
+   bitmap in which each toggles one bit.  The population count of two sketches' XOR estimates their similarity closely
+   where it is high.
+4. Each band bucket links its members to a few centres (a star, linear in the bucket).  Pairs pass the sketch test and
    the length bound, then the exact test on full sets.
-4. Members of a bucket that the stars left in different components are compared with each other, so no link is lost
-   for being far from a centre; pairs of one component aren't compared again.
+5. Members of a bucket that the stars left in different components are compared with each other, so no link is lost
+   for being far from a centre; pairs of one component aren't compared again, and a pair counts in the first bucket
+   that it shares.
 
-Full sets are made again only for documents in candidate pairs; which these are is sent to the scan as a Bloom bitmap of
-fixed size (``BLOOM_BITS``), whose false positives the later join drops.
+Sketches and full sets are made only for the documents that need them; which these are is sent to the scan as a Bloom
+bitmap of fixed size (``BLOOM_BITS``), whose false positives the later join drops.
 
-A pair at the threshold of 0.85 shares a bucket with probability 1 - (1 - 0.85**6)**42, all but 3e-9.
+A pair at the threshold of 0.85 shares a bucket with probability 1 - (1 - 0.85**6)**42, all but 3e-9, and its sketch
+passes but for about 1e-5; both chances of loss vanish above it.
 
 Defined cases: null text and texts without words have an empty set, are linked with nothing and stay; a text of fewer
 words than a shingle has its whole sequence as one; rows that repeat an id are separate rows, of which at most one
@@ -38,25 +42,26 @@ WIDTH = 5
 PERCENT = 85
 ROWS, BANDS = 6, 42
 SAMPLES = ROWS * BANDS
-SKETCH_BITS = 1024
-#: Similarity that the sketch must suggest at least: about six standard errors below 0.85.
-SKETCH_MARGIN = 0.15
+SKETCH_SAMPLES = 1024
+SKETCH_BITS = 4096
+#: How far below the threshold a sketch may place a pair: over four standard errors at 0.85.
+SKETCH_MARGIN = 0.05
 BLOOM_BITS = 1 << 23
-CENTRES = 4
+CENTRES = 16
 
 _rng = np.random.default_rng(20240602)
-_A = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) * U64(2) + U64(1)
-_B = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
+_A = _rng.integers(0, 1 << 63, SAMPLES + SKETCH_SAMPLES, dtype=np.uint64) * U64(2) + U64(1)
+_B = _rng.integers(0, 1 << 63, SAMPLES + SKETCH_SAMPLES, dtype=np.uint64)
 
-_SCHEMA = "doc_id long, n_shingles long, set_id binary, bands array<long>, sketch array<long>"
+_SCHEMA = "doc_id long, n_shingles long, set_id binary, bands array<long>"
 
 
-def samples(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The MinHash samples (rows by ``SAMPLES``) of non-empty sets given one after the other."""
-    out = np.empty((len(bounds) - 1, SAMPLES), U64)
+def samples(values: np.ndarray, bounds: np.ndarray, first: int, count: int) -> np.ndarray:
+    """MinHash samples ``first`` to ``first + count`` of non-empty sets given one after the other, a row each."""
+    out = np.empty((len(bounds) - 1, count), U64)
     with np.errstate(over="ignore"):
-        for i in range(SAMPLES):
-            out[:, i] = np.minimum.reduceat((values ^ _B[i]) * _A[i], bounds[:-1])
+        for i in range(first, first + count):
+            out[:, i - first] = np.minimum.reduceat((values ^ _B[i]) * _A[i], bounds[:-1])
     return out
 
 
@@ -70,10 +75,10 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 def odd_sketches(sig: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        at = (fmix(sig * U64(0xD6E8FEB86659FD93) + np.arange(SAMPLES, dtype=U64)) >> U64(54)).astype(np.int64)
+        at = (fmix(sig * U64(0xD6E8FEB86659FD93) + np.arange(SKETCH_SAMPLES, dtype=U64)) >> U64(52)).astype(np.int64)
     bits = np.zeros((len(sig), SKETCH_BITS), np.uint8)
     rows = np.arange(len(sig))
-    for i in range(SAMPLES):
+    for i in range(SKETCH_SAMPLES):
         bits[rows, at[:, i]] ^= 1
     return np.packbits(bits, axis=1).view(np.int64)
 
@@ -81,7 +86,7 @@ def odd_sketches(sig: np.ndarray) -> np.ndarray:
 def sketch_limit(percent: int) -> int:
     """Most bits that may differ between the sketches of a candidate pair."""
     low = percent / 100 - SKETCH_MARGIN
-    differing = 2 * SAMPLES * (1 - low)
+    differing = 2 * SKETCH_SAMPLES * (1 - low)
     return int(SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** differing))
 
 
@@ -92,19 +97,16 @@ def signatures(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Rec
             n = np.diff(bounds)
             full = np.flatnonzero(n)
             starts = np.append(bounds[full], len(values))
-            sig = samples(values, starts) if len(full) else np.zeros((0, SAMPLES), U64)
+            sig = samples(values, starts, 0, SAMPLES) if len(full) else np.zeros((0, SAMPLES), U64)
             raw, at = values.tobytes(), bounds.tolist()
             digests = [blake2b(raw[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(at[:-1], at[1:], strict=True)]
 
-            def lists(rows: np.ndarray, wide: int, some=n > 0) -> pa.Array:
-                ends = np.concatenate([[0], np.cumsum(some * wide)]).astype(np.int32)
-                return pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.ravel()))
-
+            ends = np.concatenate([[0], np.cumsum((n > 0) * BANDS)]).astype(np.int32)
+            bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(band_keys(sig).ravel()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, end - first), pa.array(n.astype(np.int64)), pa.array(digests, pa.binary()),
-                 lists(band_keys(sig), BANDS), lists(odd_sketches(sig), SKETCH_BITS // 64)],
-                names=["doc_id", "n_shingles", "set_id", "bands", "sketch"],
-            )
+                [batch.column(0).slice(first, end - first), pa.array(n.astype(np.int64)), pa.array(digests, pa.binary()), bands],
+                names=["doc_id", "n_shingles", "set_id", "bands"],
+            )
 
 
 def _bit_places(doc: Column) -> Column:
@@ -144,21 +146,26 @@ class NearDedup:
         )
         nodes = self.rows.join(self.classes.select(F.col("node").alias("row")), "row", "left_semi")
         self.nodes = materialise(
-            nodes.select(F.col("row").alias("node"), "doc_id", "set_id", "n_shingles", "bands", "sketch"), "nodes"
+            nodes.select(F.col("row").alias("node"), "doc_id", "set_id", "n_shingles", "bands"), "nodes"
         )
 
     def close(self, a: str, b: str) -> Column:
         """The bounds on lengths and sketches that every link meets."""
         na, nb = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
-        apart = reduce(
+        limit, words = sketch_limit(self.percent), SKETCH_BITS // 64
+        # an eighth of the bits, with six standard errors to spare, settles most pairs in generated code
+        few = reduce(
             lambda x, y: x + y,
-            [F.bit_count(F.col(f"{a}.sketch")[k].bitwiseXOR(F.col(f"{b}.sketch")[k])) for k in range(SKETCH_BITS // 64)],
+            [F.bit_count(F.get(f"{a}.sketch", F.lit(k)).bitwiseXOR(F.get(f"{b}.sketch", F.lit(k)))) for k in range(words // 8)],
         )
-        lengths = (100 * F.least(na, nb) >= self.percent * F.greatest(na, nb))
-        return lengths & (apart <= sketch_limit(self.percent))
-
-    def sets(self, nodes: DataFrame) -> DataFrame:
-        """(node, s): the full shingle sets of the given nodes, from a second scan."""
+        some = limit / 8 + 6 * (limit / 8) ** 0.5
+        differing = F.zip_with(f"{a}.sketch", f"{b}.sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+        every = F.aggregate(differing, F.lit(0), lambda n, x: n + x)
+        lengths = 100 * F.least(na, nb) >= self.percent * F.greatest(na, nb)
+        return lengths & (few <= int(some)) & (every <= limit)
+
+    def again(self, nodes: DataFrame, what: str) -> DataFrame:
+        """(node, s): the full shingle sets of the given nodes, or their sketches, from another scan."""
         wanted = materialise(self.nodes.select("node", "doc_id", "set_id").join(nodes, "node", "left_semi"), "wanted")
         sent = self.spark.sparkContext.broadcast(bloom(wanted))
         width = self.width
@@ -166,33 +173,36 @@ class NearDedup:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits = sent.value
             for batch in batches:
-                at = np.array(batch.column(2).values.to_numpy()).reshape(-1, 2)
+                at = np.array(batch.column(2).flatten().to_numpy()).reshape(-1, 2)
                 hit = ((bits[at >> 6] >> (at & 63)) & 1).all(1)
                 some = batch.filter(pa.array(hit))
                 for first, end, buf, offsets in text_slices(some.column(1)):
                     values, bounds = shingle_sets(buf, offsets, width)
-                    raw, ends = values.tobytes(), bounds.tolist()
-                    ids = [blake2b(raw[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                    s = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.view(np.int64)))
-                    yield pa.RecordBatch.from_arrays(
-                        [some.column(0).slice(first, end - first), pa.array(ids, pa.binary()), s], ["doc_id", "set_id", "s"]
-                    )
+                    full = np.flatnonzero(np.diff(bounds))
+                    if not len(full):
+                        continue
+                    raw = values.tobytes()
+                    ends = [(int(bounds[i]), int(bounds[i + 1])) for i in full]
+                    ids = [blake2b(raw[8 * a : 8 * b], digest_size=16).digest() for a, b in ends]
+                    starts = np.append(bounds[full], len(values))
+                    if what == "sketch":
+                        rows = odd_sketches(samples(values, starts, SAMPLES, SKETCH_SAMPLES))
+                        starts, values = np.arange(len(full) + 1) * rows.shape[1], rows.ravel()
+                    s = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(values.view(np.int64)))
+                    docs = some.column(0).slice(first, end - first).take(pa.array(full))
+                    yield pa.RecordBatch.from_arrays([docs, pa.array(ids, pa.binary()), s], ["doc_id", "set_id", "s"])
 
         found = self.read.select("doc_id", "text", _bit_places(F.col("doc_id")).alias("at")).mapInArrow(
             run, "doc_id long, set_id binary, s array<long>"
         )
         least = F.lit(-(2**63)).cast("long")
         some = wanted.select("node", F.coalesce("doc_id", least).alias("d"), "set_id")
-        return (
-            found.withColumn("d", F.coalesce("doc_id", least))
-            .join(some, ["d", "set_id"])
-            .select("node", "s")
-            .dropDuplicates(["node"])
-        )
+        found = found.withColumn("d", F.coalesce("doc_id", least)).join(some, ["d", "set_id"])
+        return materialise(found.select("node", "s").dropDuplicates(["node"]), what)
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose full sets are similar enough."""
-        sets = materialise(self.sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()), "sets")
+        sets = self.again(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "set")
         one = sets.select(F.col("node").alias("a"), F.col("s").alias("sa"))
         other = sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
         both = spread_join(spread_join(pairs.select("a", "b"), one, ["a"]), other, ["b"])
@@ -209,7 +219,9 @@ class NearDedup:
         members = materialise(
             spread_join(keyed, shared.select("bucket", F.col("c.node").alias("centre")), ["bucket"]), "members"
         )
-        slim = self.nodes.select("node", "n_shingles", "sketch")
+        inside = members.select("node").distinct()
+        sketches = self.again(inside, "sketch").withColumnRenamed("s", "sketch")
+        slim = materialise(self.nodes.select("node", "n_shingles", "bands").join(sketches, "node"), "slim")
         pairs = (
             members.where("node <> centre")
             .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
@@ -223,21 +235,22 @@ class NearDedup:
         # what the stars left apart within a bucket
         roots = connected_components(links)
         label = F.coalesce("root", "node").alias("label")
-        placed = members.select("bucket", "node").join(roots, "node", "left").select("bucket", "node", label)
-        placed = materialise(placed, "placed")
+        placed = materialise(
+            members.select("bucket", "node").join(roots, "node", "left").select("bucket", "node", label), "placed"
+        )
         mixed = placed.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m")
         apart = placed.join(mixed.select("bucket"), "bucket", "left_semi").join(slim, "node")
         # only lengths of the same or the next class can be similar enough
         size = F.floor(F.log("n_shingles") / -F.log(F.lit(self.percent / 100)) + 1e-9)
-        x = materialise(apart.withColumn("size", size), "apart")
-        y = x.withColumn("key", F.explode(F.array("size", F.col("size") + 1)))
-        x, y = x.withColumn("key", F.col("size")).alias("x"), y.alias("y")
+        apart = apart.withColumn("size", size)
+        x = apart.withColumn("key", F.col("size")).alias("x")
+        y = apart.withColumn("key", F.explode(F.array("size", F.col("size") + 1))).alias("y")
         ordered = (F.col("x.size") > F.col("y.size")) | (F.col("x.node") < F.col("y.node"))
+        first = F.get(F.array_intersect("x.bands", "y.bands"), F.lit(0)) == F.col("x.bucket")
         more = (
-            x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.key") == F.col("y.key"))
-                   & (F.col("x.label") != F.col("y.label")) & ordered & self.close("x", "y"))
+            x.hint("merge").join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.key") == F.col("y.key"))
+                   & (F.col("x.label") != F.col("y.label")) & ordered & self.close("x", "y") & first)
             .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-            .distinct()
             .join(near, ["a", "b"], "left_anti")
         )
         more = materialise(more, "pairs")
