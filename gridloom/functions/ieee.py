@@ -20,6 +20,11 @@ def d(x) -> Column:
     return col(x).cast("double")
 
 
+def whole(f, x: Column) -> Column:
+    """``f``, a rounding to bigint, as a double: what isn't finite or has no fraction left stays."""
+    return F.when(F.isnan(x) | (F.abs(x) >= 2.0**52), x).otherwise(f(x).cast("double"))
+
+
 def divide(a, b) -> Column:
     """a / b; x / ±0 is ±inf and 0 / 0 is NaN (the sign of a zero divisor counts)."""
     a, b = d(a), d(b)
@@ -29,14 +34,14 @@ def divide(a, b) -> Column:
 
 def floor_divide(a, b) -> Column:
     a, b = d(a), d(b)
-    return F.when(b == 0, divide(a, b)).otherwise(F.floor(a / F.nullif(b, F.lit(0.0))).cast("double"))
+    return F.when(b == 0, divide(a, b)).otherwise(whole(F.floor, a / F.nullif(b, F.lit(0.0))))
 
 
 def remainder(a, b) -> Column:
     """Remainder with the divisor's sign; NaN for a zero divisor."""
     a, b = d(a), d(b)
     by = F.nullif(b, F.lit(0.0))
-    return F.when(b == 0, F.lit(NAN) + a * 0).otherwise(a - F.floor(a / by) * by)
+    return F.when(b == 0, F.lit(NAN) + a * 0).otherwise(a - whole(F.floor, a / by) * by)
 
 
 def fmod(a, b) -> Column:

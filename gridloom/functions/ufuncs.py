@@ -51,11 +51,11 @@ def _sign(x):
 
 def _trunc(x):
     x = d(x)
-    return F.when(~ieee.is_finite(x), x).when(x < 0, F.ceil(x).cast("double")).otherwise(F.floor(x).cast("double"))
+    return F.when(x < 0, ieee.whole(F.ceil, x)).otherwise(ieee.whole(F.floor, x))
 
 
 def _whole(f):
-    return lambda x: F.when(~ieee.is_finite(x), d(x)).otherwise(f(d(x)).cast("double"))
+    return lambda x: ieee.whole(f, d(x))
 
 
 def _nan_to_num(x, nan=0.0, posinf=1.7976931348623157e308, neginf=-1.7976931348623157e308):
@@ -73,8 +73,9 @@ def _arctan2(y, x):
 
 
 def _gcd(a, b):
+    small = F.least(F.abs(col(a).cast("double")), F.abs(col(b).cast("double")))
     step = F.aggregate(
-        F.sequence(F.lit(1), F.lit(92)),  # as many steps as two 64-bit numbers can need
+        F.sequence(F.lit(1), (F.log2(small + 1) * 1.45).cast("int") + 3),  # as many steps as the smaller number can need
         F.struct(F.abs(col(a).cast("long")).alias("x"), F.abs(col(b).cast("long")).alias("y")),
         lambda s, _: F.when(s["y"] == 0, s).otherwise(F.struct(s["y"].alias("x"), (s["x"] % F.nullif(s["y"], F.lit(0))).alias("y"))),
         lambda s: s["x"],
