@@ -31,7 +31,15 @@ def taper(name: str, i: Column, n: int, *args: float) -> Column:
         for k, a in enumerate(COSINES[name]):
             out = out + (-1) ** k * a * F.cos(x * (2 * math.pi * k / m))
         return out
+    if name in ("general_cosine", "general_hamming"):
+        terms = args if name == "general_cosine" else (args[0], 1 - args[0])
+        out = F.lit(0.0)
+        for k, a in enumerate(terms):
+            out = out + (-1) ** k * a * F.cos(x * (2 * math.pi * k / m))
+        return out
     u = x * (2.0 / m) - 1.0
+    if name == "lanczos":
+        return UNARY["sinc"](u)
     if name == "bartlett":
         return 1 - F.abs(u)
     if name in ("boxcar", "ones"):

@@ -62,6 +62,28 @@ def nancumsum(df: DataFrame, order: str, value: str, by: list[str] | None = None
     return running(clean, [order], "__c", as_col, by).drop("__c")
 
 
+def nancumprod(df: DataFrame, order: str, value: str, by: list[str], as_col: str = "nancumprod") -> DataFrame:
+    clean = df.withColumn("__c", F.when(F.isnan(d(value)), F.lit(1.0)).otherwise(d(value)))
+    return cumprod(clean, order, "__c", by, as_col).drop("__c")
+
+
+def unwrap(df: DataFrame, order: str, value: str, by: list[str], period: float = 6.283185307179586, as_col: str = "unwrapped") -> DataFrame:
+    """Jumps over half a period between neighbours turned into their complements."""
+    step = d(value) - F.lag(d(value)).over(W.partitionBy(*by).orderBy(order))
+    turned = F.coalesce(F.when(F.abs(step) > period / 2, -F.rint(step / period) * period), F.lit(0.0))
+    out = running(df.withColumn("__t", turned), [order], "__t", "__s", by)
+    return out.withColumn(as_col, d(value) + F.col("__s")).drop("__t", "__s")
+
+
+def correlate(df: DataFrame, order: str, value: str, kernel: list[float], by: list[str], as_col: str = "correlated") -> DataFrame:
+    """Sums of products with a short kernel at every full overlap that ends at a row."""
+    w = W.partitionBy(*by).orderBy(order)
+    out = F.lit(0.0)
+    for k, c in enumerate(reversed(kernel)):
+        out = out + F.lag(d(value), k).over(w) * c
+    return df.withColumn(as_col, out)
+
+
 def diff(df: DataFrame, order: str, value: str, by: list[str], n: int = 1, as_col: str = "diff") -> DataFrame:
     """n-th differences; rows without enough predecessors go."""
     out, w = df.withColumn(as_col, F.col(value)), W.partitionBy(*by).orderBy(order)

@@ -99,6 +99,26 @@ def nanstd(v, ddof: int = 0) -> Column:
     return F.sqrt(nanvar(v, ddof))
 
 
+def nanargmin(pos, v) -> Column:
+    """Position of the first smallest that isn't NaN."""
+    p, x = F.col(pos), _skip(v)
+    return F.min_by(p, F.when(x.isNotNull(), F.struct(x, p)))
+
+
+def nanargmax(pos, v) -> Column:
+    p, x = F.col(pos), _skip(v)
+    return F.max_by(p, F.when(x.isNotNull(), F.struct(x, -p)))
+
+
+def median(v) -> Column:
+    """NaN if there is one."""
+    return F.when(F.bool_or(F.isnan(d(v))), F.lit(NAN)).otherwise(F.percentile(d(v), F.lit(0.5)))
+
+
+def nanmedian(v) -> Column:
+    return F.coalesce(F.percentile(_skip(v), F.lit(0.5)), F.lit(NAN))
+
+
 def moment(v, k: int) -> list[Column]:
     return [F.sum(F.pow(d(v), F.lit(float(i)))) for i in range(1, k + 1)]
 
@@ -266,6 +286,30 @@ def histogram(df: DataFrame, value: str, edges: list[float], weights: str | None
     return out
 
 
+def bin_edges(df: DataFrame, value: str, bins: int | str = 10) -> list[float]:
+    """Edges of equal bins over the range: a number of them, or the rule ``sturges``, ``sqrt``, ``rice`` or ``scott``."""
+    v = d(value)
+    n, lo, hi, s = df.where(~F.isnan(v)).agg(F.count(v), F.min(v), F.max(v), F.stddev_pop(v)).first()
+    if not n:
+        lo, hi, s, n = 0.0, 1.0, 0.0, 1
+    if lo == hi:
+        lo, hi = lo - 0.5, hi + 0.5
+    if isinstance(bins, str):
+        if bins == "scott":
+            width = (24 * math.sqrt(math.pi) / n) ** (1 / 3) * s
+            bins = math.ceil((hi - lo) / width) if width else 1
+        else:
+            bins = {"sturges": math.ceil(math.log2(n)) + 1, "sqrt": math.ceil(math.sqrt(n)), "rice": math.ceil(2 * n ** (1 / 3))}[bins]
+    return [lo + (hi - lo) * k / bins for k in range(bins)] + [hi]
+
+
+def histogramdd(df: DataFrame, values: list[str], edges: list[list[float]]) -> DataFrame:
+    """b0, b1, ..., n of the bins that hold something."""
+    names = [f"b{k}" for k in range(len(values))]
+    placed = df.select(*[bin_of(v, e).alias(b) for v, e, b in zip(values, edges, names, strict=True)]).na.drop()
+    return placed.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+
+
 def histogram2d(df: DataFrame, x: str, y: str, x_edges: list[float], y_edges: list[float]) -> DataFrame:
     return (
         df.select(bin_of(x, x_edges).alias("bx"), bin_of(y, y_edges).alias("by"))
@@ -348,5 +392,26 @@ def chi2_table(df: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
+def ks_2samp(df: DataFrame, value: str, group: str) -> float:
+    """Largest distance between the distributions of the two groups that ``group`` (0 and 1) names: counts per distinct
+    value, then two running sums over the distributed order of the values."""
+    from .order import running
+
+    per = df.groupBy(d(value).alias("v")).agg(*[F.count_if(F.col(group) == k).alias(f"c{k}") for k in (0, 1)])
+    n0, n1 = per.agg(F.sum("c0"), F.sum("c1")).first()
+    gap = running(per.withColumn("g", F.col("c0") / n0 - F.col("c1") / n1), ["v"], "g", "s")
+    return float(gap.agg(F.max(F.abs("s"))).first()[0])
+
+
+def chi2_contingency(df: DataFrame, a: str, b: str) -> tuple[float, int]:
+    """Statistic and degrees of freedom."""
+    cells = chi2_table(df, a, b)
+    stat, rows, cols, seen = cells.agg(
+        F.sum((F.col("observed") - F.col("expected")) ** 2 / F.col("expected")), F.countDistinct("a"), F.countDistinct("b"), F.sum("expected")
+    ).first()
+    total = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).count()
+    return float(stat + total - seen), (rows - 1) * (cols - 1)  # absent cells add what they were expected to hold
+
+
 def pearsonr(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.agg(correlation(x, y).alias("r"))

@@ -240,3 +240,44 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     a = {r["start"]: r["n"] for r in spark.table("w").collect()}
     assert a == {r["start"]: r["n"] for r in windows.windowed(events, "ts", "value", "6 hours").collect()}
+
+
+def test_more_statistics(spark):
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=60).round(2), rng.normal(0.4, 1.2, size=45).round(2)
+    df = spark.createDataFrame([(0, float(v)) for v in x] + [(1, float(v)) for v in y], "g int, v double")
+    every = np.concatenate([x, y])
+    gap = max(abs((x <= v).mean() - (y <= v).mean()) for v in every)
+    assert abs(reduce.ks_2samp(df, "v", "g") - gap) < 1e-12
+    np.testing.assert_allclose(reduce.bin_edges(df, "v", "sturges"), np.histogram_bin_edges(every, "sturges"))
+    np.testing.assert_allclose(reduce.bin_edges(df, "v", "scott"), np.histogram_bin_edges(every, "scott"))
+    assert df.agg(reduce.median("v")).first()[0] == np.median(every)
+    counts = {(r["b0"], r["b1"]): r["n"] for r in reduce.histogramdd(df.withColumn("w", F.col("g") + 0.5), ["v", "w"], [[-3.0, 0.0, 3.0], [0.0, 1.0, 2.0]]).collect()}
+    assert counts[0, 0] == ((x >= -3) & (x < 0)).sum()
+    table = spark.createDataFrame([("a", "p")] * 10 + [("a", "q")] * 5 + [("b", "p")] * 4, "a string, b string")
+    stat, dof = reduce.chi2_contingency(table, "a", "b")
+    o, e = np.array([[10, 5], [4, 0]]), np.outer([15, 4], [14, 5]) / 19
+    assert dof == 1 and abs(stat - ((o - e) ** 2 / e).sum()) < 1e-9
+
+
+def test_user_functions(spark):
+    from gridloom.operators import udf
+
+    a = np.random.default_rng(2).normal(size=(4, 5))
+    f = NdFrame(npy.from_array(spark, a), a.shape)
+    got = udf.apply_along_axis(f, 1, np.median)
+    np.testing.assert_allclose(npy.to_array(got.cells, got.shape), np.median(a, 1))
+    wide = udf.apply_along_axis(f, 0, np.sort, 4)
+    np.testing.assert_allclose(npy.to_array(wide.cells, wide.shape), np.sort(a, 0))
+    both = udf.apply_over_axes(f, F.sum, [0, 1])
+    np.testing.assert_allclose(npy.to_array(both.cells, both.shape), [[a.sum()]])
+    cube = udf.vectorize(lambda x: x**3)
+    np.testing.assert_allclose([r[0] for r in f.cells.orderBy("i0", "i1").select(cube("v")).collect()], (a**3).ravel())
+
+
+def test_lanes(spark):
+    x = np.cumsum(np.random.default_rng(4).uniform(0, 2, 40)) % (2 * np.pi)
+    df = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(x)], "g int, i int, v double")
+    np.testing.assert_allclose([r["unwrapped"] for r in order.unwrap(df, "i", "v", ["g"]).orderBy("i").collect()], np.unwrap(x))
+    got = [r["correlated"] for r in order.correlate(df, "i", "v", [1.0, -2.0, 0.5], ["g"]).orderBy("i").collect()][2:]
+    np.testing.assert_allclose(got, np.correlate(x, [1.0, -2.0, 0.5], "valid"))
