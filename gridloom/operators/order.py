@@ -19,7 +19,13 @@ from ..functions.ieee import NAN, d
 def _ranged(df: DataFrame, order: list[str]) -> DataFrame:
     """Rows dealt by ranges of ``order``, with the range's number; written once, so that both passes see the same."""
     spread = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
-    return spread.persist() if not df.sparkSession.conf.get("spark.checkpoint.dir", None) else spread.checkpoint()
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        return spread.persist()  # one machine, as in tests
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared)
+    return spread.checkpoint()
 
 
 def _offsets(parts: DataFrame, value: Column) -> DataFrame:
