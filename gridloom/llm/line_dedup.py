@@ -34,6 +34,8 @@ MIN_CHARS = 40
 MIN_DOCS = 5
 SHARD_KEYS = 1 << 16
 KEY_BYTES = 16
+#: Line places up to which a shard is one task's work, whatever the table.
+PART_PLACES = 100_000
 
 
 def line_key(line: str, min_chars: int) -> bytes | None:
@@ -249,7 +251,7 @@ class LineIndex:
         """The (doc_id, key) rows whose key the filter of its shard may hold."""
         loads = self.counts.groupBy(self.shard(self.n_shards).alias("shard")).agg(F.sum("n_docs").alias("places"))
         total = loads.agg(F.sum("places")).first()[0] or 0
-        part = max(100_000, total // 1000)  # so at most a thousand shards are dealt over several tasks
+        part = max(PART_PLACES, total // 1000)  # so at most a thousand shards are dealt over several tasks
         heavy = [(r[0], -(-r[1] // part)) for r in loads.where(F.col("places") > part).collect()]
         spark: SparkSession = places.sparkSession
         parts = F.broadcast(spark.createDataFrame(heavy, "shard long, parts long"))
@@ -268,31 +270,29 @@ class LineIndex:
         )
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            shard, filt = None, None
+            at, filt = None, None
             for batch in batches:
-                shards = batch.column(0).to_numpy(zero_copy_only=False)
-                edges = [0, *(np.flatnonzero(shards[1:] != shards[:-1]) + 1).tolist(), len(shards)]
+                shards, parts = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                edge = (shards[1:] != shards[:-1]) | (parts[1:] != parts[:-1])  # each part has its own copy of the filter
+                edges = [0, *(np.flatnonzero(edge) + 1).tolist(), len(shards)]
                 for a, b in zip(edges[:-1], edges[1:], strict=True):
                     piece = batch.slice(a, b - a)
                     if not len(piece):
                         continue
-                    if shards[a] != shard:
-                        shard, filt = shards[a], None
-                    bits = piece.column(3)
-                    while len(piece) and piece.column(3)[0].is_valid:  # filters sort before lines
-                        filt = CuckooFilter.from_bytes(piece.column(3)[0].as_py())
+                    if (shards[a], parts[a]) != at:
+                        at, filt = (shards[a], parts[a]), None
+                    while len(piece) and piece.column(4)[0].is_valid:  # filters sort before lines
+                        filt = CuckooFilter.from_bytes(piece.column(4)[0].as_py())
                         piece = piece.slice(1)
-                    del bits
                     if len(piece) and filt is not None:
-                        hit = filt.contains(key_rows(piece.column(2)))
-                        yield pa.RecordBatch.from_arrays(piece.filter(pa.array(hit)).columns[1:3], ["doc_id", "key"])
+                        hit = filt.contains(key_rows(piece.column(3)))
+                        yield pa.RecordBatch.from_arrays(piece.filter(pa.array(hit)).columns[2:4], ["doc_id", "key"])
 
         n = spark.conf.get("spark.sql.shuffle.partitions")
         return (
             lines.unionByName(filters)
             .repartition(int(n), "shard", "part")
             .sortWithinPartitions("shard", "part", F.col("bits").isNull())
-            .select("shard", "doc_id", "key", "bits")
             .mapInArrow(run, "doc_id long, key binary")
         )
 

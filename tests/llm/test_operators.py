@@ -152,6 +152,16 @@ def test_line_dedup(docs, empty):
     assert line_dedup.line_dedup(empty).count() == 0
 
 
+def test_line_dedup_parts_of_a_shard_in_one_partition(spark, docs, monkeypatch):
+    """More parts than shuffle partitions: several copies of a shard's filter meet in one task."""
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    monkeypatch.setattr(line_dedup, "PART_PLACES", 2)
+    index = line_dedup.LineIndex.build(docs)
+    assert index.references.count() > 2 * 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = line_dedup.clean(docs, index.dropped(index.references), "doc_id", "text", line_dedup.MIN_CHARS, False)
+    assert Counter(map(tuple, found.collect())) == _drop_lines(rows)
+
+
 def test_line_dedup_is_reversible(spark, docs):
     """Inserting and deleting documents gives what building anew gives."""
     some = docs.where("doc_id < 14")
