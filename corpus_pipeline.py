@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from gridloom.llm import quality_classifier
 from gridloom.llm.line_dedup import line_dedup
 from gridloom.llm.mixing import mixed_documents
-from gridloom.llm.near_dedup import near_dedup
+from gridloom.llm.near_dedup import kept_documents
 from gridloom.llm.packing import pack
 from gridloom.llm.shared import materialise
 
@@ -41,8 +41,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    kept = near_dedup(docs).where("kept").select("doc_id")
-    return docs.join(kept.distinct(), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    return kept_documents(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .kernels import U64, fmix, shingle_sets, text_slices
-from .shared import materialise, ship, spread_join
+from .shared import materialise, ship, spread_join, text_or_empty
 
 WIDTH = 5
 PERCENT = 85
@@ -104,8 +104,9 @@ def signatures(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Rec
             ends = np.concatenate([[0], np.cumsum((n > 0) * BANDS)]).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(band_keys(sig).ravel()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, end - first), pa.array(n.astype(np.int64)), pa.array(digests, pa.binary()), bands],
-                names=["doc_id", "n_shingles", "set_id", "bands"],
+                [batch.column(0).slice(first, end - first), pa.array(n.astype(np.int64)), pa.array(digests, pa.binary()), bands,
+                 *[c.slice(first, end - first) for c in batch.columns[2:]]],
+                names=["doc_id", "n_shingles", "set_id", "bands", *batch.schema.names[2:]],
             )
 
 
@@ -128,14 +129,21 @@ def bloom(ids: DataFrame) -> np.ndarray:
     return out
 
 
+def text_digest(text: str) -> Column:
+    """128 bits of a text; null counts as empty."""
+    return F.substring(F.unhex(F.sha2(text_or_empty(text), 256)), 1, 16)
+
+
 class NearDedup:
-    """The steps over one table of documents."""
+    """The steps over one table of documents; ``digests`` has :meth:`groups` name each row's :func:`text_digest`, too."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT):
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, digests: bool = False):
         ship(docs.sparkSession)
         self.spark, self.width, self.percent = docs.sparkSession, width, percent
         self.read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        signed = self.read.mapInArrow(lambda it: signatures(it, width), _SCHEMA)
+        self.more = ["digest"] if digests else []
+        read = self.read.withColumn("digest", text_digest("text")) if digests else self.read
+        signed = read.mapInArrow(lambda it: signatures(it, width), _SCHEMA + ", digest binary" * digests)
         self.rows = materialise(signed.withColumn("row", F.monotonically_increasing_id()), "signatures")
         first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
         #: set_id -> the row that stands for the class, and its document
@@ -259,16 +267,16 @@ class NearDedup:
         return links.union(self.confirmed(more))
 
     def groups(self) -> DataFrame:
-        """One row per input row: doc_id, n_shingles, component_id, kept."""
+        """One row per input row: doc_id, n_shingles, component_id, kept, and the digest if asked for."""
         roots = connected_components(self.links())
         member = self.classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
         least = member.groupBy("root").agg(F.min(first).alias("keep"))
         named = spread_join(member.select("set_id", "root"), least, ["root"]).select("set_id", "keep")
-        rows = self.rows.select("doc_id", "n_shingles", "set_id", "row")
-        empty = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+        rows = self.rows.select("doc_id", "n_shingles", "set_id", "row", *self.more)
+        empty = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), *self.more)
         rest = spread_join(rows.where("n_shingles > 0"), named, ["set_id"]).select(
-            "doc_id", "n_shingles", F.col("keep.doc_id").alias("component_id"), (F.col("row") == F.col("keep.node")).alias("kept")
+            "doc_id", "n_shingles", F.col("keep.doc_id").alias("component_id"), (F.col("row") == F.col("keep.node")).alias("kept"), *self.more
         )
         return rest.unionByName(empty)
 
@@ -276,3 +284,24 @@ class NearDedup:
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable over links), kept."""
     return NearDedup(docs, id_col, text_col, width, percent).groups()
+
+
+def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` that :func:`near_dedup` keeps, with all their columns.
+
+    Rows are known by id and text digest.  Of rows that agree in both the one with the least other columns stays; texts
+    without words stay however often they are repeated.
+    """
+    rows = NearDedup(docs, id_col, text_col, width, percent, digests=True).groups()
+    keys = rows.groupBy("doc_id", "digest").agg(
+        F.bool_or("kept").alias("kept"), ((F.count(F.lit(1)) == 1) | (F.max("n_shingles") == 0)).alias("alone")
+    )
+    keys = materialise(keys.where("kept").select(F.col("doc_id").alias("k_id"), F.col("digest").alias("k_digest"), "alone"), "keys")
+    marked = docs.select(F.struct(*docs.columns).alias("r"), F.col(id_col).cast("long").alias("m_id"), text_digest(text_col).alias("m_digest"))
+    same = F.col("m_id").eqNullSafe(F.col("k_id")) & (F.col("m_digest") == F.col("k_digest"))
+    out = marked.join(keys.where("alone"), same, "left_semi").select("r.*")
+    twins = keys.where("NOT alone")
+    if twins.isEmpty():
+        return out
+    one = marked.join(twins, same, "left_semi").groupBy("m_id", "m_digest").agg(F.min("r").alias("r"))
+    return out.unionByName(one.select("r.*"))

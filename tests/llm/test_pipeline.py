@@ -1,5 +1,9 @@
 """The pipeline's stages on a small table."""
 
+import random
+import re
+from collections import Counter
+
 import pytest
 
 import corpus_pipeline
@@ -23,3 +27,40 @@ def test_stages(spark):
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
 def test_names(name):
     assert name
+
+
+def _kept_by_brute_force(rows):
+    """Of each component over links of 0.85 the least (null last) id stays, of equal rows the least one."""
+
+    def shingles(text):
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", text or "") if x]
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, root = [shingles(r[1]) for r in rows], list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                ra, rb = root[a], root[b]
+                root = [rb if x == ra else x for x in root]
+    out = Counter(r for r, s in zip(rows, sets, strict=True) if not s)
+    for k in set(root):
+        some = [r for r, s, x in zip(rows, sets, root, strict=True) if x == k and s]
+        if some:
+            out[min(some, key=lambda r: (r[0] is None, r[0] or 0, r))] += 1
+    return out
+
+
+def test_near_dedup_stage_keeps_rows_not_ids(spark):
+    """Repeated ids, repeated rows and null ids: exactly the rows marked kept stay."""
+    rng = random.Random(4)
+    text = [" ".join(f"w{rng.randrange(900)}" for _ in range(200)) for _ in range(8)]
+    near = [t.rsplit(" ", 1)[0] + " other" for t in text]
+    rows = [(1, text[0], "en", "a", 9), (1, text[0], "en", "a", 9), (1, text[0], "en", "b", 9), (1, text[1], "en", "a", 9)]
+    rows += [(2, text[0], "en", "a", 9), (2, near[1], "en", "a", 9), (2, text[2], "en", "a", 9), (3, near[2], "en", "a", 9)]
+    rows += [(None, text[3], "en", "a", 9), (None, near[4], "en", "a", 9), (4, text[4], "en", "a", 9)]
+    rows += [(None, text[5], "en", "a", 9), (None, text[5], "en", "a", 9), (5, None, "en", "a", 0), (5, "", "en", "a", 0), (5, "", "en", "a", 0)]
+    rows += [(None, " ", "en", "a", 1), (None, " ", "en", "a", 1), (6, text[6], "en", "a", 9), (7, near[6], "en", "a", 9), (7, text[7], "en", "a", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").repartition(3)
+    got = corpus_pipeline.dedup_near(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert Counter(map(tuple, got.collect())) == _kept_by_brute_force(rows)
