@@ -4,7 +4,7 @@ Entities (e-mail and IP addresses, card and phone numbers) are found by patterns
 give an entity away: over the whole corpus it counts in how many documents a term stands near an entity, how many
 documents have the term, and how many the entity.  A term near an entity is disclosing if it was seen so in at least
 ``MIN_SUPPORT`` documents, the entity is at least ``GENERALISE`` likely given the term, and knowing the term tells at
-least ``MIN_BITS`` about the entity.  Disclosing terms are generalised, from ``REMOVE`` on removed.
+least the share ``MIN_SHARE`` of the entity's own information, -log2 P(entity), so that frequent entities count as well.  Disclosing terms are generalised, from ``REMOVE`` on removed.
 
 Scale: texts are read twice and never shuffled (once to find spans, once for document frequencies, which are combined
 before their exchange); what is shuffled is terms near entities and counts.  A frequent entity or term is one key of
@@ -43,7 +43,7 @@ GATES = {
 NEAR_CHARS = 64
 NEAR_WORDS = 5
 MIN_SUPPORT = 3
-MIN_BITS = 6.0
+MIN_SHARE = 0.5
 GENERALISE, REMOVE = 0.5, 0.9
 BLOCK = 256
 
@@ -129,11 +129,16 @@ def term_of(word: Column) -> Column:
     return F.lower(F.regexp_replace(word, r"^[\p{P}\p{S}]+|[\p{P}\p{S}]+$", ""))
 
 
+def entity_of(s: Column) -> Column:
+    """A span's entity: kind and text in lower case, of cards and phones the digits."""
+    return F.concat_ws(":", s["kind"].cast("string"), F.lower(F.when(s["kind"] >= 2, F.regexp_replace(s["text"], "[^0-9]", "")).otherwise(s["text"])))
+
+
 def near_terms(text: Column, spans: Column) -> Column:
     """Terms near entities: array of (entity, term, start, stop)."""
 
     def around(s: Column) -> Column:
-        entity = F.concat_ws(":", s["kind"].cast("string"), F.lower(F.when(s["kind"] >= 2, F.regexp_replace(s["text"], "[^0-9]", "")).otherwise(s["text"])))
+        entity = entity_of(s)
         low = F.greatest(F.lit(0), s["start"] - NEAR_CHARS)
         left = F.substring(text, low + 1, s["start"] - low)
         right = F.substring(text, s["stop"] + 1, F.lit(NEAR_CHARS))
@@ -172,9 +177,7 @@ class Sanitiser:
         seen = self.base.select("row", F.explode("near").alias("n")).select("row", "n.entity", "n.term").distinct()
         pairs = seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= MIN_SUPPORT)
         pairs = materialise(pairs, "pairs")
-        entity = F.explode(
-            F.array_distinct(F.transform(F.col("near"), lambda n: n["entity"]))
-        ).alias("entity")
+        entity = F.explode(F.array_distinct(F.transform("spans", entity_of))).alias("entity")
         entities = self.base.select(entity).groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
         terms = (
             self.docs.select(F.explode(F.array_distinct(F.transform(words_of(text_or_empty(self.text_col)), term_of))).alias("term"))
@@ -184,9 +187,10 @@ class Sanitiser:
         n = self.docs.count()
         known = spread_join(spread_join(pairs, terms, ["term"]), entities, ["entity"])
         likely = F.col("both") / F.col("with_term")
-        bits = F.log2(likely * F.lit(float(max(n, 1))) / F.col("with_entity"))
-        out = known.select("entity", "term", likely.alias("likelihood"), bits.alias("bits"))
-        return out.where((F.col("likelihood") >= GENERALISE) & (F.col("bits") >= MIN_BITS))
+        own = F.log2(F.lit(float(max(n, 1))) / F.col("with_entity"))
+        bits = own + F.log2(likely)
+        told = (own > 0) & (bits >= MIN_SHARE * own)
+        return known.where((likely >= GENERALISE) & told).select("entity", "term", likely.alias("likelihood"), bits.alias("bits"))
 
     def found(self) -> DataFrame:
         """One row per input row: row, doc_id, h, base and all spans (arrays of start, kind, stop), and actions."""

@@ -372,6 +372,22 @@ def test_pii_disclosing_terms(spark):
     assert "boss0@corp.org" not in clean and "[EMAIL]" in clean
 
 
+def _terms(spark, rows, of):
+    """The distinct texts of the term spans of one document."""
+    text = dict(rows)[of]
+    spans = {r["doc_id"]: r["spans"] for r in pii.pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}[of]
+    return {text[int(a) : int(b)] for k, a, b in (s.split(":") for s in spans.split(",")) if k == "term"}
+
+
+def test_pii_terms_of_frequent_entities(spark):
+    """An address in a third of a small table: the term that stands with it alone is found, a common one isn't."""
+    rows = [(k, "write zarquon via boss@corp.org or common") for k in range(20)] + [(k, "or write common words") for k in range(20, 60)]
+    assert "zarquon" in _terms(spark, rows, 0) and not {"write", "or", "common"} & _terms(spark, rows, 0)
+    # the address counts where no countable neighbour stands, too: in nearly all rows, so the term tells too little
+    rows = [(k, "zarquon boss@corp.org" if k < 20 else "boss@corp.org") for k in range(60)] + [(k, "zarquon") for k in range(60, 64)]
+    assert _terms(spark, rows, 0) == set()
+
+
 def test_kernels():
     import pyarrow as pa
 
