@@ -1,14 +1,18 @@
 """Personal data: patterns for entities, and information-theoretic sanitisation, with DataFrame functions only.
 
 Entities (e-mail and IP addresses, card and phone numbers) are found by patterns.  The method then asks which terms
-give an entity away: over the whole corpus it counts in how many documents a term stands near an entity, how many
-documents have the term, and how many the entity.  A term near an entity is disclosing if it was seen so in at least
+give an entity away: over the whole corpus it counts in how many documents a term stands together with an entity, how
+many documents have the term, and how many the entity.  A term is disclosing if it was seen with the entity in at least
 ``MIN_SUPPORT`` documents, the entity is at least ``GENERALISE`` likely given the term, and knowing the term tells at
-least the share ``MIN_SHARE`` of the entity's own information, -log2 P(entity), so that frequent entities count as well.  Disclosing terms are generalised, from ``REMOVE`` on removed.
+least the share ``MIN_SHARE`` of the entity's own information, -log2 P(entity), so that frequent entities count as well.
+Disclosing terms are generalised, from ``REMOVE`` on removed, wherever they stand in a document that holds the entity.
+Terms are whole words of any length that touch no entity.
 
-Scale: texts are read twice and never shuffled (once to find spans, once for document frequencies, which are combined
-before their exchange); what is shuffled is terms near entities and counts.  A frequent entity or term is one key of
-an aggregate, and the join that brings disclosing pairs back to documents may be split by adaptive execution.
+Scale: texts are read once; what is kept of each row is its entities and distinct terms, and its text if it has an entity.
+Pairs are made only of entities and terms in ``MIN_SUPPORT`` documents at least, and of a term only with entities frequent
+enough to be as likely as ``GENERALISE`` given it; they are combined before their exchange.  A frequent entity or term is
+one key of an aggregate, and the joins that bring counts to documents may be split by adaptive execution.  Texts with an
+entity are shuffled once, to meet their disclosing terms.
 
 Positions come from splitting a text at its matches: lengths of the parts are summed in blocks, so the work is in
 proportion to the text for any usual number of matches.
@@ -40,8 +44,6 @@ GATES = {
     "card": lambda t: t.rlike(r"(?:[0-9][\x20-]?){11}[0-9]"),
     "phone": lambda t: F.instr(t, "+") > 0,
 }
-NEAR_CHARS = 64
-NEAR_WORDS = 5
 MIN_SUPPORT = 3
 MIN_SHARE = 0.5
 GENERALISE, REMOVE = 0.5, 0.9
@@ -134,29 +136,38 @@ def entity_of(s: Column) -> Column:
     return F.concat_ws(":", s["kind"].cast("string"), F.lower(F.when(s["kind"] >= 2, F.regexp_replace(s["text"], "[^0-9]", "")).otherwise(s["text"])))
 
 
-def near_terms(text: Column, spans: Column) -> Column:
-    """Terms near entities: array of (entity, term, start, stop)."""
-
-    def around(s: Column) -> Column:
-        entity = entity_of(s)
-        low = F.greatest(F.lit(0), s["start"] - NEAR_CHARS)
-        left = F.substring(text, low + 1, s["start"] - low)
-        right = F.substring(text, s["stop"] + 1, F.lit(NEAR_CHARS))
-        word = f"[^{WS}]+"
-        # whole words only: not the one that the cut or the entity touches
-        before = F.filter(spans_of(left, word), lambda w: ((w["start"] > 0) | (low == 0)) & (w["stop"] < s["start"] - low))
-        after = F.filter(spans_of(right, word), lambda w: (w["start"] > 0) & (w["stop"] < NEAR_CHARS))
-        before = F.transform(F.slice(F.reverse(before), 1, NEAR_WORDS), lambda w: F.struct((w["start"] + low).alias("start"), (w["stop"] + low).alias("stop"), w["text"].alias("text")))
-        after = F.transform(F.slice(after, 1, NEAR_WORDS), lambda w: F.struct((w["start"] + s["stop"]).alias("start"), (w["stop"] + s["stop"]).alias("stop"), w["text"].alias("text")))
-        words = F.filter(
-            F.concat(before, after),
-            lambda w: ~F.exists(spans, lambda o: (w["start"] < o["stop"]) & (o["start"] < w["stop"])) & (F.length(term_of(w["text"])) >= 4),
-        )
-        return F.transform(
-            words, lambda w: F.struct(entity.alias("entity"), term_of(w["text"]).alias("term"), w["start"].alias("start"), w["stop"].alias("stop"))
-        )
+def free_terms(text: Column, spans: Column) -> Column:
+    """The distinct terms of the words that touch no span."""
+    state = "struct<at:int,out:array<string>>"
+
+    def cut(a: Column, s: Column) -> Column:
+        piece = F.array(F.substring(text, a["at"] + 1, s["start"] - a["at"]))
+        out = F.when(s["start"] >= a["at"], F.concat(a["out"], piece)).otherwise(a["out"])
+        return F.struct(F.greatest(a["at"], s["stop"]).alias("at"), out.alias("out")).cast(state)
+
+    def words(pieces: Column) -> Column:
+        def whole(p: Column, i: Column) -> Column:
+            p = F.when(i == 0, p).otherwise(F.regexp_replace(p, f"^[^{WS}]++", ""))
+            return words_of(F.when(i == F.size(pieces) - 1, p).otherwise(F.regexp_replace(p, f"(?<![^{WS}])[^{WS}]++$", "")))
+
+        return F.flatten(F.transform(pieces, whole))
+
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")).cast(state)
+    pieces = F.aggregate(spans, none, cut, lambda a: F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, F.lit(2**31 - 1)))))
+    every = F.when(F.size(spans) == 0, words_of(text)).otherwise(let(pieces, words))
+    return F.filter(F.array_distinct(F.transform(every, term_of)), lambda x: x != "")
+
 
-    return F.flatten(F.transform(spans, around))
+def term_spans(text: Column, spans: Column, terms: Column) -> Column:
+    """Every place of the given terms (array of (term, remove)): array of (start, stop, remove)."""
+
+    def of_word(w: Column) -> Column:
+        return let(term_of(w["text"]), lambda x: F.struct(
+            w["start"].alias("start"), w["stop"].alias("stop"), F.get(F.filter(terms, lambda t: t["term"] == x), F.lit(0))["remove"].alias("remove")
+        ))
+
+    told = F.filter(F.transform(spans_of(text, f"[^{WS}]++"), of_word), lambda w: w["remove"].isNotNull())
+    return F.filter(told, lambda w: ~F.exists(spans, lambda o: (w["start"] < o["stop"]) & (o["start"] < w["stop"])))
 
 
 class Sanitiser:
@@ -166,26 +177,31 @@ class Sanitiser:
         self.docs, self.text_col, self.id_col = docs, text_col, id_col
         read = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("t"))
         read = read.withColumn("spans", base_spans(F.col("t")))
-        none = F.array().cast("array<struct<entity:string,term:string,start:int,stop:int>>")
-        near = F.when(F.size("spans") == 0, none).otherwise(near_terms(F.col("t"), F.col("spans")))
+        entities = F.array_distinct(F.transform("spans", entity_of))
+        held = F.when(F.size("spans") > 0, F.col("t"))
         self.base = materialise(
-            read.select("doc_id", "spans", near.alias("near"), F.xxhash64("t").alias("h")).withColumn("row", F.monotonically_increasing_id()), "spans"
-        )
+            read.select("doc_id", "spans", entities.alias("entities"), free_terms(F.col("t"), F.col("spans")).alias("terms"),
+                        held.alias("t"), F.xxhash64("t").alias("h")).withColumn("row", F.monotonically_increasing_id()),
+            "spans",
+        )
 
     def disclosing(self) -> DataFrame:
         """(entity, term, likelihood, bits) of the pairs over the thresholds."""
-        seen = self.base.select("row", F.explode("near").alias("n")).select("row", "n.entity", "n.term").distinct()
-        pairs = seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= MIN_SUPPORT)
-        pairs = materialise(pairs, "pairs")
-        entity = F.explode(F.array_distinct(F.transform("spans", entity_of))).alias("entity")
-        entities = self.base.select(entity).groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
-        terms = (
-            self.docs.select(F.explode(F.array_distinct(F.transform(words_of(text_or_empty(self.text_col)), term_of))).alias("term"))
-            .groupBy("term")
-            .agg(F.count(F.lit(1)).alias("with_term"))
-        )
-        n = self.docs.count()
-        known = spread_join(spread_join(pairs, terms, ["term"]), entities, ["entity"])
+        enough = F.count(F.lit(1))
+        self.holds = self.base.where(F.size("entities") > 0).select("row", F.explode("entities").alias("entity"))
+        entities = materialise(self.holds.groupBy("entity").agg(enough.alias("with_entity")).where(F.col("with_entity") >= MIN_SUPPORT), "entities")
+        terms = self.base.select(F.explode("terms").alias("term")).groupBy("term").agg(enough.alias("with_term"))
+        terms = materialise(terms.where(F.col("with_term") >= MIN_SUPPORT), "terms")
+        per_row = spread_join(self.holds, entities, ["entity"]).groupBy("row").agg(F.collect_list(F.struct("entity", "with_entity")).alias("es"))
+        rows = self.base.where(F.size("entities") > 0).select("row", "terms").join(per_row, "row").select("es", F.explode("terms").alias("term"))
+        # likelihood is with_entity / with_term at most
+        able = F.filter("es", lambda e: e["with_entity"] >= GENERALISE * F.col("with_term"))
+        pairs = spread_join(rows, terms, ["term"]).select("term", "with_term", F.explode(able).alias("e"))
+        known = (
+            pairs.groupBy(F.col("e.entity").alias("entity"), "term", F.col("e.with_entity").alias("with_entity"), "with_term")
+            .agg(enough.alias("both")).where(F.col("both") >= MIN_SUPPORT)
+        )
+        n = self.base.count()
         likely = F.col("both") / F.col("with_term")
         own = F.log2(F.lit(float(max(n, 1))) / F.col("with_entity"))
         bits = own + F.log2(likely)
@@ -194,14 +210,21 @@ class Sanitiser:
 
     def found(self) -> DataFrame:
         """One row per input row: row, doc_id, h, base and all spans (arrays of start, kind, stop), and actions."""
-        near = self.base.select("row", F.explode("near").alias("n")).select("row", "n.entity", "n.term", "n.start", "n.stop")
-        hits = spread_join(near, self.disclosing(), ["entity", "term"])
-        span = F.struct("start", F.lit(4).alias("kind"), "stop")
-        terms = (
-            hits.groupBy("row", "start", "stop").agg(F.max("likelihood").alias("likelihood"))
-            .groupBy("row").agg(F.collect_list(span).alias("terms"),
-                                F.collect_list(F.struct("start", "stop", (F.col("likelihood") >= REMOVE).alias("remove"))).alias("actions"))
+        told = materialise(self.disclosing(), "disclosing")
+        per_entity = told.groupBy("entity").agg(F.collect_list(F.struct("term", "likelihood")).alias("told"))
+        hits = spread_join(self.holds, per_entity, ["entity"]).select("row", F.explode("told").alias("x")).select("row", "x.*")
+        # a term of one of a row's entities may not stand in that row: its places are looked for in the text
+        wanted = (
+            hits.groupBy("row", "term").agg(F.max("likelihood").alias("likelihood"))
+            .groupBy("row").agg(F.collect_list(F.struct("term", (F.col("likelihood") >= REMOVE).alias("remove"))).alias("wanted"))
         )
+        here = F.filter("wanted", lambda x: F.array_contains("terms", x["term"]))
+        placed = self.base.where(F.size("entities") > 0).select("row", "t", "spans", "terms").join(wanted, "row")
+        placed = placed.select("row", "t", "spans", here.alias("here")).where(F.size("here") > 0)
+        span = lambda w: F.struct(w["start"].alias("start"), F.lit(4).alias("kind"), w["stop"].alias("stop"))
+        terms = placed.select("row", term_spans(F.col("t"), F.col("spans"), F.col("here")).alias("actions")).select(
+            "row", F.transform("actions", span).alias("terms"), "actions"
+        )
         base = self.base.withColumn(
             "base", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop")))
         )

@@ -388,6 +388,18 @@ def test_pii_terms_of_frequent_entities(spark):
     assert _terms(spark, rows, 0) == set()
 
 
+def test_pii_terms_anywhere_in_the_document(spark):
+    """Short terms, terms far from the address, and every place of a term that gives an address away."""
+    far = " ".join(["common"] * 40)
+    rows = [(k, f"Bob {far} write boss@corp.org. {far} (bob) zarquon {far} Zarquon!") for k in range(10)]
+    rows += [(k, f"{far} write boss{k}@corp.org") for k in range(10, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = [s.split(":") for s in pii.pii(df).where("doc_id = 0").first()["spans"].split(",")]
+    assert [rows[0][1][int(a) : int(b)] for k, a, b in spans if k == "term"] == ["Bob", "(bob)", "zarquon", "Zarquon!"]
+    clean = pii.Sanitiser(df).sanitised().where("doc_id = 0").first()["text"]
+    assert "bob" not in clean.lower() and "zarquon" not in clean.lower() and "common" in clean
+
+
 def test_kernels():
     import pyarrow as pa
 
