@@ -5,8 +5,9 @@ the document's place on the curve.  Documents are range-sorted by it (with a has
 each range is packed on its own: neighbours follow each other, cut where a sequence is full, so no sequence but a range's
 last is short.  What is left at a range's end becomes sequences of powers of two, which need no padding.
 
-The vocabulary file's path is a parameter.  Words between white space are tokenised once per worker and kept (at most
-``CACHE_WORDS``): no rule of the tokeniser crosses white space.
+The vocabulary file's path is a parameter.  Where the file's rules are those that :meth:`WordTokenizer.cuts` knows, each
+run of letters or punctuation is tokenised once per worker and kept (at most ``CACHE_WORDS``); with any other rules whole
+texts are encoded.
 
 Scale: one materialised table of token ids and one range exchange of it; a task streams its sorted range and holds one
 sequence at a time.  Sequence ids are the task's number and a count, so no task needs another's.
@@ -17,6 +18,7 @@ too; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -27,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import U64, fmix, row_bounds, segment_sum, span_hashes, text_slices, words
+from .kernels import IS_SPACE, LOWER, U64, fmix, row_bounds, segment_sum, span_hashes, spans, text_slices
 from .shared import materialise, ship
 
 LENGTH = 2048
@@ -36,11 +38,58 @@ DIMS, GRID_BITS = 3, 20
 VECTOR = 256
 CACHE_WORDS = 1_000_000
 
+# The pre-tokeniser pattern under which a text falls apart into the pieces of `pieces`.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
+_SPACE, _LETTER, _DIGIT, _OTHER, _WHOLE = range(5)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[IS_SPACE] = _SPACE
+_KIND[48:58] = _DIGIT
+_KIND[65:91] = _KIND[97:123] = _LETTER
+_KIND[0xC3:0xCA] = _KIND[0x80:0xC0] = _LETTER  # two-byte letters of Latin scripts, but for those that `pieces` names
+_KIND[[0x27, *range(32), *range(0xC0, 0xC3), *range(0xCA, 256)]] = _WHOLE
+_KIND[IS_SPACE] = _SPACE
+
+
+def pieces(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes in lower case; start, end and row of the pieces that no token crosses; whether each is a word as it stands.
+
+    Pieces are runs of Latin letters, single digits and runs of ASCII punctuation.  A word with anything else (other
+    scripts and marks, an apostrophe, the start of a special token) is one piece, as it stands.
+    """
+    kind = _KIND[buf]
+    odd = kind == _WHOLE
+    if len(buf) > 1:  # a multiplication or division sign, a letter whose lower case is two characters, "<|"
+        a, b = buf[:-1], buf[1:]
+        odd[:-1] |= ((a == 0xC3) & ((b == 0x97) | (b == 0xB7))) | ((a == 0xC4) & (b == 0xB0)) | ((a == 0x3C) & (b == 0x7C))
+    at = np.flatnonzero(odd)
+    if len(at):
+        s, e, _ = spans(kind != _SPACE, offsets)
+        for w in np.unique(np.searchsorted(s, at, side="right") - 1):
+            kind[s[w] : e[w]] = _WHOLE
+    n = len(kind)
+    if not n:
+        none = np.zeros(0, np.int64)
+        return buf, none, none, none, none.astype(bool)
+    edge = np.ones(n + 1, bool)
+    np.not_equal(kind[1:], kind[:-1], out=edge[1:-1])
+    edge[:-1] |= kind == _DIGIT
+    edge[offsets] = True
+    word = kind != _SPACE
+    s, e = np.flatnonzero(edge[:-1] & word), np.flatnonzero(edge[1:] & word) + 1
+    low = np.where(kind == _WHOLE, buf, LOWER[buf])
+    return low, s, e, np.searchsorted(offsets, s, side="right") - 1, kind[s] == _WHOLE
+
 
 class WordTokenizer:
-    """Token ids of texts, word by word, with the words seen so far kept."""
+    """Token ids of texts, piece by piece, with the pieces seen so far kept.
+
+    Pieces are only cut where the vocabulary file's own rules do (:meth:`cuts`); with other rules whole texts are encoded.
+    """
+
+    JOINED = 2000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -48,13 +97,32 @@ class WordTokenizer:
 
         self.model = Tokenizer.from_file(path)
         self.vocabulary = self.model.get_vocab_size()
+        self.by_piece = self.cuts(json.loads(self.model.to_str()))
         rng = np.random.default_rng(20240603)
         bucket = fmix(np.arange(self.vocabulary, dtype=U64) + U64(1))
         sign = np.where(bucket >> U64(63), 1.0, -1.0)
         #: what one token adds to the projection of its document's hashed vector
         self.projection = rng.normal(size=(VECTOR, DIMS))[(bucket % U64(VECTOR)).astype(int)] * sign[:, None]
+        #: tokens that end a word of the pre-tokeniser
+        self.ends = np.zeros(self.vocabulary, bool)
+        if self.by_piece:
+            suffix = self.model.model.end_of_word_suffix
+            self.ends[[i for t, i in self.model.get_vocab(False).items() if t.endswith(suffix)]] = True
         self.clear()
 
+    @staticmethod
+    def cuts(rules: dict) -> bool:
+        """Whether the file's rules cut texts where :func:`pieces` does: words end in a suffix, case and white space fall away."""
+        steps = (rules["pre_tokenizer"] or {}).get("pretokenizers", [])
+        split = steps and steps[0].get("type") == "Split" and steps[0]["pattern"] == {"Regex": SPLIT} and steps[0]["behavior"] == "Removed"
+        split = split and steps[0]["invert"] and len(steps) == 2
+        bytewise = split and steps[1].get("type") == "ByteLevel" and not steps[1]["use_regex"] and not steps[1]["add_prefix_space"]
+        normal = [x["type"] for x in (rules["normalizer"] or {}).get("normalizers", [])]
+        model = rules["model"]
+        suffix = model.get("type") == "BPE" and model["end_of_word_suffix"] and model["dropout"] is None
+        special = all(t["content"].startswith("<|") and not t["lstrip"] and not t["rstrip"] and not t["normalized"] for t in rules["added_tokens"])
+        return bool(bytewise and normal == ["NFC", "Replace", "Lowercase"] and suffix and special)
+
     @classmethod
     def of(cls, path: str) -> WordTokenizer:
         if path not in _TOKENIZERS:
@@ -62,44 +130,60 @@ class WordTokenizer:
         return _TOKENIZERS[path]
 
     def clear(self) -> None:
-        self.at: dict[int, int] = {}
-        self.starts, self.lengths = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        #: hashes of the known pieces in order, and where their ids stand in the pool
+        self.known, self.starts, self.lengths = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(1 << 16, np.int32), 0
 
-    def _learn(self, hashes: list[int], texts: list[str]) -> None:
-        if len(self.at) + len(hashes) > CACHE_WORDS:
-            raise OverflowError
-        got = [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, got), np.int64, len(got))
-        first, total = len(self.at), int(lengths.sum())
-        while first + len(got) > len(self.starts):
-            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
-        while self.used + total > len(self.pool):
+    def _encoded(self, plain: list[bytes], whole: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of pieces of one word each, then of pieces of any rules, and the number of each piece's ids."""
+        joined = [b" ".join(plain[i : i + self.JOINED]).decode() for i in range(0, len(plain), self.JOINED)]
+        parts = [np.array(e.ids, np.int32) for e in self.model.encode_batch_fast(joined, add_special_tokens=False)]
+        ids = np.concatenate([np.zeros(0, np.int32), *parts])
+        lengths = np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0)
+        if len(lengths) != len(plain):
+            raise ValueError("the tokeniser's words are not the pieces of the text")
+        if whole:
+            got = [e.ids for e in self.model.encode_batch_fast([w.decode("utf-8", "replace") for w in whole], add_special_tokens=False)]
+            ids = np.concatenate([ids, *[np.array(x, np.int32) for x in got]])
+            lengths = np.concatenate([lengths, [len(x) for x in got]])
+        return ids, lengths
+
+    def _learn(self, hashes: np.ndarray, plain: list[bytes], whole: list[bytes]) -> None:
+        """Add pieces; ``hashes`` are those of ``plain``, then of ``whole``."""
+        ids, lengths = self._encoded(plain, whole)
+        while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.lengths[first : first + len(got)] = lengths
-        self.starts[first : first + len(got)] = self.used + np.cumsum(lengths) - lengths
-        self.pool[self.used : self.used + total] = np.fromiter((i for ids in got for i in ids), np.int32, total)
-        self.used += total
-        self.at.update(zip(hashes, range(first, first + len(got)), strict=True))
+        self.pool[self.used : self.used + len(ids)] = ids
+        starts = self.used + np.cumsum(lengths) - lengths
+        self.used += len(ids)
+        known = np.concatenate([self.known, hashes])
+        order = np.argsort(known, kind="stable")
+        self.known = known[order]
+        self.starts, self.lengths = np.concatenate([self.starts, starts])[order], np.concatenate([self.lengths, lengths])[order]
+
+    def _missing(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.known, hashes)
+        return (self.known[np.minimum(at, len(self.known) - 1)] != hashes) if len(self.known) else np.ones(len(hashes), bool)
 
     def ids(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of every row, one row after the other, and their n + 1 bounds."""
-        s, e, row = words(buf, offsets)
-        h, first, back = np.unique(span_hashes(buf, s, e), return_index=True, return_inverse=True)
-        keys = h.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.at]
-        if new:
-            raw = buf.tobytes()
-            texts = [raw[s[first[i]] : e[first[i]]].decode("utf-8", "replace") for i in new]
-            try:
-                self._learn([keys[i] for i in new], texts)
-            except OverflowError:
-                self.clear()
-                if len(keys) > CACHE_WORDS:  # a single text of more different words than are kept
-                    return self._plain(buf, offsets)
-                texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(s[first], e[first], strict=True)]
-                self._learn(keys, texts)
-        place = np.fromiter(map(self.at.__getitem__, keys), np.int64, len(keys))[back]
+        if not self.by_piece:
+            return self._plain(buf, offsets)
+        low, s, e, row, odd = pieces(buf, offsets)
+        h, first, back = np.unique(span_hashes(low, s, e), return_index=True, return_inverse=True)
+        new = np.flatnonzero(self._missing(h))
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self.clear()
+            if len(h) > CACHE_WORDS:  # a single text of more different words than are kept
+                return self._plain(buf, offsets)
+            new = np.arange(len(h))
+        if len(new):
+            raw, whole = low.tobytes(), odd[first[new]]
+            new = np.concatenate([new[~whole], new[whole]])
+            texts = [raw[a:b] for a, b in zip(s[first[new]].tolist(), e[first[new]].tolist(), strict=True)]
+            n = int((~whole).sum())
+            self._learn(h[new], texts[:n], texts[n:])
+        place = np.searchsorted(self.known, h)[back]
         n = self.lengths[place]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(n) else 0

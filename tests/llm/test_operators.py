@@ -259,15 +259,33 @@ def test_packing_round_trip(docs, empty):
 
 
 def test_word_tokenizer_cache(monkeypatch):
+    """Ids by piece are the ids of whole texts: cache overflow, scripts, marks, signs, digits, special tokens."""
     from tokenizers import Tokenizer
 
     monkeypatch.setattr(packing, "CACHE_WORDS", 50)
     tok, model = packing.WordTokenizer(VOCAB), Tokenizer.from_file(VOCAB)
-    for seed in range(6):
-        text = " ".join(_words(70 if seed % 2 else 20, seed)) + " é <|endoftext|>x İ ﬁ"
-        data = np.frombuffer(text.encode(), np.uint8)
-        ids, _ = tok.ids(data, np.array([0, len(data)]))
-        assert ids.tolist() == model.encode(text, add_special_tokens=False).ids
+    assert tok.by_piece
+    alphabet = [*"abzABZ09.,;!?#$%&|<>()[]\"'-_/\\*+=^~`@:{} \n\t", *"éÉßüÜñçãøØ×÷İıſŁσςΣдЖ中が…–“”\u00a0\u0301\u0338\u0307\u200d\x07\x7f", "<|endoftext|>", "<|", "|>", "'s", "'ll", "l'", "🙂", "\u1e9e"]
+    rng = random.Random(3)
+    texts = [" ".join(_words(70 if seed % 2 else 20, seed)) + " é <|endoftext|>x İ ﬁ İ. a<b" for seed in range(6)]
+    texts += ["".join(rng.choices(alphabet, k=rng.randrange(1, 60))) for _ in range(400)] + ["", "x" * 5000]
+    for i in range(0, len(texts), 7):
+        raw = [t.encode() for t in texts[i : i + 7]]
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        ids, bounds = tok.ids(data, np.cumsum([0, *map(len, raw)]))
+        for t, a, b in zip(texts[i : i + 7], bounds[:-1], bounds[1:], strict=True):
+            assert ids[a:b].tolist() == model.encode(t, add_special_tokens=False).ids, t
+
+
+def test_tokenizer_of_other_rules():
+    """A vocabulary whose words don't end where pieces do is applied to whole texts."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, model = packing.WordTokenizer(path), Tokenizer.from_file(path)
+    assert not tok.by_piece
+    data = np.frombuffer(b"two  words, Here", np.uint8)
+    assert tok.ids(data, np.array([0, len(data)]))[0].tolist() == model.encode("two  words, Here", add_special_tokens=False).ids
 
 
 def test_hilbert():
