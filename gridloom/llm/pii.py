@@ -5,17 +5,17 @@ give an entity away: over the whole corpus it counts in how many documents a ter
 many documents have the term, and how many the entity.  A term is disclosing if it was seen with the entity in at least
 ``MIN_SUPPORT`` documents, the entity is at least ``GENERALISE`` likely given the term, and knowing the term tells at
 least the share ``MIN_SHARE`` of the entity's own information, -log2 P(entity), so that frequent entities count as well.
-Disclosing terms are generalised, from ``REMOVE`` on removed, wherever they stand in a document that holds the entity.
-Terms are whole words of any length that touch no entity.
+Disclosing terms are generalised to their class (``[NUMBER]``, ``[CODE]``, ``[NAME]``, ``[WORD]``), from ``REMOVE`` on
+removed, wherever they stand in a document that holds the entity.  Terms are whole words of any length that touch no entity.
 
 Scale: texts are read once; what is kept of each row is its entities and distinct terms, and its text if it has an entity.
 Pairs are made only of entities and terms in ``MIN_SUPPORT`` documents at least, and of a term only with entities frequent
 enough to be as likely as ``GENERALISE`` given it; they are combined before their exchange.  A frequent entity or term is
-one key of an aggregate, and the joins that bring counts to documents may be split by adaptive execution.  Texts with an
-entity are shuffled once, to meet their disclosing terms.
+one key of an aggregate, and the joins that bring counts to documents may be split by adaptive execution.  Pairs of a row
+are kept, so what a row holds of the disclosing ones is an equi-join.  Texts with a disclosing term are shuffled once.
 
-Positions come from splitting a text at its matches: lengths of the parts are summed in blocks, so the work is in
-proportion to the text for any usual number of matches.
+Positions come from splitting a text at its matches: lengths of the parts are summed within blocks and over them, so the work is
+in proportion to the text.
 
 Defined cases: null text counts as empty; each row is a document, whatever its id; repeated rows count as documents;
 an empty table gives an empty result; other columns are not read.
@@ -40,7 +40,7 @@ PATTERNS = {
 }
 GATES = {
     "email": lambda t: F.instr(t, "@") > 0,
-    "ip": lambda t: t.rlike(r"[0-9]\.[0-9]{1,64}\.[0-9]{1,64}\.[0-9]"),
+    "ip": lambda t: t.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"),
     "card": lambda t: t.rlike(r"(?:[0-9][\x20-]?){11}[0-9]"),
     "phone": lambda t: F.instr(t, "+") > 0,
 }
@@ -50,32 +50,32 @@ GENERALISE, REMOVE = 0.5, 0.9
 BLOCK = 256
 
 _SPAN = "struct<start:int,stop:int,text:string>"
+#: Stands for the characters of entities; a control character, which a word may hold but no term needs.
+_MASK = "\x01"
 
 
 def _ends(lengths: Column) -> Column:
-    """Running sums of an array of ints, block by block."""
+    """Running sums of an array of ints: within blocks, then over the blocks."""
+    none = F.array().cast("array<int>")
 
-    def total(x: Column) -> Column:
-        return F.aggregate(x, F.lit(0), lambda a, y: a + y)
+    def last(x: Column) -> Column:
+        return F.get(x, F.size(x) - 1)
 
-    def spread(x: Column) -> Column:
-        blocks = F.transform(
-            F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int")),
-            lambda b: total(F.slice(x, b * BLOCK + 1, F.lit(BLOCK))),
-        )
+    def plain(x: Column) -> Column:
+        return F.aggregate(x, none, lambda out, y: F.concat(out, F.array(F.coalesce(last(out), F.lit(0)) + y)))
+
+    def within(x: Column, levels: int) -> Column:
+        if not levels:
+            return plain(x)
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int")), lambda b: plain(F.slice(x, b * BLOCK + 1, F.lit(BLOCK))))
 
-        def within(sums: Column) -> Column:
-            before = F.transform(sums, lambda s, b: total(F.slice(sums, F.lit(1), b)))
-            return let(
-                before,
-                lambda p: F.transform(
-                    x, lambda y, i: F.get(p, F.floor(i / BLOCK).cast("int")) + total(F.slice(x, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK + 1))
-                ),
-            )
+        def shifted(parts: Column) -> Column:
+            sums = let(F.transform(parts, last), lambda y: within(y, levels - 1))
+            return let(sums, lambda z: F.flatten(F.transform(parts, lambda p, i: F.transform(p, lambda y: y + F.coalesce(F.get(z, i - 1), F.lit(0))))))
 
-        return let(blocks, within)
+        return let(blocks, shifted)
 
-    return F.when(F.size(lengths) == 0, F.array().cast("array<int>")).otherwise(let(lengths, spread))
+    return F.when(F.size(lengths) == 0, none).otherwise(let(lengths, lambda x: F.when(F.size(x) <= BLOCK, plain(x)).otherwise(within(x, 1))))
 
 
 def spans_of(text: Column, pattern: str) -> Column:
@@ -136,38 +136,59 @@ def entity_of(s: Column) -> Column:
     return F.concat_ws(":", s["kind"].cast("string"), F.lower(F.when(s["kind"] >= 2, F.regexp_replace(s["text"], "[^0-9]", "")).otherwise(s["text"])))
 
 
-def free_terms(text: Column, spans: Column) -> Column:
-    """The distinct terms of the words that touch no span."""
+def masked(text: Column, spans: Column) -> Column:
+    """The text with every character of a span replaced by ``_MASK``, and no other ``_MASK`` in it."""
     state = "struct<at:int,out:array<string>>"
 
-    def cut(a: Column, s: Column) -> Column:
-        piece = F.array(F.substring(text, a["at"] + 1, s["start"] - a["at"]))
-        out = F.when(s["start"] >= a["at"], F.concat(a["out"], piece)).otherwise(a["out"])
-        return F.struct(F.greatest(a["at"], s["stop"]).alias("at"), out.alias("out")).cast(state)
+    def whole(x: Column) -> Column:
+        def cut(a: Column, s: Column) -> Column:
+            free = F.substring(x, a["at"] + 1, s["start"] - a["at"])
+            blank = F.repeat(F.lit(_MASK), s["stop"] - F.greatest(a["at"], s["start"]))
+            more = F.array(F.when(s["start"] > a["at"], free).otherwise(F.lit("")), blank)
+            out = F.when(s["stop"] <= a["at"], a["out"]).otherwise(F.concat(a["out"], more))
+            return F.struct(F.greatest(a["at"], s["stop"]).alias("at"), out.alias("out")).cast(state)
+
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")).cast(state)
+        return F.aggregate(spans, none, cut, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(x, a["at"] + 1, F.lit(2**31 - 1))))
+
+    return F.when(F.size(spans) == 0, text).otherwise(let(F.translate(text, _MASK, " "), whole))
 
-    def words(pieces: Column) -> Column:
-        def whole(p: Column, i: Column) -> Column:
-            p = F.when(i == 0, p).otherwise(F.regexp_replace(p, f"^[^{WS}]++", ""))
-            return words_of(F.when(i == F.size(pieces) - 1, p).otherwise(F.regexp_replace(p, f"(?<![^{WS}])[^{WS}]++$", "")))
 
-        return F.flatten(F.transform(pieces, whole))
+def free_terms(text: Column, spans: Column) -> Column:
+    """The distinct terms of the words that touch no span."""
+    words = F.when(F.size(spans) == 0, words_of(text)).otherwise(F.filter(words_of(masked(text, spans)), lambda w: ~F.contains(w, F.lit(_MASK))))
+    return F.filter(F.array_distinct(F.transform(words, term_of)), lambda x: x != "")
+
 
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")).cast(state)
-    pieces = F.aggregate(spans, none, cut, lambda a: F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, F.lit(2**31 - 1)))))
-    every = F.when(F.size(spans) == 0, words_of(text)).otherwise(let(pieces, words))
-    return F.filter(F.array_distinct(F.transform(every, term_of)), lambda x: x != "")
+def class_of(word: Column) -> Column:
+    """What a disclosing word is generalised to."""
+    digit, letter = word.rlike(r"\p{Nd}"), word.rlike(r"\p{L}")
+    return (
+        F.when(digit & ~letter, "[NUMBER]").when(digit, "[CODE]").when(word.rlike(r"^[\p{P}\p{S}]*\p{Lu}"), "[NAME]").otherwise("[WORD]")
+    )
 
 
 def term_spans(text: Column, spans: Column, terms: Column) -> Column:
-    """Every place of the given terms (array of (term, remove)): array of (start, stop, remove)."""
+    """Every place of the given terms (array of (term, remove)): array of (start, stop, put), ``put`` the replacement."""
+
+    def listed(remove: bool) -> Column:
+        # terms are words, so no blank stands in one: one search tells whether a word is among them
+        some = F.transform(F.filter(terms, lambda t: t["remove"] == F.lit(remove)), lambda t: t["term"])
+        return F.concat(F.lit(" "), F.array_join(some, " "), F.lit(" "))
+
+    def placed(lists: Column) -> Column:
+        def of_word(w: Column) -> Column:
+            def put(x: Column) -> Column:
+                key = F.concat(F.lit(" "), x, F.lit(" "))
+                return F.when(x == "", None).when(F.contains(lists["gone"], key), "").when(F.contains(lists["general"], key), class_of(w["text"]))
+
+            touched = F.contains(w["text"], F.lit(_MASK))
+            told = F.when(~touched, let(term_of(w["text"]), put))
+            return F.struct(w["start"].alias("start"), w["stop"].alias("stop"), told.alias("put"))
 
-    def of_word(w: Column) -> Column:
-        return let(term_of(w["text"]), lambda x: F.struct(
-            w["start"].alias("start"), w["stop"].alias("stop"), F.get(F.filter(terms, lambda t: t["term"] == x), F.lit(0))["remove"].alias("remove")
-        ))
+        return F.filter(F.transform(spans_of(masked(text, spans), f"[^{WS}]++"), of_word), lambda w: w["put"].isNotNull())
 
-    told = F.filter(F.transform(spans_of(text, f"[^{WS}]++"), of_word), lambda w: w["remove"].isNotNull())
-    return F.filter(told, lambda w: ~F.exists(spans, lambda o: (w["start"] < o["stop"]) & (o["start"] < w["stop"])))
+    return let(F.struct(listed(True).alias("gone"), listed(False).alias("general")), placed)
 
 
 class Sanitiser:
@@ -188,19 +209,19 @@ class Sanitiser:
     def disclosing(self) -> DataFrame:
         """(entity, term, likelihood, bits) of the pairs over the thresholds."""
         enough = F.count(F.lit(1))
-        self.holds = self.base.where(F.size("entities") > 0).select("row", F.explode("entities").alias("entity"))
-        entities = materialise(self.holds.groupBy("entity").agg(enough.alias("with_entity")).where(F.col("with_entity") >= MIN_SUPPORT), "entities")
+        holding = self.base.where(F.size("entities") > 0)
+        holds = holding.select("row", F.explode("entities").alias("entity"))
+        entities = materialise(holds.groupBy("entity").agg(enough.alias("with_entity")).where(F.col("with_entity") >= MIN_SUPPORT), "entities")
         terms = self.base.select(F.explode("terms").alias("term")).groupBy("term").agg(enough.alias("with_term"))
         terms = materialise(terms.where(F.col("with_term") >= MIN_SUPPORT), "terms")
-        per_row = spread_join(self.holds, entities, ["entity"]).groupBy("row").agg(F.collect_list(F.struct("entity", "with_entity")).alias("es"))
-        rows = self.base.where(F.size("entities") > 0).select("row", "terms").join(per_row, "row").select("es", F.explode("terms").alias("term"))
+        per_row = spread_join(holds, entities, ["entity"]).groupBy("row").agg(F.collect_list(F.struct("entity", "with_entity")).alias("es"))
+        rows = holding.select("row", "terms").join(per_row, "row").select("row", "es", F.explode("terms").alias("term"))
         # likelihood is with_entity / with_term at most
         able = F.filter("es", lambda e: e["with_entity"] >= GENERALISE * F.col("with_term"))
-        pairs = spread_join(rows, terms, ["term"]).select("term", "with_term", F.explode(able).alias("e"))
-        known = (
-            pairs.groupBy(F.col("e.entity").alias("entity"), "term", F.col("e.with_entity").alias("with_entity"), "with_term")
-            .agg(enough.alias("both")).where(F.col("both") >= MIN_SUPPORT)
-        )
+        pairs = spread_join(rows, terms, ["term"]).select("row", "term", "with_term", F.explode(able).alias("e"))
+        #: what each row holds of the pairs that may disclose
+        self.pairs = materialise(pairs.select("row", F.col("e.entity").alias("entity"), "term", F.col("e.with_entity").alias("with_entity"), "with_term"), "pairs")
+        known = self.pairs.groupBy("entity", "term", "with_entity", "with_term").agg(enough.alias("both")).where(F.col("both") >= MIN_SUPPORT)
         n = self.base.count()
         likely = F.col("both") / F.col("with_term")
         own = F.log2(F.lit(float(max(n, 1))) / F.col("with_entity"))
@@ -209,68 +230,58 @@ class Sanitiser:
         return known.where((likely >= GENERALISE) & told).select("entity", "term", likely.alias("likelihood"), bits.alias("bits"))
 
     def found(self) -> DataFrame:
-        """One row per input row: row, doc_id, h, base and all spans (arrays of start, kind, stop), and actions."""
+        """One row per input row: row, doc_id, h, all spans (arrays of start, kind, stop, put)."""
         told = materialise(self.disclosing(), "disclosing")
-        per_entity = told.groupBy("entity").agg(F.collect_list(F.struct("term", "likelihood")).alias("told"))
-        hits = spread_join(self.holds, per_entity, ["entity"]).select("row", F.explode("told").alias("x")).select("row", "x.*")
-        # a term of one of a row's entities may not stand in that row: its places are looked for in the text
+        hits = spread_join(self.pairs.select("row", "entity", "term"), told.select("entity", "term", "likelihood"), ["entity", "term"])
         wanted = (
             hits.groupBy("row", "term").agg(F.max("likelihood").alias("likelihood"))
             .groupBy("row").agg(F.collect_list(F.struct("term", (F.col("likelihood") >= REMOVE).alias("remove"))).alias("wanted"))
         )
-        here = F.filter("wanted", lambda x: F.array_contains("terms", x["term"]))
-        placed = self.base.where(F.size("entities") > 0).select("row", "t", "spans", "terms").join(wanted, "row")
-        placed = placed.select("row", "t", "spans", here.alias("here")).where(F.size("here") > 0)
-        span = lambda w: F.struct(w["start"].alias("start"), F.lit(4).alias("kind"), w["stop"].alias("stop"))
-        terms = placed.select("row", term_spans(F.col("t"), F.col("spans"), F.col("here")).alias("actions")).select(
-            "row", F.transform("actions", span).alias("terms"), "actions"
-        )
-        base = self.base.withColumn(
-            "base", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop")))
-        )
-        none = F.array().cast("array<struct<start:int,kind:int,stop:int>>")
-        return base.select("row", "doc_id", "h", "base").join(terms, "row", "left").select(
-            "row", "doc_id", "h", "base", F.sort_array(F.concat("base", F.coalesce("terms", none))).alias("every"), "actions"
-        )
+        placed = self.base.where(F.size("entities") > 0).select("row", "t", "spans").join(wanted, "row")
+        term = lambda w: F.struct(w["start"].alias("start"), F.lit(4).alias("kind"), w["stop"].alias("stop"), w["put"].alias("put"))
+        terms = placed.select("row", F.transform(term_spans(F.col("t"), F.col("spans"), F.col("wanted")), term).alias("terms"))
+        names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+        span = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"), F.get(names, s["kind"]).alias("put"))
+        none = F.array().cast("array<struct<start:int,kind:int,stop:int,put:string>>")
+        base = self.base.select("row", "doc_id", "h", F.transform("spans", span).alias("base")).join(terms, "row", "left")
+        return base.select("row", "doc_id", "h", F.sort_array(F.concat("base", F.coalesce("terms", none))).alias("every"))
 
     def report(self) -> DataFrame:
-        """doc_id, counts by kind, digest of the base spans and all spans as text."""
+        """doc_id, counts by kind, digest of the base spans, all spans and the actions on terms as text."""
         names = F.array(*[F.lit(k) for k in KINDS])
 
-        def text(spans: str) -> Column:
-            return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
+        def text(spans: Column, name) -> Column:
+            return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name(s), s["start"].cast("string"), s["stop"].cast("string"))), ",")
+
+        def kind(s: Column) -> Column:
+            return F.get(names, s["kind"])
 
         def count(rank: int, kind: str) -> Column:
-            return F.size(F.filter("base", lambda s: s["kind"] == rank)).cast("long").alias(f"n_{kind}")
+            return F.size(F.filter("every", lambda s: s["kind"] == rank)).cast("long").alias(f"n_{kind}")
 
         counts = [count(rank, kind) for rank, kind in enumerate(KINDS[:4])]
-        return self.found().select("doc_id", *counts, F.sha2(text("base"), 256).alias("base_sha256"), text("every").alias("spans"))
+        base, terms = F.filter("every", lambda s: s["kind"] < 4), F.filter("every", lambda s: s["kind"] == 4)
+        acts = text(terms, lambda s: F.when(s["put"] == "", "remove").otherwise(F.concat(F.lit("generalise"), s["put"])))
+        return self.found().select("doc_id", *counts, F.sha2(text(base, kind), 256).alias("base_sha256"), text(F.col("every"), kind).alias("spans"), acts.alias("actions"))
 
     def sanitised(self) -> DataFrame:
-        """doc_id and text, entities and generalised terms replaced by their kind in brackets, removed terms left out."""
-        found = self.found().select(F.col("doc_id").alias("f_id"), F.col("h").alias("f_h"), "every", "actions").dropDuplicates(["f_id", "f_h"])
+        """doc_id and text: entities replaced by their kind in brackets, terms generalised to their class or left out."""
+        found = self.found().select(F.col("doc_id").alias("f_id"), F.col("h").alias("f_h"), "every").dropDuplicates(["f_id", "f_h"])
         read = self.docs.select(F.col(self.id_col).cast("long").alias("doc_id"), text_or_empty(self.text_col).alias("t"))
         joined = read.join(found, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.xxhash64("t") == F.col("f_h")))
-        names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-        gone = lambda s: F.exists(F.coalesce("actions", F.array().cast("array<struct<start:int,stop:int,remove:boolean>>")), lambda a: (a["start"] == s["start"]) & a["remove"])
+        state = "struct<at:int,out:array<string>>"
+
         # parts between spans and their replacements; of overlapping spans the first is replaced whole
-        state = F.aggregate(
-            "every",
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-            lambda a, s: F.when(s["start"] < a["at"], F.struct(F.greatest(a["at"], s["stop"]).alias("at"), a["out"].alias("out"))).otherwise(
-                F.struct(
-                    s["stop"].alias("at"),
-                    F.concat(
-                        a["out"],
-                        F.array(F.substring("t", a["at"] + 1, s["start"] - a["at"]), F.when((s["kind"] == 4) & gone(s), F.lit("")).otherwise(F.get(names, s["kind"]))),
-                    ).alias("out"),
-                )
-            ),
-            lambda a: F.concat(F.array_join(a["out"], ""), F.substring("t", a["at"] + 1, F.lit(2**31 - 1))),
-        )
-        return joined.select("doc_id", state.alias("text"))
+        def step(a: Column, s: Column) -> Column:
+            inside = F.struct(F.greatest(a["at"], s["stop"]).alias("at"), a["out"].alias("out"))
+            parts = F.concat(a["out"], F.array(F.substring("t", a["at"] + 1, s["start"] - a["at"]), s["put"]))
+            return F.when(s["start"] < a["at"], inside).otherwise(F.struct(s["stop"].alias("at"), parts.alias("out"))).cast(state)
+
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")).cast(state)
+        clean = F.aggregate("every", first, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring("t", a["at"] + 1, F.lit(2**31 - 1))))
+        return joined.select("doc_id", clean.alias("text"))
 
 
 def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every row."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, actions of every row."""
     return Sanitiser(docs, id_col, text_col).report()
