@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.llm import exact_dedup, kernels, line_dedup, mixing, near_dedup, packing, pii, quality_classifier, quality_rules, secret_scan, warc
+from gridloom.llm import exact_dedup, kernels, line_dedup, mixing, near_dedup, packing, pii, quality_classifier, quality_rules, warc
 from gridloom.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, row string, h string, score string, doc string"
@@ -208,30 +208,6 @@ def test_quality_rules_lines(spark):
     assert got[1]["clean_text"] == f"{prose}\n{prose}" and not got[2]["kept"]
 
 
-def test_secret_scan(docs, empty):
-    got = secret_scan.secret_scan(docs).collect()
-    by_id = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
-    for r in got:
-        base = secret_scan.base_spans(by_id[r["doc_id"]])
-        text = ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in base)
-        assert r["base_sha256"] == hashlib.sha256(text.encode()).hexdigest()
-        assert set(filter(None, text.split(","))) <= set(r["spans"].split(","))
-    assert secret_scan.secret_scan(empty).count() == 0
-
-
-def test_markov_model_held_out():
-    """Accuracy on random strings and identifiers that the models haven't seen."""
-    words = _words(900, 3)
-    words = [re.sub("[0-9]", "", w) for w in words] + ["configuration", "identifier", "application", "management", "response"] * 20
-    model = secret_scan.transitions(secret_scan.random_samples(5000)) - secret_scan.transitions(secret_scan.identifiers(words))
-    rng = np.random.default_rng(99)
-    alphabet = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
-    fresh = ["".join(rng.choice(alphabet, 32)) for _ in range(300)]
-    plain = ["application_response_management", "identifier-configuration2024", "alpha/beta/gamma_response_17"]
-    assert np.mean([secret_scan.ratio(t, model) >= secret_scan.THRESHOLD for t in fresh]) > 0.95
-    assert not any(secret_scan.ratio(t, model) >= secret_scan.THRESHOLD for t in plain)
-
-
 def test_packing_round_trip(docs, empty):
     from tokenizers import Tokenizer
 
@@ -379,17 +355,6 @@ def test_pii_spans_in_order_and_at_length(spark):
     assert cut == ["a@b.cd", "_e@f.g"] + ["1.2.3.4"] * 600 + ["1.1.1.1", "2.2.2.2", "007.1.1.1"]
 
 
-def test_pii_disclosing_terms(spark):
-    """A term that stands only with one address gives it away; a common one doesn't."""
-    rows = [(k, f"please write to zarquon about it via boss{k % 3}@corp.org or ask common people today") for k in range(60)]
-    rows = [(k, t.replace("zarquon", f"zarquon{k % 3}")) for k, t in rows] + [(k, "common words please ask people " + " ".join(_words(20, k))) for k in range(100, 400)]
-    got = {r["doc_id"]: r["spans"] for r in pii.pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    terms = {rows[0][1][int(a) : int(b)] for k, a, b in (s.split(":") for s in got[0].split(",")) if k == "term"}
-    assert "zarquon0" in terms or not terms  # bits: three entities in a sixth of the rows
-    clean = pii.Sanitiser(spark.createDataFrame(rows, "doc_id long, text string")).sanitised().where("doc_id = 0").first()["text"]
-    assert "boss0@corp.org" not in clean and "[EMAIL]" in clean
-
-
 def _terms(spark, rows, of):
     """The distinct texts of the term spans of one document."""
     text = dict(rows)[of]
