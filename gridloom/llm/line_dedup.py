@@ -32,7 +32,10 @@ from .shared import WS_CHARS, materialise, ship, spread_join
 
 MIN_CHARS = 40
 MIN_DOCS = 5
-SHARD_KEYS = 1 << 16
+#: Keys to a shard when an index is built; a shard that outgrows its filter gets a larger one.
+SHARD_KEYS = 1 << 13
+#: A filter is made anew, twice as large as its keys need, once this share of its places is taken.
+FULL = 0.8
 KEY_BYTES = 16
 #: Line places up to which a shard is one task's work, whatever the table.
 PART_PLACES = 100_000
@@ -191,11 +194,7 @@ class LineIndex:
             held: dict[int, list[bytes]] = {1: [], -1: []}
 
             def flush():
-                filt = keep
-                if filt is None or len(held[1]) + np.count_nonzero(filt.table) > 0.95 * filt.table.size:
-                    if filt is not None:  # full: the caller rebuilds with more shards
-                        raise ValueError(f"shard {shard} is full; build the index anew with more shards")
-                    filt = CuckooFilter(max(2 * len(held[1]), 1024))
+                filt = keep if keep is not None else CuckooFilter(max(2 * len(held[1]), 1024))
                 for change, act in ((-1, filt.delete), (1, filt.insert)):
                     if held[change]:
                         act(np.frombuffer(b"".join(held[change]), np.uint8).reshape(-1, KEY_BYTES))
@@ -231,9 +230,23 @@ class LineIndex:
             (F.col("was") >= enough) & (F.col("n_docs") < enough), -1
         )
         crossed = both.select("key", change.alias("change")).where("change IS NOT NULL")
-        filters = materialise(self._updated(self.filters, crossed, self.n_shards), "filters")
         counts = self.counts.join(keys, "key", "left_anti").unionByName(both.where("n_docs > 0").drop("was"))
-        return LineIndex(refs, self.n_shards, materialise(counts, "counts"), filters, self.min_docs, self.min_chars)
+        counts = materialise(counts, "counts")
+        held = counts.where(F.col("n_docs") >= enough).select("key", F.lit(1).alias("change"))
+        n_keys, n_shards = held.count(), self.n_shards
+        if n_keys > 4 * n_shards * SHARD_KEYS:  # so many that shards are made anew, twice as many as are needed now
+            n_shards = 2 * -(-n_keys // SHARD_KEYS)
+            filters = self._updated(None, held, n_shards)
+        else:
+            # a filter can't be copied into a larger one, but the counts have its keys
+            shard = self.shard(n_shards).alias("shard")
+            places = F.expr(f"(octet_length(bits) - 8) div 2 * {FULL}")
+            full = held.groupBy(shard).agg(F.count(F.lit(1)).alias("n")).join(self.filters, "shard").where(F.col("n") > places).select("shard")
+            full = materialise(full, "full")
+            again = held.withColumn("shard", shard).join(full, "shard", "left_semi")
+            others = crossed.withColumn("shard", shard).join(full, "shard", "left_anti")
+            filters = self._updated(self.filters.join(full, "shard", "left_anti"), again.union(others.select(again.columns)).drop("shard"), n_shards)
+        return LineIndex(refs, n_shards, counts, materialise(filters, "filters"), self.min_docs, self.min_chars)
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
         """The index after adding documents (whose ids it doesn't hold yet)."""
@@ -308,10 +321,13 @@ def clean(docs: DataFrame, drops: DataFrame, id_col: str, text_col: str, min_cha
     """Each row without its dropped lines: doc_id, n_lines, n_dropped, kept_sha256, the text if asked for, ``columns``."""
     columns = columns or []
     carried = [F.col(c).alias(f"c{i}") for i, c in enumerate(columns)]
-    drops = drops.select(F.col("doc_id").alias("d_id"), "keys")
+    # rows without an id, which lose nothing, are dealt by their text; the drops' own share of that key is always 0
+    drops = drops.select(F.col("doc_id").alias("d_id"), "keys", F.when(F.col("keys").isNull(), 1).otherwise(0).alias("d_deal"))
+    deal = F.when(F.col("d").isNull(), F.hash("t")).otherwise(0)
     joined = (
         docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t"), *carried)
-        .join(drops, F.col("d") == F.col("d_id"), "left")
+        .withColumn("deal", deal)
+        .join(drops, (F.col("d") == F.col("d_id")) & (F.col("deal") == F.col("d_deal")), "left")
         .select("d", "t", "keys", *[f"c{i}" for i in range(len(columns))])
     )
 
