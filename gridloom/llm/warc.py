@@ -4,15 +4,17 @@ Writing: pages with equal payloads become one ``response`` record (the smallest
 it.  A response's block is an HTTP answer in chunked transfer framing, cut into segments: the first is the response
 record, the others ``continuation`` records that name it (WARC-Segment-Origin-ID) with their number, the last with the
 total length.  Records are rows of Spark's text writer whose line separator is the record separator of the format, so
-archives land wherever Spark can write, a file per task and ``FILE_RECORDS`` records at most.
+archives land wherever Spark can write, a file per task and ``FILE_RECORDS`` records at most.  A record holds one segment,
+so a file holds at most ``FILE_RECORDS`` times ``SEGMENT_BYTES`` and headers, whatever the pages' sizes.
 
 Reading: archives are read as binary files and parsed by Content-Length.  Records of one segment are decoded in place;
 continuation records are grouped by the identifier of their origin, ordered by segment number, checked against the total
 length and joined before the chunked framing is decoded.  Groups have a page's own size; a hot payload is one response
 and many small revisits, and only ids and digests of pages go through the join that finds the first of each payload.
 
-Defined cases: a null payload is empty; null ids are no page and are left out; of rows that repeat an id each has its own
-records (the id is the page's, the row number tells them apart); an empty table gives an empty result; a missing or
+Defined cases: a null payload is empty; a page with a null id has records and a row of its own and is first of its payload
+only where no page with an id has it; of rows that repeat an id each has its own records (the id is the page's, the row
+number tells them apart); an empty table gives an empty result; a missing or
 short segment raises; other columns are not read.
 """
 
@@ -64,11 +66,11 @@ def record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return head.encode() + b"\r\n" + block
 
 
-def name_of(page: int, row: int) -> str:
-    return f"<urn:page:{page}:{row}>"
+def name_of(page: int | None, row: int) -> str:
+    return f"<urn:page:{'none' if page is None else page}:{row}>"
 
 
-def records_of(page: int, row: int, url: str, payload: bytes, first: tuple[int, int], segment_bytes: int) -> list[bytes]:
+def records_of(page: int | None, row: int, url: str, payload: bytes, first: tuple[int | None, int], segment_bytes: int) -> list[bytes]:
     """The records of one page; ``first``: page and row of the payload's response."""
     own = [("WARC-Record-ID", name_of(page, row)), ("WARC-Date", _DATE), ("WARC-Target-URI", re.sub(r"[\x00-\x20]", "%20", url)),
            ("WARC-Payload-Digest", f"sha1:{digest(payload)}"), ("Content-Type", "application/http;msgtype=response")]
@@ -82,7 +84,7 @@ def records_of(page: int, row: int, url: str, payload: bytes, first: tuple[int,
         return [record([("WARC-Type", "response"), *own], block)]
     out = [record([("WARC-Type", "response"), *own, ("WARC-Segment-Number", "1")], parts[0])]
     for i, part in enumerate(parts[1:], 2):
-        fields = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:page:{page}:{row}:{i}>"), ("WARC-Date", _DATE),
+        fields = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"{name_of(page, row)[:-1]}:{i}>"), ("WARC-Date", _DATE),
                   ("WARC-Segment-Origin-ID", name_of(page, row)), ("WARC-Segment-Number", str(i))]
         if i == len(parts):
             fields.append(("WARC-Segment-Total-Length", str(len(block))))
@@ -111,13 +113,13 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
                    min_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES) -> None:
     """Write a record (or its segments) per page.  Payloads under ``min_bytes`` are never revisits."""
     ship(pages.sparkSession)
-    read = pages.where(F.col(id_col).isNotNull()).select(
+    read = pages.select(
         F.col(id_col).cast("long").alias("page"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"),
         F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"),
     )
     read = materialise(read.withColumn("row", F.monotonically_increasing_id()), "pages")
     keys = read.select("page", "row", F.sha2("html", 256).alias("key"), F.octet_length("html").alias("size"))
-    first = keys.groupBy("key").agg(F.min(F.struct("page", "row")).alias("f"))
+    first = keys.groupBy("key").agg(F.min(F.struct(F.col("page").isNull().alias("none"), "page", "row")).alias("f"))
     small = F.col("size") < min_bytes
     named = spread_join(keys, first, ["key"]).select(
         "row", F.when(small, F.col("page")).otherwise(F.col("f.page")).alias("first_page"),
@@ -176,25 +178,27 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def payloads(records: DataFrame) -> DataFrame:
-    """origin, kind, refers_to, digest, payload of each page, its segments joined and its framing decoded."""
-    whole = records.where("number = 0").select("origin", "kind", "refers_to", "digest", "block")
+    """origin, kind, refers_to, digest, size, payload of each page, its segments joined and its framing decoded."""
+    part = F.struct("number", "block")
+    whole = records.where("number = 0").select("origin", "kind", "refers_to", "digest", "total", F.array(part).alias("parts"))
     parts = records.where("number > 0").groupBy("origin").agg(
-        F.sort_array(F.collect_list(F.struct("number", "block"))).alias("parts"), F.max("total").alias("total"),
-        F.max(F.when(F.col("kind") != "continuation", F.col("kind"))).alias("kind"), F.max("digest").alias("digest"),
+        F.max(F.when(F.col("kind") != "continuation", F.col("kind"))).alias("kind"), F.lit(None).cast("string").alias("refers_to"),
+        F.max("digest").alias("digest"), F.max("total").alias("total"), F.sort_array(F.collect_list(part)).alias("parts"),
     )
-    block = F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["block"]))
-    numbers = F.transform("parts", lambda p: p["number"])
-    good = (numbers == F.sequence(F.lit(1), F.size("parts"))) & (F.octet_length("block") == F.col("total"))
-    joined = parts.withColumn("block", block).withColumn(
-        "block", F.when(F.coalesce(good, F.lit(False)), F.col("block")).otherwise(F.raise_error(F.concat(F.lit("segments missing of "), "origin")))
-    )
-    every = whole.unionByName(joined.select("origin", "kind", F.lit(None).cast("string").alias("refers_to"), "digest", "block"))
+
+    def joined(origin: str, total: int | None, segments: list[dict]) -> bytes:
+        block = b"".join(x["block"] for x in segments)
+        if segments[0]["number"] == 0:
+            return block
+        if [x["number"] for x in segments] != list(range(1, len(segments) + 1)) or len(block) != total:
+            raise ValueError(f"segments missing of {origin}")
+        return block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bodies, sizes, digests = [], [], []
-            for kind, stated, block in zip(batch.column(1), batch.column(3), batch.column(4), strict=True):
-                head, _, body = block.as_py().partition(b"\r\n\r\n")
+            for origin, kind, stated, total, segments in zip(*(batch.column(k) for k in (0, 1, 3, 4, 5)), strict=True):
+                head, _, body = joined(origin.as_py(), total.as_py(), segments.as_py()).partition(b"\r\n\r\n")
                 if b"transfer-encoding: chunked" in head.lower():
                     body = unframe(body)
                 if kind.as_py() == "revisit":
@@ -212,7 +216,7 @@ def payloads(records: DataFrame) -> DataFrame:
                 names=["origin", "kind", "refers_to", "digest", "size", "payload"],
             )
 
-    return every.mapInArrow(run, "origin string, kind string, refers_to string, digest string, size long, payload binary")
+    return whole.unionByName(parts).mapInArrow(run, "origin string, kind string, refers_to string, digest string, size long, payload binary")
 
 
 def warc_round_trip(pages: DataFrame, min_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
@@ -222,7 +226,7 @@ def warc_round_trip(pages: DataFrame, min_bytes: int = 0, segment_bytes: int = S
     write_archives(pages, path, min_bytes=min_bytes, segment_bytes=segment_bytes)
     page = r"<urn:page:(-?[0-9]+):"
     return payloads(read_records(spark, path)).select(
-        F.regexp_extract("origin", page, 1).cast("long").alias("page_id"), F.col("size").alias("payload_bytes"),
+        F.regexp_extract("origin", page, 1).try_cast("long").alias("page_id"), F.col("size").alias("payload_bytes"),
         F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"),
-        F.when(F.col("refers_to").isNotNull(), F.regexp_extract("refers_to", page, 1)).cast("long").alias("refers_to"),
+        F.when(F.col("refers_to").isNotNull(), F.regexp_extract("refers_to", page, 1)).try_cast("long").alias("refers_to"),
     )
