@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,26 +14,44 @@ from pyspark.sql import functions as F
 WS = r"\x20\x09-\x0D"
 #: The same as a set of characters, for the functions that take one.
 WS_CHARS = " \t\n\x0b\x0c\r"
+_SHIPPED: dict[str, str] = {}
+
+
+def on_one_machine(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver imported it."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    have = [p for p in env.get("PYTHONPATH", "").split(":") if p]
-    if root not in have:
-        env["PYTHONPATH"] = ":".join([*have, root])
+    """Let Python workers import this package: from where it lies on one machine, as an archive that executors fetch from
+    the driver on a cluster."""
+    sc, root = spark.sparkContext, Path(__file__).resolve().parents[2]
+    if on_one_machine(spark):
+        have = [p for p in sc.environment.get("PYTHONPATH", "").split(":") if p]
+        if str(root) not in have:
+            sc.environment["PYTHONPATH"] = ":".join([*have, str(root)])
+        return
+    if _SHIPPED.get(sc.applicationId) is None:
+        name = f"{tempfile.mkdtemp(prefix='gridloom-')}/gridloom.zip"  # the driver's own; executors get copies
+        with zipfile.ZipFile(name, "w") as out:
+            for f in sorted((root / "gridloom").rglob("*.py")):
+                out.write(f, f.relative_to(root))
+        sc.addPyFile(name)
+        _SHIPPED[sc.applicationId] = name
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as a URI.
 
-    ``spark.checkpoint.dir`` names it; where that is unset (tests on one machine) a temporary folder is set.
+    ``spark.checkpoint.dir`` names it; where that is unset a temporary folder is set on one machine, as in tests, and a
+    cluster is refused.
     """
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
-        named = sc.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="gridloom-")
+        if not on_one_machine(spark):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="gridloom-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
     return named.rstrip("/")
