@@ -10,17 +10,19 @@
    the length bound, then the exact test on full sets.
 5. Members of a bucket that the stars left in different components are compared with each other, so no link is lost
    for being far from a centre; pairs of one component aren't compared again, and a pair counts in the first bucket
-   that it shares.
+   that it shares.  A bucket of many such members is cut into blocks of ``BLOCK_MEMBERS``, and each pair of blocks is a
+   key of its own: the comparisons of a bucket are spread over tasks, and no pair is a row before it has passed.
 
-Sketches and full sets are made only for the documents that need them; which these are is sent to the scan as a Bloom
-bitmap of fixed size (``BLOOM_BITS``), whose false positives the later join drops.
+Sketches and full sets are made only for the documents that need them.  Which these are is sent to the scan as a Bloom
+bitmap, sized by their number, whose false positives the later join drops; from ``BLOOM_MOST`` documents on an equi-join
+brings their texts instead, so what is sent never exceeds two megabytes a million.
 
 A pair at the threshold of 0.85 shares a bucket with probability 1 - (1 - 0.85**6)**42, all but 3e-9, and its sketch
 passes but for about 1e-5; both chances of loss vanish above it.
 
 Defined cases: null text and texts without words have an empty set, are linked with nothing and stay; a text of fewer
 words than a shingle has its whole sequence as one; rows that repeat an id are separate rows, of which at most one
-stays; a null id sorts after all others; an empty table gives an empty result; other columns are not read.
+stays in :func:`kept_documents`; a null id sorts after all others; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -46,8 +48,10 @@ SKETCH_SAMPLES = 1024
 SKETCH_BITS = 4096
 #: How far below the threshold a sketch may place a pair: over four standard errors at 0.85.
 SKETCH_MARGIN = 0.05
-BLOOM_BITS = 1 << 23
+#: Documents that a bitmap of 16 bits each names at most (16 MB).
+BLOOM_MOST = 1 << 23
 CENTRES = 16
+BLOCK_MEMBERS = 2000
 
 _rng = np.random.default_rng(20240602)
 _A = _rng.integers(0, 1 << 63, SAMPLES + SKETCH_SAMPLES, dtype=np.uint64) * U64(2) + U64(1)
@@ -110,20 +114,21 @@ def signatures(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Rec
             )
 
 
-def _bit_places(doc: Column) -> Column:
+def _bit_places(doc: Column, bits: int) -> Column:
     h = F.xxhash64(doc, F.lit(3))
-    mask = F.lit(BLOOM_BITS - 1)
+    mask = F.lit(bits - 1)
     return F.array(h.bitwiseAND(mask), F.shiftrightunsigned(h, 32).bitwiseAND(mask))
 
 
-def bloom(ids: DataFrame) -> np.ndarray:
-    """A bitmap of ``BLOOM_BITS`` bits for the ``doc_id`` column: at most that many bits reach the driver."""
+def bloom(ids: DataFrame, n: int) -> np.ndarray:
+    """A bitmap of about 16 bits for each of the ``n`` rows' ``doc_id``: at most that many bits reach the driver."""
+    bits = 1 << max(10, int(16 * max(n, 1) - 1).bit_length())
     words = (
-        ids.select(F.explode(_bit_places(F.col("doc_id"))).alias("at"))
+        ids.select(F.explode(_bit_places(F.col("doc_id"), bits)).alias("at"))
         .groupBy(F.shiftright("at", 6).alias("word"))
         .agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 AS int)))").alias("bits"))
     )
-    out = np.zeros(BLOOM_BITS // 64, np.int64)
+    out = np.zeros(bits // 64, np.int64)
     got = words.toArrow()
     out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
     return out
@@ -175,15 +180,24 @@ class NearDedup:
     def again(self, nodes: DataFrame, what: str) -> DataFrame:
         """(node, s): the full shingle sets of the given nodes, or their sketches, from another scan."""
         wanted = materialise(self.nodes.select("node", "doc_id", "set_id").join(nodes, "node", "left_semi"), "wanted")
-        sent = self.spark.sparkContext.broadcast(bloom(wanted))
-        width = self.width
+        width, least = self.width, F.lit(-(2**63)).cast("long")
+        n = wanted.count()
+        sent, read = None, self.read
+        if n <= BLOOM_MOST:
+            bitmap = bloom(wanted, n)
+            sent = self.spark.sparkContext.broadcast(bitmap)
+            read = read.select("doc_id", "text", _bit_places(F.col("doc_id"), 64 * len(bitmap)).alias("at"))
+        else:
+            ids = wanted.select(F.coalesce("doc_id", least).alias("d")).distinct()
+            read = read.withColumn("d", F.coalesce("doc_id", least)).join(ids, "d", "left_semi").select("doc_id", "text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = sent.value
+            bits = sent.value if sent is not None else None
             for batch in batches:
-                at = np.array(batch.column(2).flatten().to_numpy()).reshape(-1, 2)
-                hit = ((bits[at >> 6] >> (at & 63)) & 1).all(1)
-                some = batch.filter(pa.array(hit))
+                some = batch
+                if bits is not None:
+                    at = np.array(batch.column(2).flatten().to_numpy()).reshape(-1, 2)
+                    some = batch.filter(pa.array(((bits[at >> 6] >> (at & 63)) & 1).all(1)))
                 for first, end, buf, offsets in text_slices(some.column(1)):
                     values, bounds = shingle_sets(buf, offsets, width)
                     full = np.flatnonzero(np.diff(bounds))
@@ -200,10 +214,7 @@ class NearDedup:
                     docs = some.column(0).slice(first, end - first).take(pa.array(full))
                     yield pa.RecordBatch.from_arrays([docs, pa.array(ids, pa.binary()), s], ["doc_id", "set_id", "s"])
 
-        found = self.read.select("doc_id", "text", _bit_places(F.col("doc_id")).alias("at")).mapInArrow(
-            run, "doc_id long, set_id binary, s array<long>"
-        )
-        least = F.lit(-(2**63)).cast("long")
+        found = read.mapInArrow(run, "doc_id long, set_id binary, s array<long>")
         some = wanted.select("node", F.coalesce("doc_id", least).alias("d"), "set_id")
         found = found.withColumn("d", F.coalesce("doc_id", least)).join(some, ["d", "set_id"])
         return materialise(found.select("node", "s").dropDuplicates(["node"]), what)
@@ -250,14 +261,18 @@ class NearDedup:
         apart = placed.join(mixed.select("bucket"), "bucket", "left_semi").join(slim, "node")
         # only lengths of the same or the next class can be similar enough
         size = F.floor(F.log("n_shingles") / -F.log(F.lit(self.percent / 100)) + 1e-9)
-        apart = apart.withColumn("size", size)
-        x = apart.withColumn("key", F.col("size")).alias("x")
-        y = apart.withColumn("key", F.explode(F.array("size", F.col("size") + 1))).alias("y")
+        many = apart.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS).alias("blocks"))
+        apart = spread_join(apart.withColumn("size", size), many, ["bucket"])
+        block = F.pmod(F.xxhash64("node", F.lit(9)), "blocks")
+        apart = materialise(apart.withColumn("block", block), "apart")
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+        x = apart.withColumn("key", F.col("size")).withColumn("other", every).alias("x")
+        y = apart.withColumn("key", F.explode(F.array("size", F.col("size") + 1))).withColumn("other", every).alias("y")
         ordered = (F.col("x.size") > F.col("y.size")) | (F.col("x.node") < F.col("y.node"))
         first = F.get(F.array_intersect("x.bands", "y.bands"), F.lit(0)) == F.col("x.bucket")
+        same = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.other")) & (F.col("x.other") == F.col("y.block"))
         more = (
-            x.hint("merge").join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.key") == F.col("y.key"))
-                   & (F.col("x.label") != F.col("y.label")) & ordered & self.close("x", "y") & first)
+            x.hint("merge").join(y, same & (F.col("x.label") != F.col("y.label")) & ordered & self.close("x", "y") & first)
             .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
             .join(near, ["a", "b"], "left_anti")
         )
@@ -282,8 +297,12 @@ class NearDedup:
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable over links), kept."""
-    return NearDedup(docs, id_col, text_col, width, percent).groups()
+    """doc_id, n_shingles, component_id (smallest id reachable over links), kept (whether that is the row's own id).
+
+    Rows that repeat an id agree in ``kept``; :func:`kept_documents` keeps one row of a group.
+    """
+    rows = NearDedup(docs, id_col, text_col, width, percent).groups()
+    return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
