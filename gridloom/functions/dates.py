@@ -1,4 +1,4 @@
-"""Dates: units, NaT as NULL, and business days by closed formulas (a holiday list is a small sorted array)."""
+"""Dates: units, NaT as NULL, and business days by closed formulas over a week mask and a short list of holidays."""
 
 from __future__ import annotations
 
@@ -41,44 +41,82 @@ def weekday(x) -> Column:
     return F.weekday(_c(x))
 
 
-def _weekdays(day: Column) -> Column:
-    """Weekdays from the epoch up to a date, exclusive; differences count weekdays between dates."""
-    n = F.datediff(day, F.lit(dt.date(1970, 1, 5)))  # a Monday
-    week, rest = F.floor(n / 7), F.pmod(n, F.lit(7))
-    return week * 5 + F.least(rest, F.lit(5))
+MASK = "1111100"
+_MONDAY = dt.date(1970, 1, 5)
 
 
-def _holidays(days: list[dt.date]) -> Column:
-    work = sorted({d for d in days if d.weekday() < 5})
-    return F.array(*[F.lit(d) for d in work]).cast("array<date>")
+class Calendar:
+    """Which days are business days: a week mask from Monday on, and holidays (a short list that a plan holds as an array).
 
+    Every date has an ordinal, the number of business days before it; counting and stepping are arithmetic on ordinals."""
 
-def is_busday(x, holidays: list[dt.date] | None = None) -> Column:
-    x = _c(x).cast("date")
-    open_ = F.weekday(x) < 5
-    return open_ & ~F.array_contains(_holidays(holidays), x) if holidays else open_
+    def __init__(self, weekmask: str = MASK, holidays: list[dt.date] | None = None):
+        self.mask = [c == "1" for c in weekmask]
+        if len(self.mask) != 7 or not any(self.mask) or set(weekmask) - {"0", "1"}:
+            raise ValueError(f"week mask {weekmask!r}: seven of 0 and 1, with a 1")
+        self.work = sum(self.mask)
+        self.holidays = sorted({d for d in holidays or [] if self.mask[d.weekday()]})
 
+    def _masked_days(self, day: Column) -> Column:
+        """Days of the mask from the first Monday of the epoch up to a date, exclusive."""
+        n = F.datediff(day, F.lit(_MONDAY))
+        before = F.array(*[F.lit(sum(self.mask[:k])) for k in range(7)])
+        return F.floor(n / 7) * self.work + F.get(before, F.pmod(n, F.lit(7)))
 
-def busday_count(a, b, holidays: list[dt.date] | None = None) -> Column:
-    """Business days in [a, b); negative if b comes before a."""
-    a, b = _c(a).cast("date"), _c(b).cast("date")
-    n = _weekdays(b) - _weekdays(a)
-    if holidays:
-        off = lambda lo, hi: F.size(F.filter(_holidays(holidays), lambda h: (h >= lo) & (h < hi)))
-        n = n - F.when(b >= a, off(a, b)).otherwise(-off(b, a))
-    return n.cast("long")
+    def _off(self) -> Column:
+        return F.array(*[F.lit(d) for d in self.holidays]).cast("array<date>")
 
+    def ordinal(self, day: Column) -> Column:
+        n = self._masked_days(day)
+        return n - F.size(F.filter(self._off(), lambda h: h < day)) if self.holidays else n
 
-def busday_offset(x, n, roll: str = "forward") -> Column:
-    """The date n business days on, after rolling a weekend day forward or backward."""
-    x = _c(x).cast("date")
+    def date_of(self, ordinal: Column) -> Column:
+        """The business day with an ordinal."""
+        if self.holidays:
+            # a holiday pushes on every ordinal from its own place on
+            places = [self._place(d) - k for k, d in enumerate(self.holidays)]
+            ordinal = ordinal + F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in places]), lambda x: x <= ordinal))
+        days = F.array(*[F.lit(k) for k in range(7) if self.mask[k]])
+        week = F.floor(ordinal / self.work)
+        return F.date_add(F.lit(_MONDAY), (week * 7 + F.get(days, F.pmod(ordinal, F.lit(self.work)).cast("int"))).cast("int"))
+
+    def _place(self, day: dt.date) -> int:
+        week, rest = divmod((day - _MONDAY).days, 7)
+        return week * self.work + sum(self.mask[:rest])
+
+    def open(self, day: Column) -> Column:
+        return self.ordinal(F.date_add(day, 1)) > self.ordinal(day)
+
+
+def is_busday(x, holidays: list[dt.date] | None = None, weekmask: str = MASK) -> Column:
+    return Calendar(weekmask, holidays).open(_c(x).cast("date"))
+
+
+def busday_count(a, b, holidays: list[dt.date] | None = None, weekmask: str = MASK) -> Column:
+    """Business days in [a, b); with b before a those of (b, a], negative."""
+    calendar, a, b = Calendar(weekmask, holidays), _c(a).cast("date"), _c(b).cast("date")
+    back = calendar.ordinal(F.date_add(a, 1)) - calendar.ordinal(F.date_add(b, 1))
+    return F.when(a <= b, calendar.ordinal(b) - calendar.ordinal(a)).otherwise(-back).cast("long")
+
+
+ROLLS = ("forward", "following", "backward", "preceding", "modifiedfollowing", "modifiedpreceding", "nat", "raise")
+
+
+def busday_offset(x, n, roll: str = "forward", holidays: list[dt.date] | None = None, weekmask: str = MASK) -> Column:
+    """The date n business days on, after rolling a day that is none: on, back, on or back within the month, to NULL
+    (``nat``), or not at all (``raise``)."""
+    if roll not in ROLLS:
+        raise ValueError(f"roll {roll!r} is none of {ROLLS}")
+    calendar, x = Calendar(weekmask, holidays), _c(x).cast("date")
     n = _c(n) if not isinstance(n, int) else F.lit(n)
-    wd = F.weekday(x)
-    forward = F.when(wd == 5, F.date_add(x, 2)).when(wd == 6, F.date_add(x, 1)).otherwise(x)
-    backward = F.when(wd == 5, F.date_add(x, -1)).when(wd == 6, F.date_add(x, -2)).otherwise(x)
-    start = forward if roll == "forward" else backward
-    at = F.weekday(start) + n
-    return F.date_add(start, (F.floor(at / 5) * 7 + F.pmod(at, F.lit(5)) - F.weekday(start)).cast("int"))
+    on, back = calendar.ordinal(x), calendar.ordinal(F.date_add(x, 1)) - 1
+    inside = lambda k: F.trunc(calendar.date_of(k), "month") == F.trunc(x, "month")
+    start = {
+        "forward": on, "following": on, "backward": back, "preceding": back,
+        "modifiedfollowing": F.when(inside(on), on).otherwise(back), "modifiedpreceding": F.when(inside(back), back).otherwise(on),
+        "nat": F.when(calendar.open(x), on), "raise": F.when(calendar.open(x), on).otherwise(F.raise_error(F.lit("not a business day")).cast("long")),
+    }[roll]
+    return calendar.date_of(start + n)
 
 
 def as_string(ts, unit: str = "s") -> Column:

@@ -85,6 +85,46 @@ def index(s, part: str) -> Column:
     return F.when(at < 0, F.raise_error(F.lit("substring not found")).cast("int")).otherwise(at)
 
 
+def rindex(s, part: str) -> Column:
+    """As rfind, but absence raises."""
+    at = rfind(s, part)
+    return F.when(at < 0, F.raise_error(F.lit("substring not found")).cast("int")).otherwise(at)
+
+
+def slice(s, start: int | None = None, stop: int | None = None) -> Column:  # noqa: A001
+    """Characters from ``start`` before ``stop``, negative ones counted from the end."""
+    s = _c(s)
+    n = F.length(s)
+
+    def place(x: int | None, default: Column) -> Column:
+        if x is None:
+            return default
+        return F.least(F.lit(x), n) if x >= 0 else F.greatest(n + x, F.lit(0))
+
+    a, b = place(start, F.lit(0)), place(stop, n)
+    return F.substring(s, a + 1, F.greatest(b - a, F.lit(0)))
+
+
+def mod(pattern: str, *values) -> Column:
+    """A printf pattern filled with columns."""
+    return F.format_string(pattern, *[_c(v) for v in values])
+
+
+def equal(a, b): return _c(a) == _c(b)  # noqa: E704
+def not_equal(a, b): return _c(a) != _c(b)  # noqa: E704
+def less(a, b): return _c(a) < _c(b)  # noqa: E704
+def less_equal(a, b): return _c(a) <= _c(b)  # noqa: E704
+def greater(a, b): return _c(a) > _c(b)  # noqa: E704
+def greater_equal(a, b): return _c(a) >= _c(b)  # noqa: E704
+
+
+def compare_chararrays(a, b, op: str, rstrip: bool = True) -> Column:
+    """A comparison by code point, by default without white space at the ends."""
+    ops = {"==": equal, "!=": not_equal, "<": less, "<=": less_equal, ">": greater, ">=": greater_equal}
+    end = (lambda x: F.rtrim(_c(x), F.lit(SPACE))) if rstrip else _c
+    return ops[op](end(a), end(b))
+
+
 def count(s, part: str) -> Column:
     """Without overlaps."""
     s = _c(s)
@@ -149,6 +189,14 @@ def split(s, sep: str | None = None, maxsplit: int = -1) -> Column:
     return F.split(s, _literal(sep), maxsplit + 1 if maxsplit >= 0 else -1)
 
 
+def rsplit(s, sep: str | None = None, maxsplit: int = -1) -> Column:
+    """As split, but the cuts are counted from the end."""
+    if maxsplit < 0:
+        return split(s, sep)
+    parts = split(F.reverse(_c(s)), None if sep is None else sep[::-1], maxsplit)
+    return F.reverse(F.transform(parts, F.reverse))
+
+
 def splitlines(s) -> Column:
     parts = F.split(_c(s), "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]")
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)

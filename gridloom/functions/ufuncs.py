@@ -9,9 +9,12 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from . import ieee
 from .ieee import INF, NAN, col, d
@@ -73,14 +76,14 @@ def _arctan2(y, x):
 
 
 def _gcd(a, b):
-    small = F.least(F.abs(col(a).cast("double")), F.abs(col(b).cast("double")))
-    step = F.aggregate(
-        F.sequence(F.lit(1), (F.log2(small + 1) * 1.45).cast("int") + 3),  # as many steps as the smaller number can need
-        F.struct(F.abs(col(a).cast("long")).alias("x"), F.abs(col(b).cast("long")).alias("y")),
-        lambda s, _: F.when(s["y"] == 0, s).otherwise(F.struct(s["y"].alias("x"), (s["x"] % F.nullif(s["y"], F.lit(0))).alias("y"))),
-        lambda s: s["x"],
-    )
-    return step
+    """Euclid's loop has no expression in generated code: batches go through Arrow.  (A local function travels by value.)"""
+
+    def euclid(x: pd.Series, y: pd.Series) -> pd.Series:
+        both = x.notna() & y.notna()
+        got = np.gcd(x.where(both, 0).astype("int64"), y.where(both, 0).astype("int64"))
+        return got.astype("Int64").where(both)
+
+    return F.pandas_udf(euclid, LongType())(col(a).cast("long"), col(b).cast("long"))
 
 
 def _lcm(a, b):
@@ -250,9 +253,7 @@ def piecewise(x, conditions: list[Column], functions: list[Callable[[Column], Co
 
 @dataclass(frozen=True)
 class Ufunc:
-    """A binary function with its reductions.
-
-    ``outer`` is for operands of checked size: one of them must be small enough to be broadcast by the planner."""
+    """A binary function with its reductions."""
 
     name: str
     aggregate: Callable[[Column], Column]
@@ -277,10 +278,14 @@ class Ufunc:
         joined = df.join(total, F.col(key) == F.col("__k"), "left")
         return joined.withColumn(value, F.when(F.col("__u").isNull(), F.col(value)).otherwise(self(value, "__u"))).drop("__k", "__u")
 
-    def outer(self, a: DataFrame, b: DataFrame, value: str = "v") -> DataFrame:
+    def outer(self, a: DataFrame, b: DataFrame, value: str = "v", most: int = 1 << 20) -> DataFrame:
+        """Every pair; ``b`` is counted and sent to every task, so it may have ``most`` rows at most."""
+        n = b.count()
+        if n > most:
+            raise ValueError(f"the second operand of an outer has {n} rows; at most {most}")
         x = a.select(F.col("i0"), F.col(value).alias("__x"))
         y = b.select(F.col("i0").alias("i1"), F.col(value).alias("__y"))
-        return x.join(y).select("i0", "i1", self("__x", "__y").alias(value))
+        return x.join(F.broadcast(y)).select("i0", "i1", self("__x", "__y").alias(value))
 
 
 UFUNC_OBJECTS = {

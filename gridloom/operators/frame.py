@@ -15,6 +15,18 @@ from pyspark.sql import functions as F
 from ..functions.ufuncs import BINARY, UNARY
 
 
+#: Cells of the smaller operand of an outer product at most; beyond it use blocks (``linalg.block_matmul``).
+MAX_OUTER = 1 << 20
+
+
+def sent(a: NdFrame, b: NdFrame) -> NdFrame:
+    """The smaller of two arrays that are combined cell by cell with each other; refused when it is large."""
+    small = a if a.size <= b.size else b
+    if small.size > MAX_OUTER:
+        raise ValueError(f"an outer product of shapes {a.shape} and {b.shape}: one side may have {MAX_OUTER} cells at most")
+    return small
+
+
 @dataclass(frozen=True)
 class NdFrame:
     cells: DataFrame
@@ -101,7 +113,10 @@ class NdFrame:
                 keys.append(k)
         left = a.cells.select(*[F.col(f"i{k}").alias(f"a{k}") for k in range(n)], F.col("v").alias("x"))
         right = b.cells.select(*[F.col(f"i{k}").alias(f"b{k}") for k in range(n)], F.col("v").alias("y"))
-        joined = left.join(right, [F.col(f"a{k}") == F.col(f"b{k}") for k in keys]) if keys else left.join(right)
+        if keys:
+            joined = left.join(right, [F.col(f"a{k}") == F.col(f"b{k}") for k in keys])
+        else:  # an outer combination: one side is sent to every task, so its size is checked
+            joined = left.join(F.broadcast(right)) if sent(b, a) is b else F.broadcast(left).join(right)
         axes = [F.col(f"b{k}" if a.shape[k] == 1 else f"a{k}").alias(f"i{k}") for k in range(n)]
         return NdFrame(joined.select(*axes, f(F.col("x"), F.col("y")).alias("v")), tuple(shape))
 
@@ -138,15 +153,23 @@ class NdFrame:
         return out
 
     def reshape(self, shape: tuple[int, ...]) -> NdFrame:
+        """Another shape of as many cells; one length may be -1."""
+        if sum(s == -1 for s in shape) > 1 or any(s < -1 for s in shape):
+            raise ValueError(f"shape {shape}: one length may be -1")
         known = 1
         for s in shape:
             known *= s if s != -1 else 1
-        shape = tuple(self.size // known if s == -1 else s for s in shape)
+        if -1 in shape:
+            if not known or self.size % known:
+                raise ValueError(f"{self.size} cells don't fill {shape}")
+            shape = tuple(self.size // known if s == -1 else s for s in shape)
+        elif known != self.size:
+            raise ValueError(f"{self.size} cells don't fill {shape}")
         df, rest = self.cells.withColumn("__f", self.flat()), self.size
         axes = []
         for k, s in enumerate(shape):
-            rest //= s
-            axes.append(F.expr(f"(__f div {rest}) % {s}").alias(f"i{k}"))
+            rest //= max(s, 1)
+            axes.append(F.expr(f"(__f div {max(rest, 1)}) % {max(s, 1)}").alias(f"i{k}"))
         return NdFrame(df.select(*axes, "v"), shape)
 
     def ravel(self) -> NdFrame:
@@ -158,12 +181,14 @@ class NdFrame:
     def roll(self, shift: int, axis: int) -> NdFrame:
         return NdFrame(self.cells.withColumn(f"i{axis}", F.pmod(F.col(f"i{axis}") + shift, F.lit(self.shape[axis]))), self.shape)
 
-    def slice(self, axis: int, start: int, stop: int, step: int = 1) -> NdFrame:
-        i = F.col(f"i{axis}")
-        inside = (i >= start) & (i < stop) & ((i - start) % step == 0)
-        cells = self.cells.where(inside).withColumn(f"i{axis}", F.expr(f"(i{axis} - {start}) div {step}"))
-        n = max(0, -(-(min(stop, self.shape[axis]) - start) // step))
-        return NdFrame(cells, (*self.shape[:axis], n, *self.shape[axis + 1 :]))
+    def slice(self, axis: int, start: int | None = None, stop: int | None = None, step: int = 1) -> NdFrame:
+        """As a Python slice: ends may be negative or left out, a negative step goes backwards."""
+        places = range(*slice(start, stop, step).indices(self.shape[axis]))
+        i, first, n = F.col(f"i{axis}"), places.start, len(places)
+        at = (i - first) if step > 0 else (F.lit(first) - i)
+        inside = (at >= 0) & (at < max(n, 1) * abs(step)) & (at % abs(step) == 0) & F.lit(n > 0)
+        to = f"(i{axis} - {first}) div {abs(step)}" if step > 0 else f"({first} - i{axis}) div {abs(step)}"
+        return NdFrame(self.cells.where(inside).withColumn(f"i{axis}", F.expr(to)), (*self.shape[:axis], n, *self.shape[axis + 1 :]))
 
     def expand_dims(self, axis: int) -> NdFrame:
         axes = [F.col(f"i{k}") for k in range(axis)] + [F.lit(0).cast("long").alias(f"i{axis}")]
@@ -171,6 +196,8 @@ class NdFrame:
         return NdFrame(self.cells.select(*axes, "v"), (*self.shape[:axis], 1, *self.shape[axis:]))
 
     def concatenate(self, other: NdFrame, axis: int = 0) -> NdFrame:
+        if self.ndim != other.ndim or any(a != b for k, (a, b) in enumerate(zip(self.shape, other.shape, strict=True)) if k != axis):
+            raise ValueError(f"shapes {self.shape} and {other.shape} differ beside axis {axis}")
         moved = other.cells.withColumn(f"i{axis}", F.col(f"i{axis}") + self.shape[axis])
         n = self.shape[axis] + other.shape[axis]
         return NdFrame(self.cells.unionByName(moved), (*self.shape[:axis], n, *self.shape[axis + 1 :]))

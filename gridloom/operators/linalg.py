@@ -15,21 +15,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frame import NdFrame
+from .frame import NdFrame, sent
 
 BLOCK = 256
+#: Blocks along each side of a task's part of a product: tile * tile * 512 KB of sums.
+TILE = 8
 
 
-def parse(subscripts: str, n: int) -> tuple[list[str], str]:
+def parse(subscripts: str, ranks: list[int]) -> tuple[list[str], str]:
+    """The labels of every operand and of the result; ``...`` stands for the axes that an operand's labels leave, aligned
+    from the right."""
     text = subscripts.replace(" ", "")
     left, arrow, out = text.partition("->")
     terms = left.split(",")
-    if len(terms) != n:
-        raise ValueError(f"{subscripts!r} has {len(terms)} operands, not {n}")
+    if len(terms) != len(ranks):
+        raise ValueError(f"{subscripts!r} has {len(terms)} operands, not {len(ranks)}")
+    spare = [c for c in map(chr, range(0x3B1, 0x3CA)) if c not in text]  # labels that no one wrote
+    most, full = 0, []
+    for term, rank in zip(terms, ranks, strict=True):
+        head, dots, tail = term.partition("...")
+        free = rank - len(head) - len(tail) if dots else 0
+        if free < 0 or "." in head + tail:
+            raise ValueError(f"labels {term!r} for an array of {rank} axes")
+        most = max(most, free)
+        full.append(head + "".join(spare[:free][::-1]) + tail)
+    every, dotted = "".join(full), "".join(spare[:most][::-1])
     if not arrow:
-        every = "".join(terms)
-        out = "".join(sorted(c for c in set(every) if every.count(c) == 1))
-    return terms, out
+        out = dotted + "".join(sorted(c for c in set(every) - set(dotted) if every.count(c) == 1))
+    out = out.replace("...", dotted)
+    if set(out) - set(every) or len(set(out)) != len(out):
+        raise ValueError(f"{subscripts!r}: the result has labels of no operand, or twice")
+    return full, out
 
 
 def _labelled(a: NdFrame, term: str) -> tuple[DataFrame, str]:
@@ -45,13 +61,19 @@ def _labelled(a: NdFrame, term: str) -> tuple[DataFrame, str]:
 
 
 def einsum(subscripts: str, *operands: NdFrame) -> NdFrame:
-    terms, out = parse(subscripts, len(operands))
+    terms, out = parse(subscripts, [a.ndim for a in operands])
     size: dict[str, int] = {}
     for term, a in zip(terms, operands, strict=True):
-        for c, n in zip(term, a.shape, strict=True):
-            if size.setdefault(c, n) != n:
+        for c, n in zip(term, a.shape, strict=False):
+            if 1 not in (n, size.setdefault(c, n)) and size[c] != n:
                 raise ValueError(f"label {c!r} has lengths {size[c]} and {n}")
-    todo = [_labelled(a, t) for a, t in zip(operands, terms, strict=True)]
+            size[c] = max(size[c], n)
+    todo = []
+    for a, term in zip(operands, terms, strict=True):
+        df, labels = _labelled(a, term)
+        # an axis of length 1 stretches to any length: its label goes
+        wide = "".join(c for c in labels if a.shape[term.index(c)] == size[c])
+        todo.append((df.select(*[f"l_{c}" for c in wide], "v"), wide))
 
     def volume(labels: str) -> int:
         v = 1
@@ -76,7 +98,11 @@ def einsum(subscripts: str, *operands: NdFrame) -> NdFrame:
         todo = [t for k, t in enumerate(todo) if k not in (i, j)]
         shared = [f"l_{c}" for c in x if c in y]
         b = b.withColumnRenamed("v", "w")
-        joined = a.join(b, shared) if shared else a.join(b)
+        if shared:
+            joined = a.join(b, shared)
+        else:
+            first = NdFrame(a, tuple(size[c] for c in x))
+            joined = F.broadcast(a).join(b) if sent(first, NdFrame(b, tuple(size[c] for c in y))) is first else a.join(F.broadcast(b))
         keep = kept(set(x) | set(y), todo)
         product = (F.col("v") * F.col("w")).alias("v")
         joined = joined.select(*[f"l_{c}" for c in keep], product)
@@ -145,32 +171,49 @@ def _blocks(a: NdFrame, block: int) -> DataFrame:
     return cells.groupBy("bi", "bj").applyInArrow(pack, "bi long, bj long, data binary")
 
 
-def block_matmul(a: NdFrame, b: NdFrame, block: int = BLOCK) -> NdFrame:
-    """Product of large dense matrices, block by block."""
-    x = _blocks(a, block)
-    y = _blocks(b, block).select(F.col("bi").alias("bk"), F.col("bj").alias("bl"), F.col("data").alias("other"))
+def block_matmul(a: NdFrame, b: NdFrame, block: int = BLOCK, tile: int = TILE) -> NdFrame:
+    """Product of large dense matrices, block by block.
 
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [
-                (np.frombuffer(p.as_py()).reshape(block, block) @ np.frombuffer(q.as_py()).reshape(block, block)).tobytes()
-                for p, q in zip(batch.column(2), batch.column(3), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(got, pa.binary())], ["bi", "bl", "part"])
-
-    parts = x.join(y, F.col("bj") == F.col("bk")).select("bi", "bl", "data", "other").mapInArrow(multiply, "bi long, bl long, part binary")
+    A task makes a tile of ``tile`` by ``tile`` blocks of the result and adds up every product in place, in order of the
+    shared axis, so partial products never move; a block of an operand goes to one task per ``tile`` result blocks.
+    """
+    if a.shape[1] != b.shape[0]:
+        raise ValueError(f"shapes {a.shape} and {b.shape} don't multiply")
     n, m = a.shape[0], b.shape[1]
+    rows, cols = -(-n // (block * tile)), -(-m // (block * tile))
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(k - 1, 0)).cast("long")))
+    left = _blocks(a, block).select(F.expr(f"bi div {tile}").alias("ti"), every(cols).alias("tj"), F.col("bj").alias("k"), F.lit(0).alias("side"), F.col("bi").alias("at"), "data")
+    right = _blocks(b, block).select(every(rows).alias("ti"), F.expr(f"bj div {tile}").alias("tj"), F.col("bi").alias("k"), F.lit(1).alias("side"), F.col("bj").alias("at"), "data")
 
-    def total(key: tuple[pa.Scalar, ...], rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros((block, block))
-        for batch in rows:
-            for p in batch.column("part"):
-                out += np.frombuffer(p.as_py()).reshape(block, block)
-        i, j = np.meshgrid(np.arange(block) + key[0].as_py() * block, np.arange(block) + key[1].as_py() * block, indexing="ij")
-        inside = (i < n) & (j < m)
-        yield pa.RecordBatch.from_arrays([pa.array(i[inside]), pa.array(j[inside]), pa.array(out[inside])], ["i0", "i1", "v"])
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile_at, step, held, sums = None, None, {}, {}
+
+        def cells() -> Iterator[pa.RecordBatch]:
+            for (bi, bj), out in sums.items():
+                i, j = np.meshgrid(np.arange(block) + bi * block, np.arange(block) + bj * block, indexing="ij")
+                inside = (i < n) & (j < m)
+                yield pa.RecordBatch.from_arrays([pa.array(i[inside]), pa.array(j[inside]), pa.array(out[inside])], ["i0", "i1", "v"])
 
-    return NdFrame(parts.groupBy("bi", "bl").applyInArrow(total, "i0 long, i1 long, v double"), (n, m))
+        for batch in batches:
+            for ti, tj, k, side, at, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (ti, tj) != tile_at:
+                    yield from cells()
+                    tile_at, step, sums = (ti, tj), None, {}
+                if k != step:
+                    step, held = k, {}
+                square = np.frombuffer(data).reshape(block, block)
+                if side == 0:
+                    held[at] = square
+                    continue
+                for bi, other in held.items():
+                    if (bi, at) in sums:
+                        sums[bi, at] += other @ square
+                    else:
+                        sums[bi, at] = other @ square
+        yield from cells()
+
+    both = left.unionByName(right).repartition("ti", "tj").sortWithinPartitions("ti", "tj", "k", "side", "at")
+    return NdFrame(both.mapInArrow(multiply, "i0 long, i1 long, v double"), (n, m))
 
 
 # -- dense matrices, one per row: (key, row-major array of n * m) ---------------------------------------------------------
@@ -246,7 +289,10 @@ def gram(df: DataFrame, vector: str, n: int) -> DataFrame:
         i, j = np.divmod(np.arange(n * n), n)
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(out.ravel())], ["i0", "i1", "v"])
 
-    parts = df.where(F.size(vector) == n).select(vector).mapInArrow(run, "i0 long, i1 long, v double")
+    v = F.col(vector)
+    whole = v.isNull() | ((F.size(v) == n) & ~F.exists(v, lambda x: x.isNull()))
+    checked = F.when(whole, v).otherwise(F.raise_error(F.lit(f"a vector that hasn't {n} elements, none of them null")))
+    parts = df.select(checked.alias("v")).where("v IS NOT NULL").mapInArrow(run, "i0 long, i1 long, v double")
     return parts.groupBy("i0", "i1").agg(F.sum("v").alias("v"))
 
 

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ieee import is_finite
+from . import setops
 from .order import runs
 
 # What fills masked elements by default.
@@ -61,9 +61,54 @@ def compress_rows(df: DataFrame, row: str, value: str) -> DataFrame:
     return df.join(bad, row, "left_anti")
 
 
-def anomalies(value: str, by: list[str]) -> Column:
-    """Difference from the mean of what isn't masked."""
-    return F.col(value) - F.avg(value).over(W.partitionBy(*by))
+def anomalies(df: DataFrame, value: str, by: list[str], as_col: str = "anomaly") -> DataFrame:
+    """Difference from the mean of what isn't masked: a grouped mean and a join, so that a large group is many tasks' work."""
+    means = df.groupBy(*[F.col(b).alias(f"__{k}") for k, b in enumerate(by)]).agg(F.avg(value).alias("__m"))
+    on = F.lit(True)
+    for k, b in enumerate(by):
+        on = on & F.col(b).eqNullSafe(F.col(f"__{k}"))
+    joined = df.join(means, on) if by else df.join(F.broadcast(means))  # one row
+    return joined.withColumn(as_col, F.col(value) - F.col("__m")).drop("__m", *[f"__{k}" for k in range(len(by))])
+
+
+def masked_values(df: DataFrame, value: str, x: float, rtol: float = 1e-5, atol: float = 1e-8) -> DataFrame:
+    """Masked where close to ``x``."""
+    return masked_where(df, F.abs(F.col(value) - x) <= atol + rtol * abs(x), value)
+
+
+def mask_rowcols(df: DataFrame, axes: list[str], value: str) -> DataFrame:
+    """Of a cell table: the whole of every row and column (along each of ``axes``) that holds a masked element is masked."""
+    hit = F.lit(False)
+    out = df
+    for k, axis in enumerate(axes):
+        bad = df.where(F.col(value).isNull()).select(F.col(axis).alias(f"__a{k}"), F.lit(True).alias(f"__bad{k}")).distinct()
+        out = out.join(bad, F.col(axis) == F.col(f"__a{k}"), "left")
+        hit = hit | F.coalesce(f"__bad{k}", F.lit(False))
+    return out.select(*[F.when(~hit, F.col(c)).alias(c) if c == value else F.col(c) for c in df.columns])
+
+
+def _masked_sides(f, a: DataFrame, b: DataFrame, value: str, both: Column) -> DataFrame:
+    """A set operation on what isn't masked, and the masked element (one at most) where ``both`` of (in a, in b) says so."""
+    hold = [x.agg(F.coalesce(F.bool_or(F.col(value).isNull()), F.lit(False)).alias(n)) for x, n in ((a, "__x"), (b, "__y"))]
+    kind = a.schema[value].dataType
+    masked = hold[0].join(F.broadcast(hold[1])).where(both).select(F.lit(None).cast(kind).alias(value))  # one row each
+    return f(compressed(a, value), compressed(b, value), value).union(masked)
+
+
+def ma_unique(a: DataFrame, value: str) -> DataFrame:
+    """Distinct values; masked elements are one."""
+    return a.select(value).distinct()
+
+
+def ma_union1d(a, b, value): return _masked_sides(setops.union1d, a, b, value, F.col("__x") | F.col("__y"))  # noqa: E704
+def ma_intersect1d(a, b, value): return _masked_sides(setops.intersect1d, a, b, value, F.col("__x") & F.col("__y"))  # noqa: E704
+def ma_setdiff1d(a, b, value): return _masked_sides(setops.setdiff1d, a, b, value, F.col("__x") & ~F.col("__y"))  # noqa: E704
+def ma_setxor1d(a, b, value): return _masked_sides(setops.setxor1d, a, b, value, F.col("__x") != F.col("__y"))  # noqa: E704
+
+
+def ma_isin(a: DataFrame, b: DataFrame, value: str, as_col: str = "isin") -> DataFrame:
+    """Masked elements stay masked in the answer."""
+    return setops.isin(a, compressed(b, value), value, as_col=as_col).withColumn(as_col, F.when(F.col(value).isNotNull(), F.col(as_col)))
 
 
 def median(value: str) -> Column:

@@ -1,8 +1,12 @@
 """Operators that need an order: sorts, ranks, running sums, searches, interpolation, unique values.
 
-A whole array is one lane, and a window without partitions would put it in one task.  ``ranked`` and ``running`` work in
-two passes instead: the rows are range-partitioned by the order, each partition is numbered or summed on its own, and
-the offsets of the partitions (a row each) are added.
+A whole array, or one group with a third of all rows, is one lane, and a window over it would put it in one task.
+``ranked`` and ``running`` work in two passes instead: the rows are range-partitioned by group and order, each partition
+is numbered or summed on its own, and what a group has in the partitions before is added.  Only a partition's first group
+can have begun before it, so there is at most one such offset per partition.
+
+Ties in the order are broken by the other columns that can be sorted, so results don't depend on the run but among rows
+that are equal.
 """
 
 from __future__ import annotations
@@ -12,8 +16,9 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.ieee import NAN, d
+from ..functions.ieee import NAN, d, divide
 
 
 def _ranged(df: DataFrame, order: list[str]) -> DataFrame:
@@ -22,36 +27,54 @@ def _ranged(df: DataFrame, order: list[str]) -> DataFrame:
     spark = df.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         return spread.persist()  # one machine, as in tests
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared)
     return spread.checkpoint()
 
 
-def _offsets(parts: DataFrame, value: Column) -> DataFrame:
-    """Sum of ``value`` in the partitions before each: a table with a row per partition."""
-    totals = parts.groupBy("__p").agg(value.alias("__t"))
-    before = F.sum("__t").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1))
-    return totals.select(F.col("__p").alias("__q"), F.coalesce(before, F.lit(0)).alias("__before"))
+def _unbroken(df: DataFrame, order: list) -> list:
+    """``order`` with the other sortable columns after it."""
+    named = {c for c in order if isinstance(c, str)}
+    return [*order, *[f.name for f in df.schema.fields if f.name not in named and not isinstance(f.dataType, (T.MapType, T.VariantType)) and "map<" not in f.dataType.simpleString()]]
+
+
+def _offsets(parts: DataFrame, value: Column, by: list[str]) -> DataFrame:
+    """What each group has in the partitions before one, where that is something: a row per partition at most."""
+    totals = parts.groupBy("__p", *by).agg(value.alias("__t"))
+    w = W.partitionBy(*by).orderBy("__p")
+    before = totals.withColumn("__before", F.sum("__t").over(w.rowsBetween(W.unboundedPreceding, -1)))
+    return before.where("__before IS NOT NULL").select(F.col("__p").alias("__q"), *[F.col(b).alias(f"__g{k}") for k, b in enumerate(by)], "__before")
 
 
-def ranked(df: DataFrame, order: list[str], as_col: str) -> DataFrame:
-    """Rows numbered from 0 by ``order``."""
-    parts = _ranged(df, order)
-    local = F.row_number().over(W.partitionBy("__p").orderBy(*order)) - 1
-    out = parts.withColumn("__l", local).join(F.broadcast(_offsets(parts, F.count(F.lit(1)))), F.col("__p") == F.col("__q"))
-    return out.withColumn(as_col, (F.col("__l") + F.col("__before")).cast("long")).drop("__p", "__q", "__l", "__before")
+def _carried(parts: DataFrame, value: Column, by: list[str], local: Column, as_col: str) -> DataFrame:
+    on = F.col("__p") == F.col("__q")
+    for k, b in enumerate(by):
+        on = on & F.col(b).eqNullSafe(F.col(f"__g{k}"))
+    gone = ["__p", "__q", "__l", "__before", *[f"__g{k}" for k in range(len(by))]]
+    out = parts.withColumn("__l", local).join(F.broadcast(_offsets(parts, value, by)), on, "left")
+    return out.withColumn(as_col, F.col("__l") + F.coalesce("__before", F.lit(0))).drop(*gone)
+
+
+def ranked(df: DataFrame, order: list[str], as_col: str, by: list[str] | None = None) -> DataFrame:
+    """Rows numbered from 0 by ``order``, within groups or over the whole table."""
+    by = by or []
+    every = _unbroken(df, order)
+    parts = _ranged(df, [*by, *order])
+    local = F.row_number().over(W.partitionBy("__p", *by).orderBy(*every)) - 1
+    out = _carried(parts, F.count(F.lit(1)), by, local, as_col)
+    return out.withColumn(as_col, F.col(as_col).cast("long"))
 
 
 def running(df: DataFrame, order: list[str], value: str, as_col: str, by: list[str] | None = None) -> DataFrame:
     """Running sum by ``order``, within groups or over the whole table."""
-    if by:
-        w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-        return df.withColumn(as_col, F.sum(value).over(w))
-    parts = _ranged(df, order)
-    w = W.partitionBy("__p").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    out = parts.withColumn("__l", F.sum(value).over(w)).join(F.broadcast(_offsets(parts, F.sum(value))), F.col("__p") == F.col("__q"))
-    return out.withColumn(as_col, F.col("__l") + F.col("__before")).drop("__p", "__q", "__l", "__before")
+    by = by or []
+    every = _unbroken(df, order)
+    parts = _ranged(df, [*by, *order])
+    w = W.partitionBy("__p", *by).orderBy(*every).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return _carried(parts, F.sum(value), by, F.sum(value).over(w), as_col)
 
 
 def cumsum(df: DataFrame, order: str, value: str, by: list[str] | None = None, as_col: str = "cumsum") -> DataFrame:
@@ -98,12 +121,30 @@ def diff(df: DataFrame, order: str, value: str, by: list[str], n: int = 1, as_co
     return out
 
 
-def gradient(df: DataFrame, order: str, value: str, by: list[str], as_col: str = "gradient") -> DataFrame:
-    """Central differences inside, one-sided at the ends, of unit steps."""
+def ediff1d(df: DataFrame, order: str, value: str, to_begin: list[float] | None = None, to_end: list[float] | None = None) -> DataFrame:
+    """(i0, v): differences of the whole column in order, with values before and after them."""
+    before, after = to_begin or [], to_end or []
+    rows = ranked(df.select(F.col(order).alias("__o"), d(value).alias("__v")), ["__o"], "__k")
+    follows = rows.select((F.col("__k") + 1).alias("__k"), F.col("__v").alias("__w"))
+    steps = rows.join(follows, "__k").select((F.col("__k") - 1 + len(before)).alias("i0"), (F.col("__v") - F.col("__w")).alias("v"))
+    n = max(rows.count() - 1, 0)
+    more = [(i, float(x)) for i, x in enumerate(before)] + [(len(before) + n + i, float(x)) for i, x in enumerate(after)]
+    return steps.unionByName(df.sparkSession.createDataFrame(more, "i0 long, v double")) if more else steps
+
+
+def gradient(df: DataFrame, order: str, value: str, by: list[str], as_col: str = "gradient", spacing: float | str = 1.0) -> DataFrame:
+    """Central differences inside, one-sided at the ends, of steps of one length, or of the coordinates in a column (there
+    the inner ones are of second order in both steps)."""
     w = W.partitionBy(*by).orderBy(order)
-    before, after = F.lag(d(value)).over(w), F.lead(d(value)).over(w)
-    inner = (after - before) / 2
-    return df.withColumn(as_col, F.when(before.isNull(), after - d(value)).when(after.isNull(), d(value) - before).otherwise(inner))
+    v = d(value)
+    before, after = F.lag(v).over(w), F.lead(v).over(w)
+    if isinstance(spacing, str):
+        left, right = d(spacing) - F.lag(d(spacing)).over(w), F.lead(d(spacing)).over(w) - d(spacing)
+        inner = (left * left * after - right * right * before + (right * right - left * left) * v) / (left * right * (left + right))
+    else:
+        left = right = F.lit(float(spacing))
+        inner = (after - before) / (2 * float(spacing))
+    return df.withColumn(as_col, F.when(before.isNull(), (after - v) / right).when(after.isNull(), (v - before) / left).otherwise(inner))
 
 
 def trapezoid(df: DataFrame, x: str, y: str, by: list[str], as_col: str = "area") -> DataFrame:
@@ -129,6 +170,18 @@ def lexsort(df: DataFrame, by: list[str], keys: list[str], pos: str) -> DataFram
     return df.select(*by, rank.alias("rank"), F.col(pos).alias("index"))
 
 
+def partition(df: DataFrame, value: str, pos: str, kth: int, by: list[str] | None = None) -> DataFrame:
+    """Rows with ``part``: -1 for those that sort before the kth place (from 0), 0 for the one in it, 1 for those after; ties by
+    position, NaN last.  ``pos`` of the rows in any order with part -1, 0, 1 is an argpartition."""
+    placed = ranked(df, [value, pos], "__k", by)
+    return placed.withColumn("part", F.signum(F.col("__k") - kth).cast("int")).drop("__k")
+
+
+def sort_complex(df: DataFrame, re: str, im: str, as_col: str = "i") -> DataFrame:
+    """Each row's place by real, then imaginary part; parts that are NaN last."""
+    return ranked(df, [re, im], as_col)
+
+
 def top_k(df: DataFrame, value: str, k: int, pos: str, by: list[str] | None = None) -> DataFrame:
     """The k largest, ties by position: what a partition around the k-th gives."""
     order = [F.col(value).desc(), F.col(pos)]
@@ -137,19 +190,29 @@ def top_k(df: DataFrame, value: str, k: int, pos: str, by: list[str] | None = No
     return df.withColumn("__r", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("__r") <= k).drop("__r")
 
 
-def average_rank(value: str, by: list[str]) -> Column:
-    """Ranks from 1 within groups; ties share their mean rank."""
-    low = F.rank().over(W.partitionBy(*by).orderBy(value))
-    ties = F.count(F.lit(1)).over(W.partitionBy(*by, value))
-    return low + (ties - 1) / 2
+def average_ranks(df: DataFrame, value: str, by: list[str], weight: str, as_col: str) -> DataFrame:
+    """(by..., value, rank): the mean rank from 1 of each distinct value, which has ``weight`` rows."""
+    counts = df.groupBy(*by, value).agg(F.sum(weight).alias("__n"))
+    upto = running(counts, [value], "__n", "__upto", by)
+    return upto.select(*by, value, (F.col("__upto") - (F.col("__n") - 1) / 2).alias(as_col))
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    from .reduce import correlation
-
-    r = df.where(d(x).isNotNull() & d(y).isNotNull())
-    r = r.withColumn("__x", average_rank(x, by)).withColumn("__y", average_rank(y, by))
-    return r.groupBy(*by).agg(correlation("__x", "__y").alias("rho"))
+    """(by..., rho, n): correlation of mean ranks, from counts per pair of values."""
+    pairs = df.where(d(x).isNotNull() & d(y).isNotNull()).groupBy(*by, d(x).alias("__x"), d(y).alias("__y")).agg(F.count(F.lit(1)).alias("__w"))
+    rx, ry = average_ranks(pairs, "__x", by, "__w", "__rx"), average_ranks(pairs, "__y", by, "__w", "__ry")
+    both = pairs
+    for ranks, v in ((rx, "__x"), (ry, "__y")):
+        names = [*by, v]
+        right = ranks.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(names)], ranks.columns[-1])
+        on = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(names)]
+        both = both.join(right, on).drop(*[f"__k{i}" for i in range(len(names))])
+    n = both.groupBy(*[F.col(b).alias(f"__k{i}") for i, b in enumerate(by)]).agg(F.sum("__w").alias("n"))
+    on = [F.col(b).eqNullSafe(F.col(f"__k{i}")) for i, b in enumerate(by)]
+    both = both.join(n, on) if by else both.join(F.broadcast(n))  # one row
+    a, b, w = F.col("__rx") - (F.col("n") + 1) / 2, F.col("__ry") - (F.col("n") + 1) / 2, F.col("__w")
+    rho = divide(F.sum(w * a * b), F.sqrt(F.sum(w * a * a)) * F.sqrt(F.sum(w * b * b)))
+    return both.groupBy(*by).agg(rho.alias("rho"), F.max("n").alias("n"))
 
 
 def searchsorted(df: DataFrame, value: str, edges: list[float], side: str = "left", as_col: str = "at") -> DataFrame:

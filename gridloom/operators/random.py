@@ -9,9 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def uniform(index: Column, seed: int, stream: int = 0) -> Column:
+#: Proposals that a rejection method makes for one draw; each is taken with a chance over 0.4, most with over 0.9.
+ATTEMPTS = 40
+
+
+def uniform(index: Column, seed: int, stream: int | Column = 0) -> Column:
     """In (0, 1)."""
-    h = F.xxhash64(index, F.lit(seed), F.lit(stream))
+    h = F.xxhash64(index, F.lit(seed), stream if isinstance(stream, Column) else F.lit(stream))
     return (F.shiftrightunsigned(h, 12).cast("double") + 0.5) / float(1 << 52)
 
 
@@ -19,9 +23,187 @@ def integers(index: Column, seed: int, low: int, high: int) -> Column:
     return (F.floor(uniform(index, seed) * (high - low)) + low).cast("long")
 
 
+def _gauss(index: Column, seed: int, a: int | Column, b: int | Column) -> Column:
+    return F.sqrt(-2 * F.log(uniform(index, seed, a))) * F.cos(uniform(index, seed, b) * (2 * math.pi))
+
+
 def normal(index: Column, seed: int, mean: float = 0.0, std: float = 1.0) -> Column:
-    radius = F.sqrt(-2 * F.log(uniform(index, seed, 0)))
-    return radius * F.cos(uniform(index, seed, 1) * (2 * math.pi)) * std + mean
+    return _gauss(index, seed, 0, 1) * std + mean
+
+
+def _first_taken(propose, otherwise: Column) -> Column:
+    """The first proposal that is taken: ``propose`` of an attempt's number gives (value, whether it is)."""
+
+    def step(got: Column, k: Column) -> Column:
+        value, taken = propose(k)
+        return F.when(got.isNotNull(), got).when(taken, value)
+
+    tries = F.array(*[F.lit(k) for k in range(ATTEMPTS)])
+    return F.coalesce(F.aggregate(tries, F.lit(None).cast("double"), step), otherwise)
+
+
+def standard_gamma(index: Column, seed: int, shape: float) -> Column:
+    """By cubes of shifted normals; a shape under 1 by one more and a power."""
+    if shape <= 0:
+        raise ValueError("a positive shape")
+    a = shape if shape >= 1 else shape + 1
+    d_, c = a - 1 / 3, 1 / math.sqrt(9 * (a - 1 / 3))
+
+    def propose(k: Column) -> tuple[Column, Column]:
+        x = _gauss(index, seed, k * 3 + 100, k * 3 + 101)
+        v = F.pow(1 + c * x, F.lit(3.0))
+        good = F.log(uniform(index, seed, k * 3 + 102)) < 0.5 * x * x + d_ - d_ * v + d_ * F.log(F.greatest(v, F.lit(1e-300)))
+        return v * d_, (v > 0) & good
+
+    out = _first_taken(propose, F.lit(d_))
+    return out if shape >= 1 else out * F.pow(uniform(index, seed, 99), F.lit(1 / shape))
+
+
+def gamma(index, seed, shape, scale=1.0): return standard_gamma(index, seed, shape) * scale  # noqa: E704
+def chisquare(index, seed, df): return standard_gamma(index, seed, df / 2) * 2  # noqa: E704
+
+
+def beta(index: Column, seed: int, a: float, b: float) -> Column:
+    x, y = standard_gamma(index, seed, a), standard_gamma(index, seed + 1_000_003, b)
+    return x / (x + y)
+
+
+def f(index: Column, seed: int, dfnum: float, dfden: float) -> Column:
+    return chisquare(index, seed, dfnum) / dfnum / (chisquare(index, seed + 1_000_003, dfden) / dfden)
+
+
+def standard_t(index: Column, seed: int, df: float) -> Column:
+    return normal(index, seed) / F.sqrt(chisquare(index, seed + 1_000_003, df) / df)
+
+
+def noncentral_chisquare(index: Column, seed: int, df: float, nonc: float) -> Column:
+    """For more than one degree of freedom one normal carries the shift."""
+    if df <= 1:
+        raise ValueError("more than one degree of freedom")
+    return chisquare(index, seed + 1_000_003, df - 1) + F.pow(normal(index, seed) + math.sqrt(nonc), F.lit(2.0))
+
+
+def noncentral_f(index: Column, seed: int, dfnum: float, dfden: float, nonc: float) -> Column:
+    return noncentral_chisquare(index, seed, dfnum, nonc) / dfnum / (chisquare(index, seed + 2_000_003, dfden) / dfden)
+
+
+def dirichlet(index: Column, seed: int, alpha: list[float]) -> Column:
+    """An array that sums to 1."""
+    parts = F.array(*[standard_gamma(index, seed + k * 1_000_003, a) for k, a in enumerate(alpha)])
+    return F.transform(F.array(parts), lambda p: F.transform(p, lambda x: x / F.aggregate(p, F.lit(0.0), lambda s, y: s + y)))[0]
+
+
+def multivariate_normal(index: Column, seed: int, mean: list[float], cov: list[list[float]]) -> Column:
+    """An array; the factor of the (small) covariance is taken on the driver."""
+    import numpy as np
+
+    factor = np.linalg.cholesky(np.asarray(cov, float))
+    z = [_gauss(index, seed, 2 * k, 2 * k + 1) for k in range(len(mean))]
+    return F.array(*[sum((F.lit(float(factor[i, j])) * z[j] for j in range(i + 1)), F.lit(float(m))) for i, m in enumerate(mean)])
+
+
+def wald(index: Column, seed: int, mean: float, scale: float) -> Column:
+    """The inverse Gaussian: a root of a quadratic, or its counterpart."""
+    y = F.pow(normal(index, seed), F.lit(2.0)) * mean
+    x = mean + mean / (2 * scale) * (y - F.sqrt(4 * scale * y + y * y))
+    return F.when(uniform(index, seed, 2) <= mean / (mean + x), x).otherwise(mean * mean / x)
+
+
+def vonmises(index: Column, seed: int, mu: float, kappa: float) -> Column:
+    """By a wrapped Cauchy envelope, in (-pi, pi]."""
+    if kappa < 1e-8:
+        return uniform(index, seed) * (2 * math.pi) - math.pi
+    tau = 1 + math.sqrt(1 + 4 * kappa * kappa)
+    rho = (tau - math.sqrt(2 * tau)) / (2 * kappa)
+    s = (1 + rho * rho) / (2 * rho)
+
+    def propose(k: Column) -> tuple[Column, Column]:
+        z = F.cos(uniform(index, seed, k * 3 + 100) * math.pi)
+        w = (1 + s * z) / (s + z)
+        y = kappa * (s - w)
+        v = uniform(index, seed, k * 3 + 101)
+        side = F.when(uniform(index, seed, k * 3 + 102) < 0.5, F.lit(-1.0)).otherwise(F.lit(1.0))
+        good = (y * (2 - y) - v >= 0) | (F.log(y / v) + 1 - y >= 0)
+        return side * F.acos(F.greatest(F.lit(-1.0), F.least(w, F.lit(1.0)))), good
+
+    turned = _first_taken(propose, F.lit(0.0)) + mu + math.pi
+    return turned - F.floor(turned / (2 * math.pi)) * (2 * math.pi) - math.pi
+
+
+def zipf(index: Column, seed: int, a: float) -> Column:
+    """By rejection from a power of a uniform."""
+    if a <= 1:
+        raise ValueError("an exponent over 1")
+    b = 2 ** (a - 1)
+
+    def propose(k: Column) -> tuple[Column, Column]:
+        x = F.floor(F.pow(uniform(index, seed, k * 2 + 100), F.lit(-1 / (a - 1)))).cast("double")
+        t = F.pow(1 + 1 / x, F.lit(a - 1))
+        return x, (x < 9.0e18) & (uniform(index, seed, k * 2 + 101) * x * (t - 1) / (b - 1) <= t / b)
+
+    return _first_taken(propose, F.lit(1.0)).cast("long")
+
+
+def logseries(index: Column, seed: int, p: float) -> Column:
+    v, q = uniform(index, seed), 1 - F.exp(math.log1p(-p) * uniform(index, seed, 1))
+    return F.when(v >= p, 1).when(v <= q * q, F.floor(1 + F.log(v) / F.log(q))).when(v >= q, 1).otherwise(2).cast("long")
+
+
+def _poisson_of(index: Column, seed: int, lam: Column, top: int) -> Column:
+    """By inversion, of a rate that is a column; ``top`` bounds the values looked at."""
+    u, first = uniform(index, seed), F.exp(-lam)
+    state = F.struct(first.alias("p"), first.alias("c"), F.lit(0).alias("k"))
+    return F.aggregate(
+        F.sequence(F.lit(1), F.lit(top)), state,
+        lambda a, k: F.when(u <= a["c"], a).otherwise(F.struct((a["p"] * lam / k).alias("p"), (a["c"] + a["p"] * lam / k).alias("c"), k.alias("k"))),
+        lambda a: a["k"],
+    )
+
+
+def negative_binomial(index: Column, seed: int, n: float, p: float) -> Column:
+    """Failures before ``n`` successes: a Poisson variable whose rate is a gamma one (for means up to some hundreds)."""
+    mean = n * (1 - p) / p
+    top = int(mean + 14 * math.sqrt(mean / p) + 40)
+    return _poisson_of(index, seed, gamma(index, seed + 1_000_003, n, (1 - p) / p), top)
+
+
+def hypergeometric(index: Column, seed: int, good: int, bad: int, n: int) -> Column:
+    """Good ones among ``n`` taken without replacement, one by one (for n up to some hundreds)."""
+    if n > good + bad:
+        raise ValueError("more are taken than there are")
+    left = F.lit(float(good + bad))
+    return F.aggregate(
+        F.sequence(F.lit(0), F.lit(max(n - 1, 0))), F.lit(0),
+        lambda got, k: got + F.when(F.lit(n > 0) & (uniform(index, seed, k) * (left - k) < F.lit(float(good)) - got), 1).otherwise(0),
+    )
+
+
+def multivariate_hypergeometric(index: Column, seed: int, colors: list[int], n: int) -> Column:
+    """Counts of each colour among ``n`` taken without replacement: the k-th taken is some place of what is left."""
+    zero = F.array(*[F.lit(0) for _ in colors])
+
+    def take(got: Column, k: Column) -> Column:
+        at = uniform(index, seed, k) * (F.lit(float(sum(colors))) - k)
+        lefts = [F.lit(c) - F.get(got, F.lit(j)) for j, c in enumerate(colors)]
+        upto = [sum(lefts[: j + 1], F.lit(0)) for j in range(len(colors))]
+        return F.array(*[F.get(got, F.lit(j)) + F.when((at < upto[j]) & (at >= (upto[j - 1] if j else F.lit(0))), 1).otherwise(0) for j in range(len(colors))])
+
+    return F.aggregate(F.slice(F.sequence(F.lit(0), F.lit(n)), F.lit(1), F.lit(n)), zero, take)
+
+
+def multinomial(index: Column, seed: int, n: int, weights: list[float]) -> Column:
+    """Counts of each outcome among ``n`` draws (for n up to some hundreds)."""
+    total, edges = sum(weights), [0.0]
+    for w in weights:
+        edges.append(edges[-1] + w / total)
+    edges[-1] = 2.0
+    draws = F.transform(F.sequence(F.lit(1), F.lit(max(n, 1))), lambda k: uniform(index, seed, k))
+    counts = lambda u: F.array(*[F.size(F.filter(u, _between(lo, hi))) for lo, hi in zip(edges[:-1], edges[1:], strict=True)])
+    return F.transform(F.array(draws), counts)[0] if n else F.array(*[F.lit(0) for _ in weights])
+
+
+def _between(low: float, high: float):
+    return lambda x: (x >= low) & (x < high)
 
 
 def exponential(index, seed, scale=1.0): return -F.log(uniform(index, seed)) * scale  # noqa: E704

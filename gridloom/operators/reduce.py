@@ -1,6 +1,6 @@
 """Reductions of an array held as rows: by groups (the axes that stay), with NaN and empty input treated as IEEE does.
 
-Everything here is one aggregate with map-side combine, but for quantiles by method, which need the order within a group.
+Everything here is one aggregate with map-side combine, but for quantiles by method, which need an order of the rows.
 """
 
 from __future__ import annotations
@@ -111,7 +111,7 @@ def nanargmax(pos, v) -> Column:
 
 
 def median(v) -> Column:
-    """NaN if there is one."""
+    """NaN if there is one.  Keeps a group's distinct values; groups of any size: :func:`quantiles`."""
     return F.when(F.bool_or(F.isnan(d(v))), F.lit(NAN)).otherwise(F.percentile(d(v), F.lit(0.5)))
 
 
@@ -214,32 +214,42 @@ def quantile_place(n: Column, q: float, method: str) -> tuple[Column, Column]:
 def quantiles(df: DataFrame, by: list[str], value: str, qs: list[float], method: str = "linear", skip_nan: bool = False) -> DataFrame:
     """One row per group with a column ``q_<i>`` for each quantile.
 
-    A group's rows are sorted once for all quantiles; NaN makes them NaN unless skipped.  Ungrouped input goes through
-    :func:`gridloom.operators.order.ranked`, whose order is distributed."""
+    Rows are numbered once for all quantiles, by a distributed order in which a large group is many tasks' work
+    (:func:`gridloom.operators.order.ranked`); the few places that a group needs then meet them in an equi-join.  NaN makes
+    a group's quantiles NaN unless skipped."""
+    from .order import ranked
+
     if method not in METHODS:
         raise ValueError(f"method {method!r} is none of {METHODS}")
-    v = d(value)
-    rows = df.select(*by, v.alias("__v")).where(F.col("__v").isNotNull())
+    rows = df.select(*by, d(value).alias("__v")).where(F.col("__v").isNotNull())
     if skip_nan:
         rows = rows.where(~F.isnan("__v"))
-    if by:
-        w = W.partitionBy(*by)
-        rows = rows.withColumn("__r", F.row_number().over(w.orderBy("__v")) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
-    else:
-        from .order import ranked
-
-        rows = ranked(rows, ["__v"], "__r")
-        rows = rows.withColumn("__n", F.lit(rows.count()))
-    out = [F.bool_or(F.isnan("__v")).alias("__nan")]
-    for i, q in enumerate(qs):
-        low, part = quantile_place(F.col("__n"), q, method)
-        at = F.col("__r")
-        below = F.max(F.when(at == low, F.col("__v")))
-        above = F.max(F.when(at == F.least(low + 1, F.col("__n") - 1), F.col("__v")))
-        g = F.max(part)
-        out.append(F.when(g == 0, below).when(g == 1, above).otherwise(below + (above - below) * g).alias(f"q_{i}"))
-    got = rows.groupBy(*by).agg(*out)
-    return got.select(*by, *[F.when(F.col("__nan"), F.lit(NAN)).otherwise(F.col(f"q_{i}")).alias(f"q_{i}") for i in range(len(qs))])
+    rows = ranked(rows, ["__v"], "__r", by)
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.bool_or(F.isnan("__v")).alias("__nan"))
+    if not by:
+        sizes = sizes.where("__n > 0")
+    low, high, weight = [], [], []
+    for q in qs:
+        at, part = quantile_place(F.col("__n"), q, method)
+        low.append(at)
+        high.append(F.least(at + 1, F.col("__n") - 1))
+        weight.append(part)
+    sizes = sizes.select(*by, "__nan", F.array(*low).alias("__low"), F.array(*high).alias("__high"), F.array(*[w.cast("double") for w in weight]).alias("__w"))
+    wanted = sizes.select(*[F.col(b).alias(f"__b{k}") for k, b in enumerate(by)], F.explode(F.array_distinct(F.concat("__low", "__high"))).alias("__k"))
+    on = F.col("__r") == F.col("__k")
+    for k, b in enumerate(by):
+        on = on & F.col(b).eqNullSafe(F.col(f"__b{k}"))
+    held = rows.join(wanted, on).groupBy(*[F.col(b).alias(f"__b{k}") for k, b in enumerate(by)]).agg(F.map_from_entries(F.collect_list(F.struct("__k", "__v"))).alias("__at"))
+    same = F.lit(True)
+    for k, b in enumerate(by):
+        same = same & F.col(b).eqNullSafe(F.col(f"__b{k}"))
+    got = sizes.join(held, same) if by else sizes.join(F.broadcast(held))  # one row
+    out = []
+    for i in range(len(qs)):
+        below, above, g = (F.col("__at")[F.get("__low", F.lit(i))], F.col("__at")[F.get("__high", F.lit(i))], F.get("__w", F.lit(i)))
+        v = F.when(g == 0, below).when(g == 1, above).otherwise(below + (above - below) * g)
+        out.append(F.when(F.col("__nan"), F.lit(NAN)).otherwise(v).alias(f"q_{i}"))
+    return got.select(*by, *out)
 
 
 def iqr(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -261,11 +271,11 @@ def bin_of(v, edges: list[float]) -> Column:
     """Which bin of equal or unequal ``edges`` a value falls in (the last bin is closed); NULL outside and for NaN."""
     x, n = d(v), len(edges) - 1
     widths = {round(b - a, 12) for a, b in zip(edges[:-1], edges[1:], strict=True)}
-    if len(widths) == 1 and n > 8:
-        at = F.floor((x - edges[0]) * (n / (edges[-1] - edges[0])))
-        at = F.greatest(F.lit(0), F.least(at, F.lit(n - 1)))
-        bounds = F.array(*[F.lit(float(e)) for e in edges])
-        at = F.when(x < F.get(bounds, at.cast("int")), at - 1).when((x >= F.get(bounds, at.cast("int") + 1)) & (at < n - 1), at + 1).otherwise(at)
+    low, width = float(edges[0]), (edges[-1] - edges[0]) / n
+    if len(widths) == 1 and n > 8 and all(low + k * width == e for k, e in enumerate(edges)):
+        # the edges are what this arithmetic gives, so one comparison each way mends the rounding of the division
+        at = F.greatest(F.lit(0.0), F.least(F.floor((x - low) / width).cast("double"), F.lit(float(n - 1))))
+        at = F.when(x < at * width + low, at - 1).when((x >= (at + 1) * width + low) & (at < n - 1), at + 1).otherwise(at)
     else:
         at = F.lit(-1)
         for e in edges[:-1]:
@@ -320,10 +330,14 @@ def histogram2d(df: DataFrame, x: str, y: str, x_edges: list[float], y_edges: li
 
 
 def bincount(df: DataFrame, value: str, weights: str | None = None, minlength: int = 0) -> DataFrame:
+    """i0, n of every value from 0 to the largest (which an aggregate finds first, so that the frame is made by many tasks)."""
     what = F.sum(d(weights)) if weights else F.count(F.lit(1))
-    counted = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("long").alias("i0")).agg(what.alias("n"))
-    top = F.greatest(F.coalesce(F.max("i0"), F.lit(-1)), F.lit(minlength - 1)).alias("top")
-    every = counted.agg(top).where("top >= 0").select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("top"))).alias("i0"))
+    rows = df.where(F.col(value).isNotNull())
+    low, top = rows.agg(F.min(value), F.max(value)).first()
+    if low is not None and low < 0:
+        raise ValueError("a negative value has no bin")
+    counted = rows.groupBy(F.col(value).cast("long").alias("i0")).agg(what.alias("n"))
+    every = df.sparkSession.range(max(int(top if top is not None else -1) + 1, minlength)).select(F.col("id").alias("i0"))
     return every.join(counted, "i0", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
@@ -364,10 +378,14 @@ def ttest_1samp(df: DataFrame, value: str, popmean: float) -> tuple[float, float
     return t, _t_two_sided(t, n - 1)
 
 
-def ttest_ind(df: DataFrame, value: str, group: str, equal_var: bool = True) -> tuple[float, float]:
-    """Of the two groups that ``group`` names, in order."""
+def ttest_ind(df: DataFrame, value: str, group: str, equal_var: bool = False) -> tuple[float, float]:
+    """t and two-sided p of the two groups that ``group`` names, in order; NaN where neither varies."""
     rows = df.groupBy(group).agg(mean(value).alias("m"), variance(value, 1).alias("s"), F.count(d(value)).alias("n")).orderBy(group).take(2)
+    if len(rows) < 2 or min(r["n"] for r in rows) < 2:
+        raise ValueError("each sample needs two values at least")
     (_, m1, v1, n1), (_, m2, v2, n2) = rows
+    if v1 == 0 and v2 == 0:
+        return NAN, NAN
     if equal_var:
         dof = n1 + n2 - 2
         se = math.sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / dof * (1 / n1 + 1 / n2))
@@ -392,26 +410,85 @@ def chi2_table(df: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
-def ks_2samp(df: DataFrame, value: str, group: str) -> float:
-    """Largest distance between the distributions of the two groups that ``group`` (0 and 1) names: counts per distinct
-    value, then two running sums over the distributed order of the values."""
+def ks_2samp(df: DataFrame, value: str, group: str) -> tuple[float, float]:
+    """Largest distance between the distributions of the two groups that ``group`` (0 and 1) names, and its asymptotic
+    p: counts per distinct value, then running sums over the distributed order of the values."""
     from .order import running
 
     per = df.groupBy(d(value).alias("v")).agg(*[F.count_if(F.col(group) == k).alias(f"c{k}") for k in (0, 1)])
     n0, n1 = per.agg(F.sum("c0"), F.sum("c1")).first()
-    gap = running(per.withColumn("g", F.col("c0") / n0 - F.col("c1") / n1), ["v"], "g", "s")
-    return float(gap.agg(F.max(F.abs("s"))).first()[0])
-
-
-def chi2_contingency(df: DataFrame, a: str, b: str) -> tuple[float, int]:
-    """Statistic and degrees of freedom."""
+    if not n0 or not n1:
+        raise ValueError("both samples must have values")
+    gap = running(per.withColumn("g", F.col("c0") * n1 - F.col("c1") * n0), ["v"], "g", "s")  # whole numbers: no rounding
+    far = gap.agg(F.max(F.abs("s"))).first()[0] / (n0 * n1)
+    root = math.sqrt(n0 * n1 / (n0 + n1))
+    return far, _kolmogorov_tail((root + 0.12 + 0.11 / root) * far)  # fixed values: the usual correction for small samples
+
+
+def _kolmogorov_tail(x: float) -> float:
+    if x <= 0:
+        return 1.0
+    terms = [(-1) ** (k - 1) * math.exp(-2 * (k * x) ** 2) for k in range(1, 201)]
+    return min(max(2 * math.fsum(terms), 0.0), 1.0)
+
+
+def chi2_tail(x: float, dof: int) -> float:
+    """P(X > x) of a chi-squared variable: a finite sum for whole degrees of freedom."""
+    if dof <= 0:
+        return 1.0
+    if x <= 0:
+        return 1.0
+    half = x / 2
+    if dof % 2 == 0:
+        return min(1.0, math.fsum(math.exp(-half + k * math.log(half) - math.lgamma(k + 1)) for k in range(dof // 2)))
+    steps = [math.exp(-half + (k + 0.5) * math.log(half) - math.lgamma(k + 1.5)) for k in range((dof - 1) // 2)]
+    return min(1.0, math.erfc(math.sqrt(half)) + math.fsum(steps))
+
+
+def chi2_contingency(df: DataFrame, a: str, b: str) -> tuple[float, float, int]:
+    """Statistic, p and degrees of freedom, without a correction for continuity."""
     cells = chi2_table(df, a, b)
     stat, rows, cols, seen = cells.agg(
         F.sum((F.col("observed") - F.col("expected")) ** 2 / F.col("expected")), F.countDistinct("a"), F.countDistinct("b"), F.sum("expected")
     ).first()
     total = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).count()
-    return float(stat + total - seen), (rows - 1) * (cols - 1)  # absent cells add what they were expected to hold
+    if not total:
+        raise ValueError("an empty table")
+    stat, dof = float(stat + total - seen), (rows - 1) * (cols - 1)  # absent cells add what they were expected to hold
+    return stat, chi2_tail(stat, dof), dof
+
+
+def _correlation_p(r: float | None, n: int) -> float:
+    if r is None or math.isnan(r):
+        return NAN
+    if n <= 2:
+        return 1.0 if n == 2 else NAN
+    return _t_two_sided(r * math.sqrt((n - 2) / max(1 - r * r, 2.2250738585072014e-308)), n - 2)
+
+
+def pearsonr(df: DataFrame, x: str, y: str) -> tuple[float, float]:
+    """Correlation and two-sided p over the rows that have both; NaN where either is constant."""
+    r, n = df.agg(correlation(x, y), F.count(d(x) + d(y))).first()
+    if n < 2:
+        raise ValueError("two observations at least")
+    r = NAN if r is None else min(max(r, -1.0), 1.0) if not math.isnan(r) else r
+    return r, _correlation_p(r, n)
+
+
+def spearmanr(df: DataFrame, x: str, y: str) -> tuple[float, float]:
+    """Correlation of mean ranks and two-sided p."""
+    from .order import spearman
+
+    row = spearman(df, x, y, []).first()
+    if row is None or row["n"] is None or row["n"] < 2:
+        raise ValueError("two observations at least")
+    return row["rho"], _correlation_p(row["rho"], row["n"])
+
+
+def all_true(v) -> Column:
+    """Whether no value is 0 (NaN isn't); true of nothing."""
+    return F.coalesce(F.bool_and((d(v) != 0) | F.isnan(d(v))), F.lit(True))
 
 
-def pearsonr(df: DataFrame, x: str, y: str) -> DataFrame:
-    return df.agg(correlation(x, y).alias("r"))
+def any_true(v) -> Column:
+    return F.coalesce(F.bool_or((d(v) != 0) | F.isnan(d(v))), F.lit(False))

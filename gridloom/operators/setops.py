@@ -1,8 +1,12 @@
-"""Set operations on arrays held as one column: all results are distinct; NaN is a member of nothing."""
+"""Set operations on arrays held as one column.
+
+Results are distinct within each side.  NaN equals nothing: it is in no intersection and no difference takes it away, but
+one side's NaNs count as one value, so a union has one and a symmetric difference one of each side.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,21 +17,27 @@ def _side(df: DataFrame, value: str) -> DataFrame:
     return df.select(v.alias(value)).distinct()
 
 
+def _is_number(df: DataFrame, value: str) -> Column:
+    return ~F.isnan(value) if dict(df.dtypes)[value] in ("double", "float") else F.lit(True)
+
+
 def union1d(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     return _side(a, value).union(_side(b, value)).distinct()
 
 
 def intersect1d(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
-    return _side(a, value).join(_side(b, value), value, "left_semi")
+    return _side(a, value).join(_side(b, value).where(_is_number(b, value)), value, "left_semi")
 
 
 def setdiff1d(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
-    return _side(a, value).join(_side(b, value), value, "left_anti")
+    return _side(a, value).join(_side(b, value).where(_is_number(b, value)), value, "left_anti")
 
 
 def setxor1d(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     both = _side(a, value).union(_side(b, value))
-    return both.groupBy(value).agg(F.count(F.lit(1)).alias("__n")).where("__n = 1").drop("__n")
+    counted = both.groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
+    # a value of both sides goes, but a NaN of each side stays
+    return counted.where((F.col("__n") == 1) | ~_is_number(a, value)).select(value, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(value)
 
 
 def isin(a: DataFrame, b: DataFrame, value: str, invert: bool = False, as_col: str = "isin") -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import ieee, strings
 from ..functions.ufuncs import BINARY, UFUNC_OBJECTS, UNARY, choose, clip, piecewise, round_to, select
-from ..operators import linalg, masked, order, reduce, setops
+from ..operators import arrange, linalg, masked, order, reduce, setops, udf
 from ..operators.frame import NdFrame
 from .catalog import query
 
@@ -30,11 +30,10 @@ def r(c, k: int = 6):
 )
 def reduce_by_group(spark, sf):
     keys, v = ["l_returnflag", "l_linestatus"], "l_extendedprice"
-    # exact percentiles from counts per value, combined before the exchange: no sort of the groups' rows
-    return table(spark, sf, "lineitem").groupBy(*keys).agg(
-        r(reduce.total(v), 2).alias("total"), r(reduce.mean(v)).alias("mean"), r(reduce.std(v)).alias("std"),
-        r(F.percentile(v, F.lit(0.5))).alias("p50"), r(F.percentile(v, F.lit(0.9))).alias("p90"), F.count(F.lit(1)).alias("n"),
-    )
+    rows = table(spark, sf, "lineitem").select(*keys, v)
+    sums = rows.groupBy(*keys).agg(r(reduce.total(v), 2).alias("total"), r(reduce.mean(v)).alias("mean"), r(reduce.std(v)).alias("std"), F.count(F.lit(1)).alias("n"))
+    places = reduce.quantiles(rows, keys, v, [0.5, 0.9])
+    return sums.join(places, keys).select(*keys, "total", "mean", "std", r("q_0").alias("p50"), r("q_1").alias("p90"), "n")
 
 
 @query(
@@ -130,6 +129,8 @@ def _quantile_sql(method: str) -> str:
         "midpoint": ("1 + (n - 1) * q", "CASE WHEN g = 0 THEN 0 ELSE 0.5 END"),
         "inverted_cdf": ("n * q", "ceil(g)"),
         "averaged_inverted_cdf": ("n * q", "CASE WHEN g = 0 THEN 0.5 ELSE 1 END"),
+        "nearest": ("1 + (n - 1) * q", "CASE WHEN g > 0.5 OR (g = 0.5 AND lo % 2 = 0) THEN 1 ELSE 0 END"),
+        "closest_observation": ("n * q", "CASE WHEN g > 0.5 OR (g = 0.5 AND lo % 2 = 1) THEN 1 ELSE 0 END"),
     }
     at, part = places[method]
     return f"""
@@ -152,7 +153,7 @@ def _quantile_query(method: str):
 
 
 for _m in ("linear", "weibull", "hazen", "interpolated_inverted_cdf", "median_unbiased", "normal_unbiased", "lower", "higher",
-           "midpoint", "inverted_cdf", "averaged_inverted_cdf"):
+           "midpoint", "inverted_cdf", "averaged_inverted_cdf", "nearest", "closest_observation"):
     _quantile_query(_m)
 
 _EDGES = [float(x) for x in range(0, 10001, 500)]
@@ -194,17 +195,95 @@ def chi2_expected(spark, sf):
     return got.withColumn("expected", r("expected"))
 
 
+def _tail(t: str, dof: str) -> str:
+    """Two-sided tail of Student's t by Simpson's rule over 4000 steps of the density."""
+    step = f"(abs({t}) / 4000)"
+    density = f"exp(lgamma(({dof} + 1) / 2) - lgamma({dof} / 2) - ln({dof} * pi()) / 2 - ({dof} + 1) / 2 * ln(1 + pow(k * {step}, 2) / {dof}))"
+    return f"(SELECT 1 - 2 * sum(CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * {density}) * {step} / 3 FROM range(4001) s(k))"
+
+
+def _one(spark, names: list[str], values, digits: int = 6) -> DataFrame:
+    return spark.createDataFrame([tuple(round(float(v), digits) for v in values)], ", ".join(f"{n} double" for n in names))
+
+
 @query(
     "ttest_welch",
-    """SELECT round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 6) AS t FROM
+    f"""SELECT round(t, 6) AS t, round({_tail("t", "dof")}, 6) AS p FROM
+       (SELECT *, pow(a + b, 2) / (a * a / (n1 - 1) + b * b / (n2 - 1)) AS dof, (m1 - m2) / sqrt(a + b) AS t FROM
+       (SELECT *, v1 / n1 AS a, v2 / n2 AS b FROM
        (SELECT avg(value) FILTER (WHERE event_type = 'click') AS m1, var_samp(value) FILTER (WHERE event_type = 'click') AS v1,
                count(*) FILTER (WHERE event_type = 'click') AS n1, avg(value) FILTER (WHERE event_type <> 'click') AS m2,
-               var_samp(value) FILTER (WHERE event_type <> 'click') AS v2, count(*) FILTER (WHERE event_type <> 'click') AS n2 FROM events)""",
+               var_samp(value) FILTER (WHERE event_type <> 'click') AS v2, count(*) FILTER (WHERE event_type <> 'click') AS n2 FROM events)))""",
 )
 def ttest_welch(spark, sf):
-    e = table(spark, sf, "events").withColumn("g", F.when(F.col("event_type") == "click", 0).otherwise(1))
-    s = e.groupBy().agg(*[f(F.when(F.col("g") == k, F.col("value"))).alias(f"{n}{k}") for k in (0, 1) for n, f in (("m", F.avg), ("v", F.var_samp), ("n", F.count))])
-    return s.select(r((F.col("m0") - F.col("m1")) / F.sqrt(F.col("v0") / F.col("n0") + F.col("v1") / F.col("n1"))).alias("t"))
+    e = table(spark, sf, "events").select("value", F.when(F.col("event_type") == "click", 0).otherwise(1).alias("g"))
+    return _one(spark, ["t", "p"], reduce.ttest_ind(e, "value", "g"))
+
+
+@query(
+    "ttest_one_sample",
+    f"""SELECT round(t, 6) AS t, round({_tail("t", "dof")}, 6) AS p FROM
+        (SELECT (avg(value) - 50) / (stddev_samp(value) / sqrt(count(*))) AS t, count(*) - 1 AS dof FROM events)""",
+)
+def ttest_one_sample(spark, sf):
+    return _one(spark, ["t", "p"], reduce.ttest_1samp(table(spark, sf, "events"), "value", 50.0))
+
+
+@query(
+    "pearson_test",
+    f"""SELECT round(r, 6) AS r, round({_tail("t", "dof")}, 5) AS p FROM (SELECT *, r * sqrt(dof / (1 - r * r)) AS t FROM
+        (SELECT corr(l_quantity, l_discount) AS r, count(*) - 2 AS dof FROM lineitem))""",
+)
+def pearson_test(spark, sf):
+    r_, p = reduce.pearsonr(table(spark, sf, "lineitem"), "l_quantity", "l_discount")
+    return _one(spark, ["r", "p"], (round(r_, 6), round(p, 5)))
+
+
+@query(
+    "spearman_test",
+    f"""WITH k AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2 AS a,
+                     rank() OVER (ORDER BY l_tax) + (count(*) OVER (PARTITION BY l_tax) - 1) / 2 AS b FROM lineitem)
+        SELECT round(r, 6) AS rho, round({_tail("t", "dof")}, 5) AS p FROM (SELECT *, r * sqrt(dof / (1 - r * r)) AS t FROM
+        (SELECT corr(a, b) AS r, count(*) - 2 AS dof FROM k))""",
+)
+def spearman_test(spark, sf):
+    rho, p = reduce.spearmanr(table(spark, sf, "lineitem"), "l_quantity", "l_tax")
+    return _one(spark, ["rho", "p"], (round(rho, 6), round(p, 5)))
+
+
+@query(
+    "chi2_test",
+    """WITH o AS (SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS o FROM orders GROUP BY 1, 2),
+       e AS (SELECT coalesce(o, 0) AS o, na * nb / n AS e FROM (SELECT * FROM (SELECT a, sum(o) AS na FROM o GROUP BY a), (SELECT b, sum(o) AS nb FROM o GROUP BY b),
+             (SELECT sum(o) AS n FROM o)) LEFT JOIN o USING (a, b)),
+       x AS (SELECT sum((o - e) ** 2 / e) AS x, ((SELECT count(DISTINCT a) FROM o) - 1) * ((SELECT count(DISTINCT b) FROM o) - 1) AS dof FROM e)
+       SELECT round(x, 6) AS statistic, round((SELECT sum(exp(-x / 2 + k * ln(x / 2) - lgamma(k + 1))) FROM range(dof // 2) t(k)), 6) AS p, dof::DOUBLE AS dof FROM x""",
+)
+def chi2_test(spark, sf):
+    return _one(spark, ["statistic", "p", "dof"], reduce.chi2_contingency(table(spark, sf, "orders"), "o_orderstatus", "o_orderpriority"))
+
+
+@query(
+    "ks_test",
+    """WITH v AS (SELECT value, count(*) FILTER (WHERE event_type = 'click') AS c0, count(*) FILTER (WHERE event_type <> 'click') AS c1 FROM events GROUP BY value),
+       d AS (SELECT max(abs(f0 - f1)) AS d, any_value(n0) AS n0, any_value(n1) AS n1 FROM
+             (SELECT sum(c0) OVER w / sum(c0) OVER () AS f0, sum(c1) OVER w / sum(c1) OVER () AS f1, sum(c0) OVER () AS n0, sum(c1) OVER () AS n1 FROM v WINDOW w AS (ORDER BY value))),
+       l AS (SELECT d, (sqrt(n0 * n1 / (n0 + n1)) + 0.12 + 0.11 / sqrt(n0 * n1 / (n0 + n1))) * d AS l FROM d)
+       SELECT round(d, 6) AS d, round(least(1, 2 * (SELECT sum((CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * k * k * l * l)) FROM range(1, 200) t(k))), 6) AS p FROM l""",
+)
+def ks_test(spark, sf):
+    e = table(spark, sf, "events").select("value", F.when(F.col("event_type") == "click", 0).otherwise(1).alias("g"))
+    return _one(spark, ["d", "p"], reduce.ks_2samp(e, "value", "g"))
+
+
+@query("kurtosis", "SELECT event_type, round((sum(pow(value - m, 4)) / count(*)) / pow(sum(pow(value - m, 2)) / count(*), 2) - 3, 5) AS kurtosis FROM (SELECT *, avg(value) OVER (PARTITION BY event_type) AS m FROM events) GROUP BY 1")
+def kurtosis(spark, sf):
+    return reduce.reduce_by(table(spark, sf, "events"), ["event_type"], kurtosis=r(reduce.kurtosis("value"), 5))
+
+
+@query("all_any", "SELECT l_suppkey, bool_and(l_discount <> 0) AS every, bool_or(l_discount <> 0) AS some, bool_and(l_quantity <> 0) AS whole FROM lineitem GROUP BY 1")
+def all_any(spark, sf):
+    return reduce.reduce_by(table(spark, sf, "lineitem"), ["l_suppkey"], every=reduce.all_true("l_discount"), some=reduce.any_true("l_discount"), whole=reduce.all_true("l_quantity"))
 
 
 # -- elementwise --------------------------------------------------------------------------------------------------------
@@ -214,17 +293,17 @@ _MATH = {
     "tanh": "tanh(x)", "arcsinh": "asinh(x)", "exp": "exp(-x)", "expm1": "exp(-x) - 1", "log": "ln(x)", "log2": "log2(x)",
     "log10": "log10(x)", "log1p": "ln(1 + x)", "sqrt": "sqrt(x)", "cbrt": "cbrt(x)", "square": "x * x", "reciprocal": "1 / x",
     "floor": "floor(x * 1.5)", "ceil": "ceil(x * 1.5)", "trunc": "trunc(x * 1.5)", "rint": "round_even(x / 2, 0)", "degrees": "degrees(x)",
-    "radians": "radians(x)", "sign": "sign(x - 25)::DOUBLE", "absolute": "abs(x - 25)", "exp2": "pow(2, x)",
+    "radians": "radians(x)", "sign": "sign(x - 25)::DOUBLE", "absolute": "abs(x - 25)", "exp2": "pow(2, x / 10)",
 }
 _SCALE = {"sinh": lambda x: x / 10, "cosh": lambda x: x / 10, "exp": lambda x: -x, "expm1": lambda x: -x, "floor": lambda x: x * 1.5, "ceil": lambda x: x * 1.5,
-          "trunc": lambda x: x * 1.5, "rint": lambda x: x / 2, "sign": lambda x: x - 25, "absolute": lambda x: x - 25}
+          "trunc": lambda x: x * 1.5, "rint": lambda x: x / 2, "sign": lambda x: x - 25, "absolute": lambda x: x - 25, "exp2": lambda x: x / 10}
 
 
-@query("ufunc_unary", "SELECT DISTINCT x, " + ", ".join(f"round({e}, 8) AS f_{n}" for n, e in _MATH.items()) + " FROM (SELECT l_quantity AS x FROM lineitem)")
+@query("ufunc_unary", "SELECT l_orderkey, l_linenumber, " + ", ".join(f"round({e}, 8) AS f_{n}" for n, e in _MATH.items()) + " FROM (SELECT *, l_quantity + l_discount AS x FROM lineitem)")
 def ufunc_unary(spark, sf):
     x = F.col("x")
-    df = table(spark, sf, "lineitem").select(F.col("l_quantity").alias("x")).distinct()
-    return df.select("x", *[r(UNARY[n](_SCALE.get(n, lambda v: v)(x)), 8).alias(f"f_{n}") for n in _MATH])
+    df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") + F.col("l_discount")).alias("x"))
+    return df.select("l_orderkey", "l_linenumber", *[r(UNARY[n](_SCALE.get(n, lambda v: v)(x)), 8).alias(f"f_{n}") for n in _MATH])
 
 
 @query(
@@ -268,6 +347,28 @@ def ieee_division(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", rounded(ieee.divide("l_tax", "l_discount")).alias("ratio"), rounded(ieee.log("l_discount")).alias("lg"))
 
 
+@query(
+    "predicates",
+    """SELECT l_orderkey, l_linenumber, l_tax <> 0 AND l_discount <> 0 AS finite, l_discount = 0 AND l_tax <> 0 AS infinite, l_discount = 0 AND l_tax = 0 AS nan,
+              l_discount < 0.05 AS negative, abs(l_tax - l_discount) <= 0.001 + 0.1 * abs(l_discount) AS close, l_tax = l_discount AS same,
+              (l_tax <> 0) <> (l_discount <> 0) AS either, bit_count(l_orderkey) AS bits FROM lineitem""",
+)
+def predicates(spark, sf):
+    ratio = ieee.divide("l_tax", "l_discount")
+    inverse = ieee.divide(F.lit(1.0), ratio)
+    return table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", (UNARY["isfinite"](ratio) & UNARY["isfinite"](inverse)).alias("finite"), UNARY["isposinf"](ratio).alias("infinite"), UNARY["isnan"](ratio).alias("nan"),
+        UNARY["signbit"](F.col("l_discount") - 0.05).alias("negative"), ieee.isclose("l_tax", "l_discount", 0.1, 0.001).alias("close"), BINARY["equal"]("l_tax", "l_discount").alias("same"),
+        BINARY["logical_xor"]("l_tax", "l_discount").alias("either"), UNARY["bitwise_count"]("l_orderkey").cast("long").alias("bits"),
+    )
+
+
+@query("ufunc_accumulate", "SELECT event_id, max(value) OVER w AS highest, round(sum(value) OVER w, 6) AS total FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+def ufunc_accumulate(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "user_id", F.col("value").alias("highest"), F.col("value").alias("total"))
+    return UFUNC_OBJECTS["add"].accumulate(UFUNC_OBJECTS["maximum"].accumulate(e, "highest", "event_id", ["user_id"]), "total", "event_id", ["user_id"]).select("event_id", "highest", r("total").alias("total"))
+
+
 # -- order --------------------------------------------------------------------------------------------------------------
 
 
@@ -315,7 +416,33 @@ def top_k(spark, sf):
 
 @query("spearman", "WITH k AS (SELECT l_returnflag, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2 AS a, rank() OVER (PARTITION BY l_returnflag ORDER BY l_discount) + (count(*) OVER (PARTITION BY l_returnflag, l_discount) - 1) / 2 AS b FROM lineitem) SELECT l_returnflag, round(corr(a, b), 8) AS rho FROM k GROUP BY 1")
 def spearman(spark, sf):
-    return order.spearman(table(spark, sf, "lineitem"), "l_quantity", "l_discount", ["l_returnflag"]).withColumn("rho", r("rho", 8))
+    return order.spearman(table(spark, sf, "lineitem"), "l_quantity", "l_discount", ["l_returnflag"]).select("l_returnflag", r("rho", 8).alias("rho"))
+
+
+@query("partition_kth", "SELECT o_orderkey, sign(row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 - 100)::INT AS part FROM orders")
+def partition_kth(spark, sf):
+    return order.partition(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey", 100).select("o_orderkey", "part")
+
+
+@query("sort_complex", "SELECT o_orderkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS i FROM orders")
+def sort_complex(spark, sf):
+    z = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").cast("double").alias("re"), F.col("o_orderkey").cast("double").alias("im"))
+    return order.sort_complex(z, "re", "im").select("o_orderkey", "i")
+
+
+@query("ediff1d", "SELECT 0::BIGINT AS i0, -1.0::DOUBLE AS v UNION ALL SELECT k, round(v, 6) FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS k, o_totalprice - lag(o_totalprice) OVER (ORDER BY o_orderkey) AS v FROM orders) WHERE v IS NOT NULL")
+def ediff1d(spark, sf):
+    return order.ediff1d(table(spark, sf, "orders"), "o_orderkey", "o_totalprice", to_begin=[-1.0]).withColumn("v", r("v"))
+
+
+@query(
+    "gradient_spaced",
+    """SELECT event_id, round(CASE WHEN b IS NULL AND a IS NULL THEN NULL WHEN b IS NULL THEN (a - value) / (ea - event_id) WHEN a IS NULL THEN (value - b) / (event_id - eb)
+              ELSE (pow(event_id - eb, 2) * a - pow(ea - event_id, 2) * b + (pow(ea - event_id, 2) - pow(event_id - eb, 2)) * value) / ((event_id - eb) * (ea - event_id) * (ea - eb)) END, 8) AS gradient
+       FROM (SELECT *, lag(value) OVER w AS b, lead(value) OVER w AS a, lag(event_id) OVER w AS eb, lead(event_id) OVER w AS ea FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))""",
+)
+def gradient_spaced(spark, sf):
+    return order.gradient(table(spark, sf, "events"), "event_id", "value", ["user_id"], spacing="event_id").select("event_id", r("gradient", 8).alias("gradient"))
 
 
 @query("unique_counts", "SELECT l_partkey, min(l_orderkey) AS first_index, count(*) AS n FROM lineitem GROUP BY 1")
@@ -342,17 +469,17 @@ def searchsorted_table(spark, sf):
 
 @query(
     "interp",
-    """WITH k AS (SELECT l_suppkey AS g, l_quantity AS x, avg(l_extendedprice) AS y FROM lineitem WHERE l_quantity % 7 = 0 GROUP BY 1, 2),
+    """WITH k AS (SELECT l_suppkey AS g, l_quantity AS x, avg(l_extendedprice) AS y FROM lineitem GROUP BY 1, 2),
        q AS (SELECT DISTINCT l_suppkey AS g, l_quantity + 0.25 AS x FROM lineitem),
        m AS (SELECT q.g, q.x, max(k.x) FILTER (WHERE k.x <= q.x) AS lo, min(k.x) FILTER (WHERE k.x > q.x) AS hi FROM q LEFT JOIN k USING (g) GROUP BY 1, 2)
-       SELECT m.g, m.x, round(CASE WHEN lo IS NULL THEN b.y WHEN hi IS NULL THEN a.y ELSE a.y + (b.y - a.y) * (m.x - lo) / (hi - lo) END, 6) AS y
+       SELECT m.g, m.x, round(CASE WHEN lo IS NULL THEN b.y WHEN hi IS NULL THEN a.y ELSE a.y + (b.y - a.y) * (m.x - lo) / (hi - lo) END, 8) AS y
        FROM m LEFT JOIN k a ON a.g = m.g AND a.x = lo LEFT JOIN k b ON b.g = m.g AND b.x = hi""",
 )
 def interp(spark, sf):
     li = table(spark, sf, "lineitem").withColumnRenamed("l_suppkey", "g")
-    knots = li.where("l_quantity % 7 = 0").groupBy("g", F.col("l_quantity").alias("kx")).agg(F.avg("l_extendedprice").alias("ky"))
+    knots = li.groupBy("g", F.col("l_quantity").alias("kx")).agg(F.avg("l_extendedprice").alias("ky"))
     q = li.select("g", (F.col("l_quantity") + 0.25).alias("x")).distinct()
-    return order.interp(q, "x", knots, "kx", "ky", ["g"]).select("g", "x", r("y", 6).alias("y"))
+    return order.interp(q, "x", knots, "kx", "ky", ["g"]).select("g", "x", r("y", 8).alias("y"))
 
 
 @query("sliding_window", "SELECT event_id, round(CASE WHEN count(*) OVER w = 3 THEN avg(value) OVER w END, 6) AS mean, CASE WHEN count(*) OVER w = 3 THEN max(value) OVER w END AS max FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)")
@@ -393,6 +520,51 @@ def setxor1d(spark, sf):
     return setops.setxor1d(*_two(spark, sf), "k")
 
 
+_NAN_SIDES = """WITH a AS (SELECT DISTINCT CASE WHEN l_discount = 0 THEN 'nan'::DOUBLE ELSE l_quantity END AS k FROM lineitem),
+                     b AS (SELECT DISTINCT CASE WHEN l_tax = 0 THEN 'nan'::DOUBLE ELSE l_linenumber * 9.0 END AS k FROM lineitem) """
+
+
+def _nan_sides(spark, sf):
+    li = table(spark, sf, "lineitem")
+    nan = F.lit(ieee.NAN)
+    return li.select(F.when(F.col("l_discount") == 0, nan).otherwise(F.col("l_quantity")).alias("k")), li.select(F.when(F.col("l_tax") == 0, nan).otherwise(F.col("l_linenumber") * 9.0).alias("k"))
+
+
+for _name, _sql in (
+    ("union1d", "SELECT k FROM a UNION SELECT k FROM b"),
+    ("intersect1d", "SELECT k FROM a JOIN b USING (k) WHERE NOT isnan(k)"),
+    ("setdiff1d", "SELECT k FROM a WHERE isnan(k) OR k NOT IN (SELECT k FROM b)"),
+    ("setxor1d", "SELECT k FROM (SELECT k FROM a UNION ALL SELECT k FROM b) GROUP BY k HAVING count(*) = 1 AND NOT isnan(k) UNION ALL SELECT k FROM a WHERE isnan(k) UNION ALL SELECT k FROM b WHERE isnan(k)"),
+):
+
+    def _nan_query(name: str = _name, sql: str = _sql):
+        @query(f"{name}_nan", _NAN_SIDES + sql)
+        def run(spark, sf):
+            return getattr(setops, name)(*_nan_sides(spark, sf), "k")
+
+    _nan_query()
+
+
+@query(
+    "masked_sets",
+    """WITH a AS (SELECT DISTINCT CASE WHEN c_acctbal > 0 THEN c_nationkey END AS k FROM customer), b AS (SELECT DISTINCT CASE WHEN s_acctbal > 5000 THEN s_nationkey END AS k FROM supplier)
+       SELECT 'union' AS op, k FROM (SELECT k FROM a UNION SELECT k FROM b) UNION ALL SELECT 'both', k FROM (SELECT k FROM a INTERSECT SELECT k FROM b)
+       UNION ALL SELECT 'only', k FROM (SELECT k FROM a EXCEPT SELECT k FROM b)""",
+)
+def masked_sets(spark, sf):
+    a = table(spark, sf, "customer").select(F.when(F.col("c_acctbal") > 0, F.col("c_nationkey")).alias("k"))
+    b = table(spark, sf, "supplier").select(F.when(F.col("s_acctbal") > 5000, F.col("s_nationkey")).alias("k"))
+    parts = (("union", masked.ma_union1d), ("both", masked.ma_intersect1d), ("only", masked.ma_setdiff1d))
+    return masked_union([f(a, b, "k").select(F.lit(n).alias("op"), "k") for n, f in parts])
+
+
+def masked_union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 @query("isin", "SELECT o_orderkey, o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) AS isin FROM orders")
 def isin(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("k"))
@@ -402,12 +574,14 @@ def isin(spark, sf):
 # -- arrays -------------------------------------------------------------------------------------------------------------
 
 
-def _matrix(spark, sf, rows: int = 64) -> NdFrame:
-    e = table(spark, sf, "embeddings").where(F.col("vec_id") < rows)
-    return NdFrame.from_vectors(e, "vec_id", "embedding", (rows, 64))
+def _matrix(spark, sf) -> NdFrame:
+    """All embeddings, a row each; their ids are row numbers."""
+    e = table(spark, sf, "embeddings")
+    rows = e.agg(F.max("vec_id")).first()[0]
+    return NdFrame.from_vectors(e, "vec_id", "embedding", (0 if rows is None else rows + 1, 64))
 
 
-_CELLS = "WITH c AS (SELECT vec_id AS i, unnest(range(64)) AS j, unnest(embedding)::DOUBLE AS v FROM embeddings WHERE vec_id < 64) "
+_CELLS = "WITH c AS (SELECT vec_id AS i, unnest(range(64)) AS j, unnest(embedding)::DOUBLE AS v FROM embeddings), m AS (SELECT count(*) AS n FROM embeddings) "
 
 
 @query("gram_matrix", "WITH c AS (SELECT vec_id AS i, unnest(range(64)) AS j, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT a.j AS i0, b.j AS i1, round(sum(a.v * b.v), 5) AS v FROM c a JOIN c b ON a.i = b.i GROUP BY ALL")
@@ -415,22 +589,29 @@ def gram_matrix(spark, sf):
     return linalg.gram(table(spark, sf, "embeddings"), "embedding", 64).withColumn("v", r("v", 5))
 
 
-@query("matmul", _CELLS + "SELECT a.i AS i0, b.i AS i1, round(sum(a.v * b.v), 6) AS v FROM c a JOIN c b ON a.j = b.j GROUP BY ALL")
+def _weights(spark, n: int, m: int) -> NdFrame:
+    return NdFrame.from_function(spark, (n, m), lambda i, j: ((i * 3 + j) % 7 - 3).cast("double"))
+
+
+@query("matmul", _CELLS + "SELECT i AS i0, l AS i1, round(sum(v * ((j * 3 + l) % 7 - 3)), 6) AS v FROM c, range(4) t(l) GROUP BY ALL")
 def matmul(spark, sf):
-    m = _matrix(spark, sf)
-    return m.matmul(m.transpose()).cells.withColumn("v", r("v"))
+    return _matrix(spark, sf).matmul(_weights(spark, 64, 4)).cells.withColumn("v", r("v"))
 
 
-@query("block_matmul", _CELLS + "SELECT a.i AS i0, b.i AS i1, round(sum(a.v * b.v), 6) AS v FROM c a JOIN c b ON a.j = b.j GROUP BY ALL")
+@query("block_matmul", _CELLS + "SELECT a.j AS i0, b.j AS i1, round(sum(a.v * b.v), 5) AS v FROM c a JOIN c b ON a.i = b.i GROUP BY ALL")
 def block_matmul(spark, sf):
     m = _matrix(spark, sf)
-    return linalg.block_matmul(m, m.transpose(), 32).cells.withColumn("v", r("v"))
+    return linalg.block_matmul(m.transpose(), m).cells.withColumn("v", r("v", 5))
 
 
-@query("einsum_three", _CELLS + "SELECT x.i AS i0, z.j AS i1, round(sum(x.v * y.v * z.v), 5) AS v FROM c x JOIN c y ON x.j = y.i JOIN c z ON y.j = z.i GROUP BY ALL")
+@query("einsum_three", _CELLS + "SELECT i AS i0, p AS i1, round(sum(v * ((j * 3 + l) % 7 - 3) * ((l * 3 + p) % 7 - 3)), 5) AS v FROM c, range(4) t(l), range(3) u(p) GROUP BY ALL")
 def einsum_three(spark, sf):
-    m = _matrix(spark, sf)
-    return linalg.einsum("ij,jk,kl->il", m, m, m).cells.withColumn("v", r("v", 5))
+    return linalg.einsum("ij,jk,kl->il", _matrix(spark, sf), _weights(spark, 64, 4), _weights(spark, 4, 3)).cells.withColumn("v", r("v", 5))
+
+
+@query("einsum_ellipsis", _CELLS + "SELECT i AS i0, j // 8 AS i1, l AS i2, round(sum(v * (((j % 8) * 3 + l) % 7 - 3)), 6) AS v FROM c, range(2) t(l) GROUP BY ALL")
+def einsum_ellipsis(spark, sf):
+    return linalg.einsum("...j,jk->...k", _matrix(spark, sf).reshape((-1, 8, 8)), _weights(spark, 8, 2)).cells.withColumn("v", r("v"))
 
 
 @query("broadcast_center", _CELLS + "SELECT i AS i0, j AS i1, round(v - avg(v) OVER (PARTITION BY j), 6) AS v FROM c")
@@ -444,26 +625,89 @@ def axis_sums(spark, sf):
     return _matrix(spark, sf).reduce(F.sum, axis=1).cells.withColumn("v", r("v"))
 
 
-@query("rearranged", _CELLS + "SELECT (63 - j) AS i0, ((i + 5) % 64) AS i1, v FROM c WHERE j % 2 = 1")
+@query("rearranged", _CELLS + "SELECT (63 - j) AS i0, ((i + 5) % n) AS i1, v FROM c, m")
 def rearranged(spark, sf):
-    got = _matrix(spark, sf).roll(5, 0).transpose().flip(0).cells
-    return got.where("i0 % 2 = 0")
+    return _matrix(spark, sf).roll(5, 0).transpose().flip(0).cells
 
 
-@query("reshaped", _CELLS + "SELECT ((i * 64 + j) // 128)::BIGINT AS i0, ((i * 64 + j) % 128)::BIGINT AS i1, v FROM c")
+@query("reshaped", _CELLS + "SELECT ((i * 64 + j) // 32)::BIGINT AS i0, ((i * 64 + j) % 32)::BIGINT AS i1, v FROM c")
 def reshaped(spark, sf):
-    return _matrix(spark, sf).reshape((32, -1)).cells
+    return _matrix(spark, sf).reshape((-1, 32)).cells
+
+
+@query("moved_axes", _CELLS + "SELECT j // 8 AS i0, j % 8 AS i1, i AS i2, v FROM c")
+def moved_axes(spark, sf):
+    return arrange.moveaxis(_matrix(spark, sf).reshape((-1, 8, 8)), 0, -1).cells
+
+
+@query("backward_slice", _CELLS + "SELECT i AS i0, (63 - j) // 3 AS i1, v FROM c WHERE (63 - j) % 3 = 0 AND j > 1")
+def backward_slice(spark, sf):
+    return _matrix(spark, sf).slice(1, None, 1, -3).cells
+
+
+@query("padded", _CELLS + "SELECT i AS i0, p AS i1, v FROM c, range(69) t(p) WHERE j = CASE WHEN p < 2 THEN 2 - p WHEN p > 65 THEN 128 - p ELSE p - 2 END")
+def padded(spark, sf):
+    return arrange.pad(_matrix(spark, sf), [(0, 0), (2, 3)], "reflect").cells
+
+
+@query("inserted_deleted", _CELLS + "SELECT i AS i0, CASE WHEN k < 5 THEN k WHEN k = 5 THEN 6 - 1 ELSE k END AS i1, v FROM (SELECT i, CASE WHEN j - 1 < 5 THEN j - 1 ELSE j END AS k, v FROM c WHERE j NOT IN (0, 63) UNION ALL SELECT DISTINCT i, 5, 7.0 FROM c)")
+def inserted_deleted(spark, sf):
+    return arrange.insert(arrange.delete(_matrix(spark, sf), [0, -1], 1), 5, 7.0, 1).cells
+
+
+@query("turned", _CELLS + "SELECT 63 - j AS i0, i AS i1, v FROM c")
+def turned(spark, sf):
+    return arrange.rot90(_matrix(spark, sf)).cells
+
+
+@query("split_joined", _CELLS + "SELECT i AS i0, (CASE WHEN j < 22 THEN j + 42 WHEN j < 43 THEN j - 1 ELSE j - 43 END)::BIGINT AS i1, v FROM c")
+def split_joined(spark, sf):
+    a, b, c = arrange.array_split(_matrix(spark, sf), 3, 1)
+    return arrange.hstack(c, b, a).cells
+
+
+@query("put_diagonal", _CELLS + "SELECT i AS i0, j AS i1, CASE WHEN i % 64 = j THEN 0.5 ELSE v END AS v FROM c")
+def put_diagonal(spark, sf):
+    m = _matrix(spark, sf)
+    at = spark.range(m.shape[0]).select(F.col("id").alias("i0"), (F.col("id") % 64).alias("i1"), F.lit(0.5).alias("v"))
+    return m.put(at).cells
+
+
+@query("place_putmask", _CELLS + "SELECT i AS i0, j AS i1, CASE WHEN v > 0.1 THEN (i * 64 + j) % 3 ELSE v END AS v FROM c")
+def place_putmask(spark, sf):
+    m = _matrix(spark, sf)
+    return arrange.putmask(m, m.map(lambda v: (v > 0.1).cast("double")), [0.0, 1.0, 2.0]).cells
+
+
+@query("meshed", "SELECT r_regionkey::BIGINT AS i0, n_nationkey::BIGINT AS i1, n_nationkey * 100.0 + r_regionkey AS v FROM nation, region")
+def meshed(spark, sf):
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("i0"), F.col("n_nationkey").cast("double").alias("v"))
+    g = table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("i0"), F.col("r_regionkey").cast("double").alias("v"))
+    x, y = arrange.meshgrid(NdFrame(n, (n.count(),)), NdFrame(g, (g.count(),)))
+    return x.combine(y, lambda a, b: a * 100.0 + b).cells
+
+
+@query("axis_medians", _CELLS + "SELECT i AS i0, round(quantile_cont(v, 0.5), 6) AS v FROM c GROUP BY i")
+def axis_medians(spark, sf):
+    return udf.apply_along_axis(_matrix(spark, sf), 1, np.median).cells.withColumn("v", r("v"))
+
+
+@query("array_comparison", _CELLS + "SELECT true AS equal, (SELECT bool_and(a.v = b.v) FROM c a JOIN c b ON a.i = b.i AND a.j = 63 - b.j) AS mirrored, true AS near")
+def array_comparison(spark, sf):
+    m = _matrix(spark, sf)
+    got = m.array_equal(m.flip(1).flip(1)), m.array_equal(m.flip(1)), m.array_equal(m.map(lambda v: v * (1 + 1e-7)), 1e-5, 1e-8)
+    return spark.createDataFrame([got], "equal boolean, mirrored boolean, near boolean")
 
 
-@query("take_rows", _CELLS + "SELECT k AS i0, j AS i1, v FROM c JOIN (SELECT unnest([0, 1, 2]) AS k, unnest([5, 3, 60]) AS f) ON i = f")
+@query("take_rows", _CELLS + "SELECT k AS i0, j AS i1, v FROM c, m, (SELECT unnest([0, 1, 2]) AS k, unnest([5, 3, -4]) AS f) WHERE i = f OR i = n + f")
 def take_rows(spark, sf):
     index = NdFrame(spark.createDataFrame([(0, 5), (1, 3), (2, -4)], "i0 long, v long"), (3,))
     return _matrix(spark, sf).take(index, 0).cells
 
 
-@query("kron_outer", _CELLS + "SELECT a.j * 2 + k AS i0, round(a.v * w, 6) AS v FROM c a, (SELECT unnest([0, 1]) AS k, unnest([0.5, 2.0]) AS w) WHERE a.i = 0")
+@query("kron_outer", _CELLS + "SELECT j * 2 + k AS i0, round(avg(v) * w, 6) AS v FROM c, (SELECT unnest([0, 1]) AS k, unnest([0.5, 2.0]) AS w) GROUP BY j, k, w")
 def kron_outer(spark, sf):
-    row = _matrix(spark, sf).slice(0, 0, 1)
+    row = _matrix(spark, sf).reduce(F.avg, axis=0, keepdims=True)
     two = NdFrame(spark.createDataFrame([(0, 0, 0.5), (0, 1, 2.0)], "i0 long, i1 long, v double"), (1, 2))
     return linalg.kron(row, two).cells.select(F.col("i1").alias("i0"), r("v").alias("v"))
 

@@ -25,21 +25,21 @@ def fft_energy(spark, sf):
 
 @query(
     "dft",
-    """WITH c AS (SELECT vec_id, unnest(range(64)) AS j, unnest(embedding)::DOUBLE AS v FROM embeddings WHERE vec_id < 20)
+    """WITH c AS (SELECT vec_id, unnest(range(64)) AS j, unnest(embedding)::DOUBLE AS v FROM embeddings)
        SELECT vec_id, k::INT AS k, round(sum(v * cos(-2 * pi() * j * k / 64)), 5) + 0.0 AS re FROM c, range(64) t(k) GROUP BY ALL""",
 )
 def dft(spark, sf):
-    c = table(spark, sf, "embeddings").where("vec_id < 20").select("vec_id", F.posexplode("embedding").alias("j", "v"))
+    c = table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("j", "v"))
     got = fft.dft(c.withColumn("v", F.col("v").cast("double")), ["vec_id"], "j", "v", 64)
     return got.select("vec_id", "k", (r("re", 5) + 0.0).alias("re"))
 
 
-@query("polynomials", "SELECT DISTINCT l_quantity AS x, round(1 + 2 * (l_quantity / 50) + 3 * pow(l_quantity / 50, 2), 8) AS power, round(1 + 2 * (l_quantity / 50) + 3 * (2 * pow(l_quantity / 50, 2) - 1) + (4 * pow(l_quantity / 50, 3) - 3 * l_quantity / 50), 8) AS cheb, round(1 + 2 * (l_quantity / 50) + 3 * (3 * pow(l_quantity / 50, 2) - 1) / 2, 8) AS leg, round(2 + 6 * (l_quantity / 50), 8) AS slope FROM lineitem")
+@query("polynomials", "SELECT l_orderkey, l_linenumber, round(1 + 2 * (l_quantity / 50) + 3 * pow(l_quantity / 50, 2), 8) AS power, round(1 + 2 * (l_quantity / 50) + 3 * (2 * pow(l_quantity / 50, 2) - 1) + (4 * pow(l_quantity / 50, 3) - 3 * l_quantity / 50), 8) AS cheb, round(1 + 2 * (l_quantity / 50) + 3 * (3 * pow(l_quantity / 50, 2) - 1) / 2, 8) AS leg, round(2 + 6 * (l_quantity / 50), 8) AS slope FROM lineitem")
 def polynomials(spark, sf):
     x = F.col("x") / 50
-    df = table(spark, sf, "lineitem").select(F.col("l_quantity").alias("x")).distinct()
+    df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("x"))
     p = Series((1.0, 2.0, 3.0))
-    return df.select("x", r(p(x), 8).alias("power"), r(Series((1.0, 2.0, 3.0, 1.0), "chebyshev")(x), 8).alias("cheb"), r(Series((1.0, 2.0, 3.0), "legendre")(x), 8).alias("leg"), r(p.deriv()(x), 8).alias("slope"))
+    return df.select("l_orderkey", "l_linenumber", r(p(x), 8).alias("power"), r(Series((1.0, 2.0, 3.0, 1.0), "chebyshev")(x), 8).alias("cheb"), r(Series((1.0, 2.0, 3.0), "legendre")(x), 8).alias("leg"), r(p.deriv()(x), 8).alias("slope"))
 
 
 @query("polyfit", "SELECT round(regr_slope(l_extendedprice, l_quantity), 3) AS c1, round(regr_intercept(l_extendedprice, l_quantity), 1) AS c0 FROM lineitem")
@@ -69,6 +69,27 @@ def dates_query(spark, sf):
     )
 
 
+_HOLIDAYS = [dt.date(1995, 12, 25), dt.date(1996, 1, 1), dt.date(1996, 7, 4), dt.date(1998, 12, 25)]
+
+
+@query(
+    "business_days",
+    """WITH o AS (SELECT o_orderkey, o_orderdate::DATE AS a, DATE '1996-06-15' AS b, [DATE '1995-12-25', DATE '1996-01-01', DATE '1996-07-04', DATE '1998-12-25'] AS h FROM orders),
+       s AS (SELECT *, CASE WHEN a <= b THEN a ELSE b + 1 END AS lo, CASE WHEN a <= b THEN b ELSE a + 1 END AS hi FROM o)
+       SELECT o_orderkey, (CASE WHEN a <= b THEN 1 ELSE -1 END) * (SELECT count(*) FROM range(hi - lo) t(k) WHERE isodow(lo + k::INT) < 6 AND NOT list_contains(h, lo + k::INT)) AS busdays,
+              list_filter(list_transform(range(30), lambda k: a + k::INT), lambda d: isodow(d) < 6 AND NOT list_contains(h, d))[4] AS after,
+              list_filter(list_transform(range(30), lambda k: a - k::INT), lambda d: isodow(d) <> 5 AND isodow(d) <> 6 AND isodow(d) <> 7)[3] AS earlier
+       FROM s""",
+)
+def business_days(spark, sf):
+    """Both ways from one date, with holidays; steps on and, in a week of four days, back."""
+    a, b = F.col("o_orderdate"), F.lit(dt.date(1996, 6, 15))
+    return table(spark, sf, "orders").select(
+        "o_orderkey", dates.busday_count(a, b, _HOLIDAYS).alias("busdays"), dates.busday_offset(a, 3, "forward", _HOLIDAYS).alias("after"),
+        dates.busday_offset(a, -2, "backward", weekmask="1111000").alias("earlier"),
+    )
+
+
 @query("complex_numbers", "SELECT o_orderkey, round(a * a - 4, 6) AS re, round(4 * a, 6) AS im, round(sqrt(a * a + 4), 6) AS size FROM (SELECT o_orderkey, o_custkey / 100 AS a FROM orders)")
 def complex_numbers(spark, sf):
     z = cx.make(F.col("o_custkey") / 100, F.lit(2.0))
@@ -76,12 +97,12 @@ def complex_numbers(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", r(sq["re"]).alias("re"), r(sq["im"]).alias("im"), r(cx.absolute(z)).alias("size"))
 
 
-@query("derivatives", "SELECT DISTINCT l_quantity AS x, round(x0 * sin(x0) + exp(-x0), 8) AS y, round(sin(x0) + x0 * cos(x0) - exp(-x0), 8) AS dy FROM (SELECT l_quantity, l_quantity / 10 AS x0 FROM lineitem)")
+@query("derivatives", "SELECT l_orderkey, l_linenumber, round(x0 * sin(x0) + exp(-x0), 8) AS y, round(sin(x0) + x0 * cos(x0) - exp(-x0), 8) AS dy FROM (SELECT *, l_quantity / 10 + l_tax AS x0 FROM lineitem)")
 def derivatives(spark, sf):
     f = lambda x: x * x.sin() + (-x).exp()
-    df = table(spark, sf, "lineitem").select(F.col("l_quantity").alias("x")).distinct()
-    y, dy = autodiff.value_and_derivative(f, F.col("x") / 10)
-    return df.select("x", r(y, 8).alias("y"), r(dy, 8).alias("dy"))
+    df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 10 + F.col("l_tax")).alias("x"))
+    y, dy = autodiff.value_and_derivative(f, F.col("x"))
+    return df.select("l_orderkey", "l_linenumber", r(y, 8).alias("y"), r(dy, 8).alias("dy"))
 
 
 @query("random_moments")
@@ -91,6 +112,19 @@ def random_moments(spark, sf):
     return df.agg(*[r(f(c), 2).alias(f"{n}_{c}") for c in df.columns for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
 
 
+@query("random_distributions")
+def random_distributions(spark, sf):
+    """Means of distributions made by rejection, mixture and factoring; no SQL draws the same numbers."""
+    i = F.col("id")
+    df = spark.range(50_000).select(
+        random.gamma(i, 1, 2.5, 2.0).alias("gamma"), random.beta(i, 2, 2.0, 3.0).alias("beta"), random.standard_t(i, 3, 9.0).alias("t"), random.vonmises(i, 4, 0.5, 2.0).alias("vonmises"),
+        random.zipf(i, 5, 4.0).alias("zipf"), random.wald(i, 6, 2.0, 5.0).alias("wald"), random.negative_binomial(i, 7, 3.0, 0.4).alias("negative_binomial"),
+        random.hypergeometric(i, 8, 7, 13, 6).alias("hypergeometric"), random.multinomial(i, 9, 10, [1.0, 3.0, 6.0])[1].alias("multinomial"),
+        random.dirichlet(i, 10, [1.0, 2.0, 3.0])[2].alias("dirichlet"), random.multivariate_normal(i, 11, [1.0, 2.0], [[2.0, 0.6], [0.6, 1.0]])[1].alias("normal"),
+    )
+    return df.agg(*[r(F.avg(c), 2).alias(c) for c in df.columns])
+
+
 @query("sample_rows")
 def sample_rows(spark, sf):
     """A sampling operator: the limit is the feature."""
@@ -122,7 +156,14 @@ def masked_clumps(spark, sf):
 @query("anomalies", "SELECT event_id, round(v - avg(v) OVER (PARTITION BY event_type), 6) AS a FROM (SELECT *, CASE WHEN value <= 40 THEN value END AS v FROM events)")
 def anomalies(spark, sf):
     m = masked.masked_greater(table(spark, sf, "events"), "value", 40)
-    return m.select("event_id", r(masked.anomalies("value", ["event_type"])).alias("a"))
+    return masked.anomalies(m, "value", ["event_type"]).select("event_id", r("anomaly").alias("a"))
+
+
+@query("masked_rows", "SELECT user_id, event_id, CASE WHEN bool_or(value > 95) OVER (PARTITION BY user_id) THEN NULL ELSE value END AS value FROM events")
+def masked_rows(spark, sf):
+    """The whole lane of a user with a masked value is masked."""
+    m = masked.masked_greater(table(spark, sf, "events").select("user_id", "event_id", "value"), "value", 95)
+    return masked.mask_rowcols(m, ["user_id"], "value")
 
 
 @query("trapezoid", "SELECT user_id, round(coalesce(sum((event_id - pe) * (value + pv) / 2), 0), 3) AS area FROM (SELECT *, lag(event_id) OVER w AS pe, lag(value) OVER w AS pv FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) GROUP BY user_id")
@@ -148,3 +189,12 @@ def string_classes(spark, sf):
         "c_custkey", strings.isdigit(F.substring(n, 10, 100)).alias("digits"), (n == strings.upper(n)).alias("up"), strings.ljust(F.substring(n, 1, 3), 6, "*").alias("padded"),
         strings.regex_extract(n, "([0-9]+)", 1).alias("num"), strings.count(n, "0").cast("long").alias("zeros"),
     )
+
+
+@query("string_cuts", "SELECT c_custkey, c_name[-3:] AS tail, c_name[2:5] AS inner, strpos(c_name, '0') - 1 + length(c_name) - length(rtrim(c_name)) AS first, c_name < 'Customer#000000075' AS low, printf('%s/%05d', c_mktsegment, c_custkey) AS filled, string_split(c_name, '#')[1] AS head FROM customer")
+def string_cuts(spark, sf):
+    n = F.col("c_name")
+    return table(spark, sf, "customer").select(
+        "c_custkey", strings.slice(n, -3).alias("tail"), strings.slice(n, 1, 5).alias("inner"), strings.index(n, "0").cast("long").alias("first"),
+        strings.less(n, F.lit("Customer#000000075")).alias("low"), strings.mod("%s/%05d", "c_mktsegment", "c_custkey").alias("filled"), strings.rsplit(n, "#", 1)[0].alias("head"),
+    )

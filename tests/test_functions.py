@@ -10,7 +10,7 @@ from gridloom import dtypes
 from gridloom.functions import autodiff, dates, ieee, strings, tapers
 from gridloom.functions.polynomials import Series
 from gridloom.functions.ufuncs import BINARY, UNARY, clip, round_to
-from gridloom.operators import fft, linalg, masked, order, reduce, setops
+from gridloom.operators import fft, linalg, masked, order, random, reduce, setops
 from gridloom.operators.frame import NdFrame
 from gridloom.sources import npy, text
 
@@ -98,10 +98,39 @@ def test_running_over_the_whole_table(spark):
 
 
 def test_sets_and_nan(spark):
-    a = spark.createDataFrame([(1.0,), (0.0,), (-0.0,), (float("nan"),)], "k double")
-    assert setops.union1d(a, a, "k").count() == 3
+    """NaN equals nothing, on one side it counts once."""
+    nan = float("nan")
+    a = spark.createDataFrame([(1.0,), (0.0,), (-0.0,), (nan,), (nan,), (3.0,)], "k double")
+    b = spark.createDataFrame([(2.0,), (nan,), (3.0,)], "k double")
+
+    def values(df):
+        return np.sort([r["k"] for r in df.collect()])
+
+    x, y = np.array([1.0, 0.0, -0.0, nan, nan, 3.0]), np.array([2.0, nan, 3.0])
+    np.testing.assert_array_equal(values(setops.union1d(a, b, "k")), np.union1d(x, y))
+    np.testing.assert_array_equal(values(setops.intersect1d(a, b, "k")), np.intersect1d(x, y))
+    np.testing.assert_array_equal(values(setops.setdiff1d(a, b, "k")), np.setdiff1d(x, y))
+    np.testing.assert_array_equal(values(setops.setxor1d(a, b, "k")), [0.0, 1.0, 2.0, nan, nan])
     hit = {str(r["k"]): r["isin"] for r in setops.isin(a, a, "k").collect()}
     assert hit["nan"] is False and hit["1.0"] is True
+    assert setops.setxor1d(a.select(F.col("k").cast("string")), b.select(F.col("k").cast("string")), "k").count() == 4
+
+
+def test_masked_sets_and_rows(spark):
+    a = spark.createDataFrame([(1,), (None,), (None,), (2,)], "k int")
+    b = spark.createDataFrame([(2,), (3,)], "k int")
+    values = lambda df: sorted((r["k"] for r in df.collect()), key=str)
+    for f, with_null, without in ((masked.ma_union1d, [1, 2, 3, None], [2, 3]), (masked.ma_intersect1d, [2], [2, 3]), (masked.ma_setdiff1d, [1, None], []), (masked.ma_setxor1d, [1, 3, None], [])):
+        assert values(f(a, b, "k")) == with_null and values(f(b, b, "k")) == without
+    assert values(masked.ma_intersect1d(a, a, "k")) == [1, 2, None] and values(masked.ma_unique(a, "k")) == [1, 2, None]
+    assert sorted(((r["k"], r["isin"]) for r in masked.ma_isin(a, b, "k").collect()), key=str) == [(1, False), (2, True), (None, None), (None, None)]
+    cells = spark.createDataFrame([(i, j, None if (i, j) == (1, 2) else 1.0) for i in range(3) for j in range(3)], "i0 int, i1 int, v double")
+    got = {(r["i0"], r["i1"]): r["v"] for r in masked.mask_rowcols(cells, ["i0", "i1"], "v").collect()}
+    x = np.ma.array(np.ones((3, 3)), mask=[[0, 0, 0], [0, 0, 1], [0, 0, 0]])
+    assert {k for k, v in got.items() if v is None} == {(i, j) for i, j in zip(*np.nonzero(np.ma.mask_rowcols(x).mask), strict=True)}
+    assert masked.masked_values(cells, "v", 1.0 + 1e-7).where("v IS NOT NULL").count() == 0
+    events = spark.createDataFrame([("a", 1.0), ("a", None), ("a", 3.0), (None, 5.0)], "g string, v double")
+    assert sorted((str(r["g"]), r["anomaly"]) for r in masked.anomalies(events.where("v IS NOT NULL"), "v", ["g"]).collect()) == [("None", 0.0), ("a", -1.0), ("a", 1.0)]
 
 
 def test_frame(spark):
@@ -178,17 +207,32 @@ def test_strings(spark):
     assert df.limit(1).select(strings.partition("s", "w")).first()[0][:] == ("hello ", "w", "örld's 3rd")
 
 
-def test_business_days(spark):
+HOLIDAYS = [None, ["2024-01-03", "2024-01-06", "2024-01-09", "2024-01-10", "2024-01-31"]]
+
+
+@pytest.mark.parametrize("holidays", HOLIDAYS)
+@pytest.mark.parametrize("mask", ["1111100", "1111111", "0000011", "1010100", "0001000"])
+def test_business_days(spark, mask, holidays):
+    """Counts both ways, also with the later day first, and steps with every way of rolling."""
     import datetime as dt
 
-    start = dt.date(2024, 1, 1)
-    rows = [(start + dt.timedelta(days=a), start + dt.timedelta(days=b), n) for a in range(0, 9) for b in range(0, 16, 3) for n in (-6, -1, 0, 1, 7)]
+    start = dt.date(2023, 12, 25)
+    rows = [(start + dt.timedelta(days=a), start + dt.timedelta(days=b), n) for a in range(0, 45, 2) for b in range(0, 45, 5) for n in (-6, -1, 0, 1, 7)]
     df = spark.createDataFrame(rows, "a date, b date, n int")
-    off = [dt.date(2024, 1, 3), dt.date(2024, 1, 6)]
-    for a, b, n, c, h, o in df.select("a", "b", "n", dates.busday_count("a", "b"), dates.busday_count("a", "b", off), dates.busday_offset("a", F.col("n"))).collect():
-        if a <= b:
-            assert c == np.busday_count(a, b) and h == np.busday_count(a, b, holidays=off)
-        assert o == np.busday_offset(a, n, roll="forward").astype(dt.date)
+    off = [dt.date.fromisoformat(h) for h in holidays or []]
+    rolls = ["forward", "following", "backward", "preceding", "modifiedfollowing", "modifiedpreceding"]
+    got = df.select(
+        "a", "b", "n", dates.busday_count("a", "b", off, mask).alias("c"), dates.is_busday("a", off, mask).alias("o"),
+        *[dates.busday_offset("a", F.col("n"), x, off, mask).alias(x) for x in (*rolls, "nat")],
+    ).collect()
+    for r in got:
+        assert r["c"] == np.busday_count(r["a"], r["b"], weekmask=mask, holidays=off), r
+        assert r["o"] == np.is_busday(r["a"], weekmask=mask, holidays=off)
+        for x in rolls:
+            assert r[x] == np.busday_offset(r["a"], r["n"], roll=x, weekmask=mask, holidays=off).astype(dt.date), (x, r)
+        assert (r["nat"] is None) == (not r["o"])
+    with pytest.raises(Exception, match="not a business day"):
+        df.select(dates.busday_offset("a", 1, "raise", off, "0001000")).collect()
 
 
 def test_derivative(spark):
@@ -248,16 +292,19 @@ def test_more_statistics(spark):
     df = spark.createDataFrame([(0, float(v)) for v in x] + [(1, float(v)) for v in y], "g int, v double")
     every = np.concatenate([x, y])
     gap = max(abs((x <= v).mean() - (y <= v).mean()) for v in every)
-    assert abs(reduce.ks_2samp(df, "v", "g") - gap) < 1e-12
+    far, p = reduce.ks_2samp(df, "v", "g")
+    root = math.sqrt(60 * 45 / 105)
+    lam = (root + 0.12 + 0.11 / root) * gap
+    assert abs(far - gap) < 1e-12 and abs(p - 2 * sum((-1) ** (k - 1) * math.exp(-2 * (k * lam) ** 2) for k in range(1, 101))) < 1e-12
     np.testing.assert_allclose(reduce.bin_edges(df, "v", "sturges"), np.histogram_bin_edges(every, "sturges"))
     np.testing.assert_allclose(reduce.bin_edges(df, "v", "scott"), np.histogram_bin_edges(every, "scott"))
     assert df.agg(reduce.median("v")).first()[0] == np.median(every)
     counts = {(r["b0"], r["b1"]): r["n"] for r in reduce.histogramdd(df.withColumn("w", F.col("g") + 0.5), ["v", "w"], [[-3.0, 0.0, 3.0], [0.0, 1.0, 2.0]]).collect()}
     assert counts[0, 0] == ((x >= -3) & (x < 0)).sum()
     table = spark.createDataFrame([("a", "p")] * 10 + [("a", "q")] * 5 + [("b", "p")] * 4, "a string, b string")
-    stat, dof = reduce.chi2_contingency(table, "a", "b")
+    stat, p, dof = reduce.chi2_contingency(table, "a", "b")
     o, e = np.array([[10, 5], [4, 0]]), np.outer([15, 4], [14, 5]) / 19
-    assert dof == 1 and abs(stat - ((o - e) ** 2 / e).sum()) < 1e-9
+    assert dof == 1 and abs(stat - ((o - e) ** 2 / e).sum()) < 1e-9 and abs(p - math.erfc(math.sqrt(stat / 2))) < 1e-12
 
 
 def test_user_functions(spark):
@@ -281,3 +328,148 @@ def test_lanes(spark):
     np.testing.assert_allclose([r["unwrapped"] for r in order.unwrap(df, "i", "v", ["g"]).orderBy("i").collect()], np.unwrap(x))
     got = [r["correlated"] for r in order.correlate(df, "i", "v", [1.0, -2.0, 0.5], ["g"]).orderBy("i").collect()][2:]
     np.testing.assert_allclose(got, np.correlate(x, [1.0, -2.0, 0.5], "valid"))
+
+
+def test_correlation_tests(spark):
+    """p of Pearson and Spearman against the t density, ties included; Welch and equal variances; constants."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 6, 40).astype(float)
+    y = 0.4 * x + rng.normal(size=40).round(1)
+    df = spark.createDataFrame([(float(a), float(b), int(k % 2)) for k, (a, b) in enumerate(zip(x, y, strict=True))], "x double, y double, g int")
+
+    def two_sided(t, dof):
+        at = np.linspace(0, abs(t), 400_001)
+        c = math.exp(math.lgamma((dof + 1) / 2) - math.lgamma(dof / 2)) / math.sqrt(dof * math.pi)
+        return 1 - 2 * np.trapezoid(c * (1 + at**2 / dof) ** (-(dof + 1) / 2), at)
+
+    def ranks(v):
+        return np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
+
+    for got, (a, b) in ((reduce.pearsonr(df, "x", "y"), (x, y)), (reduce.spearmanr(df, "x", "y"), (ranks(x), ranks(y)))):
+        r = np.corrcoef(a, b)[0, 1]
+        np.testing.assert_allclose(got, (r, two_sided(r * math.sqrt(38 / (1 - r * r)), 38)), rtol=1e-9)
+    a, b = y[::2], y[1::2]
+    va, vb = a.var(ddof=1) / 20, b.var(ddof=1) / 20
+    t = (a.mean() - b.mean()) / math.sqrt(va + vb)
+    np.testing.assert_allclose(reduce.ttest_ind(df, "y", "g"), (t, two_sided(t, (va + vb) ** 2 / (va**2 / 19 + vb**2 / 19))), rtol=1e-9)
+    np.testing.assert_allclose(reduce.ttest_ind(df, "y", "g", True), (t, two_sided(t, 38)), rtol=1e-9)
+    flat = df.withColumn("x", F.lit(1.0))
+    assert all(map(math.isnan, reduce.pearsonr(flat, "x", "y"))) and all(map(math.isnan, reduce.ttest_ind(flat, "x", "g")))
+    for dof in (1, 2, 3, 4, 7, 10):
+        at = np.linspace(0, 5.0, 2_000_001)[1:]
+        density = np.exp((dof / 2 - 1) * np.log(at) - at / 2 - dof / 2 * math.log(2) - math.lgamma(dof / 2))
+        if dof > 2:
+            assert abs(reduce.chi2_tail(5.0, dof) - (1 - np.trapezoid(density, at))) < 1e-5
+    assert abs(reduce.chi2_tail(5.0, 1) - math.erfc(math.sqrt(2.5))) < 1e-14 and abs(reduce.chi2_tail(5.0, 2) - math.exp(-2.5)) < 1e-14
+
+
+def test_grouped_orders(spark):
+    """Ranks and running sums of groups that span partitions, with ties; quantiles of a group that has most rows."""
+    rng = np.random.default_rng(6)
+    rows = [(("hot" if rng.random() < 0.7 else f"g{rng.integers(5)}") if k % 50 else None, int(rng.integers(0, 40)), float(rng.integers(0, 9)), k) for k in range(3000)]
+    df = spark.createDataFrame(rows, "g string, o int, v double, k int").repartition(7)
+    got = order.running(df, ["o"], "v", "s", ["g"]).collect()
+    ranks = {r["k"]: r["n"] for r in order.ranked(df, ["o"], "n", ["g"]).collect()}
+    for g in {r[0] for r in rows}:
+        own = sorted((o, v, k) for a, o, v, k in rows if a == g)
+        sums = dict(zip([k for _, _, k in own], np.cumsum([v for _, v, _ in own]), strict=True))
+        assert {r["k"]: r["s"] for r in got if r["g"] == g} == sums
+        assert [ranks[k] for _, _, k in own] == list(range(len(own)))
+        q = reduce.quantiles(df.where(F.col("g").eqNullSafe(F.lit(g))), ["g"], "v", [0.3, 0.5]).first()
+        np.testing.assert_allclose(q[1:], np.quantile([v for _, v, _ in own], [0.3, 0.5]))
+    part = {r["k"]: r["part"] for r in order.partition(df, "v", "k", 100).collect()}
+    every = sorted((v, k) for _, _, v, k in rows)
+    assert [part[k] for _, k in every] == [-1] * 100 + [0] + [1] * 2899
+    steps = order.ediff1d(df, "k", "v", [9.0], [7.0, 8.0]).orderBy("i0").collect()
+    assert [r["v"] for r in steps] == np.ediff1d([r[2] for r in sorted(rows, key=lambda r: r[3])], [7.0, 8.0], [9.0]).tolist()
+    z = spark.createDataFrame([(1.0, 2.0), (1.0, -2.0), (0.5, 9.0), (float("nan"), 0.0)], "re double, im double")
+    placed = {r["i"]: (r["re"], r["im"]) for r in order.sort_complex(z, "re", "im").collect()}
+    assert [placed[k] for k in range(3)] == [(0.5, 9.0), (1.0, -2.0), (1.0, 2.0)]
+    uneven = spark.createDataFrame([(0, float(t), float(t) ** 2) for t in (0, 1, 3, 4, 7)], "g int, t double, y double")
+    grad = [r["gradient"] for r in order.gradient(uneven, "t", "y", ["g"], spacing="t").orderBy("t").collect()]
+    np.testing.assert_allclose(grad, np.gradient(np.array([0.0, 1, 9, 16, 49]), [0, 1, 3, 4, 7]))
+
+
+def test_bincount_and_histogram_edges(spark):
+    df = spark.createDataFrame([(5,), (5,), (0,), (None,)], "v int")
+    assert [r["n"] for r in reduce.bincount(df, "v").orderBy("i0").collect()] == [1, 0, 0, 0, 0, 2]
+    with pytest.raises(ValueError, match="negative"):
+        reduce.bincount(spark.createDataFrame([(-1,)], "v int"), "v")
+    edges = [float(x) for x in np.linspace(0, 1, 11)]
+    x = np.concatenate([np.linspace(0, 1, 11), np.random.default_rng(1).random(300), [np.nan, -0.1, 1.1], np.nextafter(np.linspace(0, 1, 11), 0)])
+    got = reduce.histogram(spark.createDataFrame([(float(v),) for v in x], "v double"), "v", edges).orderBy("bin").collect()
+    assert [r["n"] for r in got] == np.histogram(x[np.isfinite(x)], edges)[0].tolist()
+
+
+def test_string_slices_and_splits(spark):
+    texts = ["one two  three", "", "a,b,,c", "  lead", "né,é", "xx"]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    cuts = [(None, 3), (-3, None), (1, -1), (4, 2), (-99, 99)]
+    rows = df.select("s", *[strings.slice("s", *c) for c in cuts], strings.rsplit("s", ",", 1), strings.rsplit("s", None, 1), strings.rsplit("s", ","), strings.mod("<%s|%5d>", "s", F.length("s")), strings.compare_chararrays("s", F.lit("b "), "<")).collect()
+    for s, *got in rows:
+        assert got[:5] == [s[slice(*c)] for c in cuts]
+        assert got[5:8] == [s.rsplit(",", 1), s.rstrip().rsplit(None, 1), s.rsplit(",")]
+        assert got[8] == f"<{s}|{len(s):5d}>" and got[9] == (s.rstrip() < "b")
+    assert df.limit(1).select(strings.rindex("s", "t")).first()[0] == 9
+    with pytest.raises(Exception, match="substring not found"):
+        df.select(strings.rindex("s", "q")).collect()
+
+
+def test_text_options(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("# head\nskip me\na;b;c\n1;2.5;3\n4;5;6 # tail\n")
+    got = text.load(spark, str(tmp_path / "t.csv"), 3, ";", skiprows=1, usecols=[2, 0], names=True)
+    assert got.columns == ["c", "a"] and sorted(map(tuple, got.collect())) == [(3.0, 1.0), (6.0, 4.0)]
+    got = text.load(spark, str(tmp_path / "t.csv"), 3, ";", skiprows=2, usecols=[1], names=["x"])
+    assert got.columns == ["x"] and sorted(r["x"] for r in got.collect()) == [2.5, 5.0]
+    df = spark.createDataFrame([(k, k / 4) for k in range(100)], "i long, v double").repartition(5)
+    text.save(df, str(tmp_path / "out"), ["i", "v"], " ", ["%d", "%.2f"], ["i"], header="two\nlines", footer="end")
+    lines = "".join(f.read_text() for f in sorted((tmp_path / "out").glob("part*"))).splitlines()
+    assert lines == ["# two", "# lines", *[f"{k} {k / 4:.2f}" for k in range(100)], "# end"]
+    np.testing.assert_array_equal(np.loadtxt(lines), [[k, k / 4] for k in range(100)])
+
+
+def test_array_files_without_loss(spark, tmp_path):
+    whole = np.array([2**62 + 1, -(2**53) - 1, 0])
+    np.save(tmp_path / "i.npy", whole)
+    np.save(tmp_path / "u.npy", np.array([2**64 - 1, 1], np.uint64))
+    np.save(tmp_path / "z.npy", np.array([[1 + 2j, -3j]]).T)
+    np.save(tmp_path / "r.npy", np.array([(1, 2.5, "x"), (2, -1.0, "yy")], [("a", "i4"), ("b", "f8"), ("c", "U3")]))
+    assert [r["v"] for r in npy.read_arrays(spark, str(tmp_path / "i.npy"), "long").orderBy("pos").collect()] == whole.tolist()
+    assert [int(r["v"]) for r in npy.read_arrays(spark, str(tmp_path / "u.npy"), "unsigned").orderBy("pos").collect()] == [2**64 - 1, 1]
+    assert [(r["re"], r["im"]) for r in npy.read_arrays(spark, str(tmp_path / "z.npy"), "complex").orderBy("pos").collect()] == [(1.0, 2.0), (0.0, -3.0)]
+    assert [tuple(r)[1:] for r in npy.read_records(spark, str(tmp_path / "r.npy")).orderBy("pos").collect()] == [(0, 1, 2.5, "x"), (1, 2, -1.0, "yy")]
+    with pytest.raises(Exception, match="whole numbers"):
+        npy.read_arrays(spark, str(tmp_path / "z.npy"), "long").collect()
+    df = spark.createDataFrame([(g, k, float(g * 10 + k)) for g in (1, 2) for k in range(3)], "g int, k int, v double")
+    assert npy.save_arrays(df, ["g"], "k", "v", f"file://{tmp_path}/sink").count() == 2
+    assert np.load(tmp_path / "sink" / "2.npy").tolist() == [20.0, 21.0, 22.0]
+
+
+MOMENTS = {
+    "gamma": (lambda i: random.gamma(i, 1, 2.5, 2.0), 5.0, 10.0), "gamma_small": (lambda i: random.gamma(i, 2, 0.4), 0.4, 0.4),
+    "beta": (lambda i: random.beta(i, 3, 2.0, 3.0), 0.4, 0.04), "chisquare": (lambda i: random.chisquare(i, 4, 3.0), 3.0, 6.0),
+    "f": (lambda i: random.f(i, 5, 4.0, 12.0), 1.2, 2 * 144 * 14 / (4 * 100 * 8)), "standard_t": (lambda i: random.standard_t(i, 6, 9.0), 0.0, 9 / 7),
+    "noncentral_chisquare": (lambda i: random.noncentral_chisquare(i, 7, 3.0, 2.0), 5.0, 14.0), "wald": (lambda i: random.wald(i, 8, 2.0, 5.0), 2.0, 1.6),
+    "vonmises": (lambda i: F.cos(random.vonmises(i, 9, 0.0, 2.0)), 0.697775, 0.5 * (1 + 0.302225) - 0.697775**2),
+    "zipf": (lambda i: (random.zipf(i, 10, 2.5) == 1).cast("double"), 1 / 1.341487, 1 / 1.341487 * (1 - 1 / 1.341487)),
+    "logseries": (lambda i: random.logseries(i, 11, 0.6), 0.6 / (0.4 * 0.916291), 0.6 * (0.916291 - 0.6) / (0.16 * 0.916291**2)),
+    "negative_binomial": (lambda i: random.negative_binomial(i, 12, 3.0, 0.4), 4.5, 11.25), "hypergeometric": (lambda i: random.hypergeometric(i, 13, 7, 13, 6), 2.1, 6 * 0.35 * 0.65 * 14 / 19),
+    "multinomial": (lambda i: random.multinomial(i, 14, 10, [1.0, 3.0, 6.0])[1], 3.0, 2.1), "multivariate_hypergeometric": (lambda i: random.multivariate_hypergeometric(i, 15, [5, 9, 6], 4)[2], 1.2, 4 * 0.3 * 0.7 * 16 / 19),
+    "dirichlet": (lambda i: random.dirichlet(i, 16, [1.0, 2.0, 3.0])[2], 0.5, 0.25 / 7), "multivariate_normal": (lambda i: random.multivariate_normal(i, 17, [1.0, 2.0], [[2.0, 0.6], [0.6, 1.0]])[1], 2.0, 1.0),
+}
+
+
+@pytest.mark.parametrize("name", sorted(MOMENTS))
+def test_random_moments(spark, name):
+    make, mean, var = MOMENTS[name]
+    x = np.array([r[0] for r in spark.range(40_000).select(make(F.col("id")).cast("double")).collect()])
+    assert abs(x.mean() - mean) < 5 * math.sqrt(var / len(x)) and abs(x.var() / var - 1) < 0.1
+    assert np.isfinite(x).all() and len(np.unique(x[:100])) > 1
+
+
+def test_random_vectors(spark):
+    i = F.col("id")
+    rows = spark.range(20_000).select(random.multivariate_normal(i, 3, [1.0, 2.0], [[2.0, 0.6], [0.6, 1.0]]), random.multinomial(i, 4, 12, [0.2, 0.8]), random.dirichlet(i, 5, [1.0, 2.0]), random.multivariate_hypergeometric(i, 6, [3, 4], 5)).collect()
+    z = np.array([r[0] for r in rows])
+    np.testing.assert_allclose(np.cov(z.T), [[2.0, 0.6], [0.6, 1.0]], atol=0.07)
+    assert all(sum(r[1]) == 12 and abs(sum(r[2]) - 1) < 1e-12 and sum(r[3]) == 5 and r[3][0] <= 3 and r[3][1] <= 4 for r in rows)
