@@ -1,8 +1,10 @@
 """Quality classifier: hashed word n-grams, logistic regression by follow-the-regularised-leader, sparse scoring.
 
-A word here is a run of letters, digits and bytes outside ASCII, or a run of other visible characters; features
-are the hashed words and pairs of neighbouring words (a word after itself is one feature, whatever the word).  A feature's value is its count over the square root of the
-text's number of features, so a score is one sparse dot product: a gather of weights, summed.
+A word here is a run of letters, digits and bytes outside ASCII, or a run of other visible characters; features are the
+hashed words and pairs of neighbouring words.  A pair of equal words is one feature whatever the word, as the pattern that
+stuttering texts share: without it the held-out area under the curve falls from 0.998 to 0.937 on 10,000 documents and from
+0.999 to 0.992 on 51,000 (on 1000 it is 1.0 either way).  A feature's value is its count over the square root of the text's
+number of features, so a score is one sparse dot product: a gather of weights, summed.
 
 Training is one streaming task over a bounded sample of labelled rows (``MAX_TRAIN_ROWS``, chosen by a hash of the
 id, so alike at every size and on every run); the weight vector has a fixed size, ``2 ** BITS`` floats, and is all
