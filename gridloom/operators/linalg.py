@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ieee import divide
 from .frame import NdFrame, sent
 
 BLOCK = 256
@@ -304,3 +305,19 @@ def lstsq(df: DataFrame, features: list[str], target: str) -> np.ndarray:
     row = df.agg(*sums).first()
     full = np.array([[row[f"s{max(i, j)}_{min(i, j)}"] for j in range(len(cols))] for i in range(len(cols))])
     return np.linalg.solve(full[:-1, :-1], full[:-1, -1])
+
+
+def covariance_matrix(df: DataFrame, vector: str, n: int, ddof: int = 1, correlation: bool = False) -> DataFrame:
+    """(i0, i1, v): covariances of the n components of vectors, or their correlations, in one more scan than the means: products
+    of what the means leave, so nothing cancels."""
+    means = df.select(F.posexplode(vector).alias("k", "x")).groupBy("k").agg(F.avg(F.col("x").cast("double")).alias("m"))  # n rows
+    row = means.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda x: x["m"]).alias("m")).first()
+    centre = F.array(*[F.lit(float(m)) for m in row["m"] or [0.0] * n])
+    centred = df.select(F.zip_with(F.col(vector), centre, lambda x, m: x.cast("double") - m).alias("c"))
+    products = gram(centred, "c", n)
+    count = df.where(F.col(vector).isNotNull()).count()
+    if not correlation:
+        return products.withColumn("v", F.col("v") / max(count - ddof, 0) if count > ddof else F.lit(float("nan")))
+    own = products.where("i0 = i1").select(F.col("i0").alias("k"), F.sqrt("v").alias("s"))  # n rows
+    x, y = own.select(F.col("k").alias("i0"), F.col("s").alias("sx")), own.select(F.col("k").alias("i1"), F.col("s").alias("sy"))
+    return products.join(x, "i0").join(y, "i1").select("i0", "i1", divide(F.col("v"), F.col("sx") * F.col("sy")).alias("v"))

@@ -22,6 +22,37 @@ def vectorize(f: Callable[..., np.ndarray], kind: str = "double") -> Callable[..
     return run
 
 
+def frompyfunc(f: Callable, n_in: int, n_out: int = 1, kind: str = "double") -> Callable[..., Column]:
+    """A function of single values as a function of Columns; with several results an array of them.  Batches go through
+    Arrow, and the function sees one element at a time."""
+    many = f"array<{kind}>" if n_out > 1 else kind
+
+    @F.pandas_udf(many)
+    def run(*columns: pd.Series) -> pd.Series:
+        got = [f(*row) for row in zip(*[c.tolist() for c in columns], strict=True)]
+        return pd.Series([list(x) for x in got] if n_out > 1 else got)
+
+    def call(*columns) -> Column:
+        if len(columns) != n_in:
+            raise ValueError(f"{n_in} arguments, not {len(columns)}")
+        return run(*columns)
+
+    return call
+
+
+def ma_apply_along_axis(a: NdFrame, axis: int, f: Callable[[np.ma.MaskedArray], object]) -> NdFrame:
+    """``f`` of each lane as a masked array (absent and NULL cells masked); a masked result is NULL."""
+
+    def lane(x: np.ndarray) -> np.ndarray:
+        got = f(np.ma.masked_invalid(x))
+        return np.ma.filled(np.ma.atleast_1d(np.ma.asarray(got, float)), np.nan)
+
+    # masked elements travel as NaN, for which a lane of doubles has room
+    full = NdFrame(a.cells.withColumn("v", F.coalesce(F.col("v").cast("double"), F.lit(float("nan")))), a.shape)
+    out = apply_along_axis(full, axis, lane)
+    return out.map(lambda v: F.when(~F.isnan(v), v))
+
+
 def apply_along_axis(a: NdFrame, axis: int, f: Callable[[np.ndarray], np.ndarray], width: int | None = None) -> NdFrame:
     """``f`` of each lane along ``axis`` (an array of ``width`` values, or one value).  A lane is one group in one task."""
     keep = [k for k in range(a.ndim) if k != axis]

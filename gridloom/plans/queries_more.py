@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import autodiff, dates, strings, tapers
 from ..functions import complex as cx
 from ..functions.polynomials import Series, fit
-from ..operators import fft, masked, order, random, reduce
+from ..operators import fft, linalg, masked, order, random, reduce
 from ..streaming import windows
 from .catalog import query
 from .queries import r, table
@@ -97,6 +97,31 @@ def complex_numbers(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", r(sq["re"]).alias("re"), r(sq["im"]).alias("im"), r(cx.absolute(z)).alias("size"))
 
 
+@query(
+    "complex_functions",
+    """SELECT l_orderkey, l_linenumber, round(sin(a) * cosh(b), 8) AS sin_re, round(cos(a) * sinh(b), 8) AS sin_im, round(exp(a) * cos(b), 8) AS exp_re, round(ln(a * a + b * b) / 2, 8) AS log_re,
+              round(atan2(b, a), 8) AS log_im, round(sqrt((sqrt(a * a + b * b) + a) / 2), 8) AS sqrt_re, round(cosh(a) * cos(b), 8) AS cosh_re, round(a / (a * a + b * b), 8) AS inverse_re
+       FROM (SELECT *, l_quantity / 10 AS a, l_discount * 10 + 0.5 AS b FROM lineitem)""",
+)
+def complex_functions(spark, sf):
+    z = cx.make(F.col("l_quantity") / 10, F.col("l_discount") * 10 + 0.5)
+    df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", z.alias("z"))
+    s, e, g, q, c, i = (f(F.col("z")) for f in (cx.sin, cx.exp, cx.log, cx.sqrt, cx.cosh, cx.reciprocal))
+    return df.select(
+        "l_orderkey", "l_linenumber", r(s["re"], 8).alias("sin_re"), r(s["im"], 8).alias("sin_im"), r(e["re"], 8).alias("exp_re"), r(g["re"], 8).alias("log_re"),
+        r(g["im"], 8).alias("log_im"), r(q["re"], 8).alias("sqrt_re"), r(c["re"], 8).alias("cosh_re"), r(i["re"], 8).alias("inverse_re"),
+    )
+
+
+@query(
+    "covariance_matrix",
+    """WITH c AS (SELECT vec_id AS i, unnest(range(64)) AS j, unnest(embedding)::DOUBLE AS v FROM embeddings)
+       SELECT a.j AS i0, b.j AS i1, round(covar_samp(a.v, b.v), 7) AS v FROM c a JOIN c b ON a.i = b.i GROUP BY ALL""",
+)
+def covariance_matrix(spark, sf):
+    return linalg.covariance_matrix(table(spark, sf, "embeddings"), "embedding", 64).withColumn("v", r("v", 7))
+
+
 @query("derivatives", "SELECT l_orderkey, l_linenumber, round(x0 * sin(x0) + exp(-x0), 8) AS y, round(sin(x0) + x0 * cos(x0) - exp(-x0), 8) AS dy FROM (SELECT *, l_quantity / 10 + l_tax AS x0 FROM lineitem)")
 def derivatives(spark, sf):
     f = lambda x: x * x.sin() + (-x).exp()

@@ -473,3 +473,47 @@ def test_random_vectors(spark):
     z = np.array([r[0] for r in rows])
     np.testing.assert_allclose(np.cov(z.T), [[2.0, 0.6], [0.6, 1.0]], atol=0.07)
     assert all(sum(r[1]) == 12 and abs(sum(r[2]) - 1) < 1e-12 and sum(r[3]) == 5 and r[3][0] <= 3 and r[3][1] <= 4 for r in rows)
+
+
+@pytest.mark.parametrize("name", ["sin", "cos", "tan", "sinh", "cosh", "tanh", "arcsin", "arccos", "arctan", "arcsinh", "arccosh", "arctanh", "sqrt", "exp", "expm1", "log", "log1p", "log2", "log10", "square", "reciprocal", "negative"])
+def test_complex_functions(spark, name):
+    from gridloom.functions import complex as cx
+
+    rng = np.random.default_rng(3)
+    z = np.concatenate([rng.normal(size=40) + 1j * rng.normal(size=40), 1e-9 * (rng.normal(size=5) + 1j * rng.normal(size=5)), 12 * (rng.normal(size=10) + 1j * rng.normal(size=10)), [0.5 + 0.25j, -0.5 + 1e-3j, 3 - 2j, -3 + 2j]])
+    df = spark.createDataFrame([(i, float(x.real), float(x.imag)) for i, x in enumerate(z)], "i int, re double, im double")
+    rows = df.select("i", getattr(cx, name)(cx.make("re", "im")).alias("w")).orderBy("i").collect()
+    got = np.array([r["w"]["re"] + 1j * r["w"]["im"] for r in rows])
+    np.testing.assert_allclose(got, getattr(np, name)(z), rtol=1e-9, atol=1e-13)
+
+
+def test_complex_power(spark):
+    from gridloom.functions import complex as cx
+
+    z, w = np.array([1 + 2j, -3 + 0.5j, 0j, 0j, 2 - 1j]), np.array([2 - 1j, 0.5 + 0j, 2 + 0j, 0j, -1 + 0j])
+    df = spark.createDataFrame([(i, float(a.real), float(a.imag), float(b.real), float(b.imag)) for i, (a, b) in enumerate(zip(z, w, strict=True))], "i int, a double, b double, c double, d double")
+    rows = df.select("i", cx.power(cx.make("a", "b"), cx.make("c", "d")).alias("w")).orderBy("i").collect()
+    np.testing.assert_allclose([r["w"]["re"] + 1j * r["w"]["im"] for r in rows], z**w, rtol=1e-12, atol=1e-14)
+
+
+def test_covariance_matrix(spark):
+    x = np.random.default_rng(2).normal(size=(50, 4)) + 1e6
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "v array<double>")
+    for correlation, expected in ((False, np.cov(x.T)), (True, np.corrcoef(x.T))):
+        got = npy.to_array(linalg.covariance_matrix(df, "v", 4, correlation=correlation), (4, 4))
+        np.testing.assert_allclose(got, expected, rtol=1e-7, atol=1e-9)
+
+
+def test_more_user_functions(spark, tmp_path):
+    from gridloom.operators import udf
+    from gridloom.sources import masked as files
+
+    df = spark.createDataFrame([(7, 3), (9, 4)], "a long, b long")
+    assert [r[0] for r in df.select(udf.frompyfunc(divmod, 2, 2, "long")("a", "b")).collect()] == [[2, 1], [2, 1]]
+    assert [r[0] for r in df.select(udf.frompyfunc(lambda a, b: a * b, 2, 1, "long")("a", "b")).collect()] == [21, 36]
+    cells = spark.createDataFrame([(0, 0, 1.0), (0, 1, None), (0, 2, 5.0), (1, 0, None), (1, 1, None), (1, 2, None)], "i0 long, i1 long, v double")
+    got = udf.ma_apply_along_axis(NdFrame(cells, (2, 3)), 1, np.ma.mean).cells
+    assert {r["i0"]: r["v"] for r in got.collect()} == {0: 3.0, 1: None}
+    files.save(df, str(tmp_path / "m"), "a", F.col("b") > 3)
+    assert sorted(map(tuple, files.load(spark, str(tmp_path / "m")).collect()), key=str) == [(7, 3), (None, 4)]
+    assert sorted(map(tuple, files.unmasked(files.load(spark, str(tmp_path / "m"), False), "a").collect())) == [(7, 3), (9, 4)]
