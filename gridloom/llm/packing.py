@@ -36,7 +36,9 @@ LENGTH = 2048
 END_ID = 1
 DIMS, GRID_BITS = 3, 20
 VECTOR = 256
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
+#: Bytes of text that a task works on at once; what it holds besides is in proportion.
+SLICE_BYTES = 1 << 19
 
 # The pre-tokeniser pattern under which a text falls apart into the pieces of `pieces`.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -97,7 +99,7 @@ class WordTokenizer:
 
         self.model = Tokenizer.from_file(path)
         self.vocabulary = self.model.get_vocab_size()
-        self.by_piece = self.cuts(json.loads(self.model.to_str()))
+        self.by_piece = self.cuts(self.model)
         rng = np.random.default_rng(20240603)
         bucket = fmix(np.arange(self.vocabulary, dtype=U64) + U64(1))
         sign = np.where(bucket >> U64(63), 1.0, -1.0)
@@ -111,16 +113,15 @@ class WordTokenizer:
         self.clear()
 
     @staticmethod
-    def cuts(rules: dict) -> bool:
+    def cuts(model) -> bool:
         """Whether the file's rules cut texts where :func:`pieces` does: words end in a suffix, case and white space fall away."""
-        steps = (rules["pre_tokenizer"] or {}).get("pretokenizers", [])
-        split = steps and steps[0].get("type") == "Split" and steps[0]["pattern"] == {"Regex": SPLIT} and steps[0]["behavior"] == "Removed"
-        split = split and steps[0]["invert"] and len(steps) == 2
-        bytewise = split and steps[1].get("type") == "ByteLevel" and not steps[1]["use_regex"] and not steps[1]["add_prefix_space"]
-        normal = [x["type"] for x in (rules["normalizer"] or {}).get("normalizers", [])]
-        model = rules["model"]
-        suffix = model.get("type") == "BPE" and model["end_of_word_suffix"] and model["dropout"] is None
-        special = all(t["content"].startswith("<|") and not t["lstrip"] and not t["rstrip"] and not t["normalized"] for t in rules["added_tokens"])
+        state = lambda part: json.loads(part.__getstate__()) if part is not None else {}
+        steps = state(model.pre_tokenizer).get("pretokenizers", [])
+        split = len(steps) == 2 and steps[0]["type"] == "Split" and steps[0]["pattern"] == {"Regex": SPLIT} and steps[0]["behavior"] == "Removed" and steps[0]["invert"]
+        bytewise = split and steps[1]["type"] == "ByteLevel" and not steps[1]["use_regex"] and not steps[1]["add_prefix_space"]
+        normal = [x["type"] for x in state(model.normalizer).get("normalizers", [])]
+        suffix = getattr(model.model, "end_of_word_suffix", None) and getattr(model.model, "dropout", 0) is None
+        special = all(t.content.startswith("<|") and not t.lstrip and not t.rstrip and not t.normalized for t in model.get_added_tokens_decoder().values())
         return bool(bytewise and normal == ["NFC", "Replace", "Lowercase"] and suffix and special)
 
     @classmethod
@@ -131,13 +132,15 @@ class WordTokenizer:
 
     def clear(self) -> None:
         #: hashes of the known pieces in order, and where their ids stand in the pool
-        self.known, self.starts, self.lengths = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known, self.starts, self.lengths = np.zeros(0, U64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.pool, self.used = np.zeros(1 << 16, np.int32), 0
 
     def _encoded(self, plain: list[bytes], whole: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of pieces of one word each, then of pieces of any rules, and the number of each piece's ids."""
-        joined = [b" ".join(plain[i : i + self.JOINED]).decode() for i in range(0, len(plain), self.JOINED)]
-        parts = [np.array(e.ids, np.int32) for e in self.model.encode_batch_fast(joined, add_special_tokens=False)]
+        parts = []
+        for i in range(0, len(plain), self.JOINED):  # an encoding holds much besides its ids: one at a time
+            joined = b" ".join(plain[i : i + self.JOINED]).decode()
+            parts += [np.array(e.ids, np.int32) for e in self.model.encode_batch_fast([joined], add_special_tokens=False)]
         ids = np.concatenate([np.zeros(0, np.int32), *parts])
         lengths = np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0)
         if len(lengths) != len(plain):
@@ -154,12 +157,12 @@ class WordTokenizer:
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used : self.used + len(ids)] = ids
-        starts = self.used + np.cumsum(lengths) - lengths
+        starts = (self.used + np.cumsum(lengths) - lengths).astype(np.int32)
         self.used += len(ids)
-        known = np.concatenate([self.known, hashes])
-        order = np.argsort(known, kind="stable")
-        self.known = known[order]
-        self.starts, self.lengths = np.concatenate([self.starts, starts])[order], np.concatenate([self.lengths, lengths])[order]
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.known, hashes[order])
+        self.known = np.insert(self.known, at, hashes[order])
+        self.starts, self.lengths = np.insert(self.starts, at, starts[order]), np.insert(self.lengths, at, lengths[order].astype(np.int32))
 
     def _missing(self, hashes: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.known, hashes)
@@ -184,7 +187,7 @@ class WordTokenizer:
             n = int((~whole).sum())
             self._learn(h[new], texts[:n], texts[n:])
         place = np.searchsorted(self.known, h)[back]
-        n = self.lengths[place]
+        n = self.lengths[place].astype(np.int64)
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(n) else 0
         flat = np.arange(total) + np.repeat(self.starts[place] - (ends - n), n)
@@ -241,7 +244,7 @@ def tokenised(docs: DataFrame, path: str, id_col: str, text_col: str, end_id: in
         model = WordTokenizer.of(path)
         kind = "<u2" if model.vocabulary <= 1 << 16 else "<u4"
         for batch in batches:
-            for first, end, buf, offsets in text_slices(batch.column(1)):
+            for first, end, buf, offsets in text_slices(batch.column(1), SLICE_BYTES):
                 ids, bounds = model.ids(buf, offsets)
                 places = curve_places(ids, bounds, model.projection)
                 raw, size = ids.astype(kind), int(kind[-1])
