@@ -25,6 +25,28 @@ def rescale(ticks, unit: str, to: str) -> Column:
     return t * (a // b) if a >= b else F.floor(t / (b // a)).cast("long")
 
 
+def promoted(a: str, b: str) -> str:
+    """The finer of two units."""
+    return a if NANOSECONDS[a] <= NANOSECONDS[b] else b
+
+
+def add_ticks(a, a_unit: str, b, b_unit: str) -> tuple[Column, str]:
+    """Sum of two counts of ticks (a date or a difference, and a difference), in the finer unit; NULL is NaT."""
+    unit = promoted(a_unit, b_unit)
+    return rescale(a, a_unit, unit) + rescale(b, b_unit, unit), unit
+
+
+def subtract_ticks(a, a_unit: str, b, b_unit: str) -> tuple[Column, str]:
+    unit = promoted(a_unit, b_unit)
+    return rescale(a, a_unit, unit) - rescale(b, b_unit, unit), unit
+
+
+def shift(ts, ticks, unit: str) -> Column:
+    """A timestamp some whole ticks on; ticks under a microsecond take the floor."""
+    us = rescale(ticks, unit, "us")
+    return F.timestamp_add("MICROSECOND", us, _c(ts))
+
+
 def truncate(ts, unit: str) -> Column:
     names = {"s": "second", "m": "minute", "h": "hour", "D": "day", "M": "month", "Y": "year", "W": "week"}
     return F.date_trunc(names[unit], _c(ts))

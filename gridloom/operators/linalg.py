@@ -14,6 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.ieee import divide
 from .frame import NdFrame, sent
@@ -321,3 +322,67 @@ def covariance_matrix(df: DataFrame, vector: str, n: int, ddof: int = 1, correla
     own = products.where("i0 = i1").select(F.col("i0").alias("k"), F.sqrt("v").alias("s"))  # n rows
     x, y = own.select(F.col("k").alias("i0"), F.col("s").alias("sx")), own.select(F.col("k").alias("i1"), F.col("s").alias("sy"))
     return products.join(x, "i0").join(y, "i1").select("i0", "i1", divide(F.col("v"), F.col("sx") * F.col("sy")).alias("v"))
+
+
+# -- tall matrices: rows over the cluster, a Gram matrix of the few columns on the driver -----------------------------------
+
+
+def _gram_local(df: DataFrame, vector: str, n: int) -> np.ndarray:
+    out = np.zeros((n, n))
+    for r in gram(df, vector, n).collect():  # n * n cells
+        out[r["i0"], r["i1"]] = r["v"]
+    return out
+
+
+def times(df: DataFrame, vector: str, matrix: np.ndarray, as_col: str) -> DataFrame:
+    """Each row vector times a small matrix, as a further column."""
+    n = matrix.shape[0]
+    at = df.columns.index(vector)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(at).flatten().to_numpy().astype(float).reshape(-1, n) @ matrix
+            ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * matrix.shape[1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, pa.array(x.ravel()))], names=[*batch.schema.names, as_col])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(as_col, T.ArrayType(T.DoubleType()))]))
+
+
+def tall_qr(df: DataFrame, vector: str, n: int) -> tuple[DataFrame, np.ndarray]:
+    """The rows with their part ``q`` of an orthonormal factor, and the triangular factor R, by two Cholesky factors of Gram
+    matrices (the second takes away what rounding left in the first)."""
+    r1 = np.linalg.cholesky(_gram_local(df, vector, n)).T
+    once = times(df, vector, np.linalg.inv(r1), "__q")
+    r2 = np.linalg.cholesky(_gram_local(once, "__q", n)).T
+    return times(once, "__q", np.linalg.inv(r2), "q").drop("__q"), r2 @ r1
+
+
+def tall_svd(df: DataFrame, vector: str, n: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """The rows with their part ``u``, singular values in falling order and the transposed right vectors: those of R."""
+    rows, r = tall_qr(df, vector, n)
+    u, s, vt = np.linalg.svd(r)
+    return times(rows, "q", u, "u").drop("q"), s, vt
+
+
+def matrix_norm(a: NdFrame, order: str | float = "fro") -> DataFrame:
+    """(v): the Frobenius norm, or the largest or smallest (negative ``order``) sum of a column (1) or a row (inf)."""
+    if order == "fro":
+        return a.cells.agg(F.sqrt(F.coalesce(F.sum(F.col("v") * F.col("v")), F.lit(0.0))).alias("v"))
+    if abs(order) not in (1, float("inf")):
+        raise ValueError(f"order {order!r}")
+    sums = a.cells.groupBy("i1" if abs(order) == 1 else "i0").agg(F.sum(F.abs("v")).alias("s"))
+    return sums.agg((F.max("s") if order > 0 else F.min("s")).alias("v"))
+
+
+def vector_norms(a: NdFrame, order: float = 2, axis: int = 1) -> NdFrame:
+    """Norms along an axis: a power, 0 (how many aren't 0), or an infinity."""
+    v = F.abs(F.col("v"))
+    if order == float("inf"):
+        f = F.max(v)
+    elif order == float("-inf"):
+        f = F.min(v)
+    elif order == 0:
+        f = F.count_if(v != 0).cast("double")
+    else:
+        f = F.pow(F.sum(F.pow(v, F.lit(float(order)))), F.lit(1.0 / order))
+    return a.reduce(lambda _: f, axis)

@@ -12,7 +12,7 @@ from ..functions.polynomials import Series, fit
 from ..operators import fft, linalg, masked, order, random, reduce
 from ..streaming import windows
 from .catalog import query
-from .queries import r, table
+from .queries import _matrix, masked_union, r, table
 
 
 @query("fft_energy", "SELECT vec_id, round(64 * sum(v * v), 3) AS energy, round(sum(v), 4) AS dc FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY 1")
@@ -34,6 +34,57 @@ def dft(spark, sf):
     return got.select("vec_id", "k", (r("re", 5) + 0.0).alias("re"))
 
 
+@query(
+    "long_fft",
+    """WITH x AS (SELECT c_custkey AS i, c_acctbal AS v FROM customer), n AS (SELECT (10 * ceil(max(i + 1) / 10))::BIGINT AS n FROM x)
+       SELECT k, round(sum(v * cos(2 * pi() * ((i * k) % n) / n)), 3) + 0.0 AS re, round(-sum(v * sin(2 * pi() * ((i * k) % n) / n)), 3) + 0.0 AS im FROM x, n, range(n) t(k) GROUP BY k""",
+)
+def long_fft(spark, sf):
+    """One lane of all balances in order of their keys, in two passes of short transforms."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("i"), "c_acctbal")
+    n = -(-(c.agg(F.max("i")).first()[0] + 1) // 10) * 10
+    return fft.long_fft(c, [], "i", "c_acctbal", n).select("k", (r("re", 3) + 0.0).alias("re"), (r("im", 3) + 0.0).alias("im"))
+
+
+@query(
+    "matrix_norms",
+    """WITH c AS (SELECT vec_id AS i, unnest(range(64)) AS j, unnest(embedding)::DOUBLE AS v FROM embeddings)
+       SELECT 'fro' AS ord, round(sqrt(sum(v * v)), 6) AS v FROM c UNION ALL SELECT 'one', round(max(s), 6) FROM (SELECT sum(abs(v)) AS s FROM c GROUP BY j)
+       UNION ALL SELECT 'inf', round(max(s), 6) FROM (SELECT sum(abs(v)) AS s FROM c GROUP BY i) UNION ALL SELECT 'neg', round(min(s), 6) FROM (SELECT sum(abs(v)) AS s FROM c GROUP BY i)""",
+)
+def matrix_norms(spark, sf):
+    m = _matrix(spark, sf)
+    orders = (("fro", "fro"), ("one", 1), ("inf", float("inf")), ("neg", float("-inf")))
+    return masked_union([linalg.matrix_norm(m, o).select(F.lit(n).alias("ord"), r("v").alias("v")) for n, o in orders])
+
+
+@query(
+    "tall_qr",
+    """WITH c AS (SELECT vec_id AS i, unnest(range(64)) AS j, unnest(embedding)::DOUBLE AS v FROM embeddings)
+       SELECT a.j AS i0, b.j AS i1, round(sum(a.v * b.v), 4) AS gram, (a.j = b.j)::INT::DOUBLE AS unit FROM c a JOIN c b ON a.i = b.i GROUP BY ALL""",
+)
+def tall_qr(spark, sf):
+    """What defines the factors: R'R is the Gram matrix, Q'Q the unit one."""
+    rows, factor = linalg.tall_qr(table(spark, sf, "embeddings").select("embedding"), "embedding", 64)
+    product = factor.T @ factor
+    cells = spark.createDataFrame([(i, j, round(float(product[i, j]), 4)) for i in range(64) for j in range(64)], "i0 long, i1 long, gram double")
+    return cells.join(linalg.gram(rows, "q", 64), ["i0", "i1"]).select("i0", "i1", "gram", F.abs(F.round("v", 6)).alias("unit"))
+
+
+@query(
+    "date_ticks",
+    """SELECT o_orderkey, o_orderdate + INTERVAL 90 MINUTE AS later, epoch_us(o_orderdate) // 1000 + o_custkey * 1000 AS ms, epoch_us(o_orderdate) // 86400000000 - 7 AS days,
+              date_diff('hour', TIMESTAMP '1992-01-01', o_orderdate) AS hours FROM orders""",
+)
+def date_ticks(spark, sf):
+    o = table(spark, sf, "orders")
+    us = F.unix_micros(F.col("o_orderdate").cast("timestamp"))
+    return o.select(
+        "o_orderkey", dates.shift("o_orderdate", F.lit(90), "m").alias("later"), dates.add_ticks(dates.rescale(us, "us", "ms"), "ms", "o_custkey", "s")[0].alias("ms"),
+        dates.subtract_ticks(dates.rescale(us, "us", "D"), "D", F.lit(7), "D")[0].alias("days"), dates.difference("o_orderdate", F.lit("1992-01-01").cast("timestamp_ntz"), "h").alias("hours"),
+    )
+
+
 @query("polynomials", "SELECT l_orderkey, l_linenumber, round(1 + 2 * (l_quantity / 50) + 3 * pow(l_quantity / 50, 2), 8) AS power, round(1 + 2 * (l_quantity / 50) + 3 * (2 * pow(l_quantity / 50, 2) - 1) + (4 * pow(l_quantity / 50, 3) - 3 * l_quantity / 50), 8) AS cheb, round(1 + 2 * (l_quantity / 50) + 3 * (3 * pow(l_quantity / 50, 2) - 1) / 2, 8) AS leg, round(2 + 6 * (l_quantity / 50), 8) AS slope FROM lineitem")
 def polynomials(spark, sf):
     x = F.col("x") / 50

@@ -517,3 +517,44 @@ def test_more_user_functions(spark, tmp_path):
     files.save(df, str(tmp_path / "m"), "a", F.col("b") > 3)
     assert sorted(map(tuple, files.load(spark, str(tmp_path / "m")).collect()), key=str) == [(7, 3), (None, 4)]
     assert sorted(map(tuple, files.unmasked(files.load(spark, str(tmp_path / "m"), False), "a").collect())) == [(7, 3), (9, 4)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 12, 60, 61, 128])
+@pytest.mark.parametrize("norm", ["backward", "ortho", "forward"])
+def test_long_fft(spark, n, norm):
+    rng = np.random.default_rng(n)
+    z = {g: rng.normal(size=n) + 1j * rng.normal(size=n) for g in ("a", "b")}
+    df = spark.createDataFrame([(g, i, float(x.real), float(x.imag)) for g, v in z.items() for i, x in enumerate(v)] + [("a", n, 1.0, 1.0)], "g string, i int, re double, im double").repartition(3)
+    for inverse, f in ((False, np.fft.fft), (True, np.fft.ifft)):
+        rows = fft.long_fft(df, ["g"], "i", "re", n, "im", inverse, norm).collect()
+        assert len(rows) == 2 * n
+        for g, v in z.items():
+            got = {r["k"]: r["re"] + 1j * r["im"] for r in rows if r["g"] == g}
+            np.testing.assert_allclose([got[k] for k in range(n)], f(v, norm=norm), rtol=1e-9, atol=1e-12)
+
+
+def test_tall_factors(spark):
+    x = np.random.default_rng(4).normal(size=(200, 5)) @ np.diag([1, 10, 100, 1, 1e-3])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "k int, v array<double>").repartition(4)
+    rows, r = linalg.tall_qr(df, "v", 5)
+    q = np.array([a["q"] for a in rows.orderBy("k").collect()])
+    np.testing.assert_allclose(q @ r, x, atol=1e-9)
+    np.testing.assert_allclose(q.T @ q, np.eye(5), atol=1e-9)
+    assert np.allclose(np.tril(r, -1), 0)
+    rows, s, vt = linalg.tall_svd(df, "v", 5)
+    u = np.array([a["u"] for a in rows.orderBy("k").collect()])
+    np.testing.assert_allclose(s, np.linalg.svd(x, compute_uv=False), rtol=1e-7)
+    np.testing.assert_allclose(u * s @ vt, x, atol=1e-9)
+    a = NdFrame(npy.from_array(spark, x), x.shape)
+    for order in ("fro", 1, -1, np.inf, -np.inf):
+        np.testing.assert_allclose(linalg.matrix_norm(a, order).first()["v"], np.linalg.norm(x, order))
+    for order in (1, 2, 3, 0, np.inf, -np.inf):
+        got = linalg.vector_norms(a, order)
+        np.testing.assert_allclose(npy.to_array(got.cells, got.shape), np.linalg.norm(x, order, axis=1))
+
+
+def test_ticks(spark):
+    df = spark.createDataFrame([(10, 3), (-7, None)], "a long, b long")
+    rows = df.select(dates.add_ticks("a", "D", "b", "h")[0], dates.subtract_ticks("a", "ms", "b", "s")[0], dates.rescale("a", "h", "D")).collect()
+    assert [tuple(r) for r in rows] == [(243, -2990, 0), (None, None, -1)]
+    assert dates.promoted("D", "ms") == "ms"
