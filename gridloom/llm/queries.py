@@ -13,7 +13,7 @@ from .near_dedup import near_dedup
 from .packing import pack
 from .pii import pii
 from .quality_classifier import quality_scores
-from .quality_rules import quality_rules
+from .quality_rules import PHRASES, quality_rules
 from .secret_scan import secret_scan
 from .warc import warc_round_trip
 
@@ -111,7 +111,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ), j AS (
       SELECT doc_id, line, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars,
              length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) AS symbols,
-             length(line) - length(regexp_replace(line, '[|»·›]', '', 'g')) AS separators,
+             length(line) - length(regexp_replace(line, '[|»·›•→]', '', 'g')) AS separators,
              trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS trimmed
       FROM l
     ), f AS (
@@ -120,7 +120,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
              OR symbols * 10 > chars
              OR length(regexp_extract_all(line, '[!?]{2,}')) >= 3
              OR (separators >= 3 AND separators * 12 >= length(line))
-             OR regexp_matches(lower(line), 'all rights reserved|click here|cookie policy|enable javascript|lorem ipsum|privacy policy|read more|released under the|share this|sign in|subscribe to our newsletter|terms of service|terms of use|we use cookies') AS fails
+             OR (length(line) <= 300 AND len(list_filter([{PHRASES}], lambda p: contains(lower(line), p))) > 0) AS fails
       FROM j WHERE chars > 0
     ), lines AS (
       SELECT doc_id, (count(*) - count(DISTINCT line))::BIGINT AS n_dup_lines,
@@ -138,7 +138,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
            (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
            NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * lost <= 50 * word_chars AS kept
     FROM base
-    """,
+    """.replace("{PHRASES}", ", ".join("'" + p.replace("'", "''") + "'" for p in PHRASES)),
 )
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines judged first, then documents that lose too much."""

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.llm import exact_dedup, kernels, line_dedup, mixing, near_dedup, packing, pii, quality_classifier, quality_rules, warc
+from gridloom.llm import exact_dedup, kernels, line_dedup, mixing, near_dedup, packing, pii, quality_classifier, warc
 from gridloom.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, row string, h string, score string, doc string"
@@ -227,30 +227,6 @@ def test_cuckoo_filter():
     assert f.contains(keys[:2500]).mean() < 0.02
 
 
-def test_quality_rules(docs, empty):
-    got = quality_rules.quality_rules(docs).collect()
-    texts = Counter((r["doc_id"], r["text"] or "") for r in docs.collect())
-    assert len(got) == sum(texts.values())
-    by_id = {i: t for i, t in texts}
-    for r in got:
-        t = by_id[r["doc_id"]]
-        w = re.findall(r"[^\x20\x09-\x0D]+", t)
-        tri = Counter(zip(w, w[1:], w[2:], strict=False))
-        covered = {p for k in range(len(w) - 2) if tri[w[k], w[k + 1], w[k + 2]] > 1 for p in (k, k + 1, k + 2)}
-        assert (r["n_words"], r["word_chars"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(covered))
-        assert r["base_failed"] == (len(w) < 50 or 100 * len(covered) > 50 * len(w))
-        assert not (r["kept"] and r["base_failed"])
-    assert quality_rules.quality_rules(empty).count() == 0
-
-
-def test_quality_rules_lines(spark):
-    prose = "A sentence of ordinary words stands here and says what it has to say. " * 8
-    text = f"{prose}\nHome | About | News | Contact | Help\nAll rights reserved. Copyright holders of this page.\n{prose}"
-    table = "\n".join(["alpha | beta | gamma | delta | epsilon | zeta"] * 3 + [" | ".join(_words(9, k)) for k in range(20)])
-    got = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame([(1, text), (2, table)], "doc_id long, text string")).collect()}
-    assert got[1]["clean_text"] == f"{prose}\n{prose}" and not got[2]["kept"]
-
-
 def test_packing_round_trip(docs, empty):
     from tokenizers import Tokenizer
 
