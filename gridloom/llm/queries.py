@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
+from .filter_audit import filter_audit
 from .line_dedup import line_dedup
 from .mixing import mixture
 from .near_dedup import near_dedup
@@ -15,6 +16,7 @@ from .pii import pii
 from .quality_classifier import quality_scores
 from .quality_rules import PHRASES, quality_rules
 from .secret_scan import secret_scan
+from .source_divergence import source_divergence
 from .warc import warc_round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -209,3 +211,101 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages through archives and back."""
     return warc_round_trip(_table(spark, sf_dir, "pages"))
+
+
+@_query(
+    "op11_filter_audit",
+    r"""
+    WITH RECURSIVE d AS (
+      SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+             regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+      FROM documents
+    ), marks AS (
+      SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+    ), flags AS (
+      SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+             CASE WHEN len(w) < 200 THEN 'A' ELSE '' END
+             || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+             || CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t) THEN 'C' ELSE '' END
+             || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+             || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails
+      FROM d LEFT JOIN marks USING (doc_id)
+    ), counted AS (
+      SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM flags GROUP BY part, fails
+    ), orders AS (
+      SELECT '' AS o
+      UNION ALL
+      SELECT o || f FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f) WHERE NOT contains(o, f)
+    ), steps AS (
+      SELECT o AS filter_order, unnest(range(1, 6))::INT AS step FROM orders WHERE length(o) = 5
+    ), cases AS (
+      SELECT part, filter_order, step, substr(filter_order, step, 1) AS f, fails, n, good, toxic,
+             len(list_filter(string_split(fails, ''), lambda x: x <> '' AND contains(substr(filter_order, 1, step - 1), x))) > 0 AS gone
+      FROM counted, steps
+    ), audit AS (
+      SELECT part, filter_order, step, f,
+             coalesce(sum(n) FILTER (WHERE NOT gone AND NOT contains(fails, f)), 0)::BIGINT AS kept,
+             coalesce(sum(n) FILTER (WHERE NOT gone AND contains(fails, f)), 0)::BIGINT AS removed,
+             coalesce(sum(n) FILTER (WHERE gone AND contains(fails, f)), 0)::BIGINT AS redundant,
+             coalesce(sum(n) FILTER (WHERE fails = f), 0)::BIGINT AS unique_fails,
+             coalesce(sum(good) FILTER (WHERE NOT gone AND contains(fails, f)), 0)::BIGINT AS good_lost,
+             coalesce(sum(toxic) FILTER (WHERE NOT gone AND contains(fails, f)), 0)::BIGINT AS toxic_lost
+      FROM cases GROUP BY part, filter_order, step, f
+    )
+    SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+           (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+    FROM audit
+    """,
+)
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in each of their orders, by source."""
+    return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query(
+    "op13_source_divergence",
+    r"""
+    WITH d AS (
+      SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+             regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+      FROM documents
+    ), tokens AS (
+      SELECT r, lang, source,
+             translate(unnest(w), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+      FROM d
+    ), kept AS (
+      SELECT lang, term, count(*) AS n FROM tokens GROUP BY lang, term HAVING count(DISTINCT r) >= 10
+    ), size AS (
+      SELECT lang, count(*) AS v, sum(n)::BIGINT AS total FROM kept GROUP BY lang
+    ), groups AS (
+      SELECT DISTINCT lang, source FROM d
+    ), own AS (
+      SELECT lang, source, term, count(*) AS n FROM tokens SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term
+    ), owned AS (
+      SELECT lang, source, sum(n)::BIGINT AS total FROM own GROUP BY lang, source
+    ), p AS (
+      SELECT g.lang, g.source, k.term, coalesce(o.n, 0) AS n,
+             1 + (1000000000 * (coalesce(o.n, 0) + 2)) // (coalesce(t.total, 0) + 2 * z.v) AS p,
+             1 + (1000000000 * (k.n + 2)) // (z.total + 2 * z.v) AS q
+      FROM groups g JOIN kept k USING (lang) JOIN size z USING (lang)
+      LEFT JOIN own o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term
+      LEFT JOIN owned t ON t.lang = g.lang AND t.source = g.source
+    ), pairs AS (
+      SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p))::BIGINT AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+      GROUP BY a.lang, a.source, b.source
+    ), every AS (
+      SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+      FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN pairs v ON v.lang = a.lang AND v.source = a.source AND v.item = b.source
+      UNION ALL
+      SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM p WHERE n > 0 AND p > q
+    ), placed AS (
+      SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM every
+    )
+    SELECT lang, source, part, item, value, rank FROM placed WHERE part = 'pair' OR rank <= 10
+    """,
+)
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergences between the sources of a language, and the terms that set a source apart."""
+    return source_divergence(_table(spark, sf_dir, "documents"))
