@@ -114,7 +114,7 @@ def signatures(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Rec
             )
 
 
-def _bit_places(doc: Column, bits: int) -> Column:
+def bloom_places(doc: Column, bits: int) -> Column:
     h = F.xxhash64(doc, F.lit(3))
     mask = F.lit(bits - 1)
     return F.array(h.bitwiseAND(mask), F.shiftrightunsigned(h, 32).bitwiseAND(mask))
@@ -124,7 +124,7 @@ def bloom(ids: DataFrame, n: int) -> np.ndarray:
     """A bitmap of about 16 bits for each of the ``n`` rows' ``doc_id``: at most that many bits reach the driver."""
     bits = 1 << max(10, int(16 * max(n, 1) - 1).bit_length())
     words = (
-        ids.select(F.explode(_bit_places(F.col("doc_id"), bits)).alias("at"))
+        ids.select(F.explode(bloom_places(F.col("doc_id"), bits)).alias("at"))
         .groupBy(F.shiftright("at", 6).alias("word"))
         .agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 AS int)))").alias("bits"))
     )
@@ -186,7 +186,7 @@ class NearDedup:
         if n <= BLOOM_MOST:
             bitmap = bloom(wanted, n)
             sent = self.spark.sparkContext.broadcast(bitmap)
-            read = read.select("doc_id", "text", _bit_places(F.col("doc_id"), 64 * len(bitmap)).alias("at"))
+            read = read.select("doc_id", "text", bloom_places(F.col("doc_id"), 64 * len(bitmap)).alias("at"))
         else:
             ids = wanted.select(F.coalesce("doc_id", least).alias("d")).distinct()
             read = read.withColumn("d", F.coalesce("doc_id", least)).join(ids, "d", "left_semi").select("doc_id", "text")

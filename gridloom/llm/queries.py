@@ -11,6 +11,7 @@ from .filter_audit import filter_audit
 from .line_dedup import line_dedup
 from .mixing import mixture
 from .near_dedup import near_dedup
+from .ngram_join import ngram_join
 from .packing import pack
 from .pii import pii
 from .quality_classifier import quality_scores
@@ -309,3 +310,36 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Divergences between the sources of a language, and the terms that set a source apart."""
     return source_divergence(_table(spark, sf_dir, "documents"))
+
+
+@_query(
+    "op12_ngram_join",
+    r"""
+    WITH RECURSIVE w AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                                  'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+      FROM documents
+    ), sets AS (
+      SELECT doc_id, CASE WHEN len(w) >= 5
+                          THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+                          WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+      FROM w
+    ), one AS (
+      SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets
+    ), links AS (
+      SELECT a.doc_id AS a, b.doc_id AS b FROM one a JOIN one b ON a.x = b.x AND a.doc_id <> b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+    ), reach AS (
+      SELECT doc_id AS a, doc_id AS b FROM sets
+      UNION
+      SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+    ), root AS (
+      SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
+    )
+    SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id
+    FROM sets JOIN root USING (doc_id)
+    """,
+)
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents joined at a Jaccard similarity of 0.8 of five-word shingles."""
+    return ngram_join(_table(spark, sf_dir, "documents"))
