@@ -34,7 +34,7 @@ MIN_DOCS = 10
 SCALE = 1_000_000_000
 TOP_TERMS = 10
 #: Entries that a task gathers before it passes them on.
-HELD = 500_000
+HELD = 3_000_000
 #: Non-zero counts in a shard, on average.
 SHARD_COUNTS = 100_000
 #: Entries of the dense columns that a shard holds at once.
@@ -72,24 +72,49 @@ def group_slices(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, digest=x
     return group, names
 
 
-def term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From batches of text, lang, source: occurrences and documents of every term by group; a null term marks a group."""
-    held: dict[tuple, list[int]] = {}
+class _Held:
+    """Counts by group and term that a task has gathered: arrays, added up by key from time to time."""
+
+    def __init__(self) -> None:
+        self.kinds: dict[tuple, int] = {}
+        self.terms: dict[bytes, int] = {}
+        self.parts: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, kind: np.ndarray, term: np.ndarray, n: np.ndarray, docs: np.ndarray) -> None:
+        self.parts.append(np.stack([(kind << 40) | term, n, docs]))
+        self.size += len(n)
+
+    def combine(self) -> None:
+        every = np.concatenate(self.parts, axis=1)
+        every = every[:, np.argsort(every[0], kind="stable")]
+        first = np.flatnonzero(np.diff(every[0], prepend=-1))
+        self.parts = [np.concatenate([every[:1, first], np.add.reduceat(every[1:], first, axis=1)])]
+        self.size = len(first)
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        """All of it: a row for each group and term, and one with a null term for each group."""
+        kinds = [pa.array([k[i] for k in self.kinds], pa.string()) for i in (0, 1)]
+        zero = pa.array(np.zeros(len(self.kinds), np.int64))
+        yield pa.RecordBatch.from_arrays([*kinds, pa.nulls(len(self.kinds), pa.string()), zero, zero], names=["lang", "source", "term", "n", "docs"])
+        if self.parts:
+            self.combine()
+            terms = pa.array([t.decode() for t in self.terms], pa.string())
+            key, n, docs = self.parts[0]
+            kind, term = pa.array(key >> 40), pa.array(key & ((1 << 40) - 1))
+            rows = pa.RecordBatch.from_arrays([*[k.take(kind) for k in kinds], terms.take(term), pa.array(n), pa.array(docs)], names=["lang", "source", "term", "n", "docs"])
+            for k in range(0, rows.num_rows, 1 << 16):
+                yield rows.slice(k, 1 << 16)
+        self.__init__()
 
-    def out() -> pa.RecordBatch:
-        keys, sums = list(held), np.array(list(held.values()), np.int64).reshape(-1, 2)
-        columns = [pa.array([k[i] if i < 2 or k[i] is None else k[i].decode() for k in keys], pa.string()) for i in range(3)]
-        held.clear()
-        return pa.RecordBatch.from_arrays([*columns, pa.array(sums[:, 0]), pa.array(sums[:, 1])], ["lang", "source", "term", "n", "docs"])
 
+def term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From batches of text, lang, source: occurrences and documents of every term by group; a null term marks a group."""
+    held = _Held()
     for batch in batches:
         langs, sources = batch.column(1).to_pylist(), batch.column(2).to_pylist()
         for first, end, buf, offsets in text_slices(batch.column(0)):
-            pairs = list(zip(langs[first:end], sources[first:end], strict=True))
-            for pair in dict.fromkeys(pairs):
-                held.setdefault((*pair, None), [0, 0])
-            numbers = {pair: k for k, pair in enumerate(dict.fromkeys(pairs))}
-            kinds, of_row = list(numbers), np.array([numbers[p] for p in pairs])
+            of_row = np.array([held.kinds.setdefault(k, len(held.kinds)) for k in zip(langs[first:end], sources[first:end], strict=True)], np.int64)
             buf = LOWER[buf]
             starts, ends, row = spans(IN_TERM[buf], offsets)
             group, names = group_slices(buf, starts, ends)
@@ -97,18 +122,14 @@ def term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             m = len(names)
             by_doc, times = np.unique(row * m + group, return_counts=True)
-            of_kind = of_row[by_doc // m] * m + by_doc % m
-            keys, back = np.unique(of_kind, return_inverse=True)
-            n, docs = np.zeros(len(keys), np.int64), np.bincount(back, minlength=len(keys))
-            np.add.at(n, back, times)
-            for key, a, b in zip(keys.tolist(), n.tolist(), docs.tolist(), strict=True):
-                entry = held.setdefault((*kinds[key // m], names[key % m]), [0, 0])
-                entry[0] += a
-                entry[1] += b
-            if len(held) > HELD:
-                yield out()
-    if held:
-        yield out()
+            term = np.array([held.terms.setdefault(name, len(held.terms)) for name in names], np.int64)
+            held.add(of_row[by_doc // m], term[by_doc % m], times, np.ones(len(times), np.int64))
+            if held.size > HELD:
+                held.combine()
+                if held.size > HELD // 2:
+                    yield from held.out()
+    if held.kinds:
+        yield from held.out()
 
 
 def share(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
