@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .ieee import int_floor_divide
 from .strings import _c
 
 
@@ -22,7 +23,7 @@ def rescale(ticks, unit: str, to: str) -> Column:
     """Whole ticks of another unit; a coarser one takes the floor."""
     a, b = NANOSECONDS[unit], NANOSECONDS[to]
     t = _c(ticks).cast("long")
-    return t * (a // b) if a >= b else F.floor(t / (b // a)).cast("long")
+    return t * (a // b) if a >= b else int_floor_divide(t, F.lit(b // a))
 
 
 def promoted(a: str, b: str) -> str:

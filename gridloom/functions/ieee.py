@@ -51,9 +51,13 @@ def fmod(a, b) -> Column:
 
 
 def int_floor_divide(a, b) -> Column:
-    """Towards minus infinity; 0 for a zero divisor."""
+    """Towards minus infinity; 0 for a zero divisor; the least long over -1 stays what it is."""
     a, b = col(a).cast("long"), col(b).cast("long")
-    return F.when(b == 0, F.lit(0)).otherwise((a - F.pmod(F.pmod(a, F.nullif(b, F.lit(0))) + b, F.nullif(b, F.lit(0)))) / F.nullif(b, F.lit(0))).cast("long")
+    by = F.nullif(b, F.lit(0))
+    rest = a % by
+    down = ((rest != 0) & ((rest < 0) != (b < 0))).cast("long")
+    least = F.lit(-(2**63)).cast("long")
+    return F.when(b == 0, F.lit(0).cast("long")).when((b == -1) & (a == least), least).otherwise(F.call_function("div", a, by) - down)
 
 
 def int_remainder(a, b) -> Column:

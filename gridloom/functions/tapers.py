@@ -73,3 +73,17 @@ def taper(name: str, i: Column, n: int, *args: float) -> Column:
 
 def window(spark: SparkSession, name: str, n: int, *args: float) -> DataFrame:
     return spark.range(n).select(F.col("id").alias("i0"), taper(name, F.col("id"), n, *args).alias("v"))
+
+
+def taper_of(name: str, i: Column, n: Column) -> Column:
+    """The weight of place ``i`` in a window whose length is a column, of the kinds that are cosine sums, or bartlett's."""
+    x = i.cast("double") / F.nullif(n.cast("double") - 1, F.lit(0.0))
+    if name in COSINES:
+        out = F.lit(0.0)
+        for k, a in enumerate(COSINES[name]):
+            out = out + (-1) ** k * a * F.cos(x * (2 * math.pi * k))
+    elif name == "bartlett":
+        out = 1 - F.abs(2 * x - 1)
+    else:
+        raise ValueError(f"no window named {name!r} of a column's length")
+    return F.when(n == 1, F.lit(1.0)).otherwise(out)

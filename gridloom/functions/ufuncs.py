@@ -12,7 +12,6 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -57,6 +56,16 @@ def _trunc(x):
     return F.when(x < 0, ieee.whole(F.ceil, x)).otherwise(ieee.whole(F.floor, x))
 
 
+def _spacing(x):
+    """The step to the next number away from zero, with the sign of ``x``."""
+    x = d(x)
+    size = F.abs(x)
+    power = F.floor(F.log2(F.nullif(size, F.lit(0.0))))
+    power = power - F.when(F.pow(F.lit(2.0), power) > size, 1).otherwise(0)  # a logarithm may round up to the next power
+    step = F.pow(F.lit(2.0), F.greatest(power - 52, F.lit(-1074)))
+    return F.when(~ieee.is_finite(x), F.when(x.isNotNull(), F.lit(NAN))).when(x < 0, -step).otherwise(step)
+
+
 def _whole(f):
     return lambda x: ieee.whole(f, d(x))
 
@@ -88,7 +97,7 @@ def _gcd(a, b):
 
 def _lcm(a, b):
     a, b = col(a).cast("long"), col(b).cast("long")
-    return F.when((a == 0) | (b == 0), F.lit(0).cast("long")).otherwise((F.abs(a) / F.nullif(_gcd(a, b), F.lit(0))).cast("long") * F.abs(b))
+    return F.when((a == 0) | (b == 0), F.lit(0).cast("long")).otherwise(F.call_function("div", F.abs(a), F.nullif(_gcd(a, b), F.lit(0))) * F.abs(b))
 
 
 def _bessel_i0(x):
@@ -159,7 +168,7 @@ UNARY: dict[str, Callable[..., Column]] = {
     "isneginf": lambda x: d(x) == -INF,
     "isfinite": ieee.is_finite,
     "signbit": ieee.signbit,
-    "spacing": lambda x: F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.abs(d(x)))) - 52, F.lit(-1074))),
+    "spacing": _spacing,
     "frexp_exponent": _frexp_exponent,
     "frexp_mantissa": lambda x: F.when((d(x) == 0) | ~ieee.is_finite(x), d(x)).otherwise(d(x) / F.pow(F.lit(2.0), _frexp_exponent(x))),
     "modf_fraction": lambda x: F.when(ieee.is_inf(x), F.lit(0.0)).otherwise(d(x) - _trunc(x)),
@@ -268,9 +277,11 @@ class Ufunc:
             out = F.coalesce(out, F.lit(self.identity))
         return df.groupBy(*by).agg(out.alias(value))
 
-    def accumulate(self, df: DataFrame, value: str, order: str, by: list[str]) -> DataFrame:
-        w = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-        return df.withColumn(value, self.aggregate(F.col(value)).over(w))
+    def accumulate(self, df: DataFrame, value: str, order: str, by: list[str] | None = None) -> DataFrame:
+        """Running results, of lanes or of the whole column, over ranges of the order."""
+        from ..operators.ranges import scan
+
+        return scan(df, [order], value, value, self.name, by)
 
     def at(self, df: DataFrame, updates: DataFrame, key: str, value: str) -> DataFrame:
         """Each update applied, repeated keys more than once."""

@@ -409,6 +409,6 @@ def ravel_multi_index(index: Sequence[Column], shape: tuple[int, ...]) -> Column
 def unravel_index(flat: Column, shape: tuple[int, ...]) -> list[Column]:
     out, step = [], 1
     for n in reversed(shape):
-        out.append(F.floor(flat / step).cast("long") % n)
+        out.append(F.call_function("div", flat.cast("long"), F.lit(step).cast("long")) % n)
         step *= n
     return out[::-1]

@@ -63,6 +63,10 @@ def fftn(df: DataFrame, flat: str, shape: tuple[int, ...], norm: str = "backward
     return per_lane(df, flat, lambda x: np.fft.fftn(x.reshape(shape), norm=norm).ravel())
 
 
+#: The longest row or column of a lane that one task transforms.
+LONG_LINE = 1 << 20
+
+
 def dft(df: DataFrame, by: list[str], order: str, value: str, n: int) -> DataFrame:
     """A short transform in plain aggregation: (by..., k, re, im)."""
     k = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")
@@ -76,10 +80,15 @@ def long_fft(df: DataFrame, by: list[str], order: str, re: str, n: int, im: str
 
     With n = rows * columns the lane is a matrix: each column is transformed, turned by the roots of the whole, and each row of
     the result is transformed: two exchanges of the cells, and no task holds more than a row or a column of about the square
-    root of ``n`` (for an ``n`` that has such factors; a prime length is one column)."""
+    root of ``n``.  Where ``n`` has no such factors and a column would be over ``LONG_LINE``, the chirp transform
+    (:func:`gridloom.operators.signal.chirp_fft`) takes it to a length that has them."""
     if norm not in NORMS:
         raise ValueError(f"norm {norm!r} is none of {NORMS}")
     rows = max(r for r in range(1, int(n**0.5) + 1) if n % r == 0)
+    if n > LONG_LINE and n // rows > LONG_LINE:
+        from .signal import chirp_fft
+
+        return chirp_fft(df, by, order, re, n, im, inverse, norm)
     columns, sign = n // rows, (1 if inverse else -1)
     kinds = dict(df.dtypes)
     keys = ", ".join(f"`{b}` {kinds[b]}" for b in by)

@@ -299,13 +299,17 @@ def gram(df: DataFrame, vector: str, n: int) -> DataFrame:
 
 
 def lstsq(df: DataFrame, features: list[str], target: str) -> np.ndarray:
-    """Least squares with an intercept by the normal equations: one aggregate of fixed width."""
+    """Least squares with an intercept by the normal equations: one aggregate of fixed width.
+
+    Of dependent features (singular values under 1e-7 of the largest) the answer of least norm."""
     names = ["1", *features, target]
     cols = [F.lit(1.0) if c == "1" else F.col(c).cast("double") for c in names]
     sums = [F.sum(cols[i] * cols[j]).alias(f"s{i}_{j}") for i in range(len(cols)) for j in range(i + 1)]
     row = df.agg(*sums).first()
     full = np.array([[row[f"s{max(i, j)}_{min(i, j)}"] for j in range(len(cols))] for i in range(len(cols))])
-    return np.linalg.solve(full[:-1, :-1], full[:-1, -1])
+    values, vectors = np.linalg.eigh(full[:-1, :-1])
+    kept = values > values.max() * 1e-14
+    return vectors[:, kept] @ ((vectors[:, kept].T @ full[:-1, -1]) / values[kept])
 
 
 def covariance_matrix(df: DataFrame, vector: str, n: int, ddof: int = 1, correlation: bool = False) -> DataFrame:
@@ -327,7 +331,7 @@ def covariance_matrix(df: DataFrame, vector: str, n: int, ddof: int = 1, correla
 # -- tall matrices: rows over the cluster, a Gram matrix of the few columns on the driver -----------------------------------
 
 
-def _gram_local(df: DataFrame, vector: str, n: int) -> np.ndarray:
+def gram_local(df: DataFrame, vector: str, n: int) -> np.ndarray:
     out = np.zeros((n, n))
     for r in gram(df, vector, n).collect():  # n * n cells
         out[r["i0"], r["i1"]] = r["v"]
@@ -351,9 +355,9 @@ def times(df: DataFrame, vector: str, matrix: np.ndarray, as_col: str) -> DataFr
 def tall_qr(df: DataFrame, vector: str, n: int) -> tuple[DataFrame, np.ndarray]:
     """The rows with their part ``q`` of an orthonormal factor, and the triangular factor R, by two Cholesky factors of Gram
     matrices (the second takes away what rounding left in the first)."""
-    r1 = np.linalg.cholesky(_gram_local(df, vector, n)).T
+    r1 = np.linalg.cholesky(gram_local(df, vector, n)).T
     once = times(df, vector, np.linalg.inv(r1), "__q")
-    r2 = np.linalg.cholesky(_gram_local(once, "__q", n)).T
+    r2 = np.linalg.cholesky(gram_local(once, "__q", n)).T
     return times(once, "__q", np.linalg.inv(r2), "q").drop("__q"), r2 @ r1
 
 

@@ -1,124 +1,93 @@
-"""Operators that need an order: sorts, ranks, running sums, searches, interpolation, unique values.
+"""Operators that need an order: sorts, ranks, running folds, searches, interpolation, unique values.
 
-A whole array, or one group with a third of all rows, is one lane, and a window over it would put it in one task.
-``ranked`` and ``running`` work in two passes instead: the rows are range-partitioned by group and order, each partition
-is numbered or summed on its own, and what a group has in the partitions before is added.  Only a partition's first group
-can have begun before it, so there is at most one such offset per partition.
-
-Ties in the order are broken by the other columns that can be sorted, so results don't depend on the run but among rows
-that are equal.
+A whole array, or one group with a third of all rows, is one lane; all operators here work on lanes by ranges
+(:mod:`gridloom.operators.ranges`), so a lane is the work of many tasks.  Ties in the order are broken by the other columns that can be
+sorted, so results don't depend on the run but among rows that are equal.
 """
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.ieee import NAN, d, divide
-
-
-def _ranged(df: DataFrame, order: list[str]) -> DataFrame:
-    """Rows dealt by ranges of ``order``, with the range's number; written once, so that both passes see the same."""
-    spread = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        return spread.persist()  # one machine, as in tests
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared)
-    return spread.checkpoint()
-
-
-def _unbroken(df: DataFrame, order: list) -> list:
-    """``order`` with the other sortable columns after it."""
-    named = {c for c in order if isinstance(c, str)}
-    return [*order, *[f.name for f in df.schema.fields if f.name not in named and not isinstance(f.dataType, (T.MapType, T.VariantType)) and "map<" not in f.dataType.simpleString()]]
-
-
-def _offsets(parts: DataFrame, value: Column, by: list[str]) -> DataFrame:
-    """What each group has in the partitions before one, where that is something: a row per partition at most."""
-    totals = parts.groupBy("__p", *by).agg(value.alias("__t"))
-    w = W.partitionBy(*by).orderBy("__p")
-    before = totals.withColumn("__before", F.sum("__t").over(w.rowsBetween(W.unboundedPreceding, -1)))
-    return before.where("__before IS NOT NULL").select(F.col("__p").alias("__q"), *[F.col(b).alias(f"__g{k}") for k, b in enumerate(by)], "__before")
-
-
-def _carried(parts: DataFrame, value: Column, by: list[str], local: Column, as_col: str) -> DataFrame:
-    on = F.col("__p") == F.col("__q")
-    for k, b in enumerate(by):
-        on = on & F.col(b).eqNullSafe(F.col(f"__g{k}"))
-    gone = ["__p", "__q", "__l", "__before", *[f"__g{k}" for k in range(len(by))]]
-    out = parts.withColumn("__l", local).join(F.broadcast(_offsets(parts, value, by)), on, "left")
-    return out.withColumn(as_col, F.col("__l") + F.coalesce("__before", F.lit(0))).drop(*gone)
+from ..functions.search import place_among
+from .ranges import Fold, nearest, numbered, scan, scans, windowed
 
 
 def ranked(df: DataFrame, order: list[str], as_col: str, by: list[str] | None = None) -> DataFrame:
     """Rows numbered from 0 by ``order``, within groups or over the whole table."""
-    by = by or []
-    every = _unbroken(df, order)
-    parts = _ranged(df, [*by, *order])
-    local = F.row_number().over(W.partitionBy("__p", *by).orderBy(*every)) - 1
-    out = _carried(parts, F.count(F.lit(1)), by, local, as_col)
-    return out.withColumn(as_col, F.col(as_col).cast("long"))
+    return numbered(df, order, as_col, by)
 
 
 def running(df: DataFrame, order: list[str], value: str, as_col: str, by: list[str] | None = None) -> DataFrame:
     """Running sum by ``order``, within groups or over the whole table."""
-    by = by or []
-    every = _unbroken(df, order)
-    parts = _ranged(df, [*by, *order])
-    w = W.partitionBy("__p", *by).orderBy(*every).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return _carried(parts, F.sum(value), by, F.sum(value).over(w), as_col)
+    return scan(df, order, value, as_col, "add", by)
+
+
+def accumulate(df: DataFrame, order: str, value: str, fold: str = "add", by: list[str] | None = None, as_col: str = "accumulated") -> DataFrame:
+    """Running results of a function of :data:`gridloom.operators.ranges.FOLDS`."""
+    return scan(df, [order], value, as_col, fold, by)
+
+
+def accumulate_many(df: DataFrame, order: str, folds: dict[str, tuple[str | Fold, Column]], by: list[str] | None = None) -> DataFrame:
+    """Several running results in one pass: for each new column a function and what it runs over."""
+    return scans(df, [order], folds, by)
 
 
 def cumsum(df: DataFrame, order: str, value: str, by: list[str] | None = None, as_col: str = "cumsum") -> DataFrame:
     return running(df, [order], value, as_col, by)
 
 
-def cumprod(df: DataFrame, order: str, value: str, by: list[str], as_col: str = "cumprod") -> DataFrame:
-    w = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return df.withColumn(as_col, F.product(d(value)).over(w))
+def cumprod(df: DataFrame, order: str, value: str, by: list[str] | None = None, as_col: str = "cumprod") -> DataFrame:
+    return scan(df, [order], d(value), as_col, "multiply", by)
 
 
 def nancumsum(df: DataFrame, order: str, value: str, by: list[str] | None = None, as_col: str = "nancumsum") -> DataFrame:
-    clean = df.withColumn("__c", F.when(F.isnan(d(value)), F.lit(0.0)).otherwise(d(value)))
-    return running(clean, [order], "__c", as_col, by).drop("__c")
+    return scan(df, [order], F.when(F.isnan(d(value)), F.lit(0.0)).otherwise(d(value)), as_col, "add", by)
 
 
-def nancumprod(df: DataFrame, order: str, value: str, by: list[str], as_col: str = "nancumprod") -> DataFrame:
-    clean = df.withColumn("__c", F.when(F.isnan(d(value)), F.lit(1.0)).otherwise(d(value)))
-    return cumprod(clean, order, "__c", by, as_col).drop("__c")
+def nancumprod(df: DataFrame, order: str, value: str, by: list[str] | None = None, as_col: str = "nancumprod") -> DataFrame:
+    return scan(df, [order], F.when(F.isnan(d(value)), F.lit(1.0)).otherwise(d(value)), as_col, "multiply", by)
 
 
-def unwrap(df: DataFrame, order: str, value: str, by: list[str], period: float = 6.283185307179586, as_col: str = "unwrapped") -> DataFrame:
-    """Jumps over half a period between neighbours turned into their complements."""
-    step = d(value) - F.lag(d(value)).over(W.partitionBy(*by).orderBy(order))
-    turned = F.coalesce(F.when(F.abs(step) > period / 2, -F.rint(step / period) * period), F.lit(0.0))
-    out = running(df.withColumn("__t", turned), [order], "__t", "__s", by)
+def unwrap(df: DataFrame, order: str, value: str, by: list[str] | None = None, period: float = 6.283185307179586, as_col: str = "unwrapped") -> DataFrame:
+    """Jumps of half a period or more between neighbours turned into their complements; of just half a period the sign stays."""
+    half = period / 2
+
+    def turned(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        step = d(value) - F.lag(d(value)).over(w)
+        within = (step + half) - F.floor((step + half) / period) * period - half
+        within = F.when((within == -half) & (step > 0), F.lit(half)).otherwise(within)
+        return rows.withColumn("__t", F.coalesce(F.when(F.abs(step) >= half, within - step), F.lit(0.0)))
+
+    out = running(windowed(df, [order], by, turned, 1), [order], "__t", "__s", by)
     return out.withColumn(as_col, d(value) + F.col("__s")).drop("__t", "__s")
 
 
-def correlate(df: DataFrame, order: str, value: str, kernel: list[float], by: list[str], as_col: str = "correlated") -> DataFrame:
+def correlate(df: DataFrame, order: str, value: str, kernel: list[float], by: list[str] | None = None, as_col: str = "correlated") -> DataFrame:
     """Sums of products with a short kernel at every full overlap that ends at a row."""
-    w = W.partitionBy(*by).orderBy(order)
-    out = F.lit(0.0)
-    for k, c in enumerate(reversed(kernel)):
-        out = out + F.lag(d(value), k).over(w) * c
-    return df.withColumn(as_col, out)
+
+    def summed(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        out = F.lit(0.0)
+        for k, c in enumerate(reversed(kernel)):
+            out = out + F.lag(d(value), k).over(w) * c
+        return rows.withColumn(as_col, out)
+
+    return windowed(df, [order], by, summed, len(kernel) - 1)
 
 
-def diff(df: DataFrame, order: str, value: str, by: list[str], n: int = 1, as_col: str = "diff") -> DataFrame:
+def diff(df: DataFrame, order: str, value: str, by: list[str] | None = None, n: int = 1, as_col: str = "diff") -> DataFrame:
     """n-th differences; rows without enough predecessors go."""
-    out, w = df.withColumn(as_col, F.col(value)), W.partitionBy(*by).orderBy(order)
-    for _ in range(n):
-        out = out.withColumn("__d", F.col(as_col) - F.lag(as_col).over(w)).where("__d IS NOT NULL").drop(as_col).withColumnRenamed("__d", as_col)
-    return out
+
+    def stepped(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        rows = rows.withColumn(as_col, F.col(value))
+        for _ in range(n):
+            rows = rows.withColumn(as_col, F.col(as_col) - F.lag(as_col).over(w))
+        return rows
+
+    return windowed(df, [order], by, stepped, n).where(F.col(as_col).isNotNull())
 
 
 def ediff1d(df: DataFrame, order: str, value: str, to_begin: list[float] | None = None, to_end: list[float] | None = None) -> DataFrame:
@@ -132,42 +101,44 @@ def ediff1d(df: DataFrame, order: str, value: str, to_begin: list[float] | None
     return steps.unionByName(df.sparkSession.createDataFrame(more, "i0 long, v double")) if more else steps
 
 
-def gradient(df: DataFrame, order: str, value: str, by: list[str], as_col: str = "gradient", spacing: float | str = 1.0) -> DataFrame:
+def gradient(df: DataFrame, order: str, value: str, by: list[str] | None = None, as_col: str = "gradient", spacing: float | str = 1.0) -> DataFrame:
     """Central differences inside, one-sided at the ends, of steps of one length, or of the coordinates in a column (there
     the inner ones are of second order in both steps)."""
-    w = W.partitionBy(*by).orderBy(order)
     v = d(value)
-    before, after = F.lag(v).over(w), F.lead(v).over(w)
-    if isinstance(spacing, str):
-        left, right = d(spacing) - F.lag(d(spacing)).over(w), F.lead(d(spacing)).over(w) - d(spacing)
-        inner = (left * left * after - right * right * before + (right * right - left * left) * v) / (left * right * (left + right))
-    else:
-        left = right = F.lit(float(spacing))
-        inner = (after - before) / (2 * float(spacing))
-    return df.withColumn(as_col, F.when(before.isNull(), (after - v) / right).when(after.isNull(), (v - before) / left).otherwise(inner))
+
+    def sloped(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        before, after = F.lag(v).over(w), F.lead(v).over(w)
+        if isinstance(spacing, str):
+            left, right = d(spacing) - F.lag(d(spacing)).over(w), F.lead(d(spacing)).over(w) - d(spacing)
+            inner = (left * left * after - right * right * before + (right * right - left * left) * v) / (left * right * (left + right))
+        else:
+            left = right = F.lit(float(spacing))
+            inner = (after - before) / (2 * float(spacing))
+        return rows.withColumn(as_col, F.when(before.isNull(), (after - v) / right).when(after.isNull(), (v - before) / left).otherwise(inner))
+
+    return windowed(df, [order], by, sloped, 1, 1)
 
 
-def trapezoid(df: DataFrame, x: str, y: str, by: list[str], as_col: str = "area") -> DataFrame:
-    w = W.partitionBy(*by).orderBy(x)
-    part = (d(x) - F.lag(d(x)).over(w)) * (d(y) + F.lag(d(y)).over(w)) / 2
-    return df.withColumn("__a", part).groupBy(*by).agg(F.coalesce(F.sum("__a"), F.lit(0.0)).alias(as_col))
+def trapezoid(df: DataFrame, x: str, y: str, by: list[str] | None = None, as_col: str = "area") -> DataFrame:
+    def parts(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        return rows.withColumn("__a", (d(x) - F.lag(d(x)).over(w)) * (d(y) + F.lag(d(y)).over(w)) / 2)
+
+    return windowed(df, [x], by, parts, 1).groupBy(*(by or [])).agg(F.coalesce(F.sum("__a"), F.lit(0.0)).alias(as_col))
 
 
 def sort_lanes(df: DataFrame, by: list[str], value: str, as_col: str = "i") -> DataFrame:
     """Each lane sorted: the position of every value, NaN last."""
-    return df.withColumn(as_col, F.row_number().over(W.partitionBy(*by).orderBy(value)) - 1)
+    return ranked(df, [value], as_col, by)
 
 
 def argsort(df: DataFrame, by: list[str], value: str, pos: str) -> DataFrame:
     """Stable: for each rank the position of the value that has it."""
-    rank = F.row_number().over(W.partitionBy(*by).orderBy(value, pos)) - 1
-    return df.select(*by, rank.alias("rank"), F.col(pos).alias("index"))
+    return ranked(df.select(*by, value, pos), [value, pos], "rank", by).select(*by, "rank", F.col(pos).alias("index"))
 
 
 def lexsort(df: DataFrame, by: list[str], keys: list[str], pos: str) -> DataFrame:
     """The last key is the first to count."""
-    rank = F.row_number().over(W.partitionBy(*by).orderBy(*reversed(keys), pos)) - 1
-    return df.select(*by, rank.alias("rank"), F.col(pos).alias("index"))
+    return ranked(df.select(*by, *keys, pos), [*reversed(keys), pos], "rank", by).select(*by, "rank", F.col(pos).alias("index"))
 
 
 def partition(df: DataFrame, value: str, pos: str, kth: int, by: list[str] | None = None) -> DataFrame:
@@ -216,41 +187,38 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
 
 
 def searchsorted(df: DataFrame, value: str, edges: list[float], side: str = "left", as_col: str = "at") -> DataFrame:
-    """Where each value would go in a short sorted list: no join."""
-    out = F.lit(0)
-    for e in edges:
-        out = out + F.when((d(value) > e) if side == "left" else (d(value) >= e), 1).otherwise(0)
-    return df.withColumn(as_col, F.when(F.isnan(d(value)), F.lit(len(edges))).otherwise(out))
+    """Where each value would go in a sorted list that a plan holds: a binary search in it, no join; NaN goes last."""
+    return df.withColumn(as_col, place_among(d(value), edges, side))
 
 
 def digitize(df: DataFrame, value: str, edges: list[float], right: bool = False, as_col: str = "bin") -> DataFrame:
     return searchsorted(df, value, edges, "left" if right else "right", as_col)
 
 
-def searchsorted_table(df: DataFrame, value: str, knots: DataFrame, knot: str, by: list[str], as_col: str = "at") -> DataFrame:
-    """Of a long list of knots: how many lie below each value, by one sort of both within the groups."""
-    tag = f"__{uuid.uuid4().hex[:6]}"
-    both = df.withColumn(tag, F.lit(0)).withColumn("__k", d(value)).unionByName(
-        knots.select(*by, d(knot).alias("__k"), F.lit(1).alias(tag)), allowMissingColumns=True
+def searchsorted_table(df: DataFrame, value: str, knots: DataFrame, knot: str, by: list[str] | None = None, as_col: str = "at", side: str = "left") -> DataFrame:
+    """Of a long list of knots: how many lie below each value (``right``: or at it), counted over ranges of both."""
+    by, first = by or [], 1 if side == "left" else 0
+    both = df.withColumn("__k", d(value)).withColumn("__tag", F.lit(1 - first)).withColumn("__one", F.lit(0)).unionByName(
+        knots.select(*by, d(knot).alias("__k"), F.lit(first).alias("__tag"), F.lit(1).alias("__one")), allowMissingColumns=True
     )
-    w = W.partitionBy(*by).orderBy("__k", tag).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return both.withColumn(as_col, F.sum(tag).over(w)).where(F.col(tag) == 0).drop(tag, "__k")
+    return running(both, ["__k", "__tag"], "__one", as_col, by).where("__one = 0").drop("__one", "__tag", "__k")
+
 
+def interp(df: DataFrame, x: str, knots: DataFrame, kx: str, ky: str, by: list[str] | None = None, as_col: str = "y") -> DataFrame:
+    """Piecewise linear interpolation, constant beyond the ends: an as-of join both ways over ranges of both tables.
 
-def interp(df: DataFrame, x: str, knots: DataFrame, kx: str, ky: str, by: list[str], as_col: str = "y") -> DataFrame:
-    """Piecewise linear interpolation, constant beyond the ends: an as-of join both ways by one sort within the groups."""
-    both = df.withColumn("__k", d(x)).withColumn("__q", F.lit(1)).unionByName(
-        knots.select(*by, d(kx).alias("__k"), F.struct(d(kx).alias("x"), d(ky).alias("y")).alias("__knot"), F.lit(0).alias("__q")),
+    Values and knots are dealt by ranges together, and the nearest knot of each side crosses from range to range.
+    """
+    by = by or []
+    both = df.withColumn("__k", d(x)).withColumn("__q1", F.lit(1)).unionByName(
+        knots.select(*by, d(kx).alias("__k"), F.struct(d(kx).alias("x"), d(ky).alias("y")).alias("__knot"), F.lit(0).alias("__q1")),
         allowMissingColumns=True,
     )
-    w = W.partitionBy(*by).orderBy("__k", "__q")
-    low = F.last("__knot", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
-    high = F.first("__knot", ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing))
-    out = both.withColumn("__a", low).withColumn("__b", high).where("__q = 1")
+    out = nearest(both, ["__k", "__q1"], "__knot", "__a", "__b", by).where("__q1 = 1")
     step = F.nullif(F.col("__b.x") - F.col("__a.x"), F.lit(0.0))
     inner = F.col("__a.y") + (F.col("__b.y") - F.col("__a.y")) * (F.col("__k") - F.col("__a.x")) / step
     y = F.when(F.isnan("__k"), F.lit(NAN)).when(F.col("__a").isNull(), F.col("__b.y")).when(F.col("__b").isNull(), F.col("__a.y")).otherwise(inner)
-    return out.withColumn(as_col, y).drop("__k", "__q", "__a", "__b", "__knot")
+    return out.withColumn(as_col, y).drop("__k", "__q1", "__a", "__b", "__knot")
 
 
 def unique(df: DataFrame, value: str, pos: str) -> DataFrame:
@@ -264,16 +232,25 @@ def unique_inverse(df: DataFrame, value: str, pos: str) -> DataFrame:
     return df.join(ranks, F.col(value).eqNullSafe(F.col("__v"))).select(pos, "inverse")
 
 
-def runs(df: DataFrame, order: str, flag: Column, by: list[str]) -> DataFrame:
+def runs(df: DataFrame, order: str, flag: Column, by: list[str] | None = None) -> DataFrame:
     """Maximal stretches of rows whose flag holds: group columns, first, last, length (gaps and islands)."""
-    w = W.partitionBy(*by).orderBy(order)
-    marked = df.withColumn("__f", flag).withColumn("__n", F.row_number().over(w))
-    marked = marked.where("__f").withColumn("__island", F.col("__n") - F.row_number().over(w))
+    by = by or []
+
+    def begins(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        held = F.coalesce(F.col("__f"), F.lit(False))
+        return rows.withColumn("__new", (held & ~F.coalesce(F.lag(held).over(w), F.lit(False))).cast("long"))
+
+    marked = windowed(df.select(*by, order, flag.alias("__f")), [order], by, begins, 1)
+    marked = running(marked, [order], "__new", "__island", by).where("__f")
     return marked.groupBy(*by, "__island").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("length")).drop("__island")
 
 
-def sliding(df: DataFrame, order: str, value: str, by: list[str], width: int) -> dict[str, Column]:
-    """Reductions of each full window of ``width`` rows that ends at a row (NULL where it isn't full)."""
-    w = W.partitionBy(*by).orderBy(order).rowsBetween(1 - width, W.currentRow)
-    full = F.count(F.lit(1)).over(w) == width
-    return {k: F.when(full, f(d(value)).over(w)) for k, f in (("sum", F.sum), ("mean", F.avg), ("min", F.min), ("max", F.max))}
+def sliding(df: DataFrame, order: str, value: str, width: int, by: list[str] | None = None) -> DataFrame:
+    """Rows with ``sum``, ``mean``, ``min`` and ``max`` of the full window of ``width`` rows that ends there (NULL where it isn't full)."""
+
+    def reduced(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        w = w.rowsBetween(1 - width, W.currentRow)
+        full = F.count(F.lit(1)).over(w) == width
+        return rows.withColumns({k: F.when(full, f(d(value)).over(w)) for k, f in (("sum", F.sum), ("mean", F.avg), ("min", F.min), ("max", F.max))})
+
+    return windowed(df, [order], by, reduced, width - 1)

@@ -149,22 +149,50 @@ def logseries(index: Column, seed: int, p: float) -> Column:
     return F.when(v >= p, 1).when(v <= q * q, F.floor(1 + F.log(v) / F.log(q))).when(v >= q, 1).otherwise(2).cast("long")
 
 
-def _poisson_of(index: Column, seed: int, lam: Column, top: int) -> Column:
-    """By inversion, of a rate that is a column; ``top`` bounds the values looked at."""
-    u, first = uniform(index, seed), F.exp(-lam)
+def _log_factorial(k: Column) -> Column:
+    """Of whole numbers from 0: the first few by their values, the others by Stirling's series."""
+    small = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(16)])
+    x = F.greatest(k.cast("double"), F.lit(1.0))
+    series = (x + 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+    return F.when(k < 16, F.get(small, F.greatest(k, F.lit(0)).cast("int"))).otherwise(series)
+
+
+#: Means from which counts are drawn by rejection instead of inversion.
+LARGE = 12.0
+_INVERTED = 90  # a count of a mean under LARGE is beyond this with a chance under 1e-40
+
+
+def _inverted(u: Column, first: Column, ratio) -> Column:
+    """The count at which the running sum of chances passes ``u``; ``ratio`` of k is the chance of k over that of k - 1."""
     state = F.struct(first.alias("p"), first.alias("c"), F.lit(0).alias("k"))
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(top)), state,
-        lambda a, k: F.when(u <= a["c"], a).otherwise(F.struct((a["p"] * lam / k).alias("p"), (a["c"] + a["p"] * lam / k).alias("c"), k.alias("k"))),
-        lambda a: a["k"],
-    )
+
+    def step(a: Column, k: Column) -> Column:
+        p = a["p"] * ratio(k)
+        return F.when(u <= a["c"], a).otherwise(F.struct(p.alias("p"), (a["c"] + p).alias("c"), k.alias("k")))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(_INVERTED)), state, step, lambda a: a["k"])
+
+
+def _poisson_of(index: Column, seed: int, lam: Column) -> Column:
+    """Of a rate that is a column: small ones by inversion, large ones by transformed rejection with squeeze."""
+    few = _inverted(uniform(index, seed), F.exp(-F.least(lam, F.lit(LARGE))), lambda k: lam / k)
+    b = 0.931 + 2.53 * F.sqrt(lam)
+    a = -0.059 + 0.02483 * b
+    inverse, squeeze = 1.1239 + 1.1328 / (b - 3.4), 0.9277 - 3.6224 / (b - 2)
+
+    def propose(k: Column) -> tuple[Column, Column]:
+        u, v = uniform(index, seed, k * 2 + 100) - 0.5, uniform(index, seed, k * 2 + 101)
+        us = 0.5 - F.abs(u)
+        x = F.floor((2 * a / us + b) * u + lam + 0.43).cast("double")
+        exact = F.log(v * inverse / (a / (us * us) + b)) <= -lam + x * F.log(lam) - _log_factorial(x)
+        return x, ((us >= 0.07) & (v <= squeeze)) | ((x >= 0) & ~((us < 0.013) & (v > us)) & exact)
+
+    return F.when(lam < LARGE, few).otherwise(_first_taken(propose, F.floor(lam).cast("double"))).cast("long")
 
 
 def negative_binomial(index: Column, seed: int, n: float, p: float) -> Column:
-    """Failures before ``n`` successes: a Poisson variable whose rate is a gamma one (for means up to some hundreds)."""
-    mean = n * (1 - p) / p
-    top = int(mean + 14 * math.sqrt(mean / p) + 40)
-    return _poisson_of(index, seed, gamma(index, seed + 1_000_003, n, (1 - p) / p), top)
+    """Failures before ``n`` successes: a Poisson variable whose rate is a gamma one."""
+    return _poisson_of(index, seed, gamma(index, seed + 1_000_003, n, (1 - p) / p))
 
 
 def hypergeometric(index: Column, seed: int, good: int, bad: int, n: int) -> Column:
@@ -192,8 +220,15 @@ def multivariate_hypergeometric(index: Column, seed: int, colors: list[int], n:
 
 
 def multinomial(index: Column, seed: int, n: int, weights: list[float]) -> Column:
-    """Counts of each outcome among ``n`` draws (for n up to some hundreds)."""
+    """Counts of each outcome among ``n`` draws: a few are drawn one by one, many as binomial counts of what is left."""
     total, edges = sum(weights), [0.0]
+    if n > FEW_TRIALS:
+        left, rest, out = F.lit(n), total, []
+        for j, w in enumerate(weights[:-1]):
+            got = _binomial_of(index, seed + j * 1_000_003, left, min(1.0, w / rest) if rest > 0 else 0.0)
+            out.append(got)
+            left, rest = left - got, rest - w
+        return F.array(*out, left)
     for w in weights:
         edges.append(edges[-1] + w / total)
     edges[-1] = 2.0
@@ -233,21 +268,44 @@ def triangular(index, seed, left, mode, right):
     return F.when(u < cut, F.sqrt(u * ((right - left) * (mode - left))) + left).otherwise(right - F.sqrt((1 - u) * ((right - left) * (right - mode))))
 
 
+#: Up to so many trials are drawn one by one.
+FEW_TRIALS = 32
+
+
+def _binomial_of(index: Column, seed: int, n: Column, p: float) -> Column:
+    """Of a number of trials that is a column: small means by inversion, large ones by transformed rejection with squeeze."""
+    if p > 0.5:
+        return n - _binomial_of(index, seed, n, 1 - p)
+    if p <= 0:
+        return F.lit(0).cast("long")
+    size, odds = n.cast("double"), p / (1 - p)
+    few = _inverted(uniform(index, seed), F.exp(F.least(size, F.lit(LARGE / p)) * math.log1p(-p)), lambda k: F.greatest(size - k + 1, F.lit(0.0)) * odds / k)
+    spread = F.sqrt(size * (p * (1 - p)))
+    b = 1.15 + 2.53 * spread
+    a, middle = -0.0873 + 0.0248 * b + 0.01 * p, F.floor((size + 1) * p).cast("double")
+    squeeze, alpha = 0.92 - 4.2 / b, (2.83 + 5.1 / b) * spread
+
+    def propose(k: Column) -> tuple[Column, Column]:
+        u, v = uniform(index, seed, k * 2 + 100) - 0.5, uniform(index, seed, k * 2 + 101)
+        us = 0.5 - F.abs(u)
+        x = F.floor((2 * a / us + b) * u + size * p + 0.5).cast("double")
+        likely = _log_factorial(middle) + _log_factorial(size - middle) - _log_factorial(x) - _log_factorial(size - x) + (x - middle) * math.log(odds)
+        inside = (x >= 0) & (x <= size)
+        return x, inside & (((us >= 0.07) & (v <= squeeze)) | (F.log(v * alpha / (a / (us * us) + b)) <= likely))
+
+    return F.when(size * p < LARGE, few).otherwise(_first_taken(propose, middle)).cast("long")
+
+
 def binomial(index: Column, seed: int, n: int, p: float) -> Column:
-    """A sum of n draws (for n up to some hundreds)."""
+    """Successes in n trials: a few are drawn one by one, many by their number."""
+    if n > FEW_TRIALS:
+        return _binomial_of(index, seed, F.lit(n), p)
     return F.aggregate(F.sequence(F.lit(1), F.lit(n)), F.lit(0), lambda a, k: a + F.when((F.shiftrightunsigned(F.xxhash64(index, k, F.lit(seed)), 12).cast("double") + 0.5) / float(1 << 52) < p, 1).otherwise(0))
 
 
 def poisson(index: Column, seed: int, lam: float) -> Column:
-    """By inversion (for rates up to some hundreds)."""
-    top = int(lam + 12 * math.sqrt(lam) + 20)
-    u = uniform(index, seed)
-    state = F.struct(F.lit(math.exp(-lam)).alias("p"), F.lit(math.exp(-lam)).alias("c"), F.lit(0).alias("k"))
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(top)), state,
-        lambda a, k: F.when(u <= a["c"], a).otherwise(F.struct((a["p"] * lam / k).alias("p"), (a["c"] + a["p"] * lam / k).alias("c"), k.alias("k"))),
-        lambda a: a["k"],
-    )
+    """Counts of any rate."""
+    return _poisson_of(index, seed, F.lit(float(lam)))
 
 
 def choice(index: Column, seed: int, weights: list[float]) -> Column:
@@ -270,3 +328,55 @@ def permuted(df: DataFrame, key: str, seed: int, as_col: str = "place") -> DataF
 def sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """n rows without replacement: those of the smallest hashes, by top-n per partition and a merge."""
     return df.withColumn("__h", F.xxhash64(key, F.lit(seed))).orderBy("__h", key).limit(n).drop("__h")
+
+
+# -- a published counter-based generator, bit for bit ----------------------------------------------------------------
+
+# Multipliers and key increments of the 4 x 32 bit Philox generator of ten rounds.
+PHILOX_MULTIPLIERS = (0xD2511F53, 0xCD9E8D57)
+PHILOX_WEYL = (0x9E3779B9, 0xBB67AE85)
+PHILOX_ROUNDS = 10
+_WORD = (1 << 32) - 1
+
+
+def philox(counter: list[Column], key: int) -> Column:
+    """The four 32-bit words (as longs) of a 128-bit counter, given as four words from the lowest on, under a 64-bit key."""
+    if len(counter) != 4:
+        raise ValueError("a counter of four words")
+    word = F.lit(_WORD).cast("long")
+
+    def product(x: Column, m: int) -> tuple[Column, Column]:
+        """High and low word of a product, from halves of ``m`` so that nothing exceeds 63 bits."""
+        upper, lower = x * (m >> 16), x * (m & 0xFFFF)
+        high = F.shiftright(upper + F.shiftright(lower, 16), 16)
+        return high, (F.shiftleft(upper.bitwiseAND(F.lit(0xFFFF).cast("long")), 16) + lower.bitwiseAND(word)).bitwiseAND(word)
+
+    keys = [tuple(((key >> 32 * j) + r * w) & _WORD for j, w in enumerate(PHILOX_WEYL)) for r in range(PHILOX_ROUNDS)]
+    rounds = F.expr("array(" + ", ".join(f"named_struct('a', {a}L, 'b', {b}L)" for a, b in keys) + ")")
+    first = F.array(*[c.cast("long").bitwiseAND(word) for c in counter])
+
+    def step(c: Column, k: Column) -> Column:
+        h0, l0 = product(c[0], PHILOX_MULTIPLIERS[0])
+        h1, l1 = product(c[2], PHILOX_MULTIPLIERS[1])
+        return F.array(h1.bitwiseXOR(c[1]).bitwiseXOR(k["a"]), l1, h0.bitwiseXOR(c[3]).bitwiseXOR(k["b"]), l0)
+
+    return F.aggregate(rounds, first, step)
+
+
+def philox_words(index: Column, key: int, stream: int = 0) -> Column:
+    """The words of row ``index`` (a whole number of 64 bits) in one of many streams."""
+    i = index.cast("long")
+    return philox([i, F.shiftrightunsigned(i, 32), F.lit(stream & _WORD), F.lit(stream >> 32)], key)
+
+
+def philox_uniform(index: Column, key: int, stream: int = 0) -> Column:
+    """In [0, 1): 53 bits of the first two words."""
+    return F.transform(F.array(philox_words(index, key, stream)), lambda w: (F.shiftright(w[0], 5) * (1 << 26) + F.shiftright(w[1], 6)).cast("double") / float(1 << 53))[0]
+
+
+def weighted_sample(df: DataFrame, key: str, weight: str, n: int, seed: int) -> DataFrame:
+    """n rows without replacement, each next one taken in proportion to its weight among the rest: the rows with the least
+    exponential draws of rate ``weight``, by top-n per partition and a merge.  Rows of no or negative weight are never taken."""
+    w = F.col(weight).cast("double")
+    drawn = df.where(w > 0).withColumn("__e", -F.log1p(-philox_uniform(F.col(key), seed)) / w)
+    return drawn.orderBy("__e", key).limit(n).drop("__e")

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ieee import INF, NAN, d, divide
+from ..functions.search import place_among
 
 
 def total(v) -> Column:
@@ -133,7 +134,10 @@ def kurtosis(v) -> Column:
 
 
 def gmean(v) -> Column:
-    return F.exp(F.avg(F.log(d(v))))
+    """NaN where a value is negative or NaN, else 0 where one is 0."""
+    x = d(v)
+    mean_log = F.avg(F.log(F.when(x > 0, x)))
+    return F.when(F.max((x < 0) | F.isnan(x)), F.lit(NAN)).when(F.min(x) == 0, F.lit(0.0)).otherwise(F.exp(mean_log))
 
 
 def hmean(v) -> Column:
@@ -211,21 +215,36 @@ def quantile_place(n: Column, q: float, method: str) -> tuple[Column, Column]:
     return bounded.cast("long"), part
 
 
-def quantiles(df: DataFrame, by: list[str], value: str, qs: list[float], method: str = "linear", skip_nan: bool = False) -> DataFrame:
-    """One row per group with a column ``q_<i>`` for each quantile.
+#: Rank error of the sketch that brackets quantiles; a bracket reaches four of them to each side.
+SKETCH_ERROR = 1 / 2000
+
 
-    Rows are numbered once for all quantiles, by a distributed order in which a large group is many tasks' work
-    (:func:`gridloom.operators.order.ranked`); the few places that a group needs then meet them in an equi-join.  NaN makes
-    a group's quantiles NaN unless skipped."""
-    from .order import ranked
+def quantiles(df: DataFrame, by: list[str], value: str, qs: list[float], method: str = "linear", skip_nan: bool = False) -> DataFrame:
+    """One row per group with a column ``q_<i>`` for each quantile, selected without sorting the values.
+
+    A first scan brackets every wanted place by a mergeable sketch of the group, which is sure of ranks but for a two-thousandth of
+    the group.  A second scan counts equal values within the brackets, and between brackets only rows: under a hundredth of the
+    rows for each quantile, and one row for a value that fills half a group.  Running counts over these, by ranges, find the places.
+    Groups of a few thousand rows are counted whole.  NaN makes a group's quantiles NaN unless skipped; without values there is no row
+    of a group, and none of a whole table.
+    """
+    from .order import running
 
     if method not in METHODS:
         raise ValueError(f"method {method!r} is none of {METHODS}")
     rows = df.select(*by, d(value).alias("__v")).where(F.col("__v").isNotNull())
     if skip_nan:
         rows = rows.where(~F.isnan("__v"))
-    rows = ranked(rows, ["__v"], "__r", by)
-    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.bool_or(F.isnan("__v")).alias("__nan"))
+    names = [F.col(b).alias(f"__b{k}") for k, b in enumerate(by)]
+    same = F.lit(True)
+    for k, b in enumerate(by):
+        same = same & F.col(b).eqNullSafe(F.col(f"__b{k}"))
+
+    reach = 4 * SKETCH_ERROR
+    ends = [min(max(q + side * reach, 0.0), 1.0) for q in qs for side in (-1, 1)]
+    n = F.count(F.lit(1))
+    sketch = F.percentile_approx(F.when(~F.isnan("__v"), F.col("__v")), ends, int(1 / SKETCH_ERROR))
+    sizes = rows.groupBy(*by).agg(n.alias("__n"), F.bool_or(F.isnan("__v")).alias("__nan"), sketch.alias("__ends"))
     if not by:
         sizes = sizes.where("__n > 0")
     low, high, weight = [], [], []
@@ -234,22 +253,43 @@ def quantiles(df: DataFrame, by: list[str], value: str, qs: list[float], method:
         low.append(at)
         high.append(F.least(at + 1, F.col("__n") - 1))
         weight.append(part)
-    sizes = sizes.select(*by, "__nan", F.array(*low).alias("__low"), F.array(*high).alias("__high"), F.array(*[w.cast("double") for w in weight]).alias("__w"))
-    wanted = sizes.select(*[F.col(b).alias(f"__b{k}") for k, b in enumerate(by)], F.explode(F.array_distinct(F.concat("__low", "__high"))).alias("__k"))
-    on = F.col("__r") == F.col("__k")
-    for k, b in enumerate(by):
-        on = on & F.col(b).eqNullSafe(F.col(f"__b{k}"))
-    held = rows.join(wanted, on).groupBy(*[F.col(b).alias(f"__b{k}") for k, b in enumerate(by)]).agg(F.map_from_entries(F.collect_list(F.struct("__k", "__v"))).alias("__at"))
-    same = F.lit(True)
-    for k, b in enumerate(by):
-        same = same & F.col(b).eqNullSafe(F.col(f"__b{k}"))
-    got = sizes.join(held, same) if by else sizes.join(F.broadcast(held))  # one row
+    small = F.col("__n") * SKETCH_ERROR < 2  # a place may be two off the quantile of the sketch
+    wide = lambda i, edge, far: F.when(small | F.lit(edge), F.lit(far)).otherwise(F.get("__ends", F.lit(i)))
+    brackets = F.array(*[
+        F.struct(wide(2 * i, ends[2 * i] <= 0, float("-inf")).alias("lo"), wide(2 * i + 1, ends[2 * i + 1] >= 1, float("inf")).alias("hi")) for i in range(len(qs))
+    ])
+    sizes = sizes.select(*names, "__n", "__nan", brackets.alias("__in"), F.array(*low).alias("__low"), F.array(*high).alias("__high"), F.array(*[w.cast("double") for w in weight]).alias("__w"))
+
+    held = rows.join(sizes.select(*[f"__b{k}" for k in range(len(by))], "__in"), same) if by else rows.join(F.broadcast(sizes.select("__in")))  # one row
+    v, marks = F.col("__v"), F.col("__in")
+    inside, gap = F.lit(False), F.lit(0)
+    for i in range(len(qs)):
+        e = F.get(marks, F.lit(i))
+        inside = inside | ((v >= e["lo"]) & (v <= e["hi"]))
+        gap = gap + F.when(v > e["hi"], 1).otherwise(0)
+    counted = held.select(*by, gap.alias("__gap"), F.when(inside, v).alias("__v")).groupBy(*by, "__gap", "__v").agg(n.alias("__c"))
+    upto = running(counted, ["__gap", "__v"], "__c", "__upto", by)  # NULL, the rows between brackets, comes first
+
+    wanted = sizes.select(*[F.col(f"__b{k}") for k in range(len(by))], F.explode(F.array_distinct(F.concat("__low", "__high"))).alias("__k"))
+    reached = (F.col("__upto") > F.col("__k")) & (F.col("__upto") - F.col("__c") <= F.col("__k"))
+    if by:
+        met = upto.join(wanted, same & reached)
+    else:
+        met = upto.join(F.broadcast(sizes.select(F.array_distinct(F.concat("__low", "__high")).alias("__ks"))))  # one row
+        met = met.select("*", F.explode("__ks").alias("__k")).where(reached)
+    found = F.coalesce("__v", F.when(F.col("__v").isNull(), F.raise_error(F.lit("a quantile lies outside its bracket"))).cast("double"))
+    held = met.select(*[F.col(b).alias(f"__h{k}") for k, b in enumerate(by)], "__k", found.alias("__v"))
+    held = held.groupBy(*[f"__h{k}" for k in range(len(by))]).agg(F.map_from_entries(F.collect_list(F.struct("__k", "__v"))).alias("__at"))
+    on = F.lit(True)
+    for k in range(len(by)):
+        on = on & F.col(f"__b{k}").eqNullSafe(F.col(f"__h{k}"))
+    got = sizes.join(held, on) if by else sizes.join(F.broadcast(held))  # one row
     out = []
     for i in range(len(qs)):
         below, above, g = (F.col("__at")[F.get("__low", F.lit(i))], F.col("__at")[F.get("__high", F.lit(i))], F.get("__w", F.lit(i)))
-        v = F.when(g == 0, below).when(g == 1, above).otherwise(below + (above - below) * g)
-        out.append(F.when(F.col("__nan"), F.lit(NAN)).otherwise(v).alias(f"q_{i}"))
-    return got.select(*by, *out)
+        x = F.when(g == 0, below).when(g == 1, above).otherwise(below + (above - below) * g)
+        out.append(F.when(F.col("__nan"), F.lit(NAN)).otherwise(x).alias(f"q_{i}"))
+    return got.select(*[F.col(f"__b{k}").alias(b) for k, b in enumerate(by)], *out)
 
 
 def iqr(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -277,9 +317,7 @@ def bin_of(v, edges: list[float]) -> Column:
         at = F.greatest(F.lit(0.0), F.least(F.floor((x - low) / width).cast("double"), F.lit(float(n - 1))))
         at = F.when(x < at * width + low, at - 1).when((x >= (at + 1) * width + low) & (at < n - 1), at + 1).otherwise(at)
     else:
-        at = F.lit(-1)
-        for e in edges[:-1]:
-            at = at + F.when(x >= e, 1).otherwise(0)
+        at = place_among(x, edges[:-1], "right") - 1
     inside = (x >= edges[0]) & (x <= edges[-1]) & ~F.isnan(x)
     return F.when(inside, at.cast("int"))
 
@@ -402,9 +440,10 @@ def chi2_table(df: DataFrame, a: str, b: str) -> DataFrame:
     rows = cube.where("g = 1").select(F.col(a).alias("a"), F.col("n").alias("na"))
     cols = cube.where("g = 2").select(F.col(b).alias("b"), F.col("n").alias("nb"))
     cells = cube.where("g = 0").select(F.col(a).alias("a"), F.col(b).alias("b"), F.col("n").alias("observed"))
-    total = F.sum("observed").over(W.partitionBy())
+    whole = cube.where("g = 3").select(F.col("n").alias("__n"))  # one row
+    total = F.col("__n")
     return (
-        cells.join(rows, "a").join(cols, "b")
+        cells.join(rows, "a").join(cols, "b").join(F.broadcast(whole))
         .withColumn("expected", F.col("na") * F.col("nb") / total)
         .select("a", "b", "observed", "expected")
     )

@@ -78,3 +78,66 @@ def apply_over_axes(a: NdFrame, f: Callable[[Column], Column], axes: list[int])
     for axis in axes:
         a = a.reduce(f, axis, keepdims=True)
     return a
+
+
+def _folded(values: np.ndarray, starts: np.ndarray, f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Each stretch of ``values`` folded by neighbours, in order: ``f`` gets arrays, once per level of the tree."""
+    lengths = np.diff(np.append(starts, len(values)))
+    while len(values) > len(lengths):
+        place = np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        paired = (place % 2 == 0) & (place + 1 < np.repeat(lengths, lengths))
+        kept, left = place % 2 == 0, np.flatnonzero(paired)
+        values = values.copy()
+        values[left] = f(values[left], values[left + 1])
+        values, lengths = values[kept], (lengths + 1) // 2
+    return values
+
+
+def reduce_with(df: DataFrame, by: list[str], value: str, f: Callable[[np.ndarray, np.ndarray], np.ndarray], order: str | None = None, kind: str = "double", as_col: str = "v") -> DataFrame:
+    """(by..., ``as_col``): ``f``, any associative function of two arrays, folded over the values of each group; NULL is left out.
+
+    A batch is folded by group before anything moves, so a group of any size leaves a task as one value for each of its batches,
+    and these meet in a tree: first within stretches of ``TREE`` of them, then all.  With ``order`` the function need not be
+    commutative: rows are dealt by ranges of it and partial results keep their place.  A table without groups gives one row, or none.
+    """
+    from .ranges import ranged
+
+    rows = df.where(F.col(value).isNotNull())
+    if order is not None:
+        parts = ranged(rows.select(*by, order, F.col(value).cast(kind).alias("__v")), by, [order]).sortWithinPartitions(*by, order, "__m")
+        parts = parts.select(*by, F.col("__p").cast("long").alias("__p"), "__v")
+    else:
+        parts = rows.select(*by, F.spark_partition_id().cast("long").alias("__p"), F.col(value).cast(kind).alias("__v"))
+    kinds = dict(df.dtypes)
+    names = [f"__g{k}" for k in range(len(by))]
+    schema = ", ".join([*[f"{n} {kinds[b]}" for n, b in zip(names, by, strict=True)], "__p long", "__n long", f"__v {kind}"])
+
+    def batches_folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for n, batch in enumerate(batches):
+            if not len(batch):
+                continue
+            keys = batch.iloc[:, : len(by)]
+            group = keys.groupby(list(keys.columns), dropna=False, sort=False).ngroup().to_numpy() if by else np.zeros(len(batch), int)
+            at = np.argsort(group, kind="stable")
+            starts = np.flatnonzero(np.diff(group[at], prepend=-1))
+            out = batch.iloc[at[starts], : len(by)].copy()
+            out.columns = names
+            out["__p"], out["__n"] = batch["__p"].to_numpy()[at[starts]], n
+            out["__v"] = _folded(batch["__v"].to_numpy()[at], starts, f)
+            yield out
+
+    def group_folded(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["__p", "__n"], kind="stable")
+        out = part.iloc[:1].copy()
+        out["__v"] = _folded(part["__v"].to_numpy(), np.zeros(1, int), f)
+        return out
+
+    partial = parts.mapInPandas(batches_folded, schema)
+    stretch = F.call_function("div", F.col("__p"), F.lit(TREE).cast("long")).alias("__s")
+    near = partial.groupBy(*names, stretch).applyInPandas(group_folded, schema)
+    whole = near.groupBy(*(names or [F.pmod("__n", F.lit(1)).alias("__one")])).applyInPandas(group_folded, schema)
+    return whole.select(*[F.col(n).alias(b) for n, b in zip(names, by, strict=True)], F.col("__v").alias(as_col))
+
+
+#: Ranges or partitions whose partial results meet in one task first.
+TREE = 64

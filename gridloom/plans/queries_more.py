@@ -99,11 +99,17 @@ def polyfit(spark, sf):
     return spark.createDataFrame([(round(c[1], 3), round(c[0], 1))], "c1 double, c0 double")
 
 
-@query("tapers", "SELECT i::BIGINT AS i0, round(0.5 - 0.5 * cos(2 * pi() * i / 50), 8) AS hann, round(0.54 - 0.46 * cos(2 * pi() * i / 50), 8) AS hamming, round(1 - abs(2 * i / 50 - 1), 8) AS bartlett, round(exp(-pow((i - 25) / 7, 2) / 2), 8) AS gaussian FROM range(51) t(i)")
+@query(
+    "tapers",
+    """WITH w AS (SELECT i::BIGINT AS i, 0.5 - 0.5 * cos(2 * pi() * i / 49) AS hann, 0.54 - 0.46 * cos(2 * pi() * i / 49) AS hamming, 1 - abs(2 * i / 49 - 1) AS bartlett, exp(-pow((i - 24.5) / 7, 2) / 2) AS gaussian FROM range(50) t(i))
+       SELECT l_orderkey, l_linenumber, round(hann * l_extendedprice, 4) AS hann, round(hamming * l_extendedprice, 4) AS hamming, round(bartlett * l_extendedprice, 4) AS bartlett, round(gaussian * l_extendedprice, 4) AS gaussian
+       FROM lineitem JOIN w ON w.i = l_quantity - 1""",
+)
 def tapers_query(spark, sf):
-    i = F.col("i0")
-    df = spark.range(51).withColumnRenamed("id", "i0")
-    return df.select("i0", *[r(tapers.taper(n, i, 51, *a), 8).alias(n) for n, a in (("hann", ()), ("hamming", ()), ("bartlett", ()), ("gaussian", (7.0,)))])
+    """The price of every line item under windows of 50 points, at the place that its quantity names."""
+    i = F.col("l_quantity") - 1
+    named = {n: tapers.taper(n, i, 50, *a) for n, a in (("hann", ()), ("hamming", ()), ("bartlett", ()), ("gaussian", (7.0,)))}
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *[r(w * F.col("l_extendedprice"), 4).alias(n) for n, w in named.items()])
 
 
 @query(
@@ -183,16 +189,19 @@ def derivatives(spark, sf):
 
 @query("random_moments")
 def random_moments(spark, sf):
-    i = F.col("id")
-    df = spark.range(100_000).select(random.uniform(i, 1).alias("u"), random.normal(i, 2).alias("z"), random.poisson(i, 3, 4.0).alias("p"), random.exponential(i, 4).alias("e"))
-    return df.agg(*[r(f(c), 2).alias(f"{n}_{c}") for c in df.columns for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
+    """Draws by the row number of every line item; no SQL draws the same numbers (see philox_draws for those that it does)."""
+    i = F.xxhash64("l_orderkey", "l_linenumber")
+    df = table(spark, sf, "lineitem").select(
+        random.uniform(i, 1).alias("u"), random.normal(i, 2).alias("z"), random.poisson(i, 3, 4.0).alias("p"), random.exponential(i, 4).alias("e"), random.poisson(i, 5, 760.0).alias("large"), random.binomial(i, 6, 1000, 0.3).alias("trials")
+    )
+    return df.agg(*[r(f(c), 1).alias(f"{n}_{c}") for c in df.columns for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
 
 
 @query("random_distributions")
 def random_distributions(spark, sf):
-    """Means of distributions made by rejection, mixture and factoring; no SQL draws the same numbers."""
-    i = F.col("id")
-    df = spark.range(50_000).select(
+    """Means of distributions made by rejection, mixture and factoring, a draw of each for every line item."""
+    i = F.xxhash64("l_orderkey", "l_linenumber")
+    df = table(spark, sf, "lineitem").select(
         random.gamma(i, 1, 2.5, 2.0).alias("gamma"), random.beta(i, 2, 2.0, 3.0).alias("beta"), random.standard_t(i, 3, 9.0).alias("t"), random.vonmises(i, 4, 0.5, 2.0).alias("vonmises"),
         random.zipf(i, 5, 4.0).alias("zipf"), random.wald(i, 6, 2.0, 5.0).alias("wald"), random.negative_binomial(i, 7, 3.0, 0.4).alias("negative_binomial"),
         random.hypergeometric(i, 8, 7, 13, 6).alias("hypergeometric"), random.multinomial(i, 9, 10, [1.0, 3.0, 6.0])[1].alias("multinomial"),

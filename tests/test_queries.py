@@ -6,7 +6,8 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from gridloom.plans import queries, queries_more  # noqa: F401
+from gridloom.operators import ranges
+from gridloom.plans import queries, queries_files, queries_more, queries_scale  # noqa: F401
 from gridloom.plans.catalog import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -36,6 +37,7 @@ def test_query(spark, db, name):
     got = QUERIES[name](spark, SF)
     columns = sorted(got.columns)
     rows = [tuple(r[c] for c in columns) for r in got.collect()]
+    ranges.release()
     assert rows
     if name not in ORACLE_SQL:
         return
