@@ -1,23 +1,25 @@
 """Personal data: patterns for entities, and information-theoretic sanitisation, with DataFrame functions only.
 
-Entities (e-mail and IP addresses, card and phone numbers) are found by patterns.  The method then asks which terms
-give an entity away: over the whole corpus it counts in how many documents a term stands together with an entity, how
-many documents have the term, and how many the entity.  A term is disclosing if it was seen with the entity in at least
+Entities (e-mail and IP addresses, card and phone numbers) are found by patterns; the host of an e-mail address and the network of
+an IP address are entities as well.  The method then asks which terms give an entity away: over the whole corpus it counts in how
+many documents a term stands together with an entity, how many documents have the term, and how many the entity.  Copies of a text
+count as one document: what only copies repeat is no evidence.  A term is disclosing if it was seen with the entity in at least
 ``MIN_SUPPORT`` documents, the entity is at least ``GENERALISE`` likely given the term, and knowing the term tells at
 least the share ``MIN_SHARE`` of the entity's own information, -log2 P(entity), so that frequent entities count as well.
 Disclosing terms are generalised to their class (``[NUMBER]``, ``[CODE]``, ``[NAME]``, ``[WORD]``), from ``REMOVE`` on
 removed, wherever they stand in a document that holds the entity.  Terms are whole words of any length that touch no entity.
 
 Scale: texts are read once; what is kept of each row is its entities and distinct terms, and its text if it has an entity.
-Pairs are made only of entities and terms in ``MIN_SUPPORT`` documents at least, and of a term only with entities frequent
-enough to be as likely as ``GENERALISE`` given it; they are combined before their exchange.  A frequent entity or term is
-one key of an aggregate, and the joins that bring counts to documents may be split by adaptive execution.  Pairs of a row
-are kept, so what a row holds of the disclosing ones is an equi-join.  Texts with a disclosing term are shuffled once.
+Only entities and terms in ``MIN_SUPPORT`` documents at least are looked at, and a term only with entities frequent enough to be as
+likely as ``GENERALISE`` given it.  Entities of the same documents are one class, and so are terms; pairs of classes are counted,
+combined before their exchange, so documents that repeat a long list of names and addresses cost in proportion to it.  A frequent
+entity or term is one key of an aggregate, and the joins that bring counts to documents may be split by adaptive execution.  Terms are
+marked by an equi-join of the words of the documents that hold disclosing ones.
 
 Positions come from splitting a text at its matches: lengths of the parts are summed within blocks and over them, so the work is
 in proportion to the text.
 
-Defined cases: null text counts as empty; each row is a document, whatever its id; repeated rows count as documents;
+Defined cases: null text counts as empty; each row has its result, whatever its id; rows that repeat a text share it and are one document of the counts;
 an empty table gives an empty result; other columns are not read.
 """
 
@@ -168,27 +170,18 @@ def class_of(word: Column) -> Column:
     )
 
 
-def term_spans(text: Column, spans: Column, terms: Column) -> Column:
-    """Every place of the given terms (array of (term, remove)): array of (start, stop, put), ``put`` the replacement."""
+def entities_of(s: Column) -> Column:
+    """A span's entity, and what it is one of: the host of an e-mail address, the network (three parts) of an IP address."""
+    one = entity_of(s)
+    host = F.concat(F.lit("0@"), F.lower(F.substring_index(s["text"], "@", -1)))
+    network = F.concat(F.lit("1/"), F.substring_index(s["text"], ".", 3))
+    return F.when(s["kind"] == 0, F.array(one, host)).when(s["kind"] == 1, F.array(one, network)).otherwise(F.array(one))
 
-    def listed(remove: bool) -> Column:
-        # terms are words, so no blank stands in one: one search tells whether a word is among them
-        some = F.transform(F.filter(terms, lambda t: t["remove"] == F.lit(remove)), lambda t: t["term"])
-        return F.concat(F.lit(" "), F.array_join(some, " "), F.lit(" "))
 
-    def placed(lists: Column) -> Column:
-        def of_word(w: Column) -> Column:
-            def put(x: Column) -> Column:
-                key = F.concat(F.lit(" "), x, F.lit(" "))
-                return F.when(x == "", None).when(F.contains(lists["gone"], key), "").when(F.contains(lists["general"], key), class_of(w["text"]))
-
-            touched = F.contains(w["text"], F.lit(_MASK))
-            told = F.when(~touched, let(term_of(w["text"]), put))
-            return F.struct(w["start"].alias("start"), w["stop"].alias("stop"), told.alias("put"))
-
-        return F.filter(F.transform(spans_of(masked(text, spans), f"[^{WS}]++"), of_word), lambda w: w["put"].isNotNull())
-
-    return let(F.struct(listed(True).alias("gone"), listed(False).alias("general")), placed)
+def free_words(text: Column, spans: Column) -> Column:
+    """The words that touch no span: array of (start, stop, text, term)."""
+    words = F.filter(spans_of(masked(text, spans), f"[^{WS}]++"), lambda w: ~F.contains(w["text"], F.lit(_MASK)))
+    return F.transform(words, lambda w: F.struct(w["start"].alias("start"), w["stop"].alias("stop"), w["text"].alias("text"), term_of(w["text"]).alias("term")))
 
 
 class Sanitiser:
@@ -198,52 +191,67 @@ class Sanitiser:
         self.docs, self.text_col, self.id_col = docs, text_col, id_col
         read = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("t"))
         read = read.withColumn("spans", base_spans(F.col("t")))
-        entities = F.array_distinct(F.transform("spans", entity_of))
+        entities = F.array_distinct(F.flatten(F.transform("spans", entities_of)))
         held = F.when(F.size("spans") > 0, F.col("t"))
         self.base = materialise(
             read.select("doc_id", "spans", entities.alias("entities"), free_terms(F.col("t"), F.col("spans")).alias("terms"),
-                        held.alias("t"), F.xxhash64("t").alias("h")).withColumn("row", F.monotonically_increasing_id()),
+                        held.alias("t"), F.substring(F.unhex(F.sha2("t", 256)), 1, 16).alias("h")).withColumn("row", F.monotonically_increasing_id()),
             "spans",
         )
 
     def disclosing(self) -> DataFrame:
-        """(entity, term, likelihood, bits) of the pairs over the thresholds."""
-        enough = F.count(F.lit(1))
-        holding = self.base.where(F.size("entities") > 0)
+        """(row, term, likelihood) for the texts that hold an entity which the term discloses; a row stands for all copies of its text.
+
+        Copies of a text are one document.  Entities in the same documents are one class, as are terms in as many documents of which
+        the same hold entities: only pairs of classes are counted, so a page of many addresses and names of its own that a few pages
+        repeat costs in proportion to its length.
+        """
+        enough, key = F.count(F.lit(1)), ["f0", "f1"]
+        prints = [F.bit_xor(F.xxhash64("row", F.lit(k))).alias(f"f{k}") for k in (0, 1)]
+        once = materialise(self.base.select("h", "row").groupBy("h").agg(F.min("row").alias("row")), "texts")
+        texts = spread_join(self.base.select("row", "entities", "terms"), once.select("row"), ["row"])
+        texts = materialise(texts, "once")
+        holding = texts.where(F.size("entities") > 0)
+
+        # (row, class) of the entities and of the terms that may disclose
         holds = holding.select("row", F.explode("entities").alias("entity"))
-        entities = materialise(holds.groupBy("entity").agg(enough.alias("with_entity")).where(F.col("with_entity") >= MIN_SUPPORT), "entities")
-        terms = self.base.select(F.explode("terms").alias("term")).groupBy("term").agg(enough.alias("with_term"))
-        terms = materialise(terms.where(F.col("with_term") >= MIN_SUPPORT), "terms")
-        per_row = spread_join(holds, entities, ["entity"]).groupBy("row").agg(F.collect_list(F.struct("entity", "with_entity")).alias("es"))
-        rows = holding.select("row", "terms").join(per_row, "row").select("row", "es", F.explode("terms").alias("term"))
+        entities = holds.groupBy("entity").agg(enough.alias("with_entity"), *prints).where(F.col("with_entity") >= MIN_SUPPORT)
+        held = spread_join(holds, entities, ["entity"]).select("row", *key, "with_entity").distinct()
+        spoken = holding.select("row", F.explode("terms").alias("term"))
+        terms = spoken.groupBy("term").agg(enough.alias("n"), *prints).where(F.col("n") >= MIN_SUPPORT)
+        every = texts.select(F.explode("terms").alias("term")).groupBy("term").agg(enough.alias("with_term"))
+        terms = materialise(terms.join(every, "term").select("term", F.col("f0").alias("g0"), F.col("f1").alias("g1"), "with_term"), "terms")
+        said = materialise(spread_join(spoken, terms, ["term"]), "said")
+        per_row = held.groupBy("row").agg(F.collect_list(F.struct(*key, "with_entity")).alias("es"))
+        rows = spread_join(said.select("row", "g0", "g1", "with_term").distinct(), per_row, ["row"])
         # likelihood is with_entity / with_term at most
         able = F.filter("es", lambda e: e["with_entity"] >= GENERALISE * F.col("with_term"))
-        pairs = spread_join(rows, terms, ["term"]).select("row", "term", "with_term", F.explode(able).alias("e"))
-        #: what each row holds of the pairs that may disclose
-        self.pairs = materialise(pairs.select("row", F.col("e.entity").alias("entity"), "term", F.col("e.with_entity").alias("with_entity"), "with_term"), "pairs")
-        known = self.pairs.groupBy("entity", "term", "with_entity", "with_term").agg(enough.alias("both")).where(F.col("both") >= MIN_SUPPORT)
-        n = self.base.count()
+        pairs = rows.select("row", "g0", "g1", "with_term", F.explode(able).alias("e")).select("row", "g0", "g1", "with_term", "e.*")
+        pairs = materialise(pairs, "pairs")
+        both = [*key, "g0", "g1", "with_entity", "with_term"]
+        known = pairs.groupBy(*both).agg(enough.alias("both")).where(F.col("both") >= MIN_SUPPORT)
+        n = once.count()
         likely = F.col("both") / F.col("with_term")
         own = F.log2(F.lit(float(max(n, 1))) / F.col("with_entity"))
-        bits = own + F.log2(likely)
-        told = (own > 0) & (bits >= MIN_SHARE * own)
-        return known.where((likely >= GENERALISE) & told).select("entity", "term", likely.alias("likelihood"), bits.alias("bits"))
+        told = (own > 0) & (own + F.log2(likely) >= MIN_SHARE * own)
+        known = known.where((likely >= GENERALISE) & told).select(*both, likely.alias("likelihood"))
+        hits = spread_join(pairs, known, both).groupBy("row", "g0", "g1", "with_term").agg(F.max("likelihood").alias("likelihood"))
+        return spread_join(said, hits, ["row", "g0", "g1", "with_term"]).select("row", "term", "likelihood")
 
     def found(self) -> DataFrame:
         """One row per input row: row, doc_id, h, all spans (arrays of start, kind, stop, put)."""
         told = materialise(self.disclosing(), "disclosing")
-        hits = spread_join(self.pairs.select("row", "entity", "term"), told.select("entity", "term", "likelihood"), ["entity", "term"])
-        wanted = (
-            hits.groupBy("row", "term").agg(F.max("likelihood").alias("likelihood"))
-            .groupBy("row").agg(F.collect_list(F.struct("term", (F.col("likelihood") >= REMOVE).alias("remove"))).alias("wanted"))
-        )
-        placed = self.base.where(F.size("entities") > 0).select("row", "t", "spans").join(wanted, "row")
-        term = lambda w: F.struct(w["start"].alias("start"), F.lit(4).alias("kind"), w["stop"].alias("stop"), w["put"].alias("put"))
-        terms = placed.select("row", F.transform(term_spans(F.col("t"), F.col("spans"), F.col("wanted")), term).alias("terms"))
+        one = self.base.select("row", "h", "t", "spans").where(F.size("spans") > 0)
+        words = spread_join(one, told.select("row").distinct(), ["row"]).select("row", "h", F.explode(free_words(F.col("t"), F.col("spans"))).alias("w"))
+        words = words.select("row", "h", "w.*").where("term <> ''")
+        put = F.when(F.col("likelihood") >= REMOVE, "").otherwise(class_of(F.col("text")))
+        placed = spread_join(words, told, ["row", "term"]).select("h", F.struct("start", F.lit(4).alias("kind"), "stop", put.alias("put")).alias("s"))
+        terms = placed.groupBy("h").agg(F.collect_list("s").alias("terms"))
         names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
         span = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"), F.get(names, s["kind"]).alias("put"))
         none = F.array().cast("array<struct<start:int,kind:int,stop:int,put:string>>")
-        base = self.base.select("row", "doc_id", "h", F.transform("spans", span).alias("base")).join(terms, "row", "left")
+        base = self.base.select("row", "doc_id", "h", F.transform("spans", span).alias("base"))
+        base = spread_join(base, terms, ["h"], "left")
         return base.select("row", "doc_id", "h", F.sort_array(F.concat("base", F.coalesce("terms", none))).alias("every"))
 
     def report(self) -> DataFrame:
@@ -268,7 +276,7 @@ class Sanitiser:
         """doc_id and text: entities replaced by their kind in brackets, terms generalised to their class or left out."""
         found = self.found().select(F.col("doc_id").alias("f_id"), F.col("h").alias("f_h"), "every").dropDuplicates(["f_id", "f_h"])
         read = self.docs.select(F.col(self.id_col).cast("long").alias("doc_id"), text_or_empty(self.text_col).alias("t"))
-        joined = read.join(found, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.xxhash64("t") == F.col("f_h")))
+        joined = read.join(found, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.substring(F.unhex(F.sha2("t", 256)), 1, 16) == F.col("f_h")))
         state = "struct<at:int,out:array<string>>"
 
         # parts between spans and their replacements; of overlapping spans the first is replaced whole
