@@ -1,10 +1,14 @@
 """Reversible line deduplication: sharded cuckoo filters over exact reference-count tables.
 
-State (:class:`LineIndex`) is two tables.  ``references`` is exact: which line key stands in which document.
-``filters`` has a cuckoo filter per shard of the key space; it holds the keys that stand in at least ``min_docs``
-documents.  Adding or deleting documents updates the references, and a key whose count crosses the threshold is
+State (:class:`LineIndex`) is three tables.  ``references`` is exact: which line key stands in which document; ``counts`` has the
+documents of each key.  ``filters`` has a cuckoo filter per shard of the key space; it holds the keys that stand in at least
+``min_docs`` documents.  Adding or deleting documents updates the counts, and a key whose count crosses the threshold is
 inserted into or deleted from its shard's filter, which a cuckoo filter can do and a Bloom filter cannot.
 
+A change writes what it changes: the references of new documents, the counts of the keys they touch, the filters of the shards in
+which a key crossed.  These lie over the older tables as layers; every ``LAYERS`` changes all layers are written as one.  Adding
+reads the counts of the keys it touches and no references; deleting also reads the references of these keys.
+
 Applying the index streams each shard's lines past its filter: most lines miss and move no further.  Hits are
 confirmed against the exact counts, so a false positive of the filter drops nothing.
 
@@ -37,6 +41,8 @@ SHARD_KEYS = 1 << 13
 #: A filter is made anew, twice as large as its keys need, once this share of its places is taken.
 FULL = 0.8
 KEY_BYTES = 16
+#: Changes after which the layers of an index are written as one.
+LAYERS = 12
 #: Line places up to which a shard is one task's work, whatever the table.
 PART_PLACES = 100_000
 
@@ -152,12 +158,12 @@ def line_places(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
 
 
 class LineIndex:
-    """Line references and their filters; ``insert`` and ``delete`` give a new index over new tables."""
+    """Line references, their counts and filters; ``insert`` and ``delete`` give a new index that shares the older tables."""
 
-    def __init__(self, references: DataFrame, n_shards: int, counts: DataFrame, filters: DataFrame,
-                 min_docs: int, min_chars: int):
-        self.references, self.n_shards, self.counts, self.filters = references, n_shards, counts, filters
-        self.min_docs, self.min_chars = min_docs, min_chars
+    def __init__(self, references: DataFrame, n_shards: int, counts: DataFrame, filters: DataFrame, n_keys: int,
+                 min_docs: int, min_chars: int, layers: int = 0):
+        self.references, self.n_shards, self.counts, self.filters, self.n_keys = references, n_shards, counts, filters, n_keys
+        self.min_docs, self.min_chars, self.layers = min_docs, min_chars, layers
 
     @staticmethod
     def shard(n_shards: int):
@@ -170,10 +176,11 @@ class LineIndex:
         ship(docs.sparkSession)
         refs = materialise(line_places(docs, id_col, text_col, min_chars), "lines")
         counts = materialise(cls._counted(refs), "counts")
-        n_shards = n_shards or max(1, -(-counts.count() // SHARD_KEYS))
+        total, n_keys = counts.agg(F.count(F.lit(1)), F.count_if(F.col("n_docs") >= min_docs)).first()
+        n_shards = n_shards or max(1, -(-total // SHARD_KEYS))
         held = counts.where(F.col("n_docs") >= min_docs).select("key", F.lit(1).alias("change"))
         filters = materialise(cls._updated(None, held, n_shards), "filters")
-        return cls(refs, n_shards, counts, filters, min_docs, min_chars)
+        return cls(refs, n_shards, counts, filters, n_keys, min_docs, min_chars)
 
     @staticmethod
     def _counted(refs: DataFrame) -> DataFrame:
@@ -182,15 +189,13 @@ class LineIndex:
     @classmethod
     def _updated(cls, filters: DataFrame | None, changes: DataFrame, n_shards: int) -> DataFrame:
         """Filters after inserting (change 1) and deleting (change -1) keys; one shard at a time in memory."""
-        rows = changes.select(cls.shard(n_shards).alias("shard"), "change", "key", F.lit(None).cast("binary").alias("bits"))
+        none = F.lit(None)
+        rows = changes.select(cls.shard(n_shards).alias("shard"), "change", "key", none.cast("long").alias("n"), none.cast("binary").alias("bits"))
         if filters is not None:
-            none = F.lit(None)
-            rows = rows.unionByName(
-                filters.select("shard", none.cast("int").alias("change"), none.cast("binary").alias("key"), "bits")
-            )
+            rows = rows.unionByName(filters.select("shard", none.cast("int").alias("change"), none.cast("binary").alias("key"), "n", "bits"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            shard, keep = None, None
+            shard, keep, n = None, None, 0
             held: dict[int, list[bytes]] = {1: [], -1: []}
 
             def flush():
@@ -198,67 +203,75 @@ class LineIndex:
                 for change, act in ((-1, filt.delete), (1, filt.insert)):
                     if held[change]:
                         act(np.frombuffer(b"".join(held[change]), np.uint8).reshape(-1, KEY_BYTES))
-                return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([filt.to_bytes()], pa.binary())], ["shard", "bits"])
+                now = n + len(held[1]) - len(held[-1])
+                return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([now], pa.int64()), pa.array([filt.to_bytes()], pa.binary())], ["shard", "n", "bits"])
 
             for batch in batches:
-                for s, change, key, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for s, change, key, had, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if s != shard:
                         if shard is not None:
                             yield flush()
-                        shard, keep, held = s, None, {1: [], -1: []}
+                        shard, keep, n, held = s, None, 0, {1: [], -1: []}
                     if bits is not None:
-                        keep = CuckooFilter.from_bytes(bits)
+                        keep, n = CuckooFilter.from_bytes(bits), had
                     else:
                         held[change].append(key)
             if shard is not None:
                 yield flush()
 
         # the null change, a shard's old filter, sorts first
-        return rows.repartition("shard").sortWithinPartitions("shard", "change", "key").mapInArrow(run, "shard long, bits binary")
-
-    def _changed(self, refs: DataFrame, touched: DataFrame) -> LineIndex:
-        """The index over new references, given the keys whose references changed."""
-        refs = materialise(refs, "lines")
-        keys = touched.select("key").distinct()
-        new = self._counted(refs.join(keys, "key", "left_semi"))
-        old = self.counts.join(keys, "key", "left_semi")
-        both = materialise(
-            old.select("key", F.col("n_docs").alias("was")).join(new, "key", "full_outer").na.fill(0, ["was", "n_docs"]), "crossed"
-        )
+        return rows.repartition("shard").sortWithinPartitions("shard", "change", "key").mapInArrow(run, "shard long, n long, bits binary")
+
+    def _changed(self, refs: DataFrame, now: DataFrame) -> LineIndex:
+        """The index over new references, given (key, was, n_docs, last_doc) of the keys whose references changed."""
         enough = self.min_docs
-        change = F.when((F.col("was") < enough) & (F.col("n_docs") >= enough), 1).when(
-            (F.col("was") >= enough) & (F.col("n_docs") < enough), -1
-        )
-        crossed = both.select("key", change.alias("change")).where("change IS NOT NULL")
-        counts = self.counts.join(keys, "key", "left_anti").unionByName(both.where("n_docs > 0").drop("was"))
-        counts = materialise(counts, "counts")
+        now = materialise(now, "crossed")
+        change = F.when((F.col("was") < enough) & (F.col("n_docs") >= enough), 1).when((F.col("was") >= enough) & (F.col("n_docs") < enough), -1)
+        crossed = now.select("key", change.alias("change")).where("change IS NOT NULL")
+        counts = self.counts.join(now.select("key"), "key", "left_anti").unionByName(now.where("n_docs > 0").drop("was"))
+        n_keys, n_shards = self.n_keys + (crossed.agg(F.sum("change")).first()[0] or 0), self.n_shards
         held = counts.where(F.col("n_docs") >= enough).select("key", F.lit(1).alias("change"))
-        n_keys, n_shards = held.count(), self.n_shards
         if n_keys > 4 * n_shards * SHARD_KEYS:  # so many that shards are made anew, twice as many as are needed now
             n_shards = 2 * -(-n_keys // SHARD_KEYS)
-            filters = self._updated(None, held, n_shards)
+            filters = materialise(self._updated(None, held, n_shards), "filters")
         else:
             # a filter can't be copied into a larger one, but the counts have its keys
-            shard = self.shard(n_shards).alias("shard")
+            shard = self.shard(n_shards)
             places = F.expr(f"(octet_length(bits) - 8) div 2 * {FULL}")
-            full = held.groupBy(shard).agg(F.count(F.lit(1)).alias("n")).join(self.filters, "shard").where(F.col("n") > places).select("shard")
-            full = materialise(full, "full")
-            again = held.withColumn("shard", shard).join(full, "shard", "left_semi")
-            others = crossed.withColumn("shard", shard).join(full, "shard", "left_anti")
-            filters = self._updated(self.filters.join(full, "shard", "left_anti"), again.union(others.select(again.columns)).drop("shard"), n_shards)
-        return LineIndex(refs, n_shards, counts, materialise(filters, "filters"), self.min_docs, self.min_chars)
+            touched = crossed.groupBy(shard.alias("shard")).agg(F.sum("change").alias("more"))
+            old = materialise(self.filters.join(touched, "shard").withColumn("full", F.col("n") + F.col("more") > places), "touched")
+            full = old.where("full").select("shard")
+            others = crossed.withColumn("shard", shard).join(full, "shard", "left_anti").select("key", "change")
+            changes, kept = others, old.where("NOT full").select("shard", "n", "bits")
+            if not full.isEmpty():
+                changes = others.unionByName(held.withColumn("shard", shard).join(full, "shard", "left_semi").select("key", "change"))
+            new = materialise(self._updated(kept, changes, n_shards), "filters")
+            filters = self.filters.join(new.select("shard"), "shard", "left_anti").unionByName(new)
+        layers = self.layers + 1
+        if layers >= LAYERS:
+            refs, counts, filters, layers = materialise(refs, "lines"), materialise(counts, "counts"), materialise(filters, "filters"), 0
+        return LineIndex(refs, n_shards, counts, filters, n_keys, self.min_docs, self.min_chars, layers)
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
         """The index after adding documents (whose ids it doesn't hold yet)."""
         ship(docs.sparkSession)
         more = materialise(line_places(docs, id_col, text_col, self.min_chars), "lines")
-        return self._changed(self.references.unionByName(more), more)
+        added = self._counted(more).select("key", F.col("n_docs").alias("added"), F.col("last_doc").alias("new_last"))
+        old = self.counts.select("key", F.col("n_docs").alias("was"), "last_doc")
+        now = spread_join(added, old, ["key"], "left").select(
+            "key", F.coalesce("was", F.lit(0)).alias("was"), (F.coalesce("was", F.lit(0)) + F.col("added")).alias("n_docs"), F.greatest("last_doc", "new_last").alias("last_doc")
+        )
+        return self._changed(self.references.unionByName(more), now)
 
     def delete(self, ids: DataFrame) -> LineIndex:
         """The index without the documents whose ids are in the first column of ``ids``."""
-        gone = ids.select(F.col(ids.columns[0]).cast("long").alias("doc_id")).distinct()
-        touched = self.references.join(gone, "doc_id", "left_semi")
-        return self._changed(self.references.join(gone, "doc_id", "left_anti"), touched)
+        gone = materialise(ids.select(F.col(ids.columns[0]).cast("long").alias("doc_id")).distinct(), "gone")
+        touched = materialise(self.references.join(gone, "doc_id", "left_semi").select("key").distinct(), "touched")
+        refs = self.references.join(gone, "doc_id", "left_anti")
+        left = self._counted(refs.join(touched, "key", "left_semi"))
+        old = self.counts.join(touched, "key", "left_semi").select("key", F.col("n_docs").alias("was"))
+        now = old.join(left, "key", "left").select("key", "was", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "last_doc")
+        return self._changed(refs, now)
 
     def suspects(self, places: DataFrame) -> DataFrame:
         """The (doc_id, key) rows whose key the filter of its shard may hold."""

@@ -210,6 +210,29 @@ def test_line_index_grows(spark):
     assert fewer.dropped(fewer.references).count() == 80
 
 
+def test_line_index_changes_write_what_they_change(spark, monkeypatch):
+    """One document more or less in an index of 50,000 lines writes its lines, their counts and the filters of their shards."""
+    docs = spark.range(25_000).selectExpr("id AS doc_id", "concat('a line that stands in five documents, number ', id div 5, '\n', 'a line of its own that is long enough, number ', id) AS text")
+    index = line_dedup.LineIndex.build(docs)
+    written = {}
+
+    def noted(df, what, real=line_dedup.materialise):
+        out = real(df, what)
+        written[what] = written.get(what, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialise", noted)
+    one = spark.createDataFrame([(90_000, "a line that stands in five documents, number 7\na line that nobody else has written so far, at all")], "doc_id long, text string")
+    more = index.insert(one)
+    assert sum(written.values()) < 20
+    assert more.references.count() == index.references.count() + 2 and more.dropped(more.references).count() == 20_000 + 1
+    written.clear()
+    less = more.delete(spark.createDataFrame([(90_000,), (35,)], "doc_id long"))
+    assert sum(written.values()) < 30
+    assert less.dropped(less.references).count() == 20_000 - 4  # number 7 is now in four documents
+    assert less.counts.where("n_docs = 4").count() == 1
+
+
 def test_line_dedup_rows_without_an_id_are_spread(spark):
     rows = [(None, f"{LONG_LINE}\nown {k}") for k in range(200)] + [(k, LONG_LINE) for k in range(6)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -404,18 +427,18 @@ def _terms(spark, rows, of):
 
 def test_pii_terms_of_frequent_entities(spark):
     """An address in a third of a small table: the term that stands with it alone is found, a common one isn't."""
-    rows = [(k, "write zarquon via boss@corp.org or common") for k in range(20)] + [(k, "or write common words") for k in range(20, 60)]
+    rows = [(k, f"write zarquon via boss@corp.org or common n{k}") for k in range(20)] + [(k, f"or write common words n{k}") for k in range(20, 60)]
     assert "zarquon" in _terms(spark, rows, 0) and not {"write", "or", "common"} & _terms(spark, rows, 0)
     # the address counts where no countable neighbour stands, too: in nearly all rows, so the term tells too little
-    rows = [(k, "zarquon boss@corp.org" if k < 20 else "boss@corp.org") for k in range(60)] + [(k, "zarquon") for k in range(60, 64)]
+    rows = [(k, f"zarquon boss@corp.org n{k}" if k < 20 else f"boss@corp.org n{k}") for k in range(60)] + [(k, f"zarquon n{k}") for k in range(60, 64)]
     assert _terms(spark, rows, 0) == set()
 
 
 def test_pii_terms_anywhere_in_the_document(spark):
     """Short terms, terms far from the address, and every place of a term that gives an address away."""
     far = " ".join(["common"] * 40)
-    rows = [(k, f"Bob {far} write boss@corp.org. {far} (bob) zarquon {far} Zarquon!") for k in range(10)]
-    rows += [(k, f"{far} write boss{k}@corp.org") for k in range(10, 60)]
+    rows = [(k, f"Bob {far} write boss@corp.org. {far} (bob) zarquon {far} Zarquon! n{k}") for k in range(10)]
+    rows += [(k, f"{far} write boss{k}@other{k}.org") for k in range(10, 60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     spans = [s.split(":") for s in pii.pii(df).where("doc_id = 0").first()["spans"].split(",")]
     assert [rows[0][1][int(a) : int(b)] for k, a, b in spans if k == "term"] == ["Bob", "(bob)", "zarquon", "Zarquon!"]
