@@ -334,20 +334,65 @@ def histogram(df: DataFrame, value: str, edges: list[float], weights: str | None
     return out
 
 
+#: Most bins that the rule ``stone`` tries.
+MOST_STONE = 4096
+
+
+def _stone(df: DataFrame, value: str, n: int, lo: float, hi: float) -> int:
+    """The number of equal bins with the least estimated squared error: counts for every number tried, added up within tasks."""
+    import numpy as np
+    import pyarrow as pa
+
+    most = max(100, math.isqrt(n))
+    if most > MOST_STONE:
+        raise ValueError(f"the rule 'stone' would try {most} numbers of bins; at most {MOST_STONE}")
+
+    def run(batches):
+        counts = [np.zeros(k, np.int64) for k in range(1, most + 1)]
+        for batch in batches:
+            x = batch.column(0).to_numpy()
+            for k, c in enumerate(counts, 1):
+                c += np.histogram(x, k, (lo, hi))[0]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(1, most + 1), np.arange(1, most + 1))), pa.array(np.concatenate([np.arange(k) for k in range(1, most + 1)])), pa.array(np.concatenate(counts))], names=["k", "bin", "n"])
+
+    held = df.select(d(value).alias("v")).where("v IS NOT NULL AND NOT isnan(v)").mapInArrow(run, "k long, bin long, n long")
+    squares = held.groupBy("k", "bin").agg(F.sum("n").alias("n")).groupBy("k").agg(F.sum(F.pow(F.col("n") / n, F.lit(2.0))).alias("s"))
+    risk = (2 - (n + 1) * F.col("s")) * F.col("k") / (hi - lo)
+    return squares.select("k", risk.alias("risk")).orderBy("risk", "k").first()["k"]
+
+
 def bin_edges(df: DataFrame, value: str, bins: int | str = 10) -> list[float]:
-    """Edges of equal bins over the range: a number of them, or the rule ``sturges``, ``sqrt``, ``rice`` or ``scott``."""
+    """Edges of equal bins over the range: a number of them, or the rule ``sturges``, ``sqrt``, ``rice``, ``scott``, ``fd``,
+    ``doane``, ``auto`` or ``stone``."""
     v = d(value)
-    n, lo, hi, s = df.where(~F.isnan(v)).agg(F.count(v), F.min(v), F.max(v), F.stddev_pop(v)).first()
+    known = df.where(~F.isnan(v))
+    n, lo, hi, s, skewed = known.agg(F.count(v), F.min(v), F.max(v), F.stddev_pop(v), F.skewness(v)).first()
     if not n:
         lo, hi, s, n = 0.0, 1.0, 0.0, 1
+    span = hi - lo
+    if isinstance(bins, str) and not span:
+        bins = 1
     if lo == hi:
         lo, hi = lo - 0.5, hi + 0.5
     if isinstance(bins, str):
-        if bins == "scott":
-            width = (24 * math.sqrt(math.pi) / n) ** (1 / 3) * s
-            bins = math.ceil((hi - lo) / width) if width else 1
+        width = None
+        if bins == "stone":
+            bins = _stone(known, value, n, lo, hi)
         else:
-            bins = {"sturges": math.ceil(math.log2(n)) + 1, "sqrt": math.ceil(math.sqrt(n)), "rice": math.ceil(2 * n ** (1 / 3))}[bins]
+            if bins in ("fd", "auto"):
+                q = quantiles(known, [], value, [0.25, 0.75]).first()
+                width = 2 * (q[1] - q[0]) / n ** (1 / 3)
+            if bins == "auto":  # fixed rule: quartiles, but no more than about twice the root, and no fewer than by Sturges
+                width = min(max(width, span / math.sqrt(n) / 2), span / (math.log2(n) + 1))
+            elif bins == "scott":
+                width = (24 * math.sqrt(math.pi) / n) ** (1 / 3) * s
+            elif bins == "doane":
+                bound = math.sqrt(6 * (n - 2) / ((n + 1) * (n + 3))) if n > 2 else 0.0
+                width = span / (1 + math.log2(n) + math.log2(1 + abs(skewed) / bound)) if bound and s else 0.0
+            if width is None:
+                bins = {"sturges": math.ceil(math.log2(n)) + 1, "sqrt": math.ceil(math.sqrt(n)), "rice": math.ceil(2 * n ** (1 / 3))}[bins]
+            else:
+                bins = math.ceil(span / width) if width else 1
     return [lo + (hi - lo) * k / bins for k in range(bins)] + [hi]
 
 
