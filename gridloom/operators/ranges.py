@@ -192,13 +192,15 @@ def nearest(df: DataFrame, order: list[str], mark: str, low: str, high: str, by:
     parts = ranged(df, by, order)
     place = F.when(F.col(mark).isNotNull(), F.struct(*every))
     ends = parts.groupBy("__p", *by).agg(F.max_by(mark, place).alias("__last"), F.min_by(mark, place).alias("__first"))
-    w = W.partitionBy(*_lane(by)).orderBy("__p")
+    # frames that begin at the start of an order cost a step a row, so what follows is looked at in falling order
+    before = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    w = W.partitionBy(*_lane(by))
     far = ends.select(
-        F.col("__p").alias("__q"), *_named(by), F.last("__last", True).over(w.rowsBetween(W.unboundedPreceding, -1)).alias("__low"),
-        F.first("__first", True).over(w.rowsBetween(1, W.unboundedFollowing)).alias("__high"),
+        F.col("__p").alias("__q"), *_named(by), F.last("__last", True).over(before(w.orderBy("__p"))).alias("__low"),
+        F.last("__first", True).over(before(w.orderBy(F.col("__p").desc()))).alias("__high"),
     ).where("__low IS NOT NULL OR __high IS NOT NULL")
-    here = W.partitionBy("__p", *by).orderBy(*every)
-    local = parts.withColumn(low, F.last(mark, True).over(here.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    local = local.withColumn(high, F.first(mark, True).over(here.rowsBetween(1, W.unboundedFollowing)))
+    here = W.partitionBy("__p", *by)
+    local = parts.withColumn(low, F.last(mark, True).over(here.orderBy(*every).rowsBetween(W.unboundedPreceding, W.currentRow)))
+    local = local.withColumn(high, F.last(mark, True).over(before(here.orderBy(*[F.col(c).desc() for c in every]))))
     out = _joined(local, far, by, True)
     return out.withColumn(low, F.coalesce(low, "__low")).withColumn(high, F.coalesce(high, "__high")).drop("__low", "__high", "__p", "__m")
