@@ -9,12 +9,14 @@
 3. One scan gives each document's set (its size, a digest and a parity bitmap) and the signatures of each set that is new to the
    task.  Signatures are dealt by value as packed arrays.  A task sends a signature once, whatever number of its documents
    has it, so the documents of a frequent signature never meet in one task.
-4. Who shares a signature is linked to the first that has it (a star).  Parity bitmaps, in which each feature toggles one
-   bit, differ in no more bits than the sets in features: they reject pairs without losing one.  Each document's best pair is
-   confirmed on full sets, and components are formed.
+4. Who shares a signature votes for the first that has it, and each document takes the pair with most votes: one pair each, a
+   forest.  Parity bitmaps, in which each feature toggles one bit, differ in no more bits than the sets in features: they
+   reject pairs without losing one.  What passes is confirmed on full sets, and components are formed.
 5. Of each signature the documents that are still in different components are compared, all with all, by bitmaps, in blocks
-   of ``BLOCK_MEMBERS`` that are keys of their own; what passes is confirmed on full sets.  Signatures with the same documents
-   are looked at once.  So no link is lost for being far from the star's centre.
+   of ``BLOCK_MEMBERS`` that are keys of their own.  Of the pairs that pass, those that could join components, closest first,
+   make a spanning forest; these are confirmed on full sets and components are formed again.  Then all pairs that pass and still
+   lie between two components are confirmed.  So no link is lost that would change a component, and a group in which all
+   resemble each other costs one pair a document.
 
 Sets hold 64-bit hashes of shingles; equal sets are one class, so copies make no pairs.
 
@@ -45,10 +47,12 @@ PERCENT = 80
 #: From so many differences on, parts have three pieces and signatures are pairs of them.
 TWO_LEVELS = 8
 #: Bytes of text whose signatures one task sorts, on average.
-TASK_BYTES = 8 << 20
+TASK_BYTES = 4 << 20
 #: Signatures that a scan holds before it sends them.
-HELD = 1 << 21
+HELD = 1 << 20
 BLOCK_MEMBERS = 2000
+#: Signatures that vote: those of which this many bits are 0 (votes only choose who is compared first).
+VOTING = 7
 #: 64-bit words of bitmaps that a comparison holds at once.
 COMPARED = 1 << 21
 _FLAG = np.uint32(1 << 31)
@@ -183,6 +187,24 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
+def _votes(sig: np.ndarray) -> np.ndarray:
+    return (sig & U64(VOTING)) == 0
+
+
+def _packed(centre: np.ndarray, member: np.ndarray, sig: np.ndarray, listed: np.ndarray) -> Iterator[tuple]:
+    """Of members and the centres of their voting signatures: each member's pair with most votes; and who is ``listed`` under
+    the shared signatures."""
+    pairs, votes = np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
+    if len(member):
+        pairs, votes = np.unique(np.stack([member, centre], axis=1), axis=0, return_counts=True)
+    order = np.lexsort((pairs[:, 1], -votes, pairs[:, 0]))
+    best = order[np.append(True, np.diff(pairs[order, 0]) > 0)] if len(order) else order
+    for kind, columns in ((_PAIRS, (pairs[best, 1], pairs[best, 0], votes[best])), (_SHARED, (sig.view(np.int64), listed, None))):
+        for k in range(0, len(columns[0]), 1 << 15):
+            x, y, n = (None if c is None else _binary(c[k : k + (1 << 15)]) for c in columns)
+            yield kind, None, None, None, None, n, x, y
+
+
 def scan(batches: Iterator[pa.RecordBatch], width: int, percent: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """From row, doc_id, text: every row's set, and the signatures of the sets that this task sees for the first time."""
     plan = size_bands(percent)
@@ -204,12 +226,10 @@ def scan(batches: Iterator[pa.RecordBatch], width: int, percent: int, buckets: i
         base = int(row[0]) & ~_LOCAL
         local = (row & _LOCAL).astype(np.uint32)
         more = np.flatnonzero(~lead)
-        pairs = np.unique(np.stack([row[start][run[more]], row[more]], axis=1), axis=0) if len(more) else np.zeros((0, 2), np.int64)
         salt = int(row[0])
-        for kind, a, b in ((_PAIRS, pairs[:, 0], pairs[:, 1]), (_SHARED, sig[more].view(np.int64), row[more])):
-            for k in range(0, len(a), 1 << 15):
-                spread = int(fmix(np.array([salt + k + kind], U64))[0] % U64(buckets))
-                yield _batch([(spread, kind, None, None, None, None, None, _binary(a[k : k + (1 << 15)]), _binary(b[k : k + (1 << 15)]))])
+        voting = more[_votes(sig[more])]
+        for k, packed in enumerate(_packed(row[start][run[voting]], row[voting], sig[more], row[more])):
+            yield _batch([(int(fmix(np.array([salt + k], U64))[0] % U64(buckets)), *packed)])
         s, who = sig[start], local[start] | np.where(twice, _FLAG, np.uint32(0))
         bucket = (((s >> U64(32)) * U64(buckets)) >> U64(32)).astype(np.int64)
         edges = np.searchsorted(bucket, np.arange(buckets + 1)) if buckets < len(s) else np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(s))
@@ -251,7 +271,7 @@ def scan(batches: Iterator[pa.RecordBatch], width: int, percent: int, buckets: i
 
 
 def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The signatures of some buckets meet: stars of those who share one, and who shares those that three or more do."""
+    """The signatures of some buckets meet: votes of those who share one, and who shares it."""
     names = [c.split()[0] for c in _FORM.split(", ")]
     sigs, rows, flags = [], [], []
     for batch in batches:
@@ -275,18 +295,16 @@ def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = np.diff(np.append(start, len(sig)))
     local = np.maximum.reduceat(flag, start)
     least = np.minimum.reduceat(row, start)
-    linked = np.flatnonzero((size[run] > 1) & (row != least[run]))
-    pairs = np.unique(np.stack([least[run[linked]], row[linked]], axis=1), axis=0) if len(linked) else np.zeros((0, 2), np.int64)
-    many = np.flatnonzero(((size > 2) | local)[run])
-    for kind, a, b in ((_PAIRS, pairs[:, 0], pairs[:, 1]), (_SHARED, sig[many].view(np.int64), row[many])):
-        for k in range(0, len(a), 1 << 15):
-            yield pa.RecordBatch.from_arrays(_batch([(0, kind, None, None, None, None, None, _binary(a[k : k + (1 << 15)]), _binary(b[k : k + (1 << 15)]))]).columns[1:], names=names)
+    linked = np.flatnonzero((size[run] > 1) & (row != least[run]) & _votes(sig))
+    listed = np.flatnonzero(((size > 1) | local)[run])
+    for packed in _packed(least[run[linked]], row[linked], sig[listed], row[listed]):
+        yield pa.RecordBatch.from_arrays(_batch([(0, *packed)]).columns[1:], names=names)
 
 
-def _longs(batches: Iterator[pa.RecordBatch], names: tuple[str, str]) -> Iterator[pa.RecordBatch]:
+def _longs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(v, np.int64)) for v in (x, y)], names=list(names))
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(v, np.int64)) for v in row], names=names)
 
 
 def close_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -306,42 +324,85 @@ def close_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok]), pa.array(differ[ok])], names=["a", "b", "differ"])
 
 
-def _compare(node: np.ndarray, label: np.ndarray, n: np.ndarray, bits: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> Iterator[np.ndarray]:
+def _compare(node: np.ndarray, label: np.ndarray, n: np.ndarray, bits: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of pairs of different labels that the bitmaps allow, and in how many bits these differ."""
     step = max(1, COMPARED // max(1, len(right) * bits.shape[1]))
     for k in range(0, len(left), step):
         some = left[k : k + step]
         differ = np.bitwise_count(bits[some][:, None, :] ^ bits[right][None, :, :]).sum(axis=2)
         ok = (differ <= most_differing(n[some][:, None], n[right][None, :], percent)) & (label[some][:, None] != label[right][None, :])
         i, j = np.nonzero(ok)
-        x, y = node[some[i]], node[right[j]]
-        yield np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+        yield some[i], right[j], differ[i, j].astype(np.int64)
+
+
+def _joined(x: int, y: int, root: np.ndarray) -> bool:
+    """Whether two labels were apart, which they are no longer."""
+    ends = []
+    for at in (x, y):
+        while root[at] != at:
+            root[at] = root[root[at]]
+            at = root[at]
+        ends.append(at)
+    root[max(ends)] = min(ends)
+    return ends[0] != ends[1]
+
 
+#: Pairs of one key that are held before the closest of them are kept.
+HELD_PAIRS = 1 << 20
 
-def compare_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows of two blocks of a signature (sig, low, high, block, node, label, n, bits), ordered by these: the pairs that bitmaps allow.
 
-    Pairs of one component aren't compared, so who belongs to the largest one meets only the others.
+def _spanning(pairs: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Which of the pairs (x, y, differ), closest first, make a forest of the labels."""
+    if not len(pairs):
+        return pairs
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0], pairs[:, 2]))]
+    both = np.sort(labels[pairs[:, :2]], axis=1)
+    _, first = np.unique(both[:, 0] * (labels.max() + 1) + both[:, 1], return_index=True)  # of two labels the closest pair alone
+    first.sort()
+    root = np.arange(int(labels.max()) + 1)
+    taken = [k for k in first.tolist() if _joined(int(labels[pairs[k, 0]]), int(labels[pairs[k, 1]]), root)]
+    return pairs[taken]
+
+
+def compare_blocks(batches: Iterator[pa.RecordBatch], percent: int, every_pair: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of two blocks of a signature (sig, low, high, block, node, label, n, bits), ordered by these: the pairs that bitmaps
+    allow, all or a spanning forest of the labels.
+
+    Pairs of one label aren't compared, so who belongs to the most frequent one meets only the others.
     """
 
-    def of_key(rows: pa.Table) -> Iterator[np.ndarray]:
+    def of_key(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         low, block, node, label, n = (rows.column(c).to_numpy() for c in ("low", "block", "node", "label", "n"))
         high = rows.column("high")[0].as_py()
         raw = rows.column("bits").to_pylist()
         words = min(map(len, raw)) // 8
         bits = np.concatenate([folded(np.frombuffer(x, U64)[None, :], words) for x in raw])
-        names, times = np.unique(label, return_counts=True)
-        large = label == names[times.argmax()]
-        every = np.arange(len(node))
+        names, number, times = np.unique(label, return_inverse=True, return_counts=True)
+        large, every = number == times.argmax(), np.arange(len(node))
         sides = [(every, every)] if high == low[0] else [(every[block == low[0]], every[block == high])]
-        for x, y in sides:
-            yield from _compare(node, label, n, bits, x[~large[x]], y, percent)
-            if high != low[0]:
-                yield from _compare(node, label, n, bits, x[large[x]], y[~large[y]], percent)
-
-    def passed(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        for pairs in of_key(rows):
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["a", "b"])
+        tasks = [(x[~large[x]], y) for x, y in sides] + [(x[large[x]], y[~large[y]]) for x, y in sides if high != low[0]]
+        held, size = [np.zeros((0, 3), np.int64)], 0
+        for x, y in tasks:
+            for i, j, differ in _compare(node, label, n, bits, x, y, percent):
+                if high == low[0]:  # both directions are seen, but for pairs with the most frequent label
+                    once = (node[i] < node[j]) | large[j]
+                    i, j, differ = i[once], j[once], differ[once]
+                held.append(np.stack([i, j, differ], axis=1))
+                size += len(i)
+                if size > HELD_PAIRS:
+                    if every_pair:
+                        yield from batch_of(node, np.concatenate(held))
+                        held, size = [], 0
+                    else:
+                        held = [_spanning(np.concatenate(held), number)]
+                        size = len(held[0])
+        pairs = np.concatenate([np.zeros((0, 3), np.int64), *held])
+        yield from batch_of(node, pairs if every_pair else _spanning(pairs, number))
+
+    def batch_of(node: np.ndarray, pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(pairs):
+            a, b = node[pairs[:, 0]], node[pairs[:, 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     rest: pa.Table | None = None
     for batch in batches:
@@ -350,12 +411,12 @@ def compare_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[
         key = np.stack([rest.column(c).to_numpy() for c in ("sig", "low", "high")], axis=1)
         cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
         at = 0
-        for cut in cuts.tolist():
-            yield from passed(rest.slice(at, cut - at))
-            at = cut
+        for end in cuts.tolist():
+            yield from of_key(rest.slice(at, end - at))
+            at = end
         rest = rest.slice(at)
     if rest is not None and rest.num_rows:
-        yield from passed(rest)
+        yield from of_key(rest)
 
 
 class NgramJoin:
@@ -381,14 +442,17 @@ class NgramJoin:
         self.empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
         self.nodes = self.rows.where("row = node").select("node", "doc_id", "set_id", "n", "bits")
 
-    def _exploded(self, kind: int, names: tuple[str, str]) -> DataFrame:
-        some = self.found.where(f"kind = {kind}").select("x", "y")
-        return some.mapInArrow(lambda it: _longs(it, names), f"{names[0]} long, {names[1]} long")
+    def _exploded(self, kind: int, **columns: str) -> DataFrame:
+        """Packed columns of the given names as rows, under new names."""
+        names = list(columns)
+        some = self.found.where(f"kind = {kind}").select(*columns.values())
+        return some.mapInArrow(lambda it: _longs(it, names), ", ".join(f"{n} long" for n in names))
 
     def stars(self) -> DataFrame:
-        """(a, b, differ): pairs of classes that share a signature, one of them the first that has it, as far as bitmaps allow."""
+        """(a, b, differ): each class with the one that most of its signatures vote for, as far as bitmaps allow."""
         number = self.rows.select("row", "node")
-        pairs = self._exploded(_PAIRS, ("x", "y")).distinct()
+        votes = self._exploded(_PAIRS, x="x", y="y", n="bits").groupBy("y", "x").agg(F.sum("n").alias("n"))
+        pairs = votes.groupBy("y").agg(F.max_by("x", F.struct("n", -F.col("x"))).alias("x"))
         for old, new in (("x", "a"), ("y", "b")):
             pairs = spread_join(pairs, number.select(F.col("row").alias(old), F.col("node").alias(new)), [old]).drop(old)
         pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -441,38 +505,47 @@ class NgramJoin:
         drop_table(sets)
         return links
 
-    def apart(self, roots: DataFrame) -> DataFrame:
-        """(a, b): pairs that share a signature, are in different components and pass the bitmaps."""
+    def mixed(self, roots: DataFrame) -> DataFrame:
+        """(sig, node): who shares a signature whose documents are in different components, once for the same documents."""
         named = self.rows.select("row", "node").join(roots, "node", "left").select("row", "node", F.coalesce("root", "node").alias("label"))
-        placed = materialise(spread_join(self._exploded(_SHARED, ("sig", "row")), named, ["row"]).select("sig", "node", "label"), "placed")
+        placed = materialise(spread_join(self._exploded(_SHARED, sig="x", row="y"), named, ["row"]).select("sig", "node", "label"), "placed")
         low = F.lit((1 << 31) - 1).cast("long")
         prints = [F.sum(F.xxhash64("node", F.lit(k)).bitwiseAND(low)).alias(f"f{k}") for k in range(3)]
-        mixed = placed.groupBy("sig").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count(F.lit(1)).alias("rows"), *prints).where("l <> m")
-        mixed = mixed.groupBy("rows", "f0", "f1", "f2").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("rows") / BLOCK_MEMBERS).alias("blocks"))
-        members = spread_join(placed.distinct(), mixed, ["sig"])
-        members = spread_join(members, self.nodes.select("node", "n", "bits"), ["node"])
+        several = placed.groupBy("sig").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count(F.lit(1)).alias("rows"), *prints).where("l <> m")
+        several = several.groupBy("rows", "f0", "f1", "f2").agg(F.min("sig").alias("sig")).select("sig")
+        return materialise(spread_join(placed.select("sig", "node").distinct(), several, ["sig"]), "mixed")
+
+    def apart(self, mixed: DataFrame, roots: DataFrame, every_pair: bool) -> DataFrame:
+        """(a, b): pairs that share a signature, are in different components and pass the bitmaps: all, or what joins components."""
+        placed = spread_join(mixed, roots.withColumnRenamed("root", "label"), ["node"], "left").withColumn("label", F.coalesce("label", "node"))
+        placed = materialise(placed, "placed")
+        several = placed.groupBy("sig").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count(F.lit(1)).alias("rows")).where("l <> m")
+        several = several.select("sig", F.ceil(F.col("rows") / BLOCK_MEMBERS).alias("blocks"))
+        members = spread_join(spread_join(placed, several, ["sig"]), self.nodes.select("node", "n", "bits"), ["node"])
         block = F.pmod(F.xxhash64("node", F.lit(9)), "blocks")
         every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
         keyed = members.withColumn("block", block).withColumn("other", every)
         keyed = keyed.select("sig", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "label", "n", "bits")
         dealt = keyed.repartition("sig", "low", "high").sortWithinPartitions("sig", "low", "high", "node")
         percent = self.percent
-        return dealt.mapInArrow(lambda it: compare_blocks(it, percent), "a long, b long").distinct()
+        found = dealt.mapInArrow(lambda it: compare_blocks(it, percent, every_pair), "a long, b long").distinct()
+        return found
 
     def links(self) -> DataFrame:
         """Confirmed links (a, b) between classes: enough of them that components are right."""
-        stars = self.stars()
-        ends = stars.select("a", "b", "differ", F.col("a").alias("end")).union(stars.select("a", "b", "differ", F.col("b").alias("end")))
-        best = ends.groupBy("end").agg(F.min(F.struct("differ", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-        links = self.confirmed(materialise(best, "best"))
+        tried = self.stars().select("a", "b")
+        links = self.confirmed(tried)
         roots = materialise(connected_components(links), "roots")
-        label = {c: F.coalesce(f"r{c}", c) for c in ("a", "b")}
-        left = stars.select("a", "b")
-        for c in ("a", "b"):
-            left = spread_join(left, roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), [c], "left")
-        left = left.where(label["a"] != label["b"]).select("a", "b")
-        more = materialise(left.unionByName(self.apart(roots)).distinct().join(best, ["a", "b"], "left_anti"), "more")
-        return links if more.isEmpty() else links.unionByName(self.confirmed(more))
+        mixed = self.mixed(roots)
+        for every_pair in (False, True):
+            more = materialise(self.apart(mixed, roots, every_pair).join(tried, ["a", "b"], "left_anti"), "more")
+            if more.isEmpty():
+                continue
+            new = self.confirmed(more)
+            tried, links = tried.unionByName(more), links.unionByName(new)
+            if not every_pair and not new.isEmpty():
+                roots = materialise(connected_components(links), "roots")
+        return links
 
     def documents(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every row."""
