@@ -31,6 +31,11 @@ def normal(index: Column, seed: int, mean: float = 0.0, std: float = 1.0) -> Col
     return _gauss(index, seed, 0, 1) * std + mean
 
 
+def _once(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _first_taken(propose, otherwise: Column) -> Column:
     """The first proposal that is taken: ``propose`` of an attempt's number gives (value, whether it is)."""
 
@@ -192,7 +197,7 @@ def _poisson_of(index: Column, seed: int, lam: Column) -> Column:
 
 def negative_binomial(index: Column, seed: int, n: float, p: float) -> Column:
     """Failures before ``n`` successes: a Poisson variable whose rate is a gamma one."""
-    return _poisson_of(index, seed, gamma(index, seed + 1_000_003, n, (1 - p) / p))
+    return _once(gamma(index, seed + 1_000_003, n, (1 - p) / p), lambda lam: _poisson_of(index, seed, lam))
 
 
 def hypergeometric(index: Column, seed: int, good: int, bad: int, n: int) -> Column:
@@ -223,12 +228,14 @@ def multinomial(index: Column, seed: int, n: int, weights: list[float]) -> Colum
     """Counts of each outcome among ``n`` draws: a few are drawn one by one, many as binomial counts of what is left."""
     total, edges = sum(weights), [0.0]
     if n > FEW_TRIALS:
-        left, rest, out = F.lit(n), total, []
-        for j, w in enumerate(weights[:-1]):
-            got = _binomial_of(index, seed + j * 1_000_003, left, min(1.0, w / rest) if rest > 0 else 0.0)
-            out.append(got)
-            left, rest = left - got, rest - w
-        return F.array(*out, left)
+        def shared(left: Column, j: int, rest: float) -> Column:
+            if j == len(weights) - 1:
+                return F.array(left)
+            chance = min(1.0, weights[j] / rest) if rest > 0 else 0.0
+            draw = lambda m: _binomial_of(index, seed + j * 1_000_003, m, chance)
+            return _once(left, lambda m: _once(draw(m), lambda got: F.concat(F.array(got), shared(m - got, j + 1, rest - weights[j]))))
+
+        return shared(F.lit(n).cast("long"), 0, total)
     for w in weights:
         edges.append(edges[-1] + w / total)
     edges[-1] = 2.0
