@@ -50,6 +50,8 @@ MIN_SUPPORT = 3
 MIN_SHARE = 0.5
 GENERALISE, REMOVE = 0.5, 0.9
 BLOCK = 256
+#: Bitmaps of rows that are broadcast, 16 MB of them; more rows are joined.
+BITMAPS = 4096
 
 _SPAN = "struct<start:int,stop:int,text:string>"
 #: Stands for the characters of entities; a control character, which a word may hold but no term needs.
@@ -184,6 +186,23 @@ def free_words(text: Column, spans: Column) -> Column:
     return F.transform(words, lambda w: F.struct(w["start"].alias("start"), w["stop"].alias("stop"), w["text"].alias("text"), term_of(w["text"]).alias("term")))
 
 
+def among(df: DataFrame, kept: DataFrame, row: str) -> DataFrame:
+    """The rows of ``df`` whose number is in ``kept`` (which has it once), without an exchange of ``df``: the numbers are dealt by buckets, a
+    bitmap of 4 KB each, and up to ``BITMAPS`` of them go to every task; more are joined by number.
+
+    Numbers are those of ``monotonically_increasing_id``: dense within each task, so a bucket is a stretch of up to 32,768 rows of one task.
+    """
+    bucket, place = F.bitmap_bucket_number(row), F.bitmap_bit_position(row)
+    # dealt first: partial bitmaps of every task would be tasks times buckets
+    dealt = kept.select(bucket.alias("__bucket"), place.alias("__at")).repartition("__bucket")
+    maps = materialise(dealt.groupBy("__bucket").agg(F.bitmap_construct_agg("__at").alias("__bits")), "kept")
+    if maps.count() > BITMAPS:
+        return spread_join(df, kept, [row])
+    byte = F.conv(F.hex(F.substring("__bits", F.call_function("div", place, F.lit(8).cast("long")).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.call_function("shiftright", byte, (place % 8).cast("int")) % 2 == 1
+    return df.withColumn("__bucket", bucket).join(F.broadcast(maps), "__bucket").where(held).select(*df.columns)
+
+
 class Sanitiser:
     """Entities and disclosing terms of one table."""
 
@@ -209,8 +228,7 @@ class Sanitiser:
         enough, key = F.count(F.lit(1)), ["f0", "f1"]
         prints = [F.bit_xor(F.xxhash64("row", F.lit(k))).alias(f"f{k}") for k in (0, 1)]
         once = materialise(self.base.select("h", "row").groupBy("h").agg(F.min("row").alias("row")), "texts")
-        texts = spread_join(self.base.select("row", "entities", "terms"), once.select("row"), ["row"])
-        texts = materialise(texts, "once")
+        texts = among(self.base.select("row", "entities", "terms"), once.select("row"), "row")
         holding = texts.where(F.size("entities") > 0)
 
         # (row, class) of the entities and of the terms that may disclose
