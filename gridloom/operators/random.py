@@ -37,14 +37,16 @@ def _once(value: Column, body) -> Column:
 
 
 def _first_taken(propose, otherwise: Column) -> Column:
-    """The first proposal that is taken: ``propose`` of an attempt's number gives (value, whether it is)."""
+    """The first proposal that is taken: ``propose`` of an attempt's number gives the value, or NULL if it isn't.
 
-    def step(got: Column, k: Column) -> Column:
-        value, taken = propose(k)
-        return F.when(got.isNotNull(), got).when(taken, value)
+    A fold has no early end, so most draws are made by two attempts before any fold, and nearly all others by a short one.
+    """
 
-    tries = F.array(*[F.lit(k) for k in range(ATTEMPTS)])
-    return F.coalesce(F.aggregate(tries, F.lit(None).cast("double"), step), otherwise)
+    def among(first: int, stop: int) -> Column:
+        tries = F.array(*[F.lit(k) for k in range(first, stop)])
+        return F.aggregate(tries, F.lit(None).cast("double"), lambda got, k: F.when(got.isNotNull(), got).otherwise(propose(k)))
+
+    return F.coalesce(propose(F.lit(0)), propose(F.lit(1)), among(2, 8), among(8, ATTEMPTS), otherwise)
 
 
 def standard_gamma(index: Column, seed: int, shape: float) -> Column:
@@ -54,11 +56,12 @@ def standard_gamma(index: Column, seed: int, shape: float) -> Column:
     a = shape if shape >= 1 else shape + 1
     d_, c = a - 1 / 3, 1 / math.sqrt(9 * (a - 1 / 3))
 
-    def propose(k: Column) -> tuple[Column, Column]:
-        x = _gauss(index, seed, k * 3 + 100, k * 3 + 101)
-        v = F.pow(1 + c * x, F.lit(3.0))
-        good = F.log(uniform(index, seed, k * 3 + 102)) < 0.5 * x * x + d_ - d_ * v + d_ * F.log(F.greatest(v, F.lit(1e-300)))
-        return v * d_, (v > 0) & good
+    def propose(k: Column) -> Column:
+        def judged(x: Column, v: Column) -> Column:
+            good = F.log(uniform(index, seed, k * 3 + 102)) < 0.5 * x * x + d_ - d_ * v + d_ * F.log(F.greatest(v, F.lit(1e-300)))
+            return F.when((v > 0) & good, v * d_)
+
+        return _once(_gauss(index, seed, k * 3 + 100, k * 3 + 101), lambda x: _once(F.pow(1 + c * x, F.lit(3.0)), lambda v: judged(x, v)))
 
     out = _first_taken(propose, F.lit(d_))
     return out if shape >= 1 else out * F.pow(uniform(index, seed, 99), F.lit(1 / shape))
@@ -69,8 +72,7 @@ def chisquare(index, seed, df): return standard_gamma(index, seed, df / 2) * 2
 
 
 def beta(index: Column, seed: int, a: float, b: float) -> Column:
-    x, y = standard_gamma(index, seed, a), standard_gamma(index, seed + 1_000_003, b)
-    return x / (x + y)
+    return _once(standard_gamma(index, seed, a), lambda x: x / (x + standard_gamma(index, seed + 1_000_003, b)))
 
 
 def f(index: Column, seed: int, dfnum: float, dfden: float) -> Column:
@@ -122,14 +124,15 @@ def vonmises(index: Column, seed: int, mu: float, kappa: float) -> Column:
     rho = (tau - math.sqrt(2 * tau)) / (2 * kappa)
     s = (1 + rho * rho) / (2 * rho)
 
-    def propose(k: Column) -> tuple[Column, Column]:
-        z = F.cos(uniform(index, seed, k * 3 + 100) * math.pi)
-        w = (1 + s * z) / (s + z)
-        y = kappa * (s - w)
-        v = uniform(index, seed, k * 3 + 101)
-        side = F.when(uniform(index, seed, k * 3 + 102) < 0.5, F.lit(-1.0)).otherwise(F.lit(1.0))
-        good = (y * (2 - y) - v >= 0) | (F.log(y / v) + 1 - y >= 0)
-        return side * F.acos(F.greatest(F.lit(-1.0), F.least(w, F.lit(1.0)))), good
+    def propose(k: Column) -> Column:
+        def judged(w: Column, v: Column) -> Column:
+            y = kappa * (s - w)
+            side = F.when(uniform(index, seed, k * 3 + 102) < 0.5, F.lit(-1.0)).otherwise(F.lit(1.0))
+            good = (y * (2 - y) - v >= 0) | (F.log(y / v) + 1 - y >= 0)
+            return F.when(good, side * F.acos(F.greatest(F.lit(-1.0), F.least(w, F.lit(1.0)))))
+
+        w = _once(F.cos(uniform(index, seed, k * 3 + 100) * math.pi), lambda z: (1 + s * z) / (s + z))
+        return _once(w, lambda w: _once(uniform(index, seed, k * 3 + 101), lambda v: judged(w, v)))
 
     turned = _first_taken(propose, F.lit(0.0)) + mu + math.pi
     return turned - F.floor(turned / (2 * math.pi)) * (2 * math.pi) - math.pi
@@ -141,10 +144,12 @@ def zipf(index: Column, seed: int, a: float) -> Column:
         raise ValueError("an exponent over 1")
     b = 2 ** (a - 1)
 
-    def propose(k: Column) -> tuple[Column, Column]:
+    def propose(k: Column) -> Column:
+        def judged(x: Column, t: Column) -> Column:
+            return F.when((x < 9.0e18) & (uniform(index, seed, k * 2 + 101) * x * (t - 1) / (b - 1) <= t / b), x)
+
         x = F.floor(F.pow(uniform(index, seed, k * 2 + 100), F.lit(-1 / (a - 1)))).cast("double")
-        t = F.pow(1 + 1 / x, F.lit(a - 1))
-        return x, (x < 9.0e18) & (uniform(index, seed, k * 2 + 101) * x * (t - 1) / (b - 1) <= t / b)
+        return _once(x, lambda x: _once(F.pow(1 + 1 / x, F.lit(a - 1)), lambda t: judged(x, t)))
 
     return _first_taken(propose, F.lit(1.0)).cast("long")
 
@@ -168,29 +173,65 @@ _INVERTED = 90  # a count of a mean under LARGE is beyond this with a chance und
 
 
 def _inverted(u: Column, first: Column, ratio) -> Column:
-    """The count at which the running sum of chances passes ``u``; ``ratio`` of k is the chance of k over that of k - 1."""
-    state = F.struct(first.alias("p"), first.alias("c"), F.lit(0).alias("k"))
-
-    def step(a: Column, k: Column) -> Column:
-        p = a["p"] * ratio(k)
-        return F.when(u <= a["c"], a).otherwise(F.struct(p.alias("p"), (a["c"] + p).alias("c"), k.alias("k")))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(_INVERTED)), state, step, lambda a: a["k"])
-
-
-def _poisson_of(index: Column, seed: int, lam: Column) -> Column:
-    """Of a rate that is a column: small ones by inversion, large ones by transformed rejection with squeeze."""
+    """The count at which the running sum of chances passes ``u``; ``ratio`` of k is the chance of k over that of k - 1.
+
+    A fold has no early end, so the next stretch of counts is only gone through if the one before hasn't passed ``u``.
+    """
+    stretches = [(1, 6), (7, 14), (15, 30), (31, _INVERTED)]
+
+    def passed(u: Column, state: Column, left: list[tuple[int, int]]) -> Column:
+        def step(a: Column, k: Column) -> Column:
+            more = _once(a["p"] * ratio(k), lambda p: F.struct(p.alias("p"), (a["c"] + p).alias("c"), k.alias("k")))
+            return F.when(u <= a["c"], a).otherwise(more)
+
+        (low, high), *rest = left
+        ks = F.array(*[F.lit(k) for k in range(low, high + 1)])
+        return F.aggregate(ks, state, step, (lambda a: F.when(u <= a["c"], a["k"]).otherwise(passed(u, a, rest))) if rest else (lambda a: a["k"]))
+
+    start = lambda p: F.struct(p.alias("p"), p.alias("c"), F.lit(0).alias("k"))
+    return _once(u, lambda u: _once(first, lambda p: passed(u, start(p), stretches)))
+
+
+def _inverted_by(u: Column, first: float, ratio) -> Column:
+    """The same for chances that the plan knows: a search among the running sums."""
+    sums, p = [first], first
+    for k in range(1, _INVERTED):
+        p = p * ratio(k)
+        sums.append(sums[-1] + p)
+
+    def search(u: Column, low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        while middle > low and sums[middle - 1] == sums[high - 1]:  # these sums don't differ any more
+            middle -= 1
+        above = F.lit(high) if sums[middle] == sums[high - 1] else search(u, middle + 1, high)
+        return F.when(u <= sums[middle], search(u, low, middle)).otherwise(above)
+
+    return _once(u, lambda u: search(u, 0, _INVERTED))
+
+
+def _poisson_of(index: Column, seed: int, lam: Column | float) -> Column:
+    """Of a rate that may be a column: small ones by inversion, large ones by transformed rejection with squeeze."""
+    if isinstance(lam, float):
+        if lam < LARGE:
+            return _inverted_by(uniform(index, seed), math.exp(-lam), lambda k: lam / k).cast("long")
+        lam = F.lit(lam)
     few = _inverted(uniform(index, seed), F.exp(-F.least(lam, F.lit(LARGE))), lambda k: lam / k)
     b = 0.931 + 2.53 * F.sqrt(lam)
     a = -0.059 + 0.02483 * b
     inverse, squeeze = 1.1239 + 1.1328 / (b - 3.4), 0.9277 - 3.6224 / (b - 2)
 
-    def propose(k: Column) -> tuple[Column, Column]:
-        u, v = uniform(index, seed, k * 2 + 100) - 0.5, uniform(index, seed, k * 2 + 101)
-        us = 0.5 - F.abs(u)
-        x = F.floor((2 * a / us + b) * u + lam + 0.43).cast("double")
-        exact = F.log(v * inverse / (a / (us * us) + b)) <= -lam + x * F.log(lam) - _log_factorial(x)
-        return x, ((us >= 0.07) & (v <= squeeze)) | ((x >= 0) & ~((us < 0.013) & (v > us)) & exact)
+    def propose(k: Column) -> Column:
+        def judged(us: Column, v: Column, x: Column) -> Column:
+            exact = F.log(v * inverse / (a / (us * us) + b)) <= -lam + x * F.log(lam) - _log_factorial(x)
+            return F.when(((us >= 0.07) & (v <= squeeze)) | ((x >= 0) & ~((us < 0.013) & (v > us)) & exact), x)
+
+        def placed(u: Column, us: Column) -> Column:
+            x = F.floor((2 * a / us + b) * u + lam + 0.43).cast("double")
+            return _once(uniform(index, seed, k * 2 + 101), lambda v: _once(x, lambda x: judged(us, v, x)))
+
+        return _once(uniform(index, seed, k * 2 + 100) - 0.5, lambda u: _once(0.5 - F.abs(u), lambda us: placed(u, us)))
 
     return F.when(lam < LARGE, few).otherwise(_first_taken(propose, F.floor(lam).cast("double"))).cast("long")
 
@@ -292,13 +333,17 @@ def _binomial_of(index: Column, seed: int, n: Column, p: float) -> Column:
     a, middle = -0.0873 + 0.0248 * b + 0.01 * p, F.floor((size + 1) * p).cast("double")
     squeeze, alpha = 0.92 - 4.2 / b, (2.83 + 5.1 / b) * spread
 
-    def propose(k: Column) -> tuple[Column, Column]:
-        u, v = uniform(index, seed, k * 2 + 100) - 0.5, uniform(index, seed, k * 2 + 101)
-        us = 0.5 - F.abs(u)
-        x = F.floor((2 * a / us + b) * u + size * p + 0.5).cast("double")
-        likely = _log_factorial(middle) + _log_factorial(size - middle) - _log_factorial(x) - _log_factorial(size - x) + (x - middle) * math.log(odds)
-        inside = (x >= 0) & (x <= size)
-        return x, inside & (((us >= 0.07) & (v <= squeeze)) | (F.log(v * alpha / (a / (us * us) + b)) <= likely))
+    def propose(k: Column) -> Column:
+        def judged(us: Column, v: Column, x: Column) -> Column:
+            likely = _log_factorial(middle) + _log_factorial(size - middle) - _log_factorial(x) - _log_factorial(size - x) + (x - middle) * math.log(odds)
+            inside = (x >= 0) & (x <= size)
+            return F.when(inside & (((us >= 0.07) & (v <= squeeze)) | (F.log(v * alpha / (a / (us * us) + b)) <= likely)), x)
+
+        def placed(u: Column, us: Column) -> Column:
+            x = F.floor((2 * a / us + b) * u + size * p + 0.5).cast("double")
+            return _once(uniform(index, seed, k * 2 + 101), lambda v: _once(x, lambda x: judged(us, v, x)))
+
+        return _once(uniform(index, seed, k * 2 + 100) - 0.5, lambda u: _once(0.5 - F.abs(u), lambda us: placed(u, us)))
 
     return F.when(size * p < LARGE, few).otherwise(_first_taken(propose, middle)).cast("long")
 
@@ -312,7 +357,7 @@ def binomial(index: Column, seed: int, n: int, p: float) -> Column:
 
 def poisson(index: Column, seed: int, lam: float) -> Column:
     """Counts of any rate."""
-    return _poisson_of(index, seed, F.lit(float(lam)))
+    return _poisson_of(index, seed, float(lam))
 
 
 def choice(index: Column, seed: int, weights: list[float]) -> Column:
