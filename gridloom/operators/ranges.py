@@ -8,7 +8,8 @@ holds a stretch of the order, whatever lanes it cuts:
 - :func:`nearest` carries the closest mark on either side across ranges (an as-of join after a union).
 
 Ranges are cut by the order, then by the other columns that can be sorted, then by the row's number, so neither ties nor equal rows
-fill one.  Ranged rows are written once, so that every pass sees the same ranges: as a table in the folder that ``spark.checkpoint.dir``
+fill one.  There are as many as the rows need at ``ROWS`` a range, and a task of a window has one of them, so its memory doesn't grow with
+the table.  Ranged rows are written once, so that every pass sees the same ranges: as a table in the folder that ``spark.checkpoint.dir``
 names, or on one machine without one to Spark's cache.  :func:`release` gives both back; the session's end does so at the latest.
 """
 
@@ -25,6 +26,11 @@ from pyspark.sql import types as T
 
 from ..functions.ieee import NAN
 
+#: Rows of a range, about.
+ROWS = 400_000
+#: Rows from which on a range is worth a task of its own, and the ranges that any table has.
+FEW, LEAST = 20_000, 4
+
 _held: list[tuple[DataFrame, str | None]] = []
 
 
@@ -48,9 +54,20 @@ def unbroken(df: DataFrame, order: list[str], by: list[str] | None = None) -> li
 
 def ranged(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """Rows dealt by ranges, with the number of the range (``__p``) and of the row (``__m``, the last to break ties)."""
-    every = unbroken(df, order, by)
+    return _ranged(df, by, order)[0]
+
+
+def _ranged(df: DataFrame, by: list[str], order: list[str]) -> tuple[DataFrame, int]:
+    """The same, and how many ranges there are."""
+    every, n = unbroken(df, order, by), df.count()
+    ranges = max(-(-n // ROWS), min(-(-n // FEW), df.sparkSession.sparkContext.defaultParallelism), LEAST)
     numbered = df.withColumn("__m", F.monotonically_increasing_id())
-    return written(numbered.repartitionByRange(*by, *every, "__m").withColumn("__p", F.spark_partition_id()))
+    return written(numbered.repartitionByRange(ranges, *by, *every, "__m").withColumn("__p", F.spark_partition_id())), ranges
+
+
+def dealt(parts: DataFrame, ranges: int) -> DataFrame:
+    """A range to a task, for windows within ranges: by its number itself, as hashes of numbers would put several together."""
+    return parts.repartitionById(ranges, F.col("__p"))
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -126,14 +143,14 @@ def scans(df: DataFrame, order: list[str], folds: dict[str, tuple[str | Fold, Co
     by = by or []
     every = [*unbroken(df, order, by), "__m"]
     todo = [(FOLDS[f] if isinstance(f, str) else f, v) for f, v in folds.values()]
-    parts = ranged(df, by, order)
+    parts, ranges = _ranged(df, by, order)
     here = W.partitionBy("__p", *by).orderBy(*every).rowsBetween(W.unboundedPreceding, W.currentRow)
     w = W.partitionBy(*_lane(by)).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
     totals = parts.groupBy("__p", *by).agg(*[f.of(v, lambda c: c).alias(f"__t{k}") for k, (f, v) in enumerate(todo)])
     before = [f.of(F.col(f"__t{k}"), lambda c: c.over(w)).alias(f"__before{k}") for k, (f, _) in enumerate(todo)]
     carry = totals.select(F.col("__p").alias("__q"), *_named(by), F.row_number().over(W.partitionBy(*_lane(by)).orderBy("__p")).alias("__nth"), *before)
     carry = carry.where("__nth > 1").drop("__nth")  # a lane's first range has none before it
-    local = parts.withColumns({f"__l{k}": f.of(v, lambda c: c.over(here)) for k, (f, v) in enumerate(todo)})
+    local = dealt(parts, ranges).withColumns({f"__l{k}": f.of(v, lambda c: c.over(here)) for k, (f, v) in enumerate(todo)})
     out = _joined(local, carry, by, True)
     results = []
     for k, (f, _) in enumerate(todo):
@@ -152,12 +169,12 @@ def numbered(df: DataFrame, order: list[str], as_col: str, by: list[str] | None
     """Rows numbered from 0 by ``order``, within lanes or over the whole table."""
     by = by or []
     every = [*unbroken(df, order, by), "__m"]
-    parts = ranged(df, by, order)
+    parts, ranges = _ranged(df, by, order)
     totals = parts.groupBy("__p", *by).agg(F.count(F.lit(1)).alias("__t"))
     w = W.partitionBy(*_lane(by)).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
     carry = totals.withColumn("__before", F.sum("__t").over(w)).where("__before IS NOT NULL").select(F.col("__p").alias("__q"), *_named(by), "__before")
     local = F.row_number().over(W.partitionBy("__p", *by).orderBy(*every)) - 1
-    out = _joined(parts.withColumn("__l", local), carry, by, True)
+    out = _joined(dealt(parts, ranges).withColumn("__l", local), carry, by, True)
     return out.withColumn(as_col, (F.col("__l") + F.coalesce("__before", F.lit(0))).cast("long")).drop("__l", "__before", "__p", "__m")
 
 
@@ -169,14 +186,14 @@ def windowed(df: DataFrame, order: list[str], by: list[str] | None, apply: Calla
     """
     by = by or []
     every = [*unbroken(df, order, by), "__m"]
-    parts = ranged(df, by, order)
+    parts, ranges = _ranged(df, by, order)
     if by:  # only the first and the last lane of a range can be in another, so these are few
         cut = parts.groupBy(*by).agg(F.min("__p").alias("__a"), F.max("__p").alias("__b")).where("__a <> __b").select(*_named(by), F.lit(True).alias("__cut"))
         parts = _joined(parts, cut, by, False).withColumn("__cut", F.coalesce("__cut", F.lit(False)))
     else:
         parts = parts.withColumn("__cut", F.lit(True))
     here, reach = W.partitionBy("__p", *by), before + after
-    placed = parts.withColumn("__i", F.row_number().over(here.orderBy(*every))).withColumn("__n", F.count(F.lit(1)).over(here))
+    placed = dealt(parts, ranges).withColumn("__i", F.row_number().over(here.orderBy(*every))).withColumn("__n", F.count(F.lit(1)).over(here))
     i, n = F.col("__i"), F.col("__n")
     placed = placed.withColumn("__border", F.col("__cut") & ((i <= before) | (i > n - after)))
     close = placed.where(F.col("__cut") & ((i <= reach) | (i > n - reach)))
@@ -189,9 +206,12 @@ def nearest(df: DataFrame, order: list[str], mark: str, low: str, high: str, by:
     """For every row the last ``mark`` that isn't NULL at or before it (``low``) and the first one after it (``high``)."""
     by = by or []
     every = [*unbroken(df, order, by), "__m"]
-    parts = ranged(df, by, order)
-    place = F.when(F.col(mark).isNotNull(), F.struct(*every))
-    ends = parts.groupBy("__p", *by).agg(F.max_by(mark, place).alias("__last"), F.min_by(mark, place).alias("__first"))
+    parts, ranges = _ranged(df, by, order)
+    place = F.struct(*every)
+    # these aggregates sort what they read, so rows without a mark are left out of them
+    ends = parts.where(F.col(mark).isNotNull()).groupBy("__p", *by).agg(F.max_by(mark, place).alias("__last"), F.min_by(mark, place).alias("__first"))
+    ends = ends.unionByName(parts.select("__p", *by).distinct(), allowMissingColumns=True)
+    ends = ends.groupBy("__p", *by).agg(F.first("__last", True).alias("__last"), F.first("__first", True).alias("__first"))
     # frames that begin at the start of an order cost a step a row, so what follows is looked at in falling order
     before = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
     w = W.partitionBy(*_lane(by))
@@ -200,7 +220,7 @@ def nearest(df: DataFrame, order: list[str], mark: str, low: str, high: str, by:
         F.last("__first", True).over(before(w.orderBy(F.col("__p").desc()))).alias("__high"),
     ).where("__low IS NOT NULL OR __high IS NOT NULL")
     here = W.partitionBy("__p", *by)
-    local = parts.withColumn(low, F.last(mark, True).over(here.orderBy(*every).rowsBetween(W.unboundedPreceding, W.currentRow)))
+    local = dealt(parts, ranges).withColumn(low, F.last(mark, True).over(here.orderBy(*every).rowsBetween(W.unboundedPreceding, W.currentRow)))
     local = local.withColumn(high, F.last(mark, True).over(before(here.orderBy(*[F.col(c).desc() for c in every]))))
     out = _joined(local, far, by, True)
     return out.withColumn(low, F.coalesce(low, "__low")).withColumn(high, F.coalesce(high, "__high")).drop("__low", "__high", "__p", "__m")

@@ -194,3 +194,17 @@ def test_rules_for_histograms(spark, rule):
     for x in (rng.normal(size=700), rng.gamma(1.5, size=3000), np.array([2.0, 2.0])):
         df = spark.createDataFrame([(float(v),) for v in x], "v double").repartition(3)
         assert np.allclose(reduce.bin_edges(df, "v", rule), np.histogram_bin_edges(x, rule)), (rule, len(x))
+
+
+def test_ranges_grow_in_number_not_in_size(spark, monkeypatch):
+    """Whatever the number of shuffle partitions, a task of a window has one range of about ``ROWS`` rows."""
+    monkeypatch.setattr(ranges, "ROWS", 500)
+    df = spark.range(9000).select(F.col("id").alias("k"), (F.col("id") % 10).cast("double").alias("v"), F.when(F.col("id") % 700 == 3, F.col("id")).alias("mark"))
+    parts, n = ranges._ranged(df, [], ["k"])
+    assert n == 18 and parts.groupBy("__p").count().agg(F.max("count")).first()[0] < 1000
+    in_tasks = ranges.dealt(parts, n).withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.count_distinct("__p").alias("ranges"))
+    assert in_tasks.agg(F.max("ranges")).first()[0] == 1
+    got = {r["k"]: (r["low"], r["high"]) for r in ranges.nearest(df, ["k"], "mark", "low", "high").collect()}
+    marks = [k for k in range(9000) if k % 700 == 3]
+    for k in range(9000):
+        assert got[k] == (max((m for m in marks if m <= k), default=None), min((m for m in marks if m > k), default=None))
