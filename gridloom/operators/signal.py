@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Places of a block; kernels are cut into pieces of as many.
 BLOCK = 4096
+#: Blocks grow with a long kernel up to so many places: every block meets every piece, so both get fewer.
+LARGEST = 65536
 MODES = ("full", "same", "valid")
 
 
@@ -43,11 +45,12 @@ def _products(batches: Iterator[pa.RecordBatch], keys: int, names: list[str], bl
             yield pa.RecordBatch.from_arrays([*own, pa.array(first + np.arange(block)), pa.array(out)], names=names)
 
 
-def convolve(df: DataFrame, order: str, value: str, n: int, kernel: DataFrame | list[float], mode: str = "full", by: list[str] | None = None, block: int = BLOCK) -> DataFrame:
+def convolve(df: DataFrame, order: str, value: str, n: int, kernel: DataFrame | list[float], mode: str = "full", by: list[str] | None = None, block: int | None = None) -> DataFrame:
     """(by..., i, v): lanes of ``n`` places convolved with one kernel: a list, or cells (k, w) of any number.
 
     A block of the lane meets a piece of the kernel in one task; it has the places before it that the piece reaches back to, so
-    every product is whole and only pieces are added up.
+    every product is whole and only pieces are added up.  Blocks (of ``BLOCK`` places, more for longer kernels) and pieces are
+    exchanged: what they are repeated to is blocks times pieces and must not pass through the driver.
     """
     by, spark = by or [], df.sparkSession
     cells = spark.createDataFrame([(i, float(w)) for i, w in enumerate(kernel)], "k long, w double") if isinstance(kernel, list) else kernel.select(F.col("k").cast("long"), F.col("w").cast("double"))
@@ -56,6 +59,7 @@ def convolve(df: DataFrame, order: str, value: str, n: int, kernel: DataFrame |
         raise ValueError("a lane and a kernel of one place at least")
     m += 1
     start, stop = mode_range(n, m, mode)
+    block = block or min(max(BLOCK, 1 << (m - 1).bit_length()), LARGEST)
     pieces, reach = -(-m // block), min(m - 1, block)
     windows = -(-n // block) + 1
     div = lambda c: F.call_function("div", F.col(c), F.lit(block).cast("long"))
@@ -72,7 +76,7 @@ def convolve(df: DataFrame, order: str, value: str, n: int, kernel: DataFrame |
     at, w = pairs(F.col("k") % block, "w")
     cut = cells.groupBy(div("k").alias("__q")).agg(at.alias("__k"), w.alias("__w"))
     cut = cut.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(windows - 1).cast("long"))).alias("__s"))
-    met = held.join(cut, ["__s", "__q"]).select(*by, ((F.col("__s") + F.col("__q")) * block).alias("__first"), "__at", "__x", "__k", "__w")
+    met = held.hint("merge").join(cut.hint("merge"), ["__s", "__q"]).select(*by, ((F.col("__s") + F.col("__q")) * block).alias("__first"), "__at", "__x", "__k", "__w")
     kinds = dict(df.dtypes)
     names = [*by, "i", "v"]
     out = met.mapInArrow(lambda it: _products(it, len(by), names, block), ", ".join([*[f"`{b}` {kinds[b]}" for b in by], "i long", "v double"]))
