@@ -65,9 +65,9 @@ def _ranged(df: DataFrame, by: list[str], order: list[str]) -> tuple[DataFrame,
     return written(numbered.repartitionByRange(ranges, *by, *every, "__m").withColumn("__p", F.spark_partition_id())), ranges
 
 
-def dealt(parts: DataFrame, ranges: int) -> DataFrame:
+def dealt(parts: DataFrame, ranges: int, number: str = "__p") -> DataFrame:
     """A range to a task, for windows within ranges: by its number itself, as hashes of numbers would put several together."""
-    return parts.repartitionById(ranges, F.col("__p"))
+    return parts.repartitionById(ranges, F.col(number))
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -219,8 +219,9 @@ def nearest(df: DataFrame, order: list[str], mark: str, low: str, high: str, by:
         F.col("__p").alias("__q"), *_named(by), F.last("__last", True).over(before(w.orderBy("__p"))).alias("__low"),
         F.last("__first", True).over(before(w.orderBy(F.col("__p").desc()))).alias("__high"),
     ).where("__low IS NOT NULL OR __high IS NOT NULL")
-    here = W.partitionBy("__p", *by)
-    local = dealt(parts, ranges).withColumn(low, F.last(mark, True).over(here.orderBy(*every).rowsBetween(W.unboundedPreceding, W.currentRow)))
+    # the last window leaves rows in falling order, so ranges are numbered in falling order as well
+    here = W.partitionBy("__f", *by)
+    local = dealt(parts.withColumn("__f", F.lit(ranges - 1) - F.col("__p")), ranges, "__f").withColumn(low, F.last(mark, True).over(here.orderBy(*every).rowsBetween(W.unboundedPreceding, W.currentRow)))
     local = local.withColumn(high, F.last(mark, True).over(before(here.orderBy(*[F.col(c).desc() for c in every]))))
     out = _joined(local, far, by, True)
-    return out.withColumn(low, F.coalesce(low, "__low")).withColumn(high, F.coalesce(high, "__high")).drop("__low", "__high", "__p", "__m")
+    return out.withColumn(low, F.coalesce(low, "__low")).withColumn(high, F.coalesce(high, "__high")).drop("__low", "__high", "__p", "__f", "__m")
