@@ -36,34 +36,41 @@ def _once(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _first_taken(propose, otherwise: Column) -> Column:
-    """The first proposal that is taken: ``propose`` of an attempt's number gives the value, or NULL if it isn't.
+def _plain(value: Column, body) -> Column:
+    """``body`` of a value that is written out wherever ``body`` names it: Spark's compiled code computes equal parts of what
+    every row needs once.  Lambda functions aren't compiled, so within one ``_once`` is better."""
+    return body(value)
 
-    A fold has no early end, so most draws are made by two attempts before any fold, and nearly all others by a short one.
+
+def _first_taken(propose, otherwise: Column, first=_plain) -> Column:
+    """The first proposal that is taken: ``propose`` of an attempt's number and of what names values gives the value, or NULL if it isn't.
+
+    A fold has no early end, so most draws are made by two attempts before any fold, which are compiled unless ``first`` is
+    ``_once``, and nearly all others by a short one.
     """
 
     def among(first: int, stop: int) -> Column:
         tries = F.array(*[F.lit(k) for k in range(first, stop)])
-        return F.aggregate(tries, F.lit(None).cast("double"), lambda got, k: F.when(got.isNotNull(), got).otherwise(propose(k)))
+        return F.aggregate(tries, F.lit(None).cast("double"), lambda got, k: F.when(got.isNotNull(), got).otherwise(propose(k, _once)))
 
-    return F.coalesce(propose(F.lit(0)), propose(F.lit(1)), among(2, 8), among(8, ATTEMPTS), otherwise)
+    return F.coalesce(propose(F.lit(0), first), propose(F.lit(1), first), among(2, 8), among(8, ATTEMPTS), otherwise)
 
 
-def standard_gamma(index: Column, seed: int, shape: float) -> Column:
+def standard_gamma(index: Column, seed: int, shape: float, first=_plain) -> Column:
     """By cubes of shifted normals; a shape under 1 by one more and a power."""
     if shape <= 0:
         raise ValueError("a positive shape")
     a = shape if shape >= 1 else shape + 1
     d_, c = a - 1 / 3, 1 / math.sqrt(9 * (a - 1 / 3))
 
-    def propose(k: Column) -> Column:
+    def propose(k: Column, once) -> Column:
         def judged(x: Column, v: Column) -> Column:
             good = F.log(uniform(index, seed, k * 3 + 102)) < 0.5 * x * x + d_ - d_ * v + d_ * F.log(F.greatest(v, F.lit(1e-300)))
             return F.when((v > 0) & good, v * d_)
 
-        return _once(_gauss(index, seed, k * 3 + 100, k * 3 + 101), lambda x: _once(F.pow(1 + c * x, F.lit(3.0)), lambda v: judged(x, v)))
+        return once(_gauss(index, seed, k * 3 + 100, k * 3 + 101), lambda x: once(F.pow(1 + c * x, F.lit(3.0)), lambda v: judged(x, v)))
 
-    out = _first_taken(propose, F.lit(d_))
+    out = _first_taken(propose, F.lit(d_), first)
     return out if shape >= 1 else out * F.pow(uniform(index, seed, 99), F.lit(1 / shape))
 
 
@@ -72,7 +79,8 @@ def chisquare(index, seed, df): return standard_gamma(index, seed, df / 2) * 2
 
 
 def beta(index: Column, seed: int, a: float, b: float) -> Column:
-    return _once(standard_gamma(index, seed, a), lambda x: x / (x + standard_gamma(index, seed + 1_000_003, b)))
+    x, y = standard_gamma(index, seed, a), standard_gamma(index, seed + 1_000_003, b)
+    return x / (x + y)
 
 
 def f(index: Column, seed: int, dfnum: float, dfden: float) -> Column:
@@ -94,10 +102,17 @@ def noncentral_f(index: Column, seed: int, dfnum: float, dfden: float, nonc: flo
     return noncentral_chisquare(index, seed, dfnum, nonc) / dfnum / (chisquare(index, seed + 2_000_003, dfden) / dfden)
 
 
+#: Up to so many parts are written out with their sum each.
+FEW_PARTS = 4
+
+
 def dirichlet(index: Column, seed: int, alpha: list[float]) -> Column:
     """An array that sums to 1."""
-    parts = F.array(*[standard_gamma(index, seed + k * 1_000_003, a) for k, a in enumerate(alpha)])
-    return F.transform(F.array(parts), lambda p: F.transform(p, lambda x: x / F.aggregate(p, F.lit(0.0), lambda s, y: s + y)))[0]
+    few = len(alpha) <= FEW_PARTS
+    parts = [standard_gamma(index, seed + k * 1_000_003, a, _plain if few else _once) for k, a in enumerate(alpha)]
+    if few:
+        return F.array(*[x / sum(parts[1:], parts[0]) for x in parts])
+    return _once(F.array(*parts), lambda p: F.transform(p, lambda x: x / F.aggregate(p, F.lit(0.0), lambda s, y: s + y)))
 
 
 def multivariate_normal(index: Column, seed: int, mean: list[float], cov: list[list[float]]) -> Column:
@@ -124,15 +139,15 @@ def vonmises(index: Column, seed: int, mu: float, kappa: float) -> Column:
     rho = (tau - math.sqrt(2 * tau)) / (2 * kappa)
     s = (1 + rho * rho) / (2 * rho)
 
-    def propose(k: Column) -> Column:
+    def propose(k: Column, once) -> Column:
         def judged(w: Column, v: Column) -> Column:
             y = kappa * (s - w)
             side = F.when(uniform(index, seed, k * 3 + 102) < 0.5, F.lit(-1.0)).otherwise(F.lit(1.0))
             good = (y * (2 - y) - v >= 0) | (F.log(y / v) + 1 - y >= 0)
             return F.when(good, side * F.acos(F.greatest(F.lit(-1.0), F.least(w, F.lit(1.0)))))
 
-        w = _once(F.cos(uniform(index, seed, k * 3 + 100) * math.pi), lambda z: (1 + s * z) / (s + z))
-        return _once(w, lambda w: _once(uniform(index, seed, k * 3 + 101), lambda v: judged(w, v)))
+        w = once(F.cos(uniform(index, seed, k * 3 + 100) * math.pi), lambda z: (1 + s * z) / (s + z))
+        return once(w, lambda w: once(uniform(index, seed, k * 3 + 101), lambda v: judged(w, v)))
 
     turned = _first_taken(propose, F.lit(0.0)) + mu + math.pi
     return turned - F.floor(turned / (2 * math.pi)) * (2 * math.pi) - math.pi
@@ -144,12 +159,12 @@ def zipf(index: Column, seed: int, a: float) -> Column:
         raise ValueError("an exponent over 1")
     b = 2 ** (a - 1)
 
-    def propose(k: Column) -> Column:
+    def propose(k: Column, once) -> Column:
         def judged(x: Column, t: Column) -> Column:
             return F.when((x < 9.0e18) & (uniform(index, seed, k * 2 + 101) * x * (t - 1) / (b - 1) <= t / b), x)
 
         x = F.floor(F.pow(uniform(index, seed, k * 2 + 100), F.lit(-1 / (a - 1)))).cast("double")
-        return _once(x, lambda x: _once(F.pow(1 + 1 / x, F.lit(a - 1)), lambda t: judged(x, t)))
+        return once(x, lambda x: once(F.pow(1 + 1 / x, F.lit(a - 1)), lambda t: judged(x, t)))
 
     return _first_taken(propose, F.lit(1.0)).cast("long")
 
@@ -208,12 +223,13 @@ def _inverted_by(u: Column, first: float, ratio) -> Column:
         above = F.lit(high) if sums[middle] == sums[high - 1] else search(u, middle + 1, high)
         return F.when(u <= sums[middle], search(u, low, middle)).otherwise(above)
 
-    return _once(u, lambda u: search(u, 0, _INVERTED))
+    return search(u, 0, _INVERTED)  # the compiled code computes u once
 
 
 def _poisson_of(index: Column, seed: int, lam: Column | float) -> Column:
     """Of a rate that may be a column: small ones by inversion, large ones by transformed rejection with squeeze."""
-    if isinstance(lam, float):
+    known = isinstance(lam, float)
+    if known:
         if lam < LARGE:
             return _inverted_by(uniform(index, seed), math.exp(-lam), lambda k: lam / k).cast("long")
         lam = F.lit(lam)
@@ -222,23 +238,23 @@ def _poisson_of(index: Column, seed: int, lam: Column | float) -> Column:
     a = -0.059 + 0.02483 * b
     inverse, squeeze = 1.1239 + 1.1328 / (b - 3.4), 0.9277 - 3.6224 / (b - 2)
 
-    def propose(k: Column) -> Column:
+    def propose(k: Column, once) -> Column:
         def judged(us: Column, v: Column, x: Column) -> Column:
             exact = F.log(v * inverse / (a / (us * us) + b)) <= -lam + x * F.log(lam) - _log_factorial(x)
             return F.when(((us >= 0.07) & (v <= squeeze)) | ((x >= 0) & ~((us < 0.013) & (v > us)) & exact), x)
 
         def placed(u: Column, us: Column) -> Column:
             x = F.floor((2 * a / us + b) * u + lam + 0.43).cast("double")
-            return _once(uniform(index, seed, k * 2 + 101), lambda v: _once(x, lambda x: judged(us, v, x)))
+            return once(uniform(index, seed, k * 2 + 101), lambda v: once(x, lambda x: judged(us, v, x)))
 
-        return _once(uniform(index, seed, k * 2 + 100) - 0.5, lambda u: _once(0.5 - F.abs(u), lambda us: placed(u, us)))
+        return once(uniform(index, seed, k * 2 + 100) - 0.5, lambda u: once(0.5 - F.abs(u), lambda us: placed(u, us)))
 
-    return F.when(lam < LARGE, few).otherwise(_first_taken(propose, F.floor(lam).cast("double"))).cast("long")
+    return F.when(lam < LARGE, few).otherwise(_first_taken(propose, F.floor(lam).cast("double"), _plain if known else _once)).cast("long")
 
 
 def negative_binomial(index: Column, seed: int, n: float, p: float) -> Column:
     """Failures before ``n`` successes: a Poisson variable whose rate is a gamma one."""
-    return _once(gamma(index, seed + 1_000_003, n, (1 - p) / p), lambda lam: _poisson_of(index, seed, lam))
+    return _once(standard_gamma(index, seed + 1_000_003, n, _once) * ((1 - p) / p), lambda lam: _poisson_of(index, seed, lam))
 
 
 def hypergeometric(index: Column, seed: int, good: int, bad: int, n: int) -> Column:
@@ -320,12 +336,15 @@ def triangular(index, seed, left, mode, right):
 FEW_TRIALS = 32
 
 
-def _binomial_of(index: Column, seed: int, n: Column, p: float) -> Column:
-    """Of a number of trials that is a column: small means by inversion, large ones by transformed rejection with squeeze."""
+def _binomial_of(index: Column, seed: int, n: Column | int, p: float) -> Column:
+    """Of a number of trials that may be a column: small means by inversion, large ones by transformed rejection with squeeze."""
     if p > 0.5:
         return n - _binomial_of(index, seed, n, 1 - p)
     if p <= 0:
         return F.lit(0).cast("long")
+    known = isinstance(n, int)
+    if known:
+        n = F.lit(n)
     size, odds = n.cast("double"), p / (1 - p)
     few = _inverted(uniform(index, seed), F.exp(F.least(size, F.lit(LARGE / p)) * math.log1p(-p)), lambda k: F.greatest(size - k + 1, F.lit(0.0)) * odds / k)
     spread = F.sqrt(size * (p * (1 - p)))
@@ -333,7 +352,7 @@ def _binomial_of(index: Column, seed: int, n: Column, p: float) -> Column:
     a, middle = -0.0873 + 0.0248 * b + 0.01 * p, F.floor((size + 1) * p).cast("double")
     squeeze, alpha = 0.92 - 4.2 / b, (2.83 + 5.1 / b) * spread
 
-    def propose(k: Column) -> Column:
+    def propose(k: Column, once) -> Column:
         def judged(us: Column, v: Column, x: Column) -> Column:
             likely = _log_factorial(middle) + _log_factorial(size - middle) - _log_factorial(x) - _log_factorial(size - x) + (x - middle) * math.log(odds)
             inside = (x >= 0) & (x <= size)
@@ -341,17 +360,17 @@ def _binomial_of(index: Column, seed: int, n: Column, p: float) -> Column:
 
         def placed(u: Column, us: Column) -> Column:
             x = F.floor((2 * a / us + b) * u + size * p + 0.5).cast("double")
-            return _once(uniform(index, seed, k * 2 + 101), lambda v: _once(x, lambda x: judged(us, v, x)))
+            return once(uniform(index, seed, k * 2 + 101), lambda v: once(x, lambda x: judged(us, v, x)))
 
-        return _once(uniform(index, seed, k * 2 + 100) - 0.5, lambda u: _once(0.5 - F.abs(u), lambda us: placed(u, us)))
+        return once(uniform(index, seed, k * 2 + 100) - 0.5, lambda u: once(0.5 - F.abs(u), lambda us: placed(u, us)))
 
-    return F.when(size * p < LARGE, few).otherwise(_first_taken(propose, middle)).cast("long")
+    return F.when(size * p < LARGE, few).otherwise(_first_taken(propose, middle, _plain if known else _once)).cast("long")
 
 
 def binomial(index: Column, seed: int, n: int, p: float) -> Column:
     """Successes in n trials: a few are drawn one by one, many by their number."""
     if n > FEW_TRIALS:
-        return _binomial_of(index, seed, F.lit(n), p)
+        return _binomial_of(index, seed, n, p)
     return F.aggregate(F.sequence(F.lit(1), F.lit(n)), F.lit(0), lambda a, k: a + F.when((F.shiftrightunsigned(F.xxhash64(index, k, F.lit(seed)), 12).cast("double") + 0.5) / float(1 << 52) < p, 1).otherwise(0))
 
 
