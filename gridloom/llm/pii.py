@@ -50,6 +50,8 @@ MIN_SUPPORT = 3
 MIN_SHARE = 0.5
 GENERALISE, REMOVE = 0.5, 0.9
 BLOCK = 256
+#: Code points of the pieces, and of their pieces, in which entities are masked.
+PIECES = (65536, 2048)
 #: Bitmaps of rows that are broadcast, 16 MB of them; more rows are joined.
 BITMAPS = 4096
 
@@ -141,10 +143,13 @@ def entity_of(s: Column) -> Column:
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """The text with every character of a span replaced by ``_MASK``, and no other ``_MASK`` in it."""
+    """The text with every character of a span replaced by ``_MASK``, and no other ``_MASK`` in it.
+
+    A place is found by going through the text from its start, so a text is cut into pieces that have spans of their own.
+    """
     state = "struct<at:int,out:array<string>>"
 
-    def whole(x: Column) -> Column:
+    def whole(x: Column, spans: Column) -> Column:
         def cut(a: Column, s: Column) -> Column:
             free = F.substring(x, a["at"] + 1, s["start"] - a["at"])
             blank = F.repeat(F.lit(_MASK), s["stop"] - F.greatest(a["at"], s["start"]))
@@ -155,12 +160,26 @@ def masked(text: Column, spans: Column) -> Column:
         none = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")).cast(state)
         return F.aggregate(spans, none, cut, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(x, a["at"] + 1, F.lit(2**31 - 1))))
 
-    return F.when(F.size(spans) == 0, text).otherwise(let(F.translate(text, _MASK, " "), whole))
+    def pieces(x: Column, spans: Column, sizes: tuple[int, ...]) -> Column:
+        if not sizes:
+            return whole(x, spans)
+        size, *rest = sizes
+
+        def piece(x: Column, i: Column) -> Column:
+            low = i * size
+            held = F.filter(spans, lambda s: (s["stop"] > low) & (s["start"] < low + size))
+            own = F.transform(held, lambda s: F.struct(F.greatest(s["start"] - low, F.lit(0)).alias("start"), F.least(s["stop"] - low, F.lit(size)).alias("stop")))
+            return let(own, lambda own: F.when(F.size(own) == 0, x).otherwise(pieces(x, own, rest)))
+
+        return F.array_join(F.transform(F.regexp_extract_all(x, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)), piece), "")
+
+    return F.when(F.size(spans) == 0, text).otherwise(pieces(F.translate(text, _MASK, " "), spans, PIECES))
 
 
 def free_terms(text: Column, spans: Column) -> Column:
     """The distinct terms of the words that touch no span."""
-    words = F.when(F.size(spans) == 0, words_of(text)).otherwise(F.filter(words_of(masked(text, spans)), lambda w: ~F.contains(w, F.lit(_MASK))))
+    free = let(masked(text, spans), lambda x: F.filter(words_of(x), lambda w: ~F.contains(w, F.lit(_MASK))))
+    words = F.when(F.size(spans) == 0, words_of(text)).otherwise(free)
     return F.filter(F.array_distinct(F.transform(words, term_of)), lambda x: x != "")
 
 
@@ -182,7 +201,7 @@ def entities_of(s: Column) -> Column:
 
 def free_words(text: Column, spans: Column) -> Column:
     """The words that touch no span: array of (start, stop, text, term)."""
-    words = F.filter(spans_of(masked(text, spans), f"[^{WS}]++"), lambda w: ~F.contains(w["text"], F.lit(_MASK)))
+    words = let(masked(text, spans), lambda x: F.filter(spans_of(x, f"[^{WS}]++"), lambda w: ~F.contains(w["text"], F.lit(_MASK))))
     return F.transform(words, lambda w: F.struct(w["start"].alias("start"), w["stop"].alias("stop"), w["text"].alias("text"), term_of(w["text"]).alias("term")))
 
 
